@@ -4,22 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.bpe_lexicon import encode
 from ledgerline.llm.decontaminate import contamination
 from ledgerline.llm.jaccard_join import shingle_components
+from ledgerline.llm.length_histogram import encoded_lengths, length_histogram, suffix_sums
 from ledgerline.llm.line_spread import remove_boilerplate
+from ledgerline.llm.token_files import read_checksums, write_token_files
+from ledgerline.llm.toxicity import is_held_out, learned, toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = learned(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity_scores(docs, network)
+    return scored.select("doc_id", is_held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op6_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -30,8 +49,30 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_checksums(index).withColumnRenamed("id", "doc_id")
+
+
+def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    lengths = encoded_lengths(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return suffix_sums(length_histogram(lengths))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_shingle_components, op6_benchmark_contamination, op10_line_spread)}
+    found = (
+        op1_bpe_lexicon,
+        op3_shingle_components,
+        op4_toxicity,
+        op6_benchmark_contamination,
+        op8_token_files,
+        op9_length_histogram,
+        op10_line_spread,
+    )
+    return {f.__name__: f for f in found}
+
 
 def oracle_sql() -> dict[str, str]:
     return {}
