@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import wordhash as wh
+from ledgerline.llm.storage import small_batches
 
 #: Entries of a shift table and the symbols that one cursor covers.
 TABLE_BITS = 20
@@ -174,36 +175,29 @@ def _step(block, window: int):
     return run
 
 
-def contamination(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    window: int = 13,
-) -> DataFrame:
-    """Per row: id, n_words, n_hit, n_items, items (item ids as sorted strings), spans of hit words, contaminated.
+def add_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13) -> DataFrame:
+    """(row, n_words, n_hit, n_items, items, spans, contaminated): each row of ``docs`` as a struct, and what it holds.
 
     Words are runs of a-z (after lower-casing A-Z), 0-9 and everything beyond ASCII. A
     window is ``window`` consecutive words of an item; an item of fewer words, but not none, is
     one window. A word inside any occurrence is hit; a row is contaminated when it has hits and
-    they are at least a twentieth of its words. Null or empty texts have no words; items
-    without words never occur; an item with a null id is skipped; repeated items count once.
-    An empty benchmark leaves every row clean. Only the
-    id is carried over, so clashing names of other columns don't matter.
+    they are at least a twentieth of its words. items are item ids as sorted strings, spans runs of
+    hit words (first, last). Null or empty texts have no words; items without words never occur; an
+    item with a null id is skipped; repeated items count once. An empty benchmark
+    leaves every row clean. Rows may repeat.
 
     The benchmark travels to the executors. Its size is checked: up to BLOCK_BYTES of
     text go at once; a larger one is cut into blocks by item, searched one after another
     without a shuffle, and the blocks' spans are merged.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     items = items.where(F.length("text") > 0).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-int(total) // BLOCK_BYTES))
     found = docs.select(
-        F.col(id_col).alias("id"),
+        F.struct(*docs.columns).alias("row"),
         F.col(text_col).cast("string").alias("text"),
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<string>").alias("items"),
@@ -214,6 +208,11 @@ def contamination(
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block).collect()
         found = found.mapInArrow(_step(spark.sparkContext.broadcast([tuple(r) for r in part]), window), schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
-    return found.select("id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans").select(
-        F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items", "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
-    )
+    found = found.select("row", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13) -> DataFrame:
+    """add_contamination() with the id alone of each row."""
+    found = add_contamination(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, "text", item_col, item_text_col, window)
+    return found.select(F.col("row.id").alias(id_col), "n_words", "n_hit", "n_items", "items", "spans", "contaminated")

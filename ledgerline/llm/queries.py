@@ -9,12 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.bpe_lexicon import encode
+from ledgerline.llm.chroma import align, best_match, fingerprints, melodies
 from ledgerline.llm.decontaminate import contamination
 from ledgerline.llm.jaccard_join import shingle_components
 from ledgerline.llm.length_histogram import encoded_lengths, length_histogram, suffix_sums
 from ledgerline.llm.line_spread import remove_boilerplate
+from ledgerline.llm.preferences import preference_pairs, shortened_answers
+from ledgerline.llm.pseudonyms import KINDS, pseudonymize
+from ledgerline.llm.storage import written
 from ledgerline.llm.token_files import read_checksums, write_token_files
-from ledgerline.llm.toxicity import is_held_out, learned, toxicity_scores
+from ledgerline.llm.toxicity import add_scores, is_held_out, learned
+
+
+#: Key of the pseudonyms; a real run passes its own secret.
+PSEUDONYM_KEY = b"ledgerline example key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +36,17 @@ def op1_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector is a recording; every twentieth asks with a noisy part of its own, all are searched."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    recordings = written(fingerprints(melodies(vectors, "vec_id", "embedding"), "id"), "recordings")
+    asked = melodies(vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", first=16, last=48, noise=0.05)
+    best = best_match(align(fingerprints(asked, "id"), recordings))
+    summary = recordings.select(F.col("id").alias("vec_id"), "n_positions", F.crc32(F.array_join(F.col("codes").cast("array<string>"), " ").cast("binary")).alias("codes_crc32"))
+    joined = summary.join(best.withColumnRenamed("query", "vec_id"), "vec_id", "left")
+    return joined.select("vec_id", "n_positions", "codes_crc32", "match", "offset", "votes", "bit_errors", "n_matches")
+
+
 def op3_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -35,10 +54,24 @@ def op3_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     network = learned(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    scored = toxicity_scores(docs, network)
+    scored = add_scores(docs, network)
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation against a version whose last answer is cut short."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    pairs = preference_pairs(turns, shortened_answers(turns))
+    learned_chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.when(x["learn"], x["chars"]).otherwise(0))
+    return pairs.select(
+        "conv_id",
+        "n_prompt_turns",
+        *[F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")],
+        learned_chars("chosen_mask").alias("chosen_learned"),
+        learned_chars("rejected_mask").alias("rejected_learned"),
+    )
+
+
 def op6_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -49,6 +82,11 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymize(docs, PSEUDONYM_KEY).select("doc_id", "text", *[f"n_{k}" for k in KINDS])
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     index = write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -64,9 +102,12 @@ def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_bpe_lexicon,
+        op2_chroma_fingerprints,
         op3_shingle_components,
         op4_toxicity,
+        op5_preference_pairs,
         op6_benchmark_contamination,
+        op7_pseudonyms,
         op8_token_files,
         op9_length_histogram,
         op10_line_spread,

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ledgerline.llm import wordhash as wh
 from ledgerline.llm.storage import small_batches
@@ -357,30 +358,28 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return texts, found
 
 
-def _score(model):
+def add_scores(docs: DataFrame, network: Network, text_col: str = "text", to: str = "score") -> DataFrame:
+    """``docs`` with a score from all windows of each row's whole text, as column ``to``, replaced if it is there.
+
+    A null text is an empty one; a text without words scores as one quiet window does. Nothing but the
+    text is an input. Rows may repeat, and other columns pass through whatever they hold.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.drop(to)
+    model = spark.sparkContext.broadcast(network.p)
+    schema = StructType([*rows.schema.fields, StructField(to, DoubleType())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network()
         net.p = model.value
         for batch in batches:
-            texts = [b"" if t is None else t for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            texts = [b"" if t is None else t for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
             out = [net.text_scores(texts[a:b]) for a, b in wh.in_batches(texts, 1 << 20)]
             score = np.concatenate(out) if out else np.zeros(0)
-            yield pa.record_batch([batch.column("id"), pa.array(score.astype(np.float64))], names=["id", "score"])
-
-    return run
+            yield pa.record_batch([*batch.columns, pa.array(score.astype(np.float64))], names=[*batch.schema.names, to])
 
-
-def toxicity_scores(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row, from all windows of its whole text.
-
-    A null text is an empty one; a text without words has the score of windows with logit
-    EMPTY. Nothing but the text is an input. Rows may repeat and ids may be null.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_score(spark.sparkContext.broadcast(network.p)), f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, schema)
 
 
 def is_held_out(id_col: str = "doc_id"):
