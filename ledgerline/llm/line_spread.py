@@ -18,16 +18,25 @@ LG_K = 12
 BAND = 0.1
 
 
+_WHITE = "\t\n\x0b\x0c\r "
+
+
 def stripped_line(line):
     """A line without white space (\\x09-\\x0D, space) at its ends."""
-    return F.regexp_replace(line, r"^[\x09-\x0D ]+|[\x09-\x0D ]+$", "")
+    return F.btrim(line, F.lit(_WHITE))
+
+
+def n_words(body):
+    """Runs of other characters in a stripped line; a pattern runs only over lines with runs of white space."""
+    even = F.translate(body, _WHITE, " " * len(_WHITE))
+    single = F.length(body) - F.length(F.replace(even, F.lit(" "), F.lit(""))) + 1
+    return F.when(F.length(body) == 0, 0).when(F.instr(even, "  ") == 0, single).otherwise(F.size(F.split(even, " +")))
 
 
 def line_key(line, least_words: int):
     """Hash of a stripped line; null for one of fewer words, which is never boilerplate."""
     body = stripped_line(line)
-    words = F.when(F.length(body) == 0, 0).otherwise(F.size(F.split(body, r"[\x09-\x0D ]+")))
-    return F.when(words >= least_words, F.xxhash64(body))
+    return F.when(n_words(body) >= least_words, F.xxhash64(body))
 
 
 def line_sites(lines: DataFrame, least_sites: int, lg_k: int = LG_K, band: float = BAND) -> DataFrame:
