@@ -115,5 +115,56 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_SHINGLES = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 3], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(t, '|' ORDER BY t)) AS h FROM t GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b, x.h AS ha, y.h AS hb FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+edges AS (SELECT a, b, ha, hb FROM links UNION SELECT b, a, hb, ha FROM links),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, coalesce(n_links, 0) AS n_links FROM w LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY 1) x USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, count(DISTINCT hb) FILTER (hb <> ha) AS n_links FROM edges GROUP BY 1) y USING (doc_id)"""
+
+_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_CONTAMINATION = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM benchmark),
+p AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM
+  (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
+o AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS win FROM
+  (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)),
+f AS (SELECT doc_id, item, k, o.n FROM o JOIN p USING (n, win)),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM f) GROUP BY 1),
+g AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM f GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)"""
+
+_LINES = r"""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, regexp_replace(line, '^[\x09-\x0D ]+|[\x09-\x0D ]+$', '', 'g') AS body FROM l),
+b AS (SELECT body, count(DISTINCT source) AS sites, min(doc_id) AS first_id FROM k WHERE len(regexp_extract_all(body, '[^\x09-\x0D ]+')) >= 5 GROUP BY 1),
+j AS (SELECT doc_id, line, pos, coalesce(sites >= 6 AND first_id <> doc_id, false) AS gone FROM k LEFT JOIN b USING (body))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256 FROM j GROUP BY 1"""
+
+_SHOW = "'<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10)"
+_PAIRS = rf"""WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY 1),
+t AS (SELECT c.conv_id, turn, role, text, last, turn = last AND role = 'assistant' AS answer FROM conversations c LEFT JOIN l USING (conv_id)),
+c AS (SELECT *, last IS NOT NULL AND (turn > last OR answer AND text <> '') AS differs FROM t),
+s AS (SELECT conv_id, min(turn) FILTER (differs) AS split FROM c GROUP BY 1),
+r AS (SELECT conv_id, turn, role, CASE WHEN answer THEN substr(text, 1, length(text) // 2) ELSE text END AS text FROM c WHERE last IS NULL OR turn <= last),
+n AS (SELECT conv_id, count(*) FILTER (split IS NULL OR turn < split) AS n_prompt_turns, string_agg({_SHOW}, '' ORDER BY turn) FILTER (split IS NULL OR turn < split) AS prompt,
+  string_agg({_SHOW}, '' ORDER BY turn) FILTER (turn >= split) AS chosen, sum(length(text) + 8) FILTER (turn >= split AND role = 'assistant') AS learned FROM c JOIN s USING (conv_id) GROUP BY 1),
+m AS (SELECT conv_id, string_agg({_SHOW}, '' ORDER BY turn) FILTER (turn >= split) AS rejected, sum(length(text) + 8) FILTER (turn >= split AND role = 'assistant') AS learned FROM r JOIN s USING (conv_id) GROUP BY 1)
+SELECT conv_id, n_prompt_turns, sha256(coalesce(prompt, '')) AS prompt_sha256, sha256(coalesce(chosen, '')) AS chosen_sha256, sha256(coalesce(rejected, '')) AS rejected_sha256,
+  CAST(coalesce(n.learned, 0) AS BIGINT) AS chosen_learned, CAST(coalesce(m.learned, 0) AS BIGINT) AS rejected_learned FROM n LEFT JOIN m USING (conv_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; the others are tested against plain versions."""
+    return {
+        "op3_shingle_components": _SHINGLES,
+        "op5_preference_pairs": _PAIRS,
+        "op6_benchmark_contamination": _CONTAMINATION,
+        "op10_line_spread": _LINES,
+    }
