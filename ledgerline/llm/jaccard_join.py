@@ -25,13 +25,17 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import wordhash as wh
 from ledgerline.llm.graph import connected_components
-from ledgerline.llm.storage import written
+from ledgerline.llm.storage import small_batches, written
 
 #: Counters of the frequency table (2**bits) and the pieces it is shipped in.
 SKETCH_BITS = 22
 CHUNKS = 16
+#: A token that its counter has seen so often at most is rare, and a signature by itself.
+RARE = 2
 #: From which set size frequent tokens pair up, at least, and in how many sub-classes; pairs stay inside one.
-SUBCLASSES = ((48, 32), (1600, 256))
+SUBCLASSES = ((48, 4), (100, 8), (200, 16), (400, 32), (800, 64), (1600, 128), (3200, 256), (6400, 512))
+#: Slots (2**bits) of the filter that keeps texts without candidates out of the last shuffle.
+BITMAP_BITS = 23
 #: Shingles that one block of a group holds, about.
 BLOCK_TOKENS = 1 << 17
 
@@ -128,9 +132,16 @@ def _schemes(percent: int) -> list[tuple[int, int]]:
     return [(0, 0), *((max(low, int((m + 2) / p / p) + 2), m) for low, m in SUBCLASSES)]
 
 
-def _pairs_of(part: np.ndarray) -> np.ndarray:
-    i, j = np.triu_indices(len(part), 1)
-    return wh.mix(part[i] * np.uint64(0x9FB21C651E98DF25) + wh.mix(part[j]))
+def _pairs_of(tokens: np.ndarray, sub: np.ndarray) -> list[np.ndarray]:
+    """Keys of all pairs of one sub-class; tokens are sorted by (sub, token)."""
+    keys, step = [], 1
+    while step < len(tokens):
+        same = np.flatnonzero(sub[step:] == sub[:-step])
+        if not len(same):
+            break
+        keys.append(wh.mix(tokens[same] * np.uint64(0x9FB21C651E98DF25) + wh.mix(tokens[same + step])))
+        step += 1
+    return keys
 
 
 def _signatures_of(s: np.ndarray, level: np.ndarray, frequent: int, percent: int, schemes: list[tuple[int, int]]) -> np.ndarray:
@@ -160,9 +171,9 @@ def _signatures_of(s: np.ndarray, level: np.ndarray, frequent: int, percent: int
         gain = np.ones(len(tail), dtype=np.int64)
         gain[np.unique(sub, return_index=True)[1]] = 0
         upto = int(np.searchsorted(np.cumsum(gain) + rare, need)) + 1
-        tail, sub = np.sort(tail[:upto]), sub[:upto][np.argsort(tail[:upto])]
-        by = np.argsort(sub, kind="stable")
-        keys.extend(_pairs_of(part) ^ salt for part in np.split(tail[by], np.flatnonzero(np.diff(sub[by])) + 1))
+        tail, sub = tail[:upto], sub[:upto]
+        by = np.lexsort((tail, sub))
+        keys.extend(k ^ salt for k in _pairs_of(tail[by], sub[by]))
     return np.concatenate(keys)
 
 
@@ -190,6 +201,70 @@ def _postings(k: int, percent: int, level, frequent: int, least_size: int):
     return run, "key long, node long"
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive sorted by key: every further node of a key is tied to the key's first one."""
+    last_key, pivot = None, None
+    for batch in batches:
+        key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+        if not len(key):
+            continue
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        new[0] = last_key is None or key[0] != last_key
+        first = np.where(new, np.arange(len(key)), -1)
+        at = np.maximum.accumulate(first)
+        of = np.where(at >= 0, node[np.maximum(at, 0)], pivot if pivot is not None else 0)
+        last_key, pivot = key[-1], of[-1]
+        tied = of != node
+        if tied.any():
+            pairs = np.unique(np.stack([of[tied], node[tied]], axis=1), axis=0)
+            yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+
+def _needed(bitmap):
+    """Drop rows whose id is in no slot of the bitmap; it may keep others, which a join drops."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(bitmap.value, dtype=np.uint8)).astype(bool)
+        for batch in batches:
+            keep = bits[batch.column("slot").to_numpy()]
+            yield batch.filter(pa.array(keep)).select(["id", "text"])
+
+    return run
+
+
+def _bitmap_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slots of one task as (piece, bits) rows."""
+    bits = np.zeros(1 << BITMAP_BITS, dtype=bool)
+    for batch in batches:
+        bits[batch.column("slot").to_numpy()] = True
+    if bits.any():
+        parts = np.split(np.packbits(bits), CHUNKS)
+        yield pa.record_batch([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["piece", "bits"])
+
+
+def _rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of (id, text) whose id may be among ``ids`` (rep), by a fixed-size bitmap, so that few texts are shuffled."""
+    spark = rows.sparkSession
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS)).cast("int").alias("slot")
+    parts = ids.select(slot("rep")).mapInArrow(_bitmap_part, "piece int, bits binary")
+    # CHUNKS pieces, 2**BITMAP_BITS bits together, whatever the corpus holds.
+    merged = parts.repartition("piece").mapInArrow(_or_bits, "piece int, bits binary")
+    found = sorted((r["piece"], bytes(r["bits"])) for r in merged.collect())
+    bitmap = b"".join(x for _, x in found) or bytes((1 << BITMAP_BITS) // 8)
+    return rows.select("id", "text", slot("id")).mapInArrow(_needed(spark.sparkContext.broadcast(bitmap)), "id long, text string")
+
+
+def _or_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, bits in zip(batch.column("piece").to_pylist(), batch.column("bits").to_pylist()):
+            x = np.frombuffer(bits, dtype=np.uint8)
+            totals[piece] = totals[piece] | x if piece in totals else x
+    if totals:
+        yield pa.record_batch([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names=["piece", "bits"])
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,6 +393,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     run, schema = _scan(k)
     scanned = written(rows.mapInArrow(run, schema), "scan")
@@ -326,31 +402,30 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # CHUNKS rows of 2**SKETCH_BITS / CHUNKS bytes, whatever the corpus holds.
     counters = sorted(pieces.mapInArrow(_add_counters, "row long, total long, level binary").collect())
     level = b"".join(r["level"] for r in counters) or bytes(1 << SKETCH_BITS)
-    mean = sum(r["total"] for r in counters) / (1 << SKETCH_BITS)
-    frequent = int(round(8 * np.log2(1 + 4 * mean + 16)))
+    frequent = int(round(8 * np.log2(1 + RARE)))
     shared_level = spark.sparkContext.broadcast(level)
     # The smallest set that can link to a different set: one token more or less.
     least_size = next(n for n in range(1, 200) if 100 * n >= percent * (n + 1))
-    run, schema = _postings(k, percent, shared_level, min(frequent, 254), least_size)
-    postings = written(rows.where("id is not null").mapInArrow(run, schema), "postings")
-    shared = postings.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top").select("key", "pivot")
-    stars = postings.join(shared, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    run, schema = _postings(k, percent, shared_level, frequent, least_size)
+    postings = rows.where("id is not null").mapInArrow(run, schema).repartition("key").sortWithinPartitions("key")
+    stars = written(postings.mapInArrow(_stars, "a long, b long").distinct(), "stars")
     groups = written(connected_components(stars), "groups")
 
     classes = sizes.where("id is not null and n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     classes = written(classes, "classes")
     members = classes.join(groups, classes.h1 == groups.node).select("rep", F.col("component").alias("cluster"), "n", "h1", "h2")
     totals = members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count("*").alias("m")).where("m > 1")
-    blocks = members.join(totals, "cluster").select(
+    blocks = written(members.join(totals, "cluster").select(
         "rep",
         "cluster",
         "h1",
         "h2",
         F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"),
         F.pmod(F.xxhash64("h1", "h2"), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("i"),
-    )
+    ), "blocks")
     run, schema = _sets(k)
-    texts = rows.join(blocks, rows.id == blocks.rep).select("rep", "cluster", "i", "blocks", "h1", "h2", "text")
+    near = _rows_of(rows, blocks)
+    texts = near.join(blocks, near.id == blocks.rep).select("rep", "cluster", "i", "blocks", "h1", "h2", "text")
     sets = texts.mapInArrow(run, schema)
     units = (
         sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
