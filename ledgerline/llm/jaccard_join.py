@@ -81,7 +81,7 @@ def _scan(k: int):
                 for s in sets:
                     pending.append(s)
                     waiting += len(s)
-                if waiting > 4_000_000:
+                if waiting > 1_000_000:
                     add()
                 digests = [_digest(s) for s in sets]
                 yield pa.record_batch(

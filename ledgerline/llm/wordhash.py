@@ -120,7 +120,7 @@ def shingles(words: Words, k: int) -> list[np.ndarray]:
     return out
 
 
-def in_batches(texts, limit: int = 4 << 20):
+def in_batches(texts, limit: int = 1 << 20):
     """Cut a list of byte texts where a batch passes ``limit`` bytes; yields index ranges."""
     start = size = 0
     for i, t in enumerate(texts):
