@@ -24,7 +24,7 @@ def report_lines(df: DataFrame) -> DataFrame:
 
 
 def write_report_csv(df: DataFrame, path: str, columns: str | None = None, delimiter: str = ",", header: bool = True, compression: str | None = None) -> None:
-    """All fields quoted, lines ended by CR LF, null as an empty field, formulas disarmed."""
+    """All fields quoted, lines ended by CR LF (also those inside a value), null as an empty field, formulas disarmed."""
     out = report_lines(select_columns(df, columns) if columns else df)
     writer = out.write.mode("overwrite").option("sep", delimiter).option("header", header).option("quoteAll", True).option("escape", '"')
     writer = writer.option("lineSep", "\r\n").option("emptyValue", "").option("nullValue", "")
