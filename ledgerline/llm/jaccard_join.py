@@ -28,7 +28,7 @@ from ledgerline.llm.graph import connected_components
 from ledgerline.llm.storage import small_batches, written
 
 #: Counters of the frequency table (2**bits) and the pieces it is shipped in.
-SKETCH_BITS = 22
+SKETCH_BITS = 20
 CHUNKS = 16
 #: A token that its counter has seen so often at most is rare, and a signature by itself.
 RARE = 2
