@@ -22,23 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerline.llm.pieces import PieceCache, batches_by_size
+from ledgerline.llm.bpe_merge import PairMerger, byte_chars
+from ledgerline.llm.pieces import PLAIN, PieceCache, batches_by_size
 from ledgerline.llm.shared_files import as_array, mapped, write_bytes
-from ledgerline.llm.storage import new_path, small_batches
+from ledgerline.llm.storage import new_path, small_batches, written
 
 #: Frequent words that are compiled.
 LEXICON_WORDS = 1 << 16
-_NONE = np.iinfo(np.int32).max
-#: Characters up to here have had one meaning in every Unicode version in use.
-_PLAIN = regex.compile(r"[\x21-\x7E¡-ɏ]*")
-
-
-def _byte_chars() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return [chr(b if b in shown else 256 + hidden.index(b)) for b in range(256)]
-
 
 class WordBpe:
     """A word-level BPE vocabulary file: word splitting, merging and decoding."""
@@ -48,25 +38,16 @@ class WordBpe:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab = dict(spec["model"]["vocab"])
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        self.end = spec["model"]["end_of_word_suffix"] or ""
+        vocab = spec["model"]["vocab"]
+        merger = PairMerger(spec["model"], spec["model"]["end_of_word_suffix"] or "")
+        self.merge, self.merge_bytes = merger.merge, merger.merge_bytes
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.tokens = [""] * size
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
-        chars = _byte_chars()
-        self.byte_of = {c: b for b, c in enumerate(chars)}
-        self.inner = np.array([vocab[c] for c in chars], dtype=np.int64)
-        self.last = np.array([vocab[c + self.end] for c in chars], dtype=np.int64)
-        left = np.array([vocab[a] for a, _ in merges], dtype=np.int64)
-        right = np.array([vocab[b] for _, b in merges], dtype=np.int64)
-        made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
-        pair = (left << 32) | right
-        by = np.argsort(pair, kind="stable")
-        self.pairs, self.ranks, self.made = pair[by], by.astype(np.int32), made[by]
+        self.byte_of = {c: b for b, c in enumerate(byte_chars())}
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(split, regex.V0)
 
@@ -77,51 +58,13 @@ class WordBpe:
             for part in self.cut_special.split(piece):
                 out.extend([self.special[part]] if part in self.special else self.words(part))
             return out
-        if _PLAIN.fullmatch(piece):
+        if PLAIN.fullmatch(piece):
             if not piece.isascii():
                 piece = "".join([c.lower() for c in unicodedata.normalize("NFC", piece)])
             return [w.encode() for w in self.split.findall(piece.lower() if piece.isascii() else piece)]
         normal = self.library.normalizer.normalize_str(piece)
         return [bytes([self.byte_of[c] for c in w]) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Exact token ids of each word: at every step all occurrences of a word's lowest-ranked pair merge."""
-        if not words:
-            return []
-        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        data = np.frombuffer(b"".join(words), dtype=np.uint8)
-        symbol = self.inner[data]
-        ends = np.cumsum(size) - 1
-        symbol[ends] = self.last[data[ends]]
-        word = np.repeat(np.arange(len(words)), size)
-        done_symbol, done_word = [], []
-        while len(symbol):
-            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            rank = np.full(len(symbol), _NONE, dtype=np.int32)
-            pair = (symbol[:-1] << 32) | symbol[1:]
-            place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            known = (self.pairs[place] == pair) & (word[1:] == word[:-1])
-            rank[:-1][known] = self.ranks[place[known]]
-            least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(symbol))))
-            over = least == _NONE
-            if over.any():
-                done_symbol.append(symbol[over])
-                done_word.append(word[over])
-            at = np.flatnonzero((rank == least) & ~over)
-            if len(at):
-                # In a run of overlapping equal pairs every other one merges, from the left.
-                fresh = np.concatenate([[True], np.diff(at) != 1])
-                run = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-                at = at[(np.arange(len(at)) - run) % 2 == 0]
-            into = np.concatenate([place, [0]])
-            symbol[at] = self.made[into[at]]
-            stay = ~over
-            stay[at + 1] = False
-            symbol, word = symbol[stay], word[stay]
-        symbol, word = np.concatenate(done_symbol), np.concatenate(done_word)
-        by = np.argsort(word, kind="stable")
-        return np.split(symbol[by].astype(np.int32), np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
-
     def decode(self, ids) -> str:
         """The tokens, one space between, as the file's missing decoder says."""
         return " ".join([self.tokens[i] for i in ids])
@@ -269,10 +212,22 @@ def _word_counts(tokenizer_file: str):
 
 
 def frequent_words(docs: DataFrame, text_col: str, tokenizer_file: str, n_words: int = LEXICON_WORDS) -> list[bytes]:
-    """The ``n_words`` most frequent words of all texts (ties by bytes), sorted."""
+    """The most frequent words of all texts, sorted: all of the least count that leaves at most ``n_words``."""
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_word_counts(tokenizer_file), "word binary, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n_words)
-    return sorted(bytes(r["word"]) for r in top.collect())
+    counts = written(counts.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    # How many words have each count; counts are grouped by leading digits, so there are few rows.
+    step = F.pow(F.lit(10), F.greatest(F.lit(0), F.length(F.col("n").cast("string")) - 3)).cast("long")
+    level = F.floor(F.col("n") / step).cast("long") * step
+    levels = sorted(((r["level"], r["words"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    least, total = None, 0
+    for at, words in levels:
+        total += words
+        if total > n_words:
+            break
+        least = at
+    if least is None:
+        return []
+    return sorted(bytes(r["word"]) for r in counts.where(F.col("n") >= least).select("word").collect())
 
 
 def _encode(tokenizer_file: str, lexicon_uri: str, with_text: bool):
@@ -285,7 +240,7 @@ def _encode(tokenizer_file: str, lexicon_uri: str, with_text: bool):
             number = lexicon.numbers(words)
             value = {w: lexicon.ids_of(n).tobytes() for w, n in zip(words, number.tolist()) if n >= 0}
             rest = [w for w, n in zip(words, number.tolist()) if n < 0]
-            value.update((w, x.tobytes()) for w, x in zip(rest, bpe.merge(rest)))
+            value.update(zip(rest, bpe.merge_bytes(rest, "<i4")))
             return [b"".join([value[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in ws]) for ws in split]
 
         key = ("pieces", lexicon_uri)
@@ -293,11 +248,8 @@ def _encode(tokenizer_file: str, lexicon_uri: str, with_text: bool):
         cache.compute = compute
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in batches_by_size(texts):
-                pieces = [_pieces(t) for t in texts[a:b]]
-                cache.add(pieces)
-                get = cache.__getitem__
-                ids = [b"".join(map(get, p)) for p in pieces]
+            for a, b in batches_by_size(texts, 1 << 20):
+                ids = [b"".join(v) for v in cache.values([_pieces(t) for t in texts[a:b]])]
                 size = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
                 flat = np.frombuffer(b"".join(ids), dtype="<i4")
                 offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -318,7 +270,7 @@ def encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_co
     Ids equal those of the tokenizers library for the same file without special tokens added;
     special tokens that a text spells out are recognised as it does. A null text
     is an empty one: no ids, empty decoded text. Rows may repeat and ids may be null. The
-    lexicon holds the ``n_words`` most frequent words of all of ``docs``, a fixed size, and its file is
+    lexicon holds the most frequent words of all of ``docs``, ``n_words`` at most, and its file is
     in the session's shared folder. Other columns are ignored.
     """
     spark = docs.sparkSession

@@ -11,33 +11,40 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.pieces import PieceCache, batches_by_size, leading_space_pieces
+from ledgerline.llm.pieces import PieceCache, batches_by_size, spaced_pieces
 from ledgerline.llm.storage import small_batches
 
 #: Lengths of one block of the two-level sums.
 BLOCK = 1024
-_CACHES: dict[str, PieceCache] = {}
+_COUNTERS: dict[str, TokenCounter] = {}
 
 
-def _counter(ranks_file: str, pattern: str) -> PieceCache:
-    if ranks_file not in _CACHES:
+class TokenCounter:
+    """Numbers of tokens of texts; each distinct piece is encoded once."""
+
+    def __init__(self, ranks_file: str, pattern: str):
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("lengths", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _CACHES[ranks_file] = PieceCache(lambda pieces: [len(encoding.encode_ordinary(p)) for p in pieces])
-    return _CACHES[ranks_file]
+        encode = tiktoken.Encoding("lengths", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.first = PieceCache(lambda pieces: [len(encode(p)) for p in pieces])
+        self.spaced = PieceCache(lambda pieces: [len(encode(" " + p)) for p in pieces])
+
+    def count(self, texts: list[str]) -> list[int]:
+        pieces = [spaced_pieces(t) for t in texts]
+        heads = self.first.values([p[:1] for p in pieces])
+        return [sum(h) + sum(r) for h, r in zip(heads, self.spaced.values([p[1:] for p in pieces]))]
 
 
 def _lengths(ranks_file: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _counter(ranks_file, pattern)
+        if ranks_file not in _COUNTERS:
+            _COUNTERS[ranks_file] = TokenCounter(ranks_file, pattern)
+        counter = _COUNTERS[ranks_file]
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             out = []
             for a, b in batches_by_size(texts):
-                pieces = [leading_space_pieces(t) for t in texts[a:b]]
-                cache.add(pieces)
-                out.extend(sum(map(cache.__getitem__, p)) for p in pieces)
+                out.extend(counter.count(texts[a:b]))
             yield pa.record_batch([batch.column("id"), pa.array(out, pa.int64())], names=["id", "length"])
 
     return run

@@ -4,50 +4,70 @@ from __future__ import annotations
 
 import re
 
+import regex
+
 #: White space in any sense that a tokenizer's pattern may use, and the controls some call white.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 ᠎           ​    　﻿"
 _WHITE_SPACE = re.compile(f"[{WHITE}] ")
 _ENDS_WHITE = re.compile(f"[{WHITE}]$")
-#: Entries that a worker keeps before it starts anew.
-CACHE_SIZE = 400_000
+#: Entries of one generation of a worker's cache.
+CACHE_SIZE = 500_000
+
+
+#: Texts of characters that have had one meaning in every Unicode version in use.
+PLAIN = regex.compile(r"[\x20-\x7E\n\u00A1-\u00AC\u00AE-\u024F]*")
 
 
-def leading_space_pieces(text: str) -> list[str]:
-    """``text`` cut before every single space that follows a character that isn't white.
+def spaced_pieces(text: str) -> list[str]:
+    """``text`` cut at every single space that follows a character that isn't white; these spaces are left out.
 
-    The pieces join to the text. Patterns in which white space only ever begins a token, and
-    which look no further back than it, treat each piece alone.
+    The text is the pieces with one space between. Patterns in which white space only ever begins
+    a token, and which look no further back than it, treat the first piece, and each other
+    one behind its space, alone.
     """
-    head, *rest = text.split(" ")
-    out = [head]
-    if not _WHITE_SPACE.search(text):
-        out.extend([" " + x for x in rest])
-    else:
-        for x in rest:
-            if not out[-1] or _ENDS_WHITE.search(out[-1]):
-                out[-1] += " " + x
-            else:
-                out.append(" " + x)
-    return out if head or len(out) == 1 else out[1:]
-
-
-class PieceCache(dict):
-    """piece -> value, filled in bulk; cleared when it has passed its size."""
+    parts = text.split(" ")
+    if not _WHITE_SPACE.search(text) and not text.startswith(" "):
+        return parts
+    out = [parts[0]]
+    for x in parts[1:]:
+        if not out[-1] or _ENDS_WHITE.search(out[-1]):
+            out[-1] += " " + x
+        else:
+            out.append(x)
+    return out
+
+
+class PieceCache:
+    """Values of texts' pieces. Two generations: what is used stays, the rest goes when the older one is dropped."""
 
     def __init__(self, compute, size: int = CACHE_SIZE):
-        super().__init__()
         self.compute, self.size = compute, size
+        self.now: dict[str, object] = {}
+        self.before: dict[str, object] = {}
 
-    def add(self, pieces: list[list[str]]) -> None:
-        """Make sure that the pieces of a batch are here."""
-        if len(self) > self.size:
-            self.clear()
-        new = list(set().union(*pieces).difference(self)) if pieces else []
+    def values(self, texts: list[list[str]]) -> list[list]:
+        """Each text's values; ``compute`` gets all unknown pieces at once."""
+        if len(self.now) > self.size:
+            self.before, self.now = self.now, {}
+        get = self.now.get
+        found = [list(map(get, p)) for p in texts]
+        holes = [[i for i, y in enumerate(v) if y is None] if None in v else [] for v in found]
+        lacking = {p[i] for p, at in zip(texts, holes) for i in at}
+        if not lacking:
+            return found
+        old = self.before
+        new = [x for x in lacking if x not in old]
+        self.now.update({x: old[x] for x in lacking if x in old})
         if new:
-            self.update(zip(new, self.compute(new)))
+            self.now.update(zip(new, self.compute(new)))
+        now = self.now
+        for p, v, at in zip(texts, found, holes):
+            for i in at:
+                v[i] = now[p[i]]
+        return found
 
 
-def batches_by_size(texts: list[str], limit: int = 4 << 20):
+def batches_by_size(texts: list[str], limit: int = 1 << 18):
     """Index ranges of runs of texts that pass ``limit`` characters together."""
     start = size = 0
     for i, t in enumerate(texts):

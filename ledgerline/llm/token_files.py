@@ -9,39 +9,89 @@ file gives views of its own bytes.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerline.llm.pieces import PieceCache, batches_by_size, leading_space_pieces
+from ledgerline.llm.bpe_merge import PairMerger
+from ledgerline.llm.pieces import CACHE_SIZE, PLAIN, PieceCache, batches_by_size, spaced_pieces
 from ledgerline.llm.shared_files import filesystem, mapped
 from ledgerline.llm.storage import new_path, small_batches, written
 
 SEQUENCE = 2048
 ROWS = 256
-_CACHES: dict[str, PieceCache] = {}
+_ENCODERS: dict[tuple[str, str], LibraryIds] = {}
+#: The usual split of byte-level vocabularies, as their pre-tokenizer documents it.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
-def library_ids(tokenizer_file: str, dtype: str) -> PieceCache:
-    """Pieces' ids as bytes, by the tokenizers library, kept by the worker."""
-    if (tokenizer_file, dtype) not in _CACHES:
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+class LibraryIds:
+    """Texts' ids as bytes, equal to those of the tokenizers library for the same file.
 
-        def compute(pieces: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-            return [np.array(x.ids, dtype=dtype).tobytes() for x in found]
+    Each distinct token of the split is merged once, in bulk, by the file's own merges. Pieces with special
+    tokens or characters whose class could depend on the Unicode version go through the library itself.
+    """
 
-        _CACHES[tokenizer_file, dtype] = PieceCache(compute)
-    return _CACHES[tokenizer_file, dtype]
+    def __init__(self, tokenizer_file: str, dtype: str):
+        self.library = Tokenizer.from_file(tokenizer_file)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.dtype = dtype
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        with open(tokenizer_file, encoding="utf-8") as f:
+            self.merger = PairMerger(json.load(f)["model"])
+        # A piece behind its space, and a text's first piece.
+        self.spaced = PieceCache(lambda pieces: self._compute([" " + p for p in pieces]))
+        self.first = PieceCache(self._compute)
+        self.tokens: dict[str, bytes] = {}
+
+    def _compute(self, pieces: list[str]) -> list[bytes]:
+        if len(self.tokens) > CACHE_SIZE:
+            self.tokens.clear()
+        plain, findall, tokens = PLAIN.fullmatch, _SPLIT.findall, self.tokens
+        out: list[bytes] = [b""] * len(pieces)
+        words: list[int] = []  # pieces that are one token
+        split: dict[int, list[str]] = {}
+        new: dict[str, None] = {}
+        for i, p in enumerate(pieces):
+            if not (p.isascii() and p.isprintable() or plain(p)) or "<" in p and any(s in p for s in self.special):
+                out[i] = np.array(self.library.encode(p, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+            elif p[1:].isalpha() and p[0] == " ":
+                words.append(i)
+            else:
+                split[i] = found = findall(p)
+                for t in found:
+                    if t not in tokens:
+                        new[t] = None
+        merged = self.merger.merge_bytes([pieces[i].encode() for i in words] + [t.encode() for t in new], self.dtype)
+        for i, ids in zip(words, merged):
+            out[i] = ids
+        tokens.update(zip(new, merged[len(words) :]))
+        for i, found in split.items():
+            out[i] = b"".join([tokens[t] for t in found])
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        pieces = [spaced_pieces(t) for t in texts]
+        heads = self.first.values([p[:1] for p in pieces])
+        rest = self.spaced.values([p[1:] for p in pieces])
+        return [b"".join(h + r) for h, r in zip(heads, rest)]
+
+
+def library_ids(tokenizer_file: str, dtype: str) -> LibraryIds:
+    """One encoder a worker."""
+    if (tokenizer_file, dtype) not in _ENCODERS:
+        _ENCODERS[tokenizer_file, dtype] = LibraryIds(tokenizer_file, dtype)
+    return _ENCODERS[tokenizer_file, dtype]
 
 
 def id_type(tokenizer_file: str, end_id: int) -> str:
@@ -129,21 +179,18 @@ class SequenceFile:
 def _write(folder: str, tokenizer_file: str, dtype: str, end_id: int, sequence: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        cache = library_ids(tokenizer_file, dtype)
+        encoder = library_ids(tokenizer_file, dtype)
         end = np.array([end_id], dtype=dtype).tobytes()
         width = len(end)
         uri, writer, at = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow", None, 0
         for batch in batches:
             ids, texts = batch.column("id"), [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in batches_by_size(texts):
-                pieces = [leading_space_pieces(t) for t in texts[a:b]]
-                cache.add(pieces)
+            for a, b in batches_by_size(texts, 1 << 21):
                 sizes = []
-                for p in pieces:
-                    encoded = b"".join(map(cache.__getitem__, p)) + end
+                for encoded in encoder.encode(texts[a:b]):
                     writer = writer or SequenceWriter(uri, dtype, sequence, rows)
-                    writer.add(encoded)
-                    sizes.append(len(encoded) // width)
+                    writer.add(encoded + end)
+                    sizes.append(len(encoded) // width + 1)
                 n = np.array(sizes, dtype=np.int64)
                 local = at + np.cumsum(n) - n
                 at += int(n.sum())
