@@ -29,6 +29,8 @@ from ledgerline.llm.storage import new_path, small_batches, written
 
 #: Frequent words that are compiled.
 LEXICON_WORDS = 1 << 16
+#: Pieces of one generation of a worker's cache, whose values here are four bytes an id.
+CACHED_PIECES = 300_000
 
 class WordBpe:
     """A word-level BPE vocabulary file: word splitting, merging and decoding."""
@@ -244,7 +246,7 @@ def _encode(tokenizer_file: str, lexicon_uri: str, with_text: bool):
             return [b"".join([value[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in ws]) for ws in split]
 
         key = ("pieces", lexicon_uri)
-        cache = _LOADED.setdefault(key, PieceCache(compute))
+        cache = _LOADED.setdefault(key, PieceCache(compute, CACHED_PIECES))
         cache.compute = compute
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
