@@ -30,7 +30,7 @@ from ledgerline.llm.storage import new_path, small_batches, written
 #: Frequent words that are compiled.
 LEXICON_WORDS = 1 << 16
 #: Pieces of one generation of a worker's cache, whose values here are four bytes an id.
-CACHED_PIECES = 300_000
+CACHED_PIECES = 150_000
 
 class WordBpe:
     """A word-level BPE vocabulary file: word splitting, merging and decoding."""
