@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ledgerline.llm import wordhash as wh
-from ledgerline.llm.storage import small_batches
+from ledgerline.llm.storage import small_batches, written
 
 #: Words of a window and between the starts of two.
 WINDOW, STRIDE = 24, 16
@@ -32,6 +32,8 @@ GRAMS = (3, 6)
 LEAST_DOCS, MOST_WORDS = 8, 1 << 13
 #: Labelled documents that training reads at most (of each label), and their words.
 SAMPLE_EACH, SAMPLE_WORDS = 1500, 800_000
+#: Texts of more than this part of their label's words are sampled last.
+LONG = 20
 EPOCHS, SEED = 6, 7
 #: Weight decay by parameter, 0.01 for the others; and the part of words whose characters a step leaves out.
 DECAY, LEFT_OUT = {"gram": 0.1, "word": 0.1}, 0.2
@@ -342,19 +344,38 @@ def _fit_document(x: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """Up to SAMPLE_EACH texts of each label, by the ids' hashes, SAMPLE_WORDS words in all."""
+    """Up to SAMPLE_EACH texts of each label, by the ids' hashes, SAMPLE_WORDS words in all.
+
+    Each label has half of the words, and what the other leaves of its half. A text that doesn't fit is passed over;
+    those of more than a LONG-th of the label's words come after the others. If no text of a
+    label fits, a run of words of its shortest stands for it.
+    """
     keyed = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("int").alias("label")).distinct()
     order = F.xxhash64(id_col)
     chosen = keyed.where("label = 1").orderBy(order, id_col).limit(SAMPLE_EACH).union(keyed.where("label = 0").orderBy(order, id_col).limit(SAMPLE_EACH))
+    text = F.col(text_col).cast("string")
+    size = F.greatest(F.lit(1), F.floor(F.length(F.coalesce(text, F.lit(""))) / 6)).cast("long")
     # 2 * SAMPLE_EACH rows of two numbers: small enough to send to every task.
-    rows = docs.join(F.broadcast(chosen), id_col).select(id_col, F.col(text_col).cast("string").alias("text"), "label").orderBy(order, id_col, "text")
-    texts, found, total = [], [], 0
-    for row in rows.toLocalIterator():
-        total += len(row["text"] or "") // 6
-        if texts and total > SAMPLE_WORDS:
-            break
-        texts.append(row["text"])
-        found.append(row["label"])
+    rows = written(docs.join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("id"), text.alias("text"), "label", size.alias("size")), "sample")
+    words = {r["label"]: r["words"] for r in rows.groupBy("label").agg(F.sum("size").alias("words")).collect()}
+    texts, found = [], []
+    for label in sorted(words):
+        share = max(SAMPLE_WORDS // 2, SAMPLE_WORDS - words.get(1 - label, 0))
+        of_label, left, any_fit = rows.where(F.col("label") == label), share, False
+        fitting = of_label.where(F.col("size") <= share).orderBy(F.col("size") > share // LONG, F.xxhash64("id"), "id", "text")
+        for row in fitting.toLocalIterator():
+            if row["size"] <= left:
+                left, any_fit = left - row["size"], True
+                texts.append(row["text"])
+                found.append(label)
+            if not left:
+                break
+        if not any_fit:
+            # A run at a place that its id tells, so that a long text isn't always known by its beginning.
+            at = F.pmod(F.xxhash64("id"), F.length("text") - 6 * share + 1) + 1
+            shortest = of_label.orderBy("size", F.xxhash64("id"), "id", "text").limit(1)
+            texts.append(shortest.select(F.col("text").substr(at.cast("int"), F.lit(6 * share))).first()[0])
+            found.append(label)
     return texts, found
 
 

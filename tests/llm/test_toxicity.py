@@ -89,6 +89,30 @@ def test_held_out_rows_and_sample(spark, docs, monkeypatch):
     assert len(tx.training_sample(docs([(i, t) for i, t, _ in rows]), labels)[0]) == 10
 
 
+def test_rare_label_keeps_its_share(spark, docs, monkeypatch):
+    # Joint hash order would spend the words on the clean texts of the lowest hashes.
+    monkeypatch.setattr(tx, "SAMPLE_EACH", 20)
+    monkeypatch.setattr(tx, "SAMPLE_WORDS", 400)
+    rows = [(i, "abcde " * 20, int(i % 100 == 0)) for i in range(2000)]
+    _, found = tx.training_sample(docs([(i, t) for i, t, _ in rows]), docs([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert found.count(0) == found.count(1) == 10
+    # What one label leaves goes to the other.
+    _, found = tx.training_sample(docs([(i, t) for i, t, _ in rows]), docs([(i, y) for i, _, y in rows if not y or i < 200], "doc_id long, toxic int"))
+    assert (found.count(0), found.count(1)) == (18, 2)
+
+
+def test_long_document_does_not_end_the_sample(spark, docs, monkeypatch):
+    monkeypatch.setattr(tx, "SAMPLE_WORDS", 1000)
+    rows = [(i, "abcde " * 10, i % 2) for i in range(20)]
+    labels = docs([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    for long in (3, 8):
+        texts, found = tx.training_sample(docs([(i, t * 100 if i == long else t) for i, t, _ in rows]), labels)
+        assert len(texts) == 19 and found.count(long % 2) == 9
+    # Where no text of a label fits, a part of one does.
+    texts, found = tx.training_sample(docs([(i, t * 100 if y else t) for i, t, y in rows]), labels)
+    assert found.count(1) == 1 and len(texts[found.index(1)]) == 6 * 900
+
+
 def test_no_labels(spark, docs):
     net = tx.learned(docs([(1, "a b")]), docs([], "doc_id long, toxic int"))
     assert tx.add_scores(docs([(1, "a b")]), net).first()["score"] < 0.01
