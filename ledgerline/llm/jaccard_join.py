@@ -36,8 +36,9 @@ RARE = 2
 SUBCLASSES = ((48, 4), (100, 8), (200, 16), (400, 32), (800, 64), (1600, 128), (3200, 256), (6400, 512))
 #: Slots (2**bits) of the filter that keeps texts without candidates out of the last shuffle.
 BITMAP_BITS = 23
-#: Shingles that one block of a group holds, about.
-BLOCK_TOKENS = 1 << 17
+#: Shingles and sets that one block of a group holds, about; and rows of a block's product held at a time.
+BLOCK_TOKENS, BLOCK_SETS = 1 << 17, 1000
+STRIP = 1024
 
 
 def least_overlap(size: int, percent: int) -> int:
@@ -283,20 +284,26 @@ def _sets(k: int):
     return run, "rep long, cluster long, i int, blocks int, tokens binary"
 
 
-def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """All index pairs of a block that link, found by counting shared tokens column by column."""
+def linked_rows(sets: list[np.ndarray], percent: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Strips (some of ``left``, which of ``right`` each of them links to), found by counting shared tokens column by column.
+
+    left and right are indices of ``sets``; a set doesn't link to itself. Only a strip of the product is held at a time.
+    """
     n = len(sets)
     size = np.array([len(s) for s in sets], dtype=np.int64)
     if n <= 6:
-        out = []
-        for i in range(n):
-            for j in range(i):
-                if 100 * min(size[i], size[j]) < percent * max(size[i], size[j]):
+        hit = np.zeros((len(left), len(right)), dtype=bool)
+        for a, i in enumerate(left):
+            for b, j in enumerate(right):
+                if i == j or 100 * min(size[i], size[j]) < percent * max(size[i], size[j]):
+                    continue
+                if left is right and j < i:
+                    hit[a, b] = hit[b, a]
                     continue
                 shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * shared >= percent * (size[i] + size[j] - shared):
-                    out.append((j, i))
-        return out
+                hit[a, b] = 100 * shared >= percent * (size[i] + size[j] - shared)
+        yield left, hit
+        return
     tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(n), size)
     order = np.argsort(tokens, kind="stable")
@@ -308,37 +315,36 @@ def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     keep = width[column] > 1
     column, owner = column[keep], owner[keep]
     _, column = np.unique(column, return_inverse=True)
-    shared = np.zeros((n, n), dtype=np.float32)
-    step = max(1, (8 << 20) // n)
     top = int(column[-1]) + 1 if len(column) else 0
-    for lo in range(0, top, step):
-        a, b = np.searchsorted(column, [lo, lo + step])
-        part = np.zeros((n, min(step, top - lo)), dtype=np.float32)
-        part[owner[a:b], column[a:b] - lo] = 1
-        shared += part @ part.T
-    both = np.round(shared).astype(np.int64)
-    hit = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-    i, j = np.nonzero(np.triu(hit, 1))
-    return list(zip(i.tolist(), j.tolist()))
-
-
-def _forest(n: int, pairs: list[tuple[int, int]], rep: list[int]) -> list[tuple[int, int]]:
-    """Each linked set with the smallest representative it reaches inside the block."""
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i, j in pairs:
-        a, b = find(i), find(j)
-        if a != b:
-            if rep[a] > rep[b]:
-                a, b = b, a
-            parent[b] = a
-    return [(rep[find(x)], rep[x]) for x in range(n) if find(x) != x]
+    step = max(1, (4 << 20) // n)
+    for first in range(0, len(left), STRIP):
+        these = left[first : first + STRIP]
+        shared = np.zeros((len(these), len(right)), dtype=np.float32)
+        for lo in range(0, top, step):
+            a, b = np.searchsorted(column, [lo, lo + step])
+            part = np.zeros((n, min(step, top - lo)), dtype=np.float32)
+            part[owner[a:b], column[a:b] - lo] = 1
+            shared += part[these] @ part[right].T
+        both = np.round(shared).astype(np.int64)
+        hit = 100 * both >= percent * (size[these][:, None] + size[right][None, :] - both)
+        hit &= these[:, None] != right[None, :]
+        yield these, hit
+
+
+def degrees_and_roots(sets: list[np.ndarray], percent: int, rep: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set, its links between ``left`` and ``right`` and the smallest representative it reaches by them."""
+    degree, root = np.zeros(len(sets), dtype=np.int64), np.array(rep, dtype=np.int64)
+    same = left is right
+    for these, hit in linked_rows(sets, percent, left, right):
+        degree[these] += hit.sum(axis=1)
+        if not same:
+            degree[right] += hit.sum(axis=0)
+        for x, row in zip(these, hit):
+            reached = np.append(root[right[row]], root[x])
+            low = reached.min()
+            if (reached != low).any():
+                root[np.isin(root, reached)] = low
+    return degree, root
 
 
 def _verify(percent: int):
@@ -349,13 +355,12 @@ def _verify(percent: int):
         u, v = rows[0][1], rows[0][2]
         rows = list({r[3:]: r for r in rows}.values())
         sets = [np.frombuffer(r[5], dtype=np.uint64) for r in rows]
-        rep, block = [r[3] for r in rows], [r[4] for r in rows]
-        pairs = links_within(sets, percent)
+        rep, block = np.array([r[3] for r in rows], dtype=np.int64), np.array([r[4] for r in rows])
         # A pair inside one block belongs to that block's own unit.
-        if u != v:
-            pairs = [(i, j) for i, j in pairs if block[i] != block[j]]
-        degree = np.bincount(np.array(pairs, dtype=np.int64).reshape(-1), minlength=len(rows))
-        return _forest(len(rows), pairs, rep), [(rep[x], int(degree[x])) for x in np.flatnonzero(degree)]
+        left = np.flatnonzero(block == u)
+        right = left if u == v else np.flatnonzero(block == v)
+        degree, root = degrees_and_roots(sets, percent, rep, left, right)
+        return [(int(root[x]), int(rep[x])) for x in np.flatnonzero(root != rep)], [(int(rep[x]), int(degree[x])) for x in np.flatnonzero(degree)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -415,13 +420,14 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = written(classes, "classes")
     members = classes.join(groups, classes.h1 == groups.node).select("rep", F.col("component").alias("cluster"), "n", "h1", "h2")
     totals = members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count("*").alias("m")).where("m > 1")
+    n_blocks = F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("m") / BLOCK_SETS))
     blocks = written(members.join(totals, "cluster").select(
         "rep",
         "cluster",
         "h1",
         "h2",
-        F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"),
-        F.pmod(F.xxhash64("h1", "h2"), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("i"),
+        n_blocks.cast("int").alias("blocks"),
+        F.pmod(F.xxhash64("h1", "h2"), n_blocks).cast("int").alias("i"),
     ), "blocks")
     run, schema = _sets(k)
     near = _rows_of(rows, blocks)

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerline.llm import jaccard_join as jj
@@ -53,6 +55,45 @@ def test_large_groups_split_into_blocks(spark, docs, monkeypatch):
     assert answer(shingle_components(docs(rows))) == expect(rows)
 
 
+def short_copies(n):
+    """Sets of 13 tokens of which any two differ in one."""
+    return [np.sort(np.append(np.arange(12, dtype=np.uint64), np.uint64(1000 + i))) for i in range(n)]
+
+
+def test_many_short_copies_need_no_list_of_pairs():
+    n = 2500
+    rows = {"cluster": [7] * n, "u": [0] * n, "v": [0] * n, "rep": list(range(n, 0, -1)), "i": [0] * n, "tokens": [s.tobytes() for s in short_copies(n)]}
+    batch = pa.record_batch([pa.array(x) for x in rows.values()], names=list(rows))
+    tracemalloc.start()
+    out = [r for b in jj._verify(85)[0](iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(r["a"], r["b"]) for r in out if not r["n_links"]} == {(1, x) for x in range(2, n + 1)}
+    assert sorted(r["a"] for r in out if r["n_links"] == n - 1) == list(range(1, n + 1))
+    assert peak < 150 << 20
+
+
+def test_links_between_two_blocks_only():
+    n = 30
+    sets = short_copies(n)
+    rows = {"cluster": [7] * n, "u": [0] * n, "v": [1] * n, "rep": list(range(1, n + 1)), "i": [int(x >= 20) for x in range(n)], "tokens": [s.tobytes() for s in sets]}
+    batch = pa.record_batch([pa.array(x) for x in rows.values()], names=list(rows))
+    out = [r for b in jj._verify(85)[0](iter([batch])) for r in b.to_pylist()]
+    assert {(r["a"], r["b"]) for r in out if not r["n_links"]} == {(1, x) for x in range(2, n + 1)}
+    assert {r["a"]: r["n_links"] for r in out if r["n_links"]} == {x: 10 if x <= 20 else 20 for x in range(1, n + 1)}
+
+
+def test_blocks_are_bounded_in_sets(spark, docs, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK_SETS", 10)
+    counts = []
+    monkeypatch.setattr(jj, "written", lambda df, name, f=jj.written: (counts.append(df.agg({"blocks": "max"}).first()[0]) if name == "blocks" else None, f(df, name))[1])
+    notice = " ".join(f"word{i}" for i in range(15))
+    rows = [(i, f"{notice} {i}") for i in range(60)] + [(100, "other words that are not near")]
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in shingle_components(docs(rows)).collect()}
+    assert counts == [6]
+    assert got == {i: (0, 59) for i in range(60)} | {100: (100, 0)}
+
+
 def test_edge_rows(spark, docs):
     rows = [(1, None), (2, ""), (3, " \t "), (4, "A b"), (5, "a B"), (6, "x y z w v u t"), (7, "x y z w v u t"), (7, "x y z w v u t"), (None, "a b"), (None, None), (8, "q " * 30000), (9, "q " * 20000)]
     out = shingle_components(docs([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, component_id string, n long"))
