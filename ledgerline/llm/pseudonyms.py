@@ -82,7 +82,7 @@ def luhn_digit(body: str) -> str:
 #: What looks like a value; each alternative is validated afterwards. No digit, letter or joined number stands beside one.
 _VALUES = re.compile(
     r"(?<![\w.+-])(?:"
-    r"(?P<iban>[A-Z]{2}\d{2}(?: ?\d{4}){2,7}(?: ?\d{1,3})?)"
+    r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
     r"|(?P<ymd>\d{4}-\d{2}-\d{2})"
     r"|(?P<dmy>\d{2}(?P<sep>[./])\d{2}(?P=sep)\d{4})"
     r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})"
@@ -92,6 +92,13 @@ _VALUES = re.compile(
     r")(?![\w]|[.-]\d)",
     re.ASCII,
 )
+#: Groups of digits that go on from a number's beginning, however many they are.
+_GROUPS = re.compile(r"\d+(?:[ -]\d+)*", re.ASCII)
+_DIGITS, _JOINED = re.compile(r"\d+", re.ASCII), re.compile(r"\w|\.\d", re.ASCII)
+#: Digits of a card or another number.
+LEAST_DIGITS, MOST_DIGITS = 13, 19
+#: Digits of the groups in which cards are written, besides one group.
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
 KINDS = ("iban", "date", "ip", "phone", "ssn", "card", "number")
 
 
@@ -128,14 +135,6 @@ def _pseudonym(p: Permutation, m: re.Match) -> tuple[str, str] | None:
             return None
         new = p.apply("ip", int.from_bytes(bytes(parts), "big"), 1 << 32)
         return "ip", ".".join(map(str, new.to_bytes(4, "big")))
-    if kind == "iban":
-        country, body = found[:2], digits[2:]
-        check = int(body + "".join(str(ord(c) - 55) for c in country) + digits[:2])
-        if check % 97 != 1:
-            return None
-        new = str(p.apply("iban" + country, int(body), 10 ** len(body))).zfill(len(body))
-        check = 98 - int(new + "".join(str(ord(c) - 55) for c in country) + "00") % 97
-        return "iban", country + _fill(found[2:], f"{check:02}" + new)
     if kind == "phone":
         prefix = m.group("country")
         body = re.sub(r"\D", "", found[len(prefix) :])
@@ -146,35 +145,115 @@ def _pseudonym(p: Permutation, m: re.Match) -> tuple[str, str] | None:
     if kind == "ssn":
         new = str(p.apply("ssn", int(digits), 10**9)).zfill(9)
         return "ssn", _fill(found, new)
-    body = digits[:-1]
-    if luhn_digit(body) == digits[-1]:
-        new = str(p.apply("card", int(body), 10 ** len(body))).zfill(len(body))
-        return "card", _fill(found, new + luhn_digit(new))
-    # Not a card: its digits are permuted as a plain number of that length.
-    new = str(p.apply("number", int(digits), 10 ** len(digits))).zfill(len(digits))
-    return "number", _fill(found, new)
+    raise ValueError(kind)
+
+
+def _iban(p: Permutation, found: str) -> str | None:
+    """The pseudonym of an IBAN: digits become digits and letters letters, and the check digits fit them."""
+    country, digits, body = found[:2], found[2:4], re.sub(" ", "", found[4:])
+    if _mod97(body + country + digits) != 1:
+        return None
+    value, size = 0, 1
+    for c in body:
+        base = 10 if c.isdigit() else 26
+        value, size = value * base + (int(c) if base == 10 else ord(c) - 65), size * base
+    value, new = p.apply("iban" + country, value, size), []
+    for c in reversed(body):
+        value, at = divmod(value, 10 if c.isdigit() else 26)
+        new.append(str(at) if c.isdigit() else chr(65 + at))
+    check = 98 - _mod97("".join(reversed(new)) + country + "00")
+    it = iter(reversed(new))
+    return f"{country}{check:02}" + "".join(c if c == " " else next(it) for c in found[4:])
+
+
+def _mod97(text: str) -> int:
+    """Of digits and letters, A as 10 to Z as 35."""
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def _ibans(p: Permutation, m: re.Match) -> list[tuple[int, int, str, str]]:
+    """The longest valid IBAN of a match that ends where the match or one of its groups ends, as (start, end, kind, pseudonym)."""
+    found = m.group()
+    for end in [len(found), *(i for i in range(len(found) - 1, 0, -1) if found[i] == " ")]:
+        new = _iban(p, found[:end]) if end >= 12 else None
+        if new:
+            return [(m.start(), m.start() + end, "iban", new)]
+    return []
+
+
+def _card(p: Permutation, found: str) -> str | None:
+    digits = re.sub(r"\D", "", found)
+    if not LEAST_DIGITS <= len(digits) <= MOST_DIGITS or luhn_digit(digits[:-1]) != digits[-1]:
+        return None
+    new = str(p.apply("card", int(digits[:-1]), 10 ** (len(digits) - 1))).zfill(len(digits) - 1)
+    return _fill(found, new + luhn_digit(new))
+
+
+def _plain(p: Permutation, found: str) -> str:
+    """Not a card: its digits are permuted as a plain number of that length."""
+    digits = re.sub(r"\D", "", found)
+    return _fill(found, str(p.apply("number", int(digits), 10 ** len(digits))).zfill(len(digits)))
+
+
+def _numbers(p: Permutation, text: str, m: re.Match) -> list[tuple[int, int, str, str]]:
+    """The card in a match, or else the number, as (start, end, kind, pseudonym); a number before the card too.
+
+    A run of groups as cards are written counts first (one group, or CARD_GROUPS), as a longer run passes by chance once in
+    ten; then the whole match, then the first run of groups that is one, the longest of those from one start.
+    Without a card, a group that is long enough by itself is the number, and else the whole match.
+    """
+    first, last = m.span()
+    run = _GROUPS.match(text, first)
+    groups = [(first + g.start(), first + g.end()) for g in _DIGITS.finditer(text[first : min(run.end(), last + 2 * MOST_DIGITS)])]
+    # The groups' run may end in one that joins a word or a decimal; that one is no part of a value.
+    ends = [k for k, (_, b) in enumerate(groups) if not _JOINED.match(text, b)]
+    starts = [k for k, (a, _) in enumerate(groups) if a < last and (k == 0 or text[a - 1] == " ")]
+    runs = [(i, k) for i in starts for k in reversed(ends) if i <= k and groups[k][1] <= groups[i][0] + 2 * MOST_DIGITS]
+    usual = [(i, k) for i, k in runs if i == k or tuple(b - a for a, b in groups[i : k + 1]) in CARD_GROUPS]
+    whole = [(i, k) for i, k in runs if (groups[i][0], groups[k][1]) == (first, last)]
+    for i, k in usual + whole + runs:
+        a, b = groups[i][0], groups[k][1]
+        new = _card(p, text[a:b])
+        if new:
+            before = text[first:a].rstrip()
+            out = [(a, b, "card", new)]
+            if sum(c.isdigit() for c in before) >= LEAST_DIGITS:
+                out.insert(0, (first, first + len(before), "number", _plain(p, before)))
+            return out
+    for a, b in groups:
+        if b <= last and b - a >= LEAST_DIGITS and (a == first or text[a - 1] == " "):
+            return [(a, b, "number", _plain(p, text[a:b]))]
+    return [(first, last, "number", _plain(p, m.group()))]
 
 
 def replaced(p: Permutation, text: str) -> tuple[str, dict[str, int]]:
     """A text with all its valid values replaced, and how many of each kind there were."""
     counts = dict.fromkeys(KINDS, 0)
-
-    def swap(m: re.Match) -> str:
-        got = _pseudonym(p, m)
-        if got is None:
-            return m.group()
-        counts[got[0]] += 1
-        return got[1]
-
-    return _VALUES.sub(swap, text), counts
+    out, done, at = [], 0, 0
+    while m := _VALUES.search(text, at):
+        if m.lastgroup == "iban":
+            got = _ibans(p, m)
+        elif m.lastgroup == "number":
+            got = _numbers(p, text, m)
+        else:
+            one = _pseudonym(p, m)
+            got = [(*m.span(), *one)] if one else []
+        for start, end, kind, new in got:
+            out += [text[done:start], new]
+            done = end
+            counts[kind] += 1
+        # What isn't an IBAN may hold another value after its first group; other values that aren't valid hold none.
+        at = done if got else m.start() + 4 if m.lastgroup == "iban" else m.end()
+    return "".join([*out, text[done:]]), counts
 
 
 def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """``docs`` with the values in ``text_col`` replaced, and n_<kind> counts of them.
 
-    Kinds: iban (mod 97), date (a day of FIRST_YEAR..LAST_YEAR, as yyyy-mm-dd, dd/mm/yyyy or dd.mm.yyyy), ip (four
+    Kinds: iban (mod 97; digits and letters), date (a day of FIRST_YEAR..LAST_YEAR, as yyyy-mm-dd, dd/mm/yyyy or dd.mm.yyyy), ip (four
     octets), phone (with country code), ssn (3-2-4 digits), card (13 to 19 digits that pass the
-    Luhn check, as their pseudonyms do) and number (13 to 19 other digits). What looks like a
+    Luhn check, as their pseudonyms do; of a longer run of groups, the part that passes) and number
+    (13 to 19 other digits, also in what looks like an IBAN but isn't). What looks like another
     value but isn't valid stays. A null text stays null with no values. Rows may repeat; other
     columns pass through; n_<kind> replace columns of those names.
     """

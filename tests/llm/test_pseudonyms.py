@@ -52,3 +52,35 @@ def test_table(spark, docs):
     assert {(r["doc_id"], r["n_ip"]) for r in out} == {(1, 1), (2, 0), (None, 0), (3, 20000)}
     assert [r["text"] for r in out if r["doc_id"] == 2] == [None]
     assert pseudonymize(docs([]), b"k").collect() == []
+
+
+def test_card_beside_other_numbers():
+    card = "4111111111111111"
+    new = replaced(P, card)[0]
+    for text in ("{} 12/25", "{} 123 Main St", "pay {} 42, then", "No 12 {} ok", "{} 2023-02-30", "{}-12", "2024 {} 7"):
+        out, n = replaced(P, text.format(card))
+        assert (out, n["card"], n["number"]) == (text.format(new), 1, 0), text
+    spaced, grouped = "4111 1111 1111 1111", " ".join(new[i : i + 4] for i in range(0, 16, 4))
+    for text in ("{} 123 Main", "2024 {}", "5 {} 12/25"):
+        assert replaced(P, text.format(spaced))[0] == text.format(grouped), text
+    # Values after the card are still found, and a plain number keeps its link beside another.
+    out, n = replaced(P, f"{card} 12 {card} 10.0.0.1")
+    assert (out.split()[:3], n["card"], n["ip"]) == ([new, "12", new], 2, 1)
+    plain = "1234567890123456"
+    assert replaced(P, f"{plain} 12/25")[0] == f"{replaced(P, plain)[0]} 12/25"
+
+
+def test_ibans_with_letters():
+    ibans = ["GB82 WEST 1234 5698 7654 32", "NL91 ABNA 0417 1643 00", "FR14 2004 1010 0505 0001 3M02 606", "IT60 X054 2811 1010 0000 0123 456", "DE89 3704 0044 0532 0130 00"]
+    for spaced in ibans:
+        joined = spaced.replace(" ", "")
+        a, n = replaced(P, f"to {joined}, now")
+        new = a[3:-5]
+        assert n["iban"] == 1 and sum(n.values()) == 1 and new != joined and new[:2] == joined[:2]
+        assert [c.isdigit() for c in new] == [c.isdigit() for c in joined]
+        assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+        for text in ("{}", "{} PAID NOW", "{} 2024"):
+            out, n = replaced(P, text.format(spaced))
+            assert n["iban"] == 1 and out[: len(spaced)].replace(" ", "") == new and out[len(spaced) :] == text[2:], text
+    # What looks like an IBAN hides no value that follows.
+    assert replaced(P, "ID12 ABCD 4111 1111 1111 1111")[1]["card"] == 1
