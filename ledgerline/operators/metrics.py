@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.ordered import prefix_sums
 from ledgerline.functions.scalar import classify_delta, pct_delta
 
 
@@ -104,3 +105,18 @@ def compare_pair(before: DataFrame, after: DataFrame, metrics: dict[str, bool],
 def pair_verdict(compared: DataFrame) -> DataFrame:
     worse, better = F.bool_or(F.col("verdict") == "REGRESSION"), F.bool_or(F.col("verdict") == "IMPROVEMENT")
     return compared.agg(F.when(worse, "REVIEW_REQUIRED").when(better, "IMPROVEMENT").otherwise("NEUTRAL").alias("verdict"))
+
+
+def rounded_percentiles(df: DataFrame, by: str, value: str, p: float, to: str) -> DataFrame:
+    """Value at round((n - 1) * p), half to even, of each group's n values that aren't null.
+
+    Rows are counted by value and the counts summed up over all groups, so no task holds a group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    upto = prefix_sums(counts, ["g", "v"], upto=F.col("n"))
+    groups = upto.groupBy("g").agg(F.sum("n").alias("total"), F.max("upto").alias("end"))
+    # The group's rows end at ``end``; the one wanted lies so many rows after the group's first.
+    at = F.col("end") - F.col("total") + F.bround((F.col("total") - 1) * F.lit(p)).cast("bigint") + 1
+    wanted = groups.select(F.col("g").alias("of"), at.alias("at"))
+    found = upto.join(wanted, F.col("g").eqNullSafe(F.col("of")) & (F.col("at") > F.col("upto") - F.col("n")) & (F.col("at") <= F.col("upto")))
+    return found.select(F.col("g").alias(by), F.col("v").alias(to))

@@ -635,7 +635,7 @@ def latency_percentiles(spark, sf):
 
 @query("SELECT user_id, list_sort(list(value))[CAST(round_even((count(*) - 1) * 0.95, 0) AS INT) + 1] AS p95 FROM events GROUP BY 1")
 def rounded_percentiles(spark, sf):
-    return fx.table(spark, sf, "events").groupBy("user_id").agg(S.rounded_percentile(F.collect_list("value"), 0.95).alias("p95"))
+    return metrics.rounded_percentiles(fx.table(spark, sf, "events"), "user_id", "value", 0.95, "p95")
 
 
 _RUNS = "runs AS (SELECT user_id AS sweep, CAST(date_part('doy', ts) AS INT) * 24 + CAST(date_part('hour', ts) AS INT) AS run, count(*) AS records_per_second FROM events GROUP BY 1, 2)"

@@ -249,3 +249,18 @@ def test_run_job_stops_at_the_canary(spark):
     out = run_job(Settle(), items, Request(max_records=1000, canary=3))
     assert (out["plan"].count(), out["outcomes"].count(), out["waiting"].count()) == (200, 3, 197)
     assert run_job(Settle(), items, Request(max_records=1000, canary=3, promoted=True))["outcomes"].where("state = 'DONE'").count() == 200
+
+
+def test_rounded_percentiles_hold_no_group(spark):
+    values = [("a", float(x % 7)) for x in range(50)] + [("b", 3.0), ("c", None), (None, 2.0), (None, 1.0)]
+    df = spark.createDataFrame(values, "k string, x double")
+    out = metrics.rounded_percentiles(df, "k", "x", 0.95, "p")
+    want = {}
+    for k in ("a", "b", None):
+        v = sorted(x for g, x in values if g == k and x is not None)
+        want[k] = v[round((len(v) - 1) * 0.95)]
+    assert {r["k"]: r["p"] for r in out.collect()} == want
+    from ledgerline.queries import QUERIES
+
+    plan = QUERIES["rounded_percentiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
