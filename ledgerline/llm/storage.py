@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a local folder is
-    made and set as the checkpoint folder.
+    Where the session names none, a local master (tests on one machine) gets a local
+    folder, which is set as its checkpoint folder; on a cluster it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -31,11 +34,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Let Arrow batches of texts hold fewer rows than Spark's default, so long texts fit a worker's memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 1024, size: int = 16 << 20) -> None:
+    """Bound the Arrow batches that tasks get, in rows and bytes, so that a batch of long texts fits a worker's memory.
+
+    Spark reads these two settings of the session when a query runs, so they stay; a tighter one is kept as it is.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < _plain(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
+
+
+def _plain(setting: str) -> int:
+    """A size that may end in a unit, as a number."""
+    digits = setting.strip().lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(digits[-1:], 0)
+    return int(digits.rstrip("kmg")) << unit

@@ -32,24 +32,27 @@ SPACED = byte_class([0x20, *range(0x09, 0x0E)])
 #: Words of benchmark matching, after lower-casing: digits, a-z and all beyond ASCII.
 ALNUM = byte_class([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
+#: Bytes whose words are hashed at a time, so memory doesn't grow with a text.
+SPAN = 1 << 20
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _power_table(name: str, base: int, n: int) -> np.ndarray:
-    """base**i modulo 2**64 for i < n, grown by doubling and kept."""
+def _powers(name: str, base: int, n: int) -> np.ndarray:
+    """base**i modulo 2**64 for i < n, grown by doubling; kept up to SPAN."""
     have = _POWERS.get(name)
     if have is None or len(have) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
-        out = np.empty(size, dtype=np.uint64)
-        out[0] = 1
+        have = np.empty(size, dtype=np.uint64)
+        have[0] = 1
         filled = 1
         while filled < size:
             step = np.uint64(pow(base, filled, 1 << 64))
             take = min(filled, size - filled)
-            out[filled : filled + take] = out[:take] * step
+            have[filled : filled + take] = have[:take] * step
             filled += take
-        _POWERS[name] = have = out
-    return have
+        if size <= SPAN:
+            _POWERS[name] = have
+    return have[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -80,14 +83,19 @@ class Words:
         self.first = np.searchsorted(self.starts, self.offsets)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        n = len(self.data)
-        if not len(self.starts):
-            return np.zeros(0, dtype=np.uint64)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(BYTE_VALUES[self.data] * _power_table("up", MULTIPLIER, n)[:n], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * _power_table("down", _INVERSE, n)[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64))
+        """A 64-bit hash of each word; it doesn't depend on where the word stands."""
+        out = np.zeros(len(self.starts), dtype=np.uint64)
+        a = 0
+        while a < len(out):
+            b = max(a + 1, int(np.searchsorted(self.ends, self.starts[a] + SPAN, "right")))
+            low, n = self.starts[a], int(self.ends[b - 1] - self.starts[a])
+            total = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(BYTE_VALUES[self.data[low : low + n]] * _powers("up", MULTIPLIER, n), out=total[1:])
+            start, end = self.starts[a:b] - low, self.ends[a:b] - low
+            h = (total[end] - total[start]) * _powers("down", _INVERSE, n)[start]
+            out[a:b] = mix(h + (end - start).astype(np.uint64))
+            a = b
+        return out
 
 
 def chain(hashes: np.ndarray, k: int) -> np.ndarray:
