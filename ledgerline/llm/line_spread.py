@@ -3,40 +3,47 @@
 DataFrame functions only. Lines meet by a 64-bit hash of the stripped text. Each task makes
 one sketch of sites for each of its lines and sketches merge by aggregation, so a hot line or
 site costs a row per task. Lines whose estimate is near the threshold get an exact
-distinct count before they are judged.
+distinct count before they are judged. Boilerplate lines of a checked number are listed in the plan,
+and documents are cleaned where they lie; more of them meet the documents by a join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.storage import written
+from ledgerline.llm.storage import discard, written
 
 #: Sketch size (log2 of registers) and the relative band around the threshold that is counted exactly.
 LG_K = 12
 BAND = 0.1
+#: Boilerplate lines that may be listed in the plan; more are joined.
+LISTED = 4096
 
-
-_WHITE = "\t\n\x0b\x0c\r "
+_SPACE, _OTHER_WHITE = " ", "\t\n\x0b\x0c\r"
 
 
-def stripped_line(line):
-    """A line without white space (\\x09-\\x0D, space) at its ends."""
-    return F.btrim(line, F.lit(_WHITE))
+def stripped_line(line: Column) -> Column:
+    """A line without white space (\\x09-\\x0D, space) at its ends; the general trim runs only where it isn't all spaces."""
+    bare = F.trim(line)
+    other = reduce(lambda a, b: a | b, [bare.startswith(c) | bare.endswith(c) for c in _OTHER_WHITE])
+    return F.when(other, F.btrim(line, F.lit(_SPACE + _OTHER_WHITE))).otherwise(bare)
 
 
-def n_words(body):
-    """Runs of other characters in a stripped line; a pattern runs only over lines with runs of white space."""
-    even = F.translate(body, _WHITE, " " * len(_WHITE))
-    single = F.length(body) - F.length(F.replace(even, F.lit(" "), F.lit(""))) + 1
-    return F.when(F.length(body) == 0, 0).when(F.instr(even, "  ") == 0, single).otherwise(F.size(F.split(even, " +")))
+def has_words(line: Column, least_words: int) -> Column:
+    """True for a line of that many runs of other characters; short lines are told by their length, others by their beginning."""
+    if least_words < 1:
+        return F.lit(True)
+    white = r"\x09-\x0D "
+    pattern = rf"^[{white}]*+[^{white}]++(?:[{white}]++[^{white}]++){{{least_words - 1}}}"
+    return (F.octet_length(line) >= 2 * least_words - 1) & line.rlike(pattern)
 
 
-def line_key(line, least_words: int):
-    """Hash of a stripped line; null for one of fewer words, which is never boilerplate."""
-    body = stripped_line(line)
-    return F.when(n_words(body) >= least_words, F.xxhash64(body))
+def line_key(line: Column) -> Column:
+    """Hash of a stripped line."""
+    return F.xxhash64(stripped_line(line))
 
 
 def line_sites(lines: DataFrame, least_sites: int, lg_k: int = LG_K, band: float = BAND) -> DataFrame:
@@ -72,27 +79,45 @@ def remove_boilerplate(
     and n_removed replace columns of those names.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    row_key = F.xxhash64(F.col(id_col), F.col(text_col))
-    pieces = docs.where(F.col(text_col).isNotNull()).select(
-        row_key.alias("row"), F.col(id_col).alias("id"), F.xxhash64(site_col).alias("hash"), F.col(site_col).isNotNull().alias("known"), F.explode(F.split(text_col, "\n", -1)).alias("line")
-    )
-    lines = pieces.select("row", "id", F.when(F.col("known"), F.col("hash")).alias("site"), line_key(F.col("line"), least_words).alias("key")).where("key is not null")
-    lines = written(lines, "lines")
-    spread = written(line_sites(lines, least_sites), "boilerplate")
-    gone = (
-        lines.join(spread, "key")
-        .where(~F.col("id").eqNullSafe(F.col("first_id")))
-        .groupBy("row")
-        .agg(F.collect_set("key").alias("keys"))
-    )
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("d"), row_key.alias("row")).join(gone, "row", "left")
-    all_lines = F.split(F.col("d")[text_col], "\n", -1)
-    kept = F.filter(all_lines, lambda x: ~F.coalesce(F.array_contains("keys", line_key(x, least_words)), F.lit(False)))
-    out = rows.select("d", F.when(F.col("keys").isNull(), all_lines).otherwise(kept).alias("kept"), F.coalesce(F.size(all_lines), F.lit(0)).alias("n"))
-    n_lines = F.when(F.col("d")[text_col].isNull(), 0).otherwise(F.col("n"))
-    n_kept = F.when(F.col("d")[text_col].isNull(), 0).otherwise(F.size("kept"))
-    return out.select(
-        *[F.array_join("kept", "\n").alias(c) if c == text_col else F.col("d")[c].alias(c) for c in names],
-        n_lines.cast("long").alias("n_lines"),
-        (n_lines - n_kept).cast("long").alias("n_removed"),
+    seen = _lines(docs, id_col, text_col, least_words, F.when(F.col(site_col).isNotNull(), F.xxhash64(site_col)).alias("site"))
+    seen = written(seen, "lines")
+    spread = written(line_sites(seen, least_sites), "boilerplate")
+    discard(seen)
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("d"), F.split(text_col, "\n", -1).alias("lines"))
+    if spread.count() <= LISTED:
+        # Their number is checked. A line's pair with the id it stays with is told by one more hash.
+        listed = spread.select("key", F.xxhash64("key", "first_id").alias("stays")).collect()
+        gone = _listed(F.col("d")[id_col], [r["key"] for r in listed], [r["stays"] for r in listed], least_words)
+    else:
+        row_key = F.xxhash64(F.col(id_col), F.col(text_col)).alias("row")
+        lost = _lines(docs, id_col, text_col, least_words, row_key).join(spread, "key").where(~F.col("id").eqNullSafe(F.col("first_id")))
+        lost = lost.groupBy("row").agg(F.collect_set("key").alias("keys"))
+        rows = rows.withColumn("row", F.xxhash64(F.col("d")[id_col], F.col("d")[text_col])).join(lost, "row", "left").drop("row")
+        gone = lambda x: F.coalesce(F.array_contains("keys", line_key(x)), F.lit(False)) & has_words(x, least_words)
+    kept = rows.withColumn("kept", F.filter("lines", lambda x: ~gone(x)))
+    n_lines = F.coalesce(F.size("lines"), F.lit(0))
+    changed = F.size("kept") < F.size("lines")
+    text = F.when(changed, F.array_join("kept", "\n")).otherwise(F.col("d")[text_col])
+    return kept.select(
+        *[text.alias(c) if c == text_col else F.col("d")[c].alias(c) for c in names],
+        F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"),
+        F.when(changed, n_lines - F.size("kept")).otherwise(0).cast("long").alias("n_removed"),
     )
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, least_words: int, *more: Column) -> DataFrame:
+    """(id, ..., key) of every line that may be boilerplate."""
+    lines = docs.select(F.col(id_col).alias("id"), *more, F.explode(F.split(text_col, "\n", -1)).alias("line"))
+    return lines.where(has_words(F.col("line"), least_words)).select("id", *[c for c in lines.columns if c not in ("id", "line")], line_key(F.col("line")).alias("key"))
+
+
+def _listed(own_id: Column, keys: list[int], stays: list[int], least_words: int):
+    """Whether a line goes from the row with ``own_id``, as a function of the line."""
+
+    def gone(x: Column) -> Column:
+        if not keys:
+            return F.lit(False)
+        key = line_key(x)
+        return (F.octet_length(x) >= 2 * least_words - 1) & key.isin(keys) & ~F.xxhash64(key, own_id).isin(stays)
+
+    return gone
