@@ -6,173 +6,264 @@ ends j symbols before the end of some pattern's first m symbols allows a shift o
 other block of m - 1. Where the shift is 0, the block's bucket of patterns is compared
 by a hash of its whole suffix, and then word by word as bytes. All cursors of a
 batch move together as a numpy array, each over its own stretch of a text.
+
+The benchmark is compiled once, in blocks of a bounded size and one task each, into files of flat
+arrays in the shared folder; tasks map them into memory and search one after another in one pass over a batch.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ledgerline.llm import wordhash as wh
-from ledgerline.llm.storage import small_batches
+from ledgerline.llm.shared_files import packed, unpacked, write_bytes
+from ledgerline.llm.storage import discard, new_path, small_batches, written
+from ledgerline.llm.workers import frugal, kept
 
-#: Entries of a shift table and the symbols that one cursor covers.
-TABLE_BITS = 20
+#: Least and largest size of a shift table (powers of two), and the symbols that one cursor covers.
+LEAST_TABLE_BITS, MOST_TABLE_BITS = 12, 22
 STRETCH = 192
-#: Bytes of benchmark text that one search carries to the executors; more goes in further blocks.
-BLOCK_BYTES = 32 << 20
-
-
-@dataclass
-class Group:
-    """All patterns of one length, with shift and hash tables."""
-
-    length: int
-    shift: np.ndarray
-    keys: np.ndarray  # sorted hashes of whole patterns
-    texts: dict[int, dict[bytes, list[int]]] = field(default_factory=dict)  # hash -> pattern bytes -> items
+#: Bytes of benchmark text in a compiled block, about, and of compiled blocks that a worker holds open.
+BLOCK_BYTES = 16 << 20
+OPEN_BYTES = 512 << 20
 
 
-def _blocks(h: np.ndarray, length: int) -> np.ndarray:
+def _slots(h: np.ndarray, length: int, bits: int) -> np.ndarray:
     """Table slot of the block that ends at each symbol."""
     if length == 1:
-        return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        return (h >> np.uint64(64 - bits)).astype(np.int64)
     out = np.zeros(len(h), dtype=np.int64)
-    out[1:] = (wh.chain(h, 2) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    out[1:] = (wh.chain(h, 2) >> np.uint64(64 - bits)).astype(np.int64)
     return out
 
 
-def compile_patterns(texts: list[str | None], window: int = 13) -> list[Group]:
-    """Search tables of all items' windows; a shorter item is one window, an empty one none."""
-    words = wh.Words([b"" if t is None else t.encode() for t in texts], wh.ALNUM)
-    h = words.hashes()
-    by_length: dict[int, list[tuple[int, int]]] = {}
-    for item, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
-        if b - a >= window:
-            by_length.setdefault(window, []).extend((item, s) for s in range(a, b - window + 1))
-        elif b > a:
-            by_length.setdefault(int(b - a), []).append((item, int(a)))
-    groups = []
-    for length, at in sorted(by_length.items()):
-        widest = max(1, length - 1)
-        shift = np.full(1 << TABLE_BITS, widest, dtype=np.uint8)
-        runs, slots = wh.chain(h, length), _blocks(h, length)
-        group = Group(length, shift, np.zeros(0, dtype=np.uint64))
-        starts = np.array([s for _, s in at], dtype=np.int64)
-        for back in range(widest):
-            np.minimum.at(shift, slots[starts + length - 1 - back], back)
-        for item, s in at:
-            body = words_bytes(words, s, s + length)
-            group.texts.setdefault(int(runs[s]), {}).setdefault(body, []).append(item)
-        group.keys = np.sort(np.array(list(group.texts), dtype=np.uint64))
-        groups.append(group)
-    return groups
-
-
 def words_bytes(words: wh.Words, a: int, b: int) -> bytes:
     """Words a to b as lower-cased bytes, one space between."""
     data = words.data
-    return b" ".join(data[s:e].tobytes() for s, e in zip(words.starts[a:b], words.ends[a:b]))
+    return b" ".join([data[s:e].tobytes() for s, e in zip(words.starts[a:b], words.ends[a:b])])
+
 
+def compile_patterns(names: list[str], texts: list[bytes], window: int = 13) -> list[bytes]:
+    """File parts of all items' windows; a shorter item is one window, an empty one none.
 
-def _search(group: Group, words: wh.Words, h: np.ndarray) -> Iterator[tuple[int, dict]]:
-    """(first word, items) of every occurrence in the batch."""
-    m = group.length
-    first = words.first
-    # A cursor holds the position of the last symbol of its window, up to its stretch's end.
+    Each length has a shift table and its distinct windows, sorted by hash, with the place of their text and the
+    items they are in. Windows of one hash are one only if their texts are equal.
+    """
+    words = wh.Words(texts, wh.ALNUM)
+    h, first = words.hashes(), words.first
     counts = np.diff(first)
-    pieces = np.maximum(0, -(-(counts - m + 1) // STRETCH))
-    text = np.repeat(np.arange(len(counts)), pieces)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    at = first[:-1][text] + nth * STRETCH + m - 1
-    end = np.minimum(at + STRETCH, first[1:][text])
-    slots = _blocks(h, m)
-    hits = []
-    while len(at):
-        move = group.shift[slots[at]]
-        stop = at[move == 0]
-        if len(stop):
-            hits.append(stop)
-        at = at + np.maximum(move, 1)
-        live = at < end
-        at, end = at[live], end[live]
-    if not hits:
-        return
-    stop = np.sort(np.concatenate(hits))
-    begin = stop - m + 1
-    runs = np.zeros(len(begin), dtype=np.uint64)
-    for i in range(m):
-        runs = wh.mix(runs * np.uint64(0x9FB21C651E98DF25) + h[begin + i])
-    place = np.minimum(np.searchsorted(group.keys, runs), len(group.keys) - 1)
-    same = group.keys[place] == runs
-    for start, run in zip(begin[same].tolist(), runs[same].tolist()):
-        items = group.texts[run].get(words_bytes(words, start, start + m))
-        if items:
-            yield start, items
-
-
-def find(groups: list[Group], texts: list[bytes]) -> list[tuple[int, list[int], list[tuple[int, int]]]]:
-    """(words, items found, spans of hit words) of each text."""
+    item = np.repeat(np.arange(len(counts)), counts)
+    left = np.repeat(first[1:], counts) - np.arange(len(h))  # words from each to its item's end
+    # The words' bytes with one space between, where windows are slices.
+    size = words.ends - words.starts
+    begin = np.cumsum(size + 1) - (size + 1)
+    text = np.full(int((size + 1).sum()), 0x20, dtype=np.uint8)
+    inside = _inside(words)
+    text[np.repeat(begin - words.starts, size) + np.flatnonzero(inside)] = words.data[inside]
+    arrays, lengths = {"text": text}, []
+    for m in np.unique(np.minimum(counts[counts > 0], window)).tolist():
+        starts = np.flatnonzero(left >= m) if m == window else first[:-1][counts == m]
+        bits = min(MOST_TABLE_BITS, max(LEAST_TABLE_BITS, int(len(starts)).bit_length() + 4))
+        slots, widest = _slots(h, m, bits), max(1, m - 1)
+        shift = np.full(1 << bits, widest, dtype=np.uint8)
+        for back in range(widest - 1, -1, -1):
+            shift[slots[starts + m - 1 - back]] = back
+        runs = wh.chain(h, m)[starts]
+        order = np.lexsort((item[starts], runs))
+        starts, runs = starts[order], runs[order]
+        at, end = begin[starts], begin[starts + m - 1] + size[starts + m - 1]
+        new = np.ones(len(runs), dtype=bool)
+        repeated = np.flatnonzero(runs[1:] == runs[:-1]) + 1
+        for i in repeated.tolist():
+            new[i] = text[at[i] : end[i]].tobytes() != text[at[i - 1] : end[i - 1]].tobytes()
+        fresh = new.copy()  # and one entry for each item of a window
+        fresh[1:] |= item[starts][1:] != item[starts][:-1]
+        of = np.cumsum(new) - 1
+        arrays |= {
+            f"shift{m}": shift,
+            f"key{m}": runs[new],
+            f"at{m}": at[new],
+            f"end{m}": end[new],
+            f"from{m}": np.concatenate([[0], np.cumsum(np.bincount(of[fresh], minlength=int(new.sum())))]).astype(np.int64),
+            f"item{m}": item[starts][fresh].astype(np.int32),
+        }
+        lengths.append(m)
+    return packed({"names": names, "lengths": lengths}, arrays)
+
+
+def _inside(words: wh.Words) -> np.ndarray:
+    """True for the bytes that lie in words."""
+    edge = np.zeros(len(words.data) + 1, dtype=np.int8)
+    edge[words.starts] = 1
+    edge[words.ends] = -1
+    return np.cumsum(edge[:-1], dtype=np.int8) > 0
+
+
+class Group:
+    """All windows of one length in a block, as views of its file."""
+
+    def __init__(self, length: int, arrays: dict[str, np.ndarray]):
+        self.length, self.text = length, arrays["text"]
+        self.shift, self.key, self.at, self.end, self.first, self.item = (arrays[f"{x}{length}"] for x in ("shift", "key", "at", "end", "from", "item"))
+        self.bits = len(self.shift).bit_length() - 1
+
+    def items(self, place: int, run: int, body: bytes) -> np.ndarray | None:
+        """Items of the window with this hash, from its place in ``key`` on, and this text."""
+        while place < len(self.key) and self.key[place] == run:
+            if self.text[self.at[place] : self.end[place]].tobytes() == body:
+                return self.item[self.first[place] : self.first[place + 1]]
+            place += 1
+        return None
+
+    def search(self, words: wh.Words, h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(first word, items) of every occurrence in the batch."""
+        m, first = self.length, words.first
+        # A cursor holds the position of the last symbol of its window, up to its stretch's end.
+        counts = np.diff(first)
+        pieces = np.maximum(0, -(-(counts - m + 1) // STRETCH))
+        text = np.repeat(np.arange(len(counts)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        at = first[:-1][text] + nth * STRETCH + m - 1
+        end = np.minimum(at + STRETCH, first[1:][text])
+        slots = _slots(h, m, self.bits)
+        hits = []
+        while len(at):
+            move = self.shift[slots[at]]
+            stop = at[move == 0]
+            if len(stop):
+                hits.append(stop)
+            at = at + np.maximum(move, 1)
+            live = at < end
+            at, end = at[live], end[live]
+        if not hits:
+            return
+        begin = np.sort(np.concatenate(hits)) - m + 1
+        runs = np.zeros(len(begin), dtype=np.uint64)
+        for i in range(m):
+            runs = wh.mix(runs * np.uint64(0x9FB21C651E98DF25) + h[begin + i])
+        place = np.searchsorted(self.key, runs)
+        same = self.key[np.minimum(place, len(self.key) - 1)] == runs
+        for start, run, at_key in zip(begin[same].tolist(), runs[same].tolist(), place[same].tolist()):
+            items = self.items(at_key, run, words_bytes(words, start, start + m))
+            if items is not None:
+                yield start, items
+
+
+class Block:
+    """A compiled part of the benchmark."""
+
+    def __init__(self, uri: str):
+        meta, arrays = unpacked(uri)
+        self.names = meta["names"]
+        self.groups = [Group(m, arrays) for m in meta["lengths"]]
+
+
+class Blocks:
+    """The compiled benchmark; what doesn't fit OPEN_BYTES is opened anew for each batch."""
+
+    def __init__(self, files: list[tuple[str, int]]):
+        self.files, self.open, room = files, {}, OPEN_BYTES
+        for uri, size in files:
+            if size <= room:
+                room -= size
+                self.open[uri] = Block(uri)
+
+    def __iter__(self) -> Iterator[Block]:
+        for uri, _ in self.files:
+            yield self.open.get(uri) or Block(uri)
+
+
+def find(blocks, texts: list[bytes]) -> list[tuple[int, list[str], list[tuple[int, int]]]]:
+    """(words, names of items found, spans (first, last) of hit words) of each text."""
     words = wh.Words(texts, wh.ALNUM)
-    h = words.hashes()
-    first = words.first
+    h, first = words.hashes(), words.first
     cover = np.zeros(len(h) + 1, dtype=np.int32)
-    items: dict[int, set[int]] = {}
-    for group in groups:
-        for start, got in _search(group, words, h):
-            cover[start] += 1
-            cover[start + group.length] -= 1
-            items.setdefault(int(np.searchsorted(first, start, "right")) - 1, set()).update(got)
+    names: dict[int, set[str]] = {}
+    for block in blocks:
+        for group in block.groups:
+            for start, items in group.search(words, h):
+                cover[start] += 1
+                cover[start + group.length] -= 1
+                names.setdefault(int(np.searchsorted(first, start, "right")) - 1, set()).update(block.names[i] for i in items)
     hit = np.cumsum(cover)[:-1] > 0
     out = []
     for t, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
         spans = []
-        if t in items:
-            inside = np.concatenate([[0], hit[a:b].astype(np.int8), [0]])
-            edge = np.flatnonzero(np.diff(inside))
-            spans = list(zip(edge[0::2].tolist(), edge[1::2].tolist()))
-        out.append((b - a, sorted(items.get(t, ())), spans))
+        if t in names:
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]])))
+            spans = list(zip(edge[0::2].tolist(), (edge[1::2] - 1).tolist()))
+        out.append((b - a, sorted(names.get(t, ())), spans))
     return out
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans (first, last) as disjoint runs in order."""
-    out: list[tuple[int, int]] = []
-    for first, last in sorted(spans):
-        if out and first <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(out[-1][1], last))
-        else:
-            out.append((first, last))
-    return out
+def _compile(folder: str, window: int):
+    """Rows (block, item, text) arrive sorted by block; each block leaves as a file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, names, texts = None, [], []
+
+        def done() -> pa.RecordBatch:
+            parts = compile_patterns(names, texts, window)
+            uri = f"{folder}/block-{block:06d}-{uuid.uuid4().hex}.bin"
+            write_bytes(uri, parts)
+            return pa.record_batch([pa.array([uri]), pa.array([sum(map(len, parts))], pa.int64())], names=["uri", "size"])
+
+        for batch in batches:
+            for at, name, text in zip(batch.column("block").to_pylist(), batch.column("item").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                if at != block and names:
+                    yield done()
+                    names, texts = [], []
+                block = at
+                names.append(name)
+                texts.append(text)
+        if names:
+            yield done()
 
+    return frugal(run)
 
-def _step(block, window: int):
-    """Search one block of items, adding to what earlier blocks found."""
 
+def compiled(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> list[tuple[str, int]]:
+    """(address, bytes) of the benchmark's compiled blocks: a row for each BLOCK_BYTES of its text."""
+    spark = benchmark.sparkSession
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+    items = items.where(F.length("text") > 0).distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-int(total) // BLOCK_BYTES))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n_blocks)).cast("int")).repartition(n_blocks, "block").sortWithinPartitions("block", "item", "text")
+    index = written(dealt.select("block", "item", "text").mapInArrow(_compile(new_path(spark, "patterns"), window), "uri string, size long"), "pattern-files")
+    files = sorted((r["uri"], r["size"]) for r in index.collect())
+    discard(index)
+    return files
+
+
+def _search(files: list[tuple[str, int]], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [item for item, _ in block.value]
-        groups = compile_patterns([text for _, text in block.value], window)
+        blocks = kept(("patterns", *files), lambda: Blocks(files))
         for batch in batches:
-            texts = [b"" if t is None else t for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            had_items, had_spans = batch.column("items").to_pylist(), batch.column("spans").to_pylist()
-            n_words, items, spans = [], [], []
-            for a, b in wh.in_batches(texts):
-                for (n, got, at), old_items, old_spans in zip(find(groups, texts[a:b]), had_items[a:b], had_spans[a:b]):
-                    n_words.append(n)
-                    items.append(sorted({*old_items, *(names[i] for i in got)}))
-                    both = [(x["first"], x["last"]) for x in old_spans] + [(first, end - 1) for first, end in at]
-                    spans.append([{"first": x, "last": y} for x, y in _merged(both)])
-            columns = {"n_words": n_words, "items": items, "spans": spans}
+            row = batch.column("row")
+            texts = [b"" if t is None else t for t in row.field(text_col).cast(pa.string()).cast(pa.binary()).to_pylist()]
+            found = [x for a, b in wh.in_batches(texts) for x in find(blocks, texts[a:b])]
             yield pa.record_batch(
-                [pa.array(columns[f.name], f.type) if f.name in columns else batch.column(f.name) for f in batch.schema], schema=batch.schema
+                [
+                    row,
+                    pa.array([n for n, _, _ in found], pa.int64()),
+                    pa.array([names for _, names, _ in found], pa.list_(pa.string())),
+                    pa.array([[{"first": x, "last": y} for x, y in spans] for _, _, spans in found], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
+                ],
+                names=["row", "n_words", "items", "spans"],
             )
 
-    return run
+    return frugal(run)
+
+
+FOUND = StructType([StructField("n_words", LongType()), StructField("items", ArrayType(StringType())), StructField("spans", ArrayType(StructType([StructField("first", LongType()), StructField("last", LongType())])))])
 
 
 def add_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13) -> DataFrame:
@@ -186,27 +277,14 @@ def add_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     item with a null id is skipped; repeated items count once. An empty benchmark
     leaves every row clean. Rows may repeat.
 
-    The benchmark travels to the executors. Its size is checked: up to BLOCK_BYTES of
-    text go at once; a larger one is cut into blocks by item, searched one after another
-    without a shuffle, and the blocks' spans are merged.
+    A large benchmark is compiled in blocks, which each batch of texts is searched for one after
+    another in one task, without a shuffle of the texts.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    items = items.where(F.length("text") > 0).distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-int(total) // BLOCK_BYTES))
-    found = docs.select(
-        F.struct(*docs.columns).alias("row"),
-        F.col(text_col).cast("string").alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<string>").alias("items"),
-        F.array().cast("array<struct<first:long,last:long>>").alias("spans"),
-    )
-    schema = found.schema
-    for block in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block).collect()
-        found = found.mapInArrow(_step(spark.sparkContext.broadcast([tuple(r) for r in part]), window), schema)
+    small_batches(docs.sparkSession)
+    files = compiled(benchmark, item_col, item_text_col, window)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    schema = StructType(rows.schema.fields + FOUND.fields)
+    found = rows.mapInArrow(_search(files, text_col), schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
     found = found.select("row", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -37,6 +37,34 @@ def test_against_brute_force(spark, docs, monkeypatch, block):
     rows, items = table()
     out = contamination(docs([(i, t, "c") for i, t in rows], "doc_id long, text string, items string"), docs(items, "item_id long, text string"))
     assert answer(out) == expect(rows, items)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_blocks_that_do_not_stay_open(spark, docs, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 300)
+    rows, items = table(3)
+    files = dc.compiled(docs(items, "item_id long, text string"), "item_id", "text", 13)
+    assert len(files) > 3
+    monkeypatch.setattr(dc, "OPEN_BYTES", files[0][1] + 1)
+    some = [(t or "").encode() for _, t in rows]
+    blocks = dc.Blocks(files)
+    assert len(blocks.open) == 1
+    assert [(n, len(names)) for n, names, _ in dc.find(blocks, some)] == [(x[1], x[3]) for x in brute(rows, items)]
+
+
+def test_windows_of_one_hash_and_of_many_items():
+    # Equal windows of different items are one entry with both; a window that repeats in an item counts once.
+    parts = dc.compile_patterns(["a", "b", "c"], [b"one two three one two three", b"zero one two three", b"x"], 3)
+    assert b"".join(parts)
+    import tempfile
+
+    from ledgerline.llm.shared_files import write_bytes
+
+    with tempfile.TemporaryDirectory() as folder:
+        write_bytes(f"{folder}/p.bin", parts)
+        block = dc.Block(f"{folder}/p.bin")
+        got = dc.find([block], [b"One, two; THREE!", b"x", b"zero one two", b"two three one"])
+    assert [(names, spans) for _, names, spans in got] == [(["a", "b"], [(0, 2)]), (["c"], [(0, 0)]), (["b"], [(0, 2)]), (["a"], [(0, 2)])]
 
 
 def test_empty_tables(spark, docs):
