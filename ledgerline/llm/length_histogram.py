@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.pieces import PieceCache, batches_by_size, spaced_pieces
-from ledgerline.llm.storage import small_batches
+from ledgerline.llm.storage import small_batches, written
+from ledgerline.llm.workers import frugal, kept
 
 #: Lengths of one block of the two-level sums.
-BLOCK = 1024
-_COUNTERS: dict[str, TokenCounter] = {}
+BLOCK = 128
 
 
 class TokenCounter:
@@ -35,11 +35,14 @@ class TokenCounter:
         return [sum(h) + sum(r) for h, r in zip(heads, self.spaced.values([p[1:] for p in pieces]))]
 
 
+def _counter(ranks_file: str, pattern: str) -> TokenCounter:
+    """One counter a worker."""
+    return kept(("lengths", ranks_file, pattern), lambda: TokenCounter(ranks_file, pattern))
+
+
 def _lengths(ranks_file: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ranks_file not in _COUNTERS:
-            _COUNTERS[ranks_file] = TokenCounter(ranks_file, pattern)
-        counter = _COUNTERS[ranks_file]
+        counter = _counter(ranks_file, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             out = []
@@ -47,7 +50,7 @@ def _lengths(ranks_file: str, pattern: str):
                 out.extend(counter.count(texts[a:b]))
             yield pa.record_batch([batch.column("id"), pa.array(out, pa.int64())], names=["id", "length"])
 
-    return run
+    return frugal(run)
 
 
 def encoded_lengths(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,8 +62,12 @@ def encoded_lengths(docs: DataFrame, ranks_file: str, pattern: str, id_col: str
 
 
 def length_histogram(lengths: DataFrame, length_col: str = "length") -> DataFrame:
-    """(length, n_docs), one row a length; nulls are left out. Hot lengths are counted before the shuffle."""
-    return lengths.where(F.col(length_col).isNotNull()).groupBy(F.col(length_col).cast("long").alias("length")).agg(F.count("*").alias("n_docs"))
+    """(length, n_docs), one row a length; nulls are left out. Hot lengths are counted before the shuffle.
+
+    It is written, as what it answers reads it more than once, and encoding is to happen once.
+    """
+    counts = lengths.where(F.col(length_col).isNotNull()).groupBy(F.col(length_col).cast("long").alias("length")).agg(F.count("*").alias("n_docs"))
+    return written(counts, "lengths")
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
