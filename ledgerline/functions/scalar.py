@@ -31,9 +31,9 @@ def md5_ok(body: Column | str, expected: Column | str) -> Column:
 
 
 def csv_safe(c: Column | str) -> Column:
-    """Null as '', and a quote before text that a spreadsheet would run as a formula."""
+    """Null as '', and a quote before text that a spreadsheet would run as a formula, whatever white space leads it."""
     c = _c(c)
-    risky = c.rlike(r"^[ ]*[=+\-@]|^[\t\r\n]")
+    risky = c.rlike(r"^\p{javaWhitespace}*+[=+\-@]|^[\t\r\n]")
     return F.when(c.isNull(), F.lit("")).when(risky, F.concat(F.lit("'"), c)).otherwise(c)
 
 
@@ -59,15 +59,27 @@ def tenant(seq: Column | str, skewed: bool, tenants: int) -> Column:
 
 
 def number_len(c: Column | str) -> Column:
-    """Encoded bytes of a decimal number's text: a byte for each two significant digits and one or two more."""
-    plain = F.regexp_replace(F.regexp_replace(_c(c).cast("string"), r"[eE].*$", ""), r"[^0-9]", "")
-    digits = F.regexp_replace(F.regexp_replace(plain, r"^0+", ""), r"0+$", "")
-    n = F.length(digits)
-    negative = F.when(_c(c).cast("string").startswith("-"), 1).otherwise(0)
-    return F.when(n == 0, 1).otherwise(F.ceil(n / 2) + 1 + negative).cast("bigint")
-
-
-def _field_size(c: Column, kind: T.DataType, numbers) -> Column:
+    """Encoded bytes of a decimal number's text: one, a byte for each two digits as they stand around the decimal
+    point, and one more for a negative number of fewer than 20 such pairs; 1 for zero."""
+    text = F.lower(F.trim(_c(c).cast("string")))
+    mantissa = F.regexp_replace(F.substring_index(text, "e", 1), r"[+-]", "")
+    power = F.when(F.instr(text, "e") > 0, F.substring_index(text, "e", -1).try_cast("int")).otherwise(F.lit(0))
+    shown = F.regexp_replace(mantissa, r"[^0-9]", "")
+    behind = F.when(F.instr(mantissa, ".") > 0, F.length(F.substring_index(mantissa, ".", -1))).otherwise(0)
+    led = F.regexp_replace(shown, r"^0+", "")
+    precision = F.length(F.regexp_replace(led, r"0+$", ""))
+    # Digits pair up from the decimal point, so an odd distance to it takes half a byte more.
+    odd = F.pmod(F.length(led) + power - behind, F.lit(2))
+    pairs = F.floor((precision + odd + 1) / 2)
+    negative = F.when(text.startswith("-") & (pairs < 20), 1).otherwise(0)
+    return F.when(precision == 0, 1).otherwise(pairs + 1 + negative).cast("bigint")
+
+
+def _summed(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def _field_size(c: Column, kind: T.DataType, name: str, numbers, sets: tuple[str, ...]) -> Column:
     if isinstance(kind, (T.BooleanType, T.NullType)):
         size = F.lit(1)
     elif isinstance(kind, T.BinaryType):
@@ -77,28 +89,33 @@ def _field_size(c: Column, kind: T.DataType, numbers) -> Column:
     elif isinstance(kind, T.NumericType):
         size = numbers(c)
     elif isinstance(kind, T.ArrayType):
-        inner = F.transform(c, lambda x: _field_size(x, kind.elementType, numbers).cast("bigint"))
-        size = F.aggregate(inner, F.lit(0).cast("bigint"), lambda a, x: a + x) + F.size(c) + 3
+        size = _summed(F.transform(c, lambda x: _field_size(x, kind.elementType, f"{name}[]", numbers, sets).cast("bigint")))
+        if name not in sets:
+            size = size + F.size(c) + 3
     elif isinstance(kind, T.StructType):
-        parts = [F.when(c[f.name].isNotNull(), _field_size(c[f.name], f.dataType, numbers) + len(f.name.encode())).otherwise(0) for f in kind.fields]
-        present = [F.when(c[f.name].isNotNull(), 1).otherwise(0) for f in kind.fields]
-        size = sum(parts, F.lit(0)) + sum(present, F.lit(0)) + 3
+        parts = [
+            F.when(c[f.name].isNotNull(), _field_size(c[f.name], f.dataType, f"{name}.{f.name}", numbers, sets) + len(f.name.encode()) + 1).otherwise(0)
+            for f in kind.fields
+        ]
+        size = sum(parts, F.lit(0)) + 3
     else:
         size = F.octet_length(c.cast("string"))
     return F.when(c.isNull(), F.lit(1)).otherwise(size).cast("bigint")
 
 
-def item_size(schema: T.StructType, numbers=number_len) -> Column:
-    """Bytes of an item: names and values of the attributes that are present."""
-    parts = [
-        F.when(F.col(f.name).isNotNull(), _field_size(F.col(f.name), f.dataType, numbers) + len(f.name.encode())).otherwise(0) for f in schema.fields
-    ]
+def item_size(schema: T.StructType, numbers=number_len, sets: tuple[str, ...] = ()) -> Column:
+    """Bytes of an item: names and values of the attributes that are present.
+
+    A list or a structure adds three bytes, and one for each of its members; a set adds nothing. ``sets`` names the arrays
+    that are sets, with dots into structures.
+    """
+    parts = [F.when(F.col(f.name).isNotNull(), _field_size(F.col(f.name), f.dataType, f.name, numbers, sets) + len(f.name.encode())).otherwise(0) for f in schema.fields]
     return sum(parts, F.lit(0)).cast("bigint")
 
 
-def estimated_bytes(schema: T.StructType) -> Column:
+def estimated_bytes(schema: T.StructType, sets: tuple[str, ...] = ()) -> Column:
     """item_size with a number counted as the length of its text."""
-    return item_size(schema, lambda c: F.octet_length(c.cast("string")))
+    return item_size(schema, lambda c: F.octet_length(c.cast("string")), sets)
 
 
 def receive_count(c: Column | str) -> Column:
@@ -114,8 +131,9 @@ def lease_valid(receipt: Column | str, until: Column | str, now: Column, reserve
 
 
 def normalize_principal(c: Column | str) -> Column:
-    """The stable role of an assumed-role session name; others stay."""
-    return F.regexp_replace(_c(c), r"^arn:([^:]*):sts::([^:]*):assumed-role/([^/]+)/.*$", "arn:$1:iam::$2:role/$3")
+    """The stable role, with its path, of an assumed-role session name; others stay, and null is ''."""
+    role = F.regexp_replace(_c(c), r"(?s)^([^:]*):([^:]*):sts:[^:]*:([^:]*):assumed-role/(.+)/[^/]*$", "$1:$2:iam::$3:role/$4")
+    return F.coalesce(role, F.lit(""))
 
 
 def encode_attributes(c: Column | str) -> Column:
@@ -139,6 +157,11 @@ def epoch_to_ts(c: Column | str) -> Column:
     return F.timestamp_seconds(_c(c))
 
 
+def last_state(history: Column | str) -> Column:
+    """State of the last entry of a history (state, at); null for an empty or null one."""
+    return F.try_element_at(_c(history), F.lit(-1))["state"]
+
+
 def pct_delta(new: Column | str, old: Column | str) -> Column:
     """(new / old - 1) * 100, 0 where old is 0."""
     new, old = _c(new), _c(old)
@@ -152,9 +175,12 @@ def classify_delta(delta: Column | str, threshold: float = 5.0, higher_is_better
     return F.when(delta.isNull(), F.lit("BASELINE")).when(gain > threshold, F.lit("IMPROVEMENT")).when(gain < -threshold, F.lit("REGRESSION")).otherwise(F.lit("NEUTRAL"))
 
 
-def rank_percentile(c: Column | str, q: float) -> Column:
-    """Nearest-rank percentile (aggregate): the value at ceil(q * n)."""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {c})") if isinstance(c, str) else F.percentile(c, q)
+def rank_percentile(c: str, q: float) -> Column:
+    """Nearest-rank percentile (aggregate) of a named column: the value at ceil(q * n).
+
+    It gathers the group's distinct values; metrics.nearest_ranks() doesn't.
+    """
+    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{c}`)")
 
 
 def rounded_percentile(values: Column, p: float) -> Column:

@@ -81,14 +81,20 @@ def attribute_not_exists(c: Column | str) -> Column:
 
 
 def resource_guard(df: DataFrame, allowed: DataFrame, resource: str = "resource", account: str | None = None, region: str | None = None) -> DataFrame:
-    """Rows whose resource isn't allowed, or lies in another account or region."""
-    part = lambda n: F.split_part(F.col(resource), F.lit(":"), F.lit(n))
+    """Rows whose resource isn't allowed, isn't a whole ARN though it begins as one, or names another account or region.
+
+    An ARN may leave its account or region blank; a URL names an account if that is the first part of its path.
+    """
+    name = F.col(resource).cast("string")
+    part = lambda n: F.trim(F.split_part(name, F.lit(":"), F.lit(n)))
+    arn = name.startswith("arn:")
     known = df.join(allowed.select(F.col(resource).alias("__allowed")).distinct(), F.col(resource) == F.col("__allowed"), "left")
-    bad = F.col("__allowed").isNull()
+    bad = F.col("__allowed").isNull() | (arn & (F.size(F.split(name, ":")) < 6))
     if account:
-        bad = bad | (part(5) != account)
+        of_url = F.regexp_extract(name, r"^https?://[^/]*/+(\d{12})(?:[/?#]|$)", 1)
+        bad = bad | (arn & (part(5) != "") & (part(5) != account)) | ((of_url != "") & (of_url != account))
     if region:
-        bad = bad | (part(4) != region)
+        bad = bad | (arn & (part(4) != "") & (part(4) != region))
     return known.where(bad).drop("__allowed")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,12 +42,41 @@ def batch_counters(results: DataFrame) -> DataFrame:
     )
 
 
+def at_places(df: DataFrame, by: list[str], values: list[str], places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(by, n, name...) of each group: the values (a struct) at 1-based places among its sorted rows.
+
+    A place is a function of the group's number of rows. Rows with a null value are left out. Rows are counted by value and the counts summed up
+    over all groups, so no task holds a group; only a group's distinct values are ever told apart.
+    """
+    counts = df.where(reduce(lambda a, b: a & b, [F.col(v).isNotNull() for v in values]))
+    counts = counts.groupBy(*[F.col(b).alias(f"__by_{i}") for i, b in enumerate(by)], *[F.col(v).alias(f"__v_{v}") for v in values]).agg(F.count("*").alias("__n"))
+    keys = [f"__by_{i}" for i in range(len(by))]
+    upto = prefix_sums(counts, [*keys, *[f"__v_{v}" for v in values]], __upto=F.col("__n"))
+    groups = upto.groupBy(*keys).agg(F.sum("__n").alias("__total"), F.max("__upto").alias("__end"))
+    at = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.col("__end") - F.col("__total") + place(F.col("__total"))).cast("bigint").alias("at")) for name, place in places.items()]))
+    wanted = groups.select(*[F.col(k).alias(f"{k}_of") for k in keys], "__total", at.alias("__w"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys])
+    found = upto.join(wanted, same & (F.col("__w.at") > F.col("__upto") - F.col("__n")) & (F.col("__w.at") <= F.col("__upto")))
+    row = F.struct(*[F.col(f"__v_{v}").alias(v) for v in values])
+    # One row for each group and place is left.
+    out = found.groupBy(*keys).agg(F.max("__total").alias("__total"), *[F.max(F.when(F.col("__w.name") == name, row)).alias(name) for name in places])
+    return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], F.col("__total").alias("n"), *places)
+
+
+def nearest_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
+    """(by, n, name...): the value at ceil(q * n) of each group, for each named q."""
+    places = {name: lambda n, q=q: F.greatest(F.lit(1), F.ceil(n * F.lit(q))) for name, q in ranks.items()}
+    return at_places(df, by, [value], places).select(*by, "n", *[F.col(name)[value].alias(name) for name in ranks])
+
+
 def latency_metrics(samples: DataFrame, by: list[str], value: str, segment: str) -> DataFrame:
-    """Count, mean, nearest-rank percentiles, and the slowest segment."""
-    rank = lambda q, n: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(n)
-    return samples.groupBy(*by).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), rank(0.5, "p50"), rank(0.95, "p95"), rank(0.99, "p99"), F.max(value).alias("slowest"), F.max_by(segment, F.struct(value, segment)).alias("slowest_segment")
+    """Count, mean, nearest-rank percentiles, and the slowest segment of each group that has samples."""
+    plain = samples.where(F.col(value).isNotNull()).groupBy(*[F.col(b).alias(f"__{b}") for b in by]).agg(
+        F.avg(value).alias("mean"), F.max(value).alias("slowest"), F.max_by(segment, F.struct(value, segment)).alias("slowest_segment")
     )
+    ranks = nearest_ranks(samples, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by])
+    return ranks.join(plain, same).select(*by, "n", "mean", "p50", "p95", "p99", "slowest", "slowest_segment")
 
 
 def throughput_metric(df: DataFrame, seconds: str = "seconds") -> DataFrame:
@@ -54,10 +86,14 @@ def throughput_metric(df: DataFrame, seconds: str = "seconds") -> DataFrame:
 
 
 def repeat_summary(runs: DataFrame, by: list[str], value: str = "records_per_second", order: str = "run") -> DataFrame:
-    """The median run of each configuration and the spread of its runs, in percent of the median."""
-    listed = runs.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(value, order))).alias("s"), F.max(value).alias("most"), F.min(value).alias("least"))
-    middle = F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int"))
-    out = listed.withColumn("m", middle).select(*by, F.size("s").cast("bigint").alias("n"), F.col(f"m.{order}").alias("median_run"), F.col(f"m.{value}").alias("median"), "most", "least")
+    """The median run of each configuration and the spread of its runs, in percent of the median.
+
+    Runs are ordered by value, then name; of an even number the upper middle one counts. Runs without a value or name are left out.
+    """
+    middle = at_places(runs, by, [value, order], {"m": lambda n: F.floor(n / 2) + 1, "low": lambda n: F.lit(1), "high": lambda n: n})
+    out = middle.select(
+        *by, "n", F.col("m")[order].alias("median_run"), F.col("m")[value].alias("median"), F.col("high")[value].alias("most"), F.col("low")[value].alias("least")
+    )
     return out.withColumn("spread", F.when(F.col("median") == 0, F.lit(0.0)).otherwise((F.col("most") - F.col("least")) / F.col("median") * 100))
 
 
@@ -108,15 +144,6 @@ def pair_verdict(compared: DataFrame) -> DataFrame:
 
 
 def rounded_percentiles(df: DataFrame, by: str, value: str, p: float, to: str) -> DataFrame:
-    """Value at round((n - 1) * p), half to even, of each group's n values that aren't null.
-
-    Rows are counted by value and the counts summed up over all groups, so no task holds a group.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    upto = prefix_sums(counts, ["g", "v"], upto=F.col("n"))
-    groups = upto.groupBy("g").agg(F.sum("n").alias("total"), F.max("upto").alias("end"))
-    # The group's rows end at ``end``; the one wanted lies so many rows after the group's first.
-    at = F.col("end") - F.col("total") + F.bround((F.col("total") - 1) * F.lit(p)).cast("bigint") + 1
-    wanted = groups.select(F.col("g").alias("of"), at.alias("at"))
-    found = upto.join(wanted, F.col("g").eqNullSafe(F.col("of")) & (F.col("at") > F.col("upto") - F.col("n")) & (F.col("at") <= F.col("upto")))
-    return found.select(F.col("g").alias(by), F.col("v").alias(to))
+    """Value at round((n - 1) * p), half to even, of each group's n values that aren't null."""
+    found = at_places(df, [by], [value], {to: lambda n: F.bround((n - 1) * F.lit(p)) + 1})
+    return found.select(by, F.col(to)[value].alias(to))

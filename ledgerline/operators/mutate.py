@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalar import event_id, sha256_hex
+from ledgerline.operators.access import select_marked
 
 KEY = "record_key"
 
@@ -88,16 +89,17 @@ MOST_BATCH = 25
 
 
 def batch_put_delete(items: DataFrame, changes: DataFrame, key: str = KEY, order: str = "position") -> tuple[DataFrame, DataFrame]:
-    """Unconditional puts and deletes; the last of a key wins. changes: items' columns, kind, and a position.
+    """Unconditional puts and deletes; the last of a key wins. changes: items' columns, kind, a position in its batch, and
+    a batch number if there are several.
 
-    Rows past the batch's size come back as unprocessed, not hidden.
+    Rows past the size of their batch come back as unprocessed, not hidden.
     """
-    taken = changes.where(F.col(order) <= MOST_BATCH) if "batch" not in changes.columns else changes.where(F.col(order) <= MOST_BATCH)
-    rest = changes.where(F.col(order) > MOST_BATCH)
-    columns = [c for c in changes.columns if c not in (key, order)]
-    last = taken.groupBy(key).agg(F.max_by(F.struct(*columns), F.col(order) if "batch" not in changes.columns else F.struct("batch", order)).alias("x")).select(key, "x.*")
+    within = F.col(order) <= MOST_BATCH
+    turn = [c for c in ("batch", order) if c in changes.columns]
+    columns = [c for c in changes.columns if c not in (key, *turn)]
+    last = changes.where(within).groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*turn)).alias("x")).select(key, "x.*")
     kept = items.join(last.select(key), key, "left_anti")
-    return kept.unionByName(last.where("kind = 'put'").select(*[c for c in items.columns if c in last.columns]), allowMissingColumns=True), rest
+    return kept.unionByName(last.where("kind = 'put'").select(*[c for c in items.columns if c in last.columns]), allowMissingColumns=True), changes.where(~within)
 
 
 def enrich(df: DataFrame, confirmations: DataFrame, key: str = KEY) -> DataFrame:
@@ -111,18 +113,26 @@ def enrich(df: DataFrame, confirmations: DataFrame, key: str = KEY) -> DataFrame
     return df.join(c, key, "left").withColumn("verdict", verdict)
 
 
-def repair(items: DataFrame, confirmations: DataFrame, job_id: str, current: DataFrame | None = None, key: str = KEY) -> tuple[DataFrame, DataFrame]:
+def repair(items: DataFrame, confirmations: DataFrame, job_id: str, current: DataFrame | None = None, key: str = KEY, validations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Settle pending items that are confirmed, if they are still as they were read.
 
-    ``current`` is the table as it is when changes apply. Outcomes: REPAIRED, SKIPPED, REJECTED, CONFLICT. A repaired
-    item carries a marker job:key and its status before.
+    ``current`` is the table as it is when changes apply; a planned version that is missing or negative is an error. Outcomes: REPAIRED,
+    SKIPPED, REJECTED, CONFLICT. A repaired item carries a marker job:key and its status before. ``validations`` (key, verdict) are what
+    a check of repaired items said: FUNCTION_ERROR and BUSINESS_REJECTED are the outcome then, though the item stays changed;
+    ACCEPTED, null and no row leave it REPAIRED.
     """
-    planned = enrich(items.where("status = 'PENDING'").select(key, F.col("version").alias("__version")), confirmations, key)
+    planned = version_guard(items.where("status = 'PENDING'").select(key, F.col("version").alias("__version")), "__version")
+    planned = enrich(planned, confirmations, key)
+    if validations is not None:
+        planned = planned.join(validations.select(key, F.col("verdict").alias("__checked")), key, "left")
+    else:
+        planned = planned.withColumn("__checked", F.lit(None).cast("string"))
     now = items if current is None else current
-    joined = now.join(planned.select(key, "__version", "verdict"), key, "left")
+    joined = now.join(planned.select(key, "__version", "verdict", "__checked"), key, "left")
     holds = (F.col("verdict") == "CONTINUE") & (F.col("version") == F.col("__version")) & (F.col("status") == "PENDING")
     decided = joined.withColumn("__met", F.coalesce(holds, F.lit(False)))
-    outcome = F.when(F.col("__met"), "REPAIRED").when(F.col("verdict") == "CONTINUE", "CONFLICT").otherwise(F.col("verdict"))
+    applied = F.when(F.col("__checked").isin("FUNCTION_ERROR", "BUSINESS_REJECTED"), F.col("__checked")).otherwise("REPAIRED")
+    outcome = F.when(F.col("__met"), applied).when(F.col("verdict") == "CONTINUE", "CONFLICT").otherwise(F.col("verdict"))
     outcomes = decided.where("verdict is not null").select(key, outcome.alias("outcome"), (F.col("version") + 1).alias("new_version"))
     marker = F.when(F.col("__met"), event_id(F.lit(job_id), F.col(key)))
     had = {c: F.col(c) if c in now.columns else F.lit(None).cast("string") for c in ("opsMarker", "opsPreviousStatus")}
@@ -139,20 +149,21 @@ def repair(items: DataFrame, confirmations: DataFrame, job_id: str, current: Dat
 def compensate(items: DataFrame, planned: DataFrame, source_job: str, job_id: str, key: str = KEY) -> tuple[DataFrame, DataFrame]:
     """Give items that a job marked their earlier status back, if nothing has touched them since.
 
-    planned: (key, version) as they were after the repair. Outcomes: COMPENSATED or CONFLICT. An earlier status
-    other than PENDING is an error.
+    planned: (key, version, opsMarker, opsPreviousStatus) as planning read them; those that another job marked are no candidates. A
+    pre-image other than PENDING, or a version that is missing or below 1, is an error. Outcomes: COMPENSATED_DATA_ONLY, or CONFLICT, also
+    for an item that isn't there any more.
     """
-    p = planned.select(key, F.col("version").alias("__version"))
-    joined = items.join(p, key, "left")
-    marked = F.col("opsMarker") == event_id(F.lit(source_job), F.col(key))
-    ok = F.col("opsPreviousStatus").isNull() | (F.col("opsPreviousStatus") == "PENDING") | F.col("__version").isNull()
-    joined = joined.where(F.when(ok, True).otherwise(F.raise_error(F.lit("an earlier status isn't PENDING")).cast("boolean")))
-    holds = F.col("__version").isNotNull() & marked & (F.col("status") == "SETTLED") & (F.col("version") == F.col("__version"))
+    p = select_marked(planned, source_job)
+    ok = F.coalesce((F.col("opsPreviousStatus") == "PENDING") & (F.col("version") >= 1), F.lit(False))
+    p = p.where(F.when(ok, True).otherwise(F.raise_error(F.lit("a pre-image isn't PENDING or its version is below 1")).cast("boolean")))
+    p = p.select(F.col(key).alias("__key"), F.col("version").alias("__version"), F.col("opsMarker").alias("__marker"), F.col("opsPreviousStatus").alias("__status"))
+    joined = items.join(p, items[key] == F.col("__key"), "full")
+    holds = (F.col("version") == F.col("__version")) & (F.col("opsMarker") == F.col("__marker")) & (F.col("status") == "SETTLED")
     decided = joined.withColumn("__met", F.coalesce(holds, F.lit(False)))
-    outcomes = decided.where("__version is not null").select(key, F.when(F.col("__met"), "COMPENSATED").otherwise("CONFLICT").alias("outcome"))
-    new = decided.select(
+    outcomes = decided.where("__key is not null").select(F.col("__key").alias(key), F.when(F.col("__met"), "COMPENSATED_DATA_ONLY").otherwise("CONFLICT").alias("outcome"))
+    new = decided.where(F.col(key).isNotNull()).select(
         *[F.col(c) for c in items.columns if c not in ("status", "version", "opsMarker", "opsPreviousStatus")],
-        F.when(F.col("__met"), F.col("opsPreviousStatus")).otherwise(F.col("status")).alias("status"),
+        F.when(F.col("__met"), F.col("__status")).otherwise(F.col("status")).alias("status"),
         (F.col("version") + F.when(F.col("__met"), 1).otherwise(0)).alias("version"),
         F.when(F.col("__met"), event_id(F.lit(job_id), F.col(key))).otherwise(F.col("opsMarker")).alias("opsMarker"),
         F.when(~F.col("__met"), F.col("opsPreviousStatus")).alias("opsPreviousStatus"),
@@ -185,13 +196,23 @@ def classify_invocation(df: DataFrame) -> DataFrame:
     return df.withColumn("outcome", result)
 
 
-def classify_http(df: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """What a call's status asks for; retries that are used up pause the job. Columns: status_code, attempt."""
+def classify_http(df: DataFrame, max_attempts: int = 3, longest_wait: int | None = None) -> DataFrame:
+    """What a call's status asks for; retries that are used up, or that are to wait longer than ``longest_wait``
+    seconds, pause the job. Columns: status_code, attempt (from 1), and retry_after where waits are asked for."""
     code = F.col("status_code")
-    retry = F.when(F.col("attempt") >= max_attempts, "PAUSED").otherwise("RETRY")
+    spent = F.col("attempt") >= max_attempts
+    if longest_wait is not None:
+        spent = spent | (F.coalesce(F.col("retry_after"), F.lit(0)) > longest_wait)
+    retry = F.when(spent, "PAUSED").otherwise("RETRY")
     return df.withColumn("outcome", F.when(code == 200, "OK").when(code == 401, "AUTHENTICATION").when(code == 403, "AUTHORIZATION").when((code == 429) | (code >= 500), retry).otherwise("REJECT"))
 
 
+def classify_calls(log: DataFrame, call: str, order: list[str], max_attempts: int = 3, longest_wait: int | None = None) -> DataFrame:
+    """classify_http() over a log of calls, with their attempts numbered by ``order`` within a call; a call has few attempts."""
+    attempt = F.row_number().over(Window.partitionBy(call).orderBy(*order))
+    return classify_http(log.withColumn("attempt", attempt.cast("bigint")), max_attempts, longest_wait)
+
+
 def reconcile_effects(effects: DataFrame, evidence: DataFrame) -> DataFrame:
     """Unresolved effects (job, task, step, state) against what was observed (job, task, step, found)."""
     e = evidence.select("job", "task", "step", "found")

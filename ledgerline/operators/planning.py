@@ -10,8 +10,8 @@ from ledgerline.functions.scalar import sha256_hex, stable_id
 
 #: Calls that a dispatch reserves.
 RESERVED_CALLS = 2
-#: Buckets of a plan's digest.
-SEAL_BUCKETS = 4096
+#: Hex digits of a key's hash that name a plan's least buckets, and by how many digits buckets merge.
+SEAL_DIGITS, SEAL_STEP = 6, 3
 
 
 def dedup_candidates(df: DataFrame, key: str = "record_key", by: str | None = "job", order: tuple[str, ...] = ("segment", "page", "position")) -> DataFrame:
@@ -56,18 +56,23 @@ def _framed(c: Column | str) -> Column:
 
 
 def seal_plan(df: DataFrame, request: str, version: str, identity: str, key: str = "record_key", payload: str = "payload") -> DataFrame:
-    """(hash, n): digest of a request and its candidates by key, each field preceded by its length.
+    """(hash, n): digest of a request and its candidates, each field preceded by its length.
 
-    Candidates digest in buckets by the first digits of their key's hash, so no task holds the plan.
+    A candidate's digest is one line; digests of one bucket (the first digits of the key's hash) are sorted and
+    digested, and buckets merge by SEAL_STEP digits at a time to the root. A bucket of ten billion candidates' plan holds
+    some 600 of them, and a merge 4,096 buckets at most, so no task holds the plan.
     """
-    bucket = F.substring(sha256_hex(key), 1, 3)
-    part = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.concat(_framed(key), _framed(payload)).alias("v"))))
-    buckets = df.groupBy(bucket.alias("b")).agg(sha256_hex(F.array_join(F.transform(part, lambda x: x["v"]), "")).alias("h"), F.count("*").alias("n"))
+    line = sha256_hex(F.concat(_framed(key), _framed(payload)))
+    level = df.select(F.substring(sha256_hex(F.coalesce(F.col(key), F.lit(""))), 1, SEAL_DIGITS).alias("b"), line.alias("h"), F.lit(1).cast("bigint").alias("n"))
+    for digits in range(SEAL_DIGITS, -1, -SEAL_STEP):
+        merged = sha256_hex(F.array_join(F.sort_array(F.collect_list("h")), ""))
+        level = level.groupBy(F.substring("b", 1, digits).alias("b")).agg(merged.alias("h"), F.sum("n").alias("n"))
+        if digits:
+            # A bucket's name counts, so that equal digests of two buckets differ.
+            level = level.withColumn("h", F.concat("b", "h"))
     head = F.concat(_framed(F.lit(request)), _framed(F.lit(version)), _framed(F.lit(identity)))
-    # SEAL_BUCKETS rows at most.
-    all_of = buckets.agg(F.sort_array(F.collect_list(F.struct("b", "h"))).alias("parts"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    text = F.array_join(F.transform("parts", lambda x: F.concat(x["b"], x["h"])), "")
-    return all_of.select(sha256_hex(F.concat(head, text)).alias("hash"), "n")
+    root = level.agg(F.max("h").alias("h"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return root.select(sha256_hex(F.concat(head, F.coalesce("h", F.lit("")))).alias("hash"), "n")
 
 
 def verify_plan(df: DataFrame, expected: str, request: str, version: str, identity: str, **columns) -> DataFrame:
@@ -95,12 +100,39 @@ def propose(df: DataFrame, rule: str) -> DataFrame:
 CALLS = {"repair": 9, "consume": 3, "replay": 3, "inventory": 0, "compensate": 2}
 
 
-def dry_run_summary(candidates: DataFrame, scanned: int, rule: str) -> DataFrame:
-    """What a run would touch, from the plan and the rows that planning read."""
+#: What a rule's run may meet (fixed values are the rules' own; these are the library's wording).
+RISKS = {
+    "repair": ("items may change between plan and run", "a published event may arrive more than once"),
+    "compensate": ("items touched since the repair are left", "only data is compensated, not events"),
+    "consume": ("a lease may end before its acknowledgement",),
+    "replay": ("a destination may get a message twice after its dedup state has ended",),
+    "inventory": (),
+}
+
+
+def dry_run_summary(candidates: DataFrame, scanned: int, rule: str, sample: int = 10, order: str = "record_key", resources: tuple[str, ...] = (), read_units: float = 0.0) -> DataFrame:
+    """One row on what a run would touch, from the plan and what planning read.
+
+    located, candidates, ignored, proposed_changes, estimated_calls; usage (scanned, read_units); resources and risks; and
+    samples, the first proposals by ``order`` with masked keys.
+    """
     counts = candidates.agg(F.count("*").alias("candidates"), F.count_if(F.lit(rule != "inventory")).alias("proposed_changes"))
     located = F.greatest(F.lit(scanned).cast("bigint"), F.col("candidates"))
-    return counts.select(
-        located.alias("located"), "candidates", F.greatest(F.lit(0), located - F.col("candidates")).alias("ignored"), "proposed_changes", (F.col("candidates") * CALLS[rule]).alias("estimated_calls")
+    texts = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    # ``sample`` rows.
+    proposals = sample_proposals(propose(candidates, rule), sample, order).select(F.col(order).alias("at"), stable_id(order).alias("record"), "action", "before", "after")
+    sampled = proposals.agg(F.sort_array(F.collect_list(F.struct("at", "record", "action", F.to_json("before").alias("before"), F.to_json("after").alias("after")))).alias("s"))
+    shown = F.transform("s", lambda x: F.struct(x["record"].alias("record"), x["action"].alias("action"), x["before"].alias("before"), x["after"].alias("after")))
+    return counts.join(F.broadcast(sampled), F.lit(True)).select(
+        located.alias("located"),
+        "candidates",
+        F.greatest(F.lit(0), located - F.col("candidates")).alias("ignored"),
+        "proposed_changes",
+        (F.col("candidates") * CALLS[rule]).alias("estimated_calls"),
+        F.struct(F.lit(scanned).cast("bigint").alias("scanned"), F.lit(float(read_units)).alias("read_units")).alias("usage"),
+        texts(resources).alias("resources"),
+        texts(RISKS[rule]).alias("risks"),
+        shown.alias("samples"),
     )
 
 
@@ -162,3 +194,9 @@ def contiguity(chunks: DataFrame, total: int, page: int) -> DataFrame:
     """Chunks of each job with whether their cursor follows the one before."""
     before = F.lag("cursor", 1, 0).over(Window.partitionBy("job").orderBy("cursor"))
     return chunks.withColumn("follows", F.col("cursor") == F.least(F.lit(total), before + page))
+
+
+def check_contiguity(chunks: DataFrame, total: int, page: int) -> DataFrame:
+    """Chunks as they are; one whose cursor doesn't follow the one before is an error."""
+    fine = contiguity(chunks, total, page)
+    return fine.where(F.when(F.col("follows"), True).otherwise(F.raise_error(F.lit("a chunk doesn't follow the one before")).cast("boolean"))).drop("follows")

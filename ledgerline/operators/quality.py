@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ledgerline.functions.scalar import item_size
 from ledgerline.operators.access import missing_keys
-from ledgerline.sources.items import generate_items
+from ledgerline.sources.items import ITEM_SETS, generate_items
 
 
 def _must(df: DataFrame, ok, message: str) -> DataFrame:
@@ -21,8 +21,10 @@ def check_cardinality(df: DataFrame, n: int) -> DataFrame:
 
 
 def probe_first_last(df: DataFrame, key: str, first, last) -> DataFrame:
-    """How often the first and the last key are found; each must be once."""
-    hits = df.where(F.col(key).isin(first, last)).groupBy(F.col(key).alias("probe")).agg(F.count("*").alias("n"))
+    """How often the first and the last key are found; each must be once, and one that isn't there is an error too."""
+    asked = df.sparkSession.createDataFrame([(first,), (last,)], df.select(F.col(key).alias("probe")).schema).distinct()
+    found = df.where(F.col(key).isin(first, last)).groupBy(F.col(key).alias("__found")).agg(F.count("*").alias("n"))
+    hits = asked.join(found, F.col("probe") == F.col("__found"), "left").select("probe", F.coalesce("n", F.lit(0)).alias("n"))
     return _must(hits, F.col("n") == 1, "a probe isn't there just once")
 
 
@@ -58,9 +60,9 @@ def check_generated(stored: DataFrame, profile: str, n: int, sample: float = 1.0
     made = generate_items(stored.sparkSession, n, profile)
     keep = lambda df: df if sample >= 1 else df.where(F.pmod(F.xxhash64("sk"), F.lit(1_000_000)) < int(sample * 1_000_000))
     stored, made = keep(stored.select(*made.columns)), keep(made)
-    sized = lambda df, c: df.select(F.lit(c).alias("side"), item_size(df.schema).alias("bytes"))
+    sized = lambda df, c: df.select(F.lit(c).alias("side"), item_size(df.schema, sets=ITEM_SETS).alias("bytes"))
     bytes_ = sized(stored, "stored").union(sized(made, "made")).agg(*[F.sum(F.when(F.col("side") == c, F.col("bytes"))).alias(f"{c}_bytes") for c in ("stored", "made")])
-    different = semantic_diff(stored, made, ("tags",)).agg(F.coalesce(F.sum(F.abs(F.col("n_a") - F.col("n_b"))), F.lit(0)).alias("different"))
+    different = semantic_diff(stored, made, ITEM_SETS).agg(F.coalesce(F.sum(F.abs(F.col("n_a") - F.col("n_b"))), F.lit(0)).alias("different"))
     return different.join(F.broadcast(bytes_), F.lit(True))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.ordered import dense_sequence
+
 MOST_SEGMENTS, MOST_PAGE = 1_000_000, 10_000
 
 
@@ -21,11 +23,17 @@ def with_segment(df: DataFrame, key: str, total: int) -> DataFrame:
 
 
 def with_page(df: DataFrame, page_size: int, key: str) -> DataFrame:
-    """Page number inside the segment, by key. A segment is one task's share, so choose enough of them."""
+    """Page number inside the segment, by key, which must be unique there.
+
+    Rows are numbered over all segments at once, by (segment, key), so a large segment is many tasks' work.
+    """
     if not 1 <= page_size <= MOST_PAGE:
         raise ValueError(f"pages must hold 1..{MOST_PAGE} rows")
-    place = F.row_number().over(Window.partitionBy("segment").orderBy(key))
-    return df.withColumn("page", F.floor((place - 1) / page_size).cast("bigint"))
+    numbered = dense_sequence(df, ["segment", key], "__place")
+    # One row a segment, MOST_SEGMENTS at most.
+    first = numbered.groupBy(F.col("segment").alias("__segment")).agg(F.min("__place").alias("__first"))
+    place = numbered.join(first, F.col("segment").eqNullSafe(F.col("__segment")))
+    return place.select(*df.columns, F.floor((F.col("__place") - F.col("__first")) / page_size).cast("bigint").alias("page"))
 
 
 def page_budget(df: DataFrame, max_pages: int) -> DataFrame:
@@ -74,17 +82,22 @@ def keyset_page(df: DataFrame, order: str, after, limit: int) -> DataFrame:
     return numbered.withColumn("next_after", F.max(order).over(everything)).drop("__n")
 
 
-def merge_run_state(primary: DataFrame, backup: DataFrame) -> DataFrame:
-    """Of two saved states (run, attempts, elapsed, valid) the one that went further.
+def merge_run_state(primary: DataFrame, backup: DataFrame, runs: DataFrame) -> DataFrame:
+    """Of two saved states of each run the one that went further: (run, source, attempts, elapsed, history_complete).
 
-    status: FRESH if neither is there, LOST if those there are invalid, else OK; history is complete only if
-    the primary wins.
+    Saved states are (run, attempts, elapsed, valid), one row where a file is there, not valid if it can't be read; ``runs``
+    names every run. The primary wins unless the backup is ahead by (attempts, elapsed). source: PRIMARY, BACKUP, NONE
+    where nothing was saved, LOST where nothing that was can be read; these two start from 0. History is complete for PRIMARY and NONE.
     """
-    both = primary.withColumn("source", F.lit(1)).union(backup.withColumn("source", F.lit(0)))
-    best = F.max(F.when(F.col("valid"), F.struct("attempts", "elapsed", "source")))
-    out = both.groupBy("run").agg(best.alias("best"), F.count_if("present").alias("n")) if "present" in primary.columns else both.groupBy("run").agg(best.alias("best"), F.count("*").alias("n"))
-    status = F.when(F.col("n") == 0, "FRESH").when(F.col("best").isNull(), "LOST").otherwise("OK")
-    return out.select("run", status.alias("status"), "best.attempts", "best.elapsed", F.coalesce(F.col("best.source") == 1, F.lit(False)).alias("history_complete"))
+    state = lambda df, n: df.select(F.col("run").alias(f"__{n}"), F.lit(True).alias(f"{n}_there"), F.when(F.col("valid"), F.struct("attempts", "elapsed")).alias(n))
+    both = runs.select("run").join(state(primary, "p"), F.col("run") == F.col("__p"), "left").join(state(backup, "b"), F.col("run") == F.col("__b"), "left")
+    p, b = F.col("p"), F.col("b")
+    saved = F.col("p_there").isNotNull() | F.col("b_there").isNotNull()
+    source = F.when(p.isNull() & b.isNull(), F.when(saved, "LOST").otherwise("NONE")).when(p.isNull(), "BACKUP").when(b.isNull() | (p >= b), "PRIMARY").otherwise("BACKUP")
+    out = both.select("run", source.alias("source"), "p", "b")
+    pick = F.when(F.col("source") == "PRIMARY", F.col("p")).when(F.col("source") == "BACKUP", F.col("b"))
+    zero = lambda c: F.coalesce(pick[c], F.lit(0)).alias(c)
+    return out.select("run", "source", zero("attempts"), zero("elapsed"), F.col("source").isin("PRIMARY", "NONE").alias("history_complete"))
 
 
 def resume_totals(checkpoints: DataFrame, target: int) -> DataFrame:

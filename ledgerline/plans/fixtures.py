@@ -10,6 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table's files as a stream; a table of one file is that file of its folder."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1000)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(path)
+
+
 def _key(c):
     return F.concat(F.lit("payment-"), F.lpad(c.cast("string"), 8, "0"))
 
@@ -63,8 +73,8 @@ def effect_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def messages(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    e = (table_stream if stream else table)(spark, sf_dir, "events")
     at = F.unix_timestamp("ts")
     return e.select(
         F.col("event_id").cast("string").alias("id"),
@@ -77,7 +87,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         (at + 30 + F.col("event_id") % 180).alias("leaseUntil"),
         F.col("event_type"),
         F.col("user_id"),
-        F.col("ts").alias("event_time"),
+        F.col("ts").cast("timestamp").alias("event_time"),
     )
 
 

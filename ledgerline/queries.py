@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalar as S
@@ -12,6 +12,10 @@ from ledgerline.functions.ordered import prefix_sums
 from ledgerline.operators import access, ledger, metrics, mutate, planning, quality, segments
 from ledgerline.plans import fixtures as fx
 from ledgerline.plans.fixtures import with_views
+from ledgerline.plans.rules import Request, process_batches, run_job
+from ledgerline.sources import items as items_source
+from ledgerline.sources import sinks
+from ledgerline.sources.shared import new_path
 from ledgerline.sources.sinks import report_lines, select_columns
 from ledgerline.streaming import streams
 
@@ -112,7 +116,7 @@ def query_index(spark, sf):
     return access.query_index(index, i, "MATCH", (1000, 2000), ["pk", "sk"]).select("record_key", "amount")
 
 
-@query(with_views("items", body="SELECT count(*) AS rows_a, CAST(sum(amount) AS BIGINT) AS bytes_a, count(*) AS rows_b, CAST(sum(amount) AS BIGINT) AS bytes_b, true AS same FROM items WHERE pk = 5"))
+@query(with_views("items", more="a AS (SELECT count(*) AS rows_a, CAST(sum(amount) AS BIGINT) AS bytes_a FROM items WHERE pk = 5), b AS (SELECT count(*) AS rows_b, CAST(sum(amount) AS BIGINT) AS bytes_b FROM items WHERE pk > 4 AND pk < 6)", body="SELECT *, rows_a = rows_b AND bytes_a = bytes_b AS same FROM a, b"))
 def sql_parity(spark, sf):
     i = fx.items(spark, sf)
     by_sql = access.select_sql(spark, "SELECT * FROM {t} WHERE pk = :pk", {"pk": 5}, t=i)
@@ -174,25 +178,61 @@ def scan_totals(spark, sf):
     return segments.scan_summary(per)
 
 
-@query(with_views("tasks", body="SELECT seq, record_key, true AS has_more, 1050 AS next_after FROM tasks WHERE seq > 1000 ORDER BY seq LIMIT 50"))
+@query(with_views("tasks", more="m AS (SELECT seq, record_key FROM tasks WHERE seq > 1000), p AS (SELECT * FROM m ORDER BY seq LIMIT 50)", body="SELECT seq, record_key, (SELECT count(*) FROM m) > 50 AS has_more, (SELECT max(seq) FROM p) AS next_after FROM p"))
 def keyset_page(spark, sf):
-    return segments.keyset_page(fx.tasks(spark, sf), "seq", 1000, 50).select("seq", "record_key", "has_more", F.col("next_after").cast("int").alias("next_after"))
+    return segments.keyset_page(fx.tasks(spark, sf), "seq", 1000, 50).select("seq", "record_key", "has_more", "next_after")
 
 
-@query("""WITH s AS (SELECT event_id % 400 AS run, CAST(floor(value) AS BIGINT) % 5 AS attempts, user_id AS elapsed, event_type <> 'error' AS valid, CASE WHEN event_id % 800 < 400 THEN 1 ELSE 0 END AS source FROM events WHERE event_id < 800)
-  SELECT run, CASE WHEN count(*) FILTER (valid) = 0 THEN 'LOST' ELSE 'OK' END AS status, arg_max(attempts, attempts * 1000000 + elapsed * 10 + source) FILTER (valid) AS attempts,
-  arg_max(elapsed, attempts * 1000000 + elapsed * 10 + source) FILTER (valid) AS elapsed, coalesce(arg_max(source, attempts * 1000000 + elapsed * 10 + source) FILTER (valid) = 1, false) AS history_complete FROM s GROUP BY run""")
+@query(with_views("tasks", more="m AS (SELECT seq, record_key FROM tasks WHERE seq > (SELECT max(seq) - 20 FROM tasks))", body="SELECT seq, record_key, (SELECT count(*) FROM m) > 50 AS has_more FROM m ORDER BY seq LIMIT 50"))
+def keyset_last_page(spark, sf):
+    t = fx.tasks(spark, sf)
+    return segments.keyset_page(t, "seq", t.agg(F.max("seq")).first()[0] - 20, 50).select("seq", "record_key", "has_more")
+
+
+_SAVED = """s AS (SELECT event_id // 2 AS run, event_id % 2 AS side, user_id % 3 <> 0 AS there, event_type <> 'error' AS valid, CAST(floor(value) AS BIGINT) % 5 AS attempts, user_id % 50 AS elapsed FROM events),
+  p AS (SELECT * FROM s WHERE side = 0 AND there), b AS (SELECT * FROM s WHERE side = 1 AND there),
+  j AS (SELECT r.run, p.run IS NULL AND b.run IS NULL AS never, coalesce(p.valid, false) AS p_ok, coalesce(b.valid, false) AS b_ok, p.attempts AS pa, p.elapsed AS pe, b.attempts AS ba, b.elapsed AS be FROM (SELECT DISTINCT run FROM s) r LEFT JOIN p USING (run) LEFT JOIN b USING (run)),
+  c AS (SELECT *, CASE WHEN NOT p_ok AND NOT b_ok THEN CASE WHEN never THEN 'NONE' ELSE 'LOST' END WHEN NOT p_ok THEN 'BACKUP' WHEN NOT b_ok OR pa > ba OR pa = ba AND pe >= be THEN 'PRIMARY' ELSE 'BACKUP' END AS source FROM j)"""
+
+
+@query(f"""WITH {_SAVED} SELECT run, source, CASE source WHEN 'PRIMARY' THEN pa WHEN 'BACKUP' THEN ba ELSE 0 END AS attempts, CASE source WHEN 'PRIMARY' THEN pe WHEN 'BACKUP' THEN be ELSE 0 END AS elapsed, source IN ('PRIMARY', 'NONE') AS history_complete FROM c""")
 def merge_run_state(spark, sf):
-    e = fx.table(spark, sf, "events").where("event_id < 800")
-    s = e.select((F.col("event_id") % 400).alias("run"), (F.col("value").cast("bigint") % 5).alias("attempts"), F.col("user_id").alias("elapsed"), (F.col("event_type") != "error").alias("valid"), F.col("event_id"))
-    first, second = (s.where(c).drop("event_id") for c in ("event_id % 800 < 400", "event_id % 800 >= 400"))
-    return segments.merge_run_state(first, second)
+    """Each pair of events is a run: the even one its primary state, the odd one its backup; some were never saved, some can't be read."""
+    e = fx.table(spark, sf, "events")
+    run = F.floor(F.col("event_id") / 2).cast("bigint").alias("run")
+    saved = e.where("user_id % 3 <> 0").select("event_id", run, (F.col("value").cast("bigint") % 5).alias("attempts"), (F.col("user_id") % 50).alias("elapsed"), (F.col("event_type") != "error").alias("valid"))
+    first, second = (saved.where(c).drop("event_id") for c in ("event_id % 2 = 0", "event_id % 2 = 1"))
+    return segments.merge_run_state(first, second, e.select(run).distinct())
+
+
+@query(with_views("items", more=_CUR, body="SELECT segment, cursor, completed, 16 AS total, 'items' AS of_table FROM cur"))
+def valid_cursors(spark, sf):
+    found = segments.segment_cursors(_paged(spark, sf), 9, "record_key").select("segment", "cursor", "completed", F.lit(16).alias("total"), F.lit("items").alias("of_table"))
+    return segments.validate_cursors(found, total=16, of_table="items")
+
+
+@query(with_views("items", more=_PAGED + """, c AS (SELECT segment, page < 9 AS early, count(DISTINCT page) AS pages, count(*) AS examined, count(*) FILTER (status = 'PENDING') AS returned, sum(amount) AS bytes FROM paged GROUP BY 1, 2)""",
+   body="SELECT CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(examined) AS BIGINT) AS examined, CAST(sum(returned) AS BIGINT) AS returned, CAST(sum(bytes) AS BIGINT) AS bytes, (SELECT count(*) FROM items) = sum(examined) AS completed FROM c"))
+def resume_totals(spark, sf):
+    """Two attempts of every segment: the first stopped at its page budget, the second ended the segment."""
+    attempts = _paged(spark, sf).groupBy("segment", (F.col("page") < 9).alias("early")).agg(
+        F.count_distinct("page").alias("pages"), F.count("*").alias("examined"), F.count_if(F.col("status") == "PENDING").alias("returned"), F.sum("amount").alias("bytes"), F.lit(True).alias("completed"), F.lit(1.0).alias("elapsed"), F.lit(True).alias("history_complete")
+    )
+    return segments.resume_totals(attempts, fx.items(spark, sf).count()).drop("elapsed")
+
+
+_SHARED = "SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_keys, count(*) FILTER (segments > 1) AS shared_keys FROM (SELECT {0}, count(*) AS n, count(DISTINCT segment) AS segments FROM seg GROUP BY 1)"
 
 
-@query(with_views("items", more=_SEG, body="SELECT count(*) AS n_rows, count(DISTINCT record_key) AS n_keys, 0 AS shared_keys FROM seg"))
+@query(with_views("items", more=_SEG, body=_SHARED.format("record_key")))
 def segment_disjoint(spark, sf):
-    out = quality.segment_disjoint(segments.with_segment(fx.items(spark, sf), "record_key", 16), ["record_key"])
-    return out.withColumn("shared_keys", F.col("shared_keys").cast("int"))
+    return quality.segment_disjoint(segments.with_segment(fx.items(spark, sf), "record_key", 16), ["record_key"])
+
+
+@query(with_views("items", more=_SEG, body=_SHARED.format("pk")))
+def segment_overlap(spark, sf):
+    """By a key that isn't the segments' own, keys lie in several of them."""
+    return quality.segment_disjoint(segments.with_segment(fx.items(spark, sf), "record_key", 16), ["pk"])
 
 
 # Planning ----------------------------------------------------------------------------------------
@@ -237,20 +277,25 @@ def _frame(c):
     return f"(lpad(lower(printf('%x', length({c}))), 8, '0') || {c})"
 
 
-_SEAL = f"""b AS (SELECT substr(sha256(record_key), 1, 3) AS b, sha256(string_agg({_frame('record_key')} || {_frame('priority')}, '' ORDER BY record_key)) AS h, count(*) AS n
-   FROM items WHERE status = 'PENDING' GROUP BY 1)"""
+_SEAL = f"""c AS (SELECT substr(sha256(record_key), 1, 6) AS b, sha256({_frame('record_key')} || {_frame('priority')}) AS h FROM items WHERE status = 'PENDING'),
+   six AS (SELECT b, b || sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM c GROUP BY b),
+   three AS (SELECT substr(b, 1, 3) AS b, substr(b, 1, 3) || sha256(string_agg(h, '' ORDER BY h)) AS h, sum(n) AS n FROM six GROUP BY substr(b, 1, 3)),
+   root AS (SELECT sha256(string_agg(h, '' ORDER BY h)) AS h, CAST(sum(n) AS BIGINT) AS n FROM three)"""
 _HEAD = "".join(f" || '{len(x):08x}{x}'" for x in ("repair", "v1", "team"))[4:]
-_HASH = f"sha256({_HEAD} || string_agg(b || h, '' ORDER BY b))"
+_HASH = f"sha256({_HEAD} || h)"
 
 
-@query(with_views("items", more=_SEAL, body=f"SELECT {_HASH} AS hash, CAST(sum(n) AS BIGINT) AS n FROM b"))
+@query(with_views("items", more=_SEAL, body=f"SELECT {_HASH} AS hash, n FROM root"))
 def plan_seal(spark, sf):
     return planning.seal_plan(access.select_pending(fx.items(spark, sf)), "repair", "v1", "team", payload="priority")
 
 
-@query(with_views("items", more=_SEAL, body=f"SELECT {_HASH} AS hash, CAST(sum(n) AS BIGINT) AS n, false AS approved FROM b"))
+@query(with_views("items", more=_SEAL, body=f"SELECT 'sealed' AS plan, {_HASH} AS hash, n, {_HASH} = {_HASH} AS approved FROM root UNION ALL SELECT 'other', {_HASH}, n, {_HASH} = repeat('0', 64) FROM root"))
 def plan_verify(spark, sf):
-    return planning.verify_plan(access.select_pending(fx.items(spark, sf)), "0" * 64, "repair", "v1", "team", payload="priority")
+    plan = access.select_pending(fx.items(spark, sf))
+    sealed = planning.seal_plan(plan, "repair", "v1", "team", payload="priority").first()["hash"]
+    verified = [planning.verify_plan(plan, x, "repair", "v1", "team", payload="priority").select(F.lit(n).alias("plan"), "hash", "n", "approved") for n, x in (("sealed", sealed), ("other", "0" * 64))]
+    return verified[0].union(verified[1])
 
 
 @query(with_views("items", body="SELECT record_key, 'UPDATE' AS action, status AS status_before, 'SETTLED' AS status_after, CAST(version AS VARCHAR) AS version_before, CAST(version + 1 AS VARCHAR) AS version_after FROM items WHERE status = 'PENDING'"))
@@ -259,9 +304,13 @@ def proposals(spark, sf):
     return p.select("record_key", "action", *[F.col(s)[c].alias(f"{c}_{s}") for c in ("status", "version") for s in ("before", "after")])
 
 
-@query(with_views("items", body="""SELECT greatest(20000, count(*)) AS located, count(*) AS candidates, greatest(0, greatest(20000, count(*)) - count(*)) AS ignored, count(*) AS proposed_changes, count(*) * 9 AS estimated_calls FROM items WHERE status = 'PENDING'"""))
+@query(with_views("items", more="p AS (SELECT * FROM items WHERE status = 'PENDING'), s AS (SELECT * FROM p ORDER BY record_key LIMIT 4)", body="""SELECT greatest(20000, count(*)) AS located, count(*) AS candidates, greatest(0, greatest(20000, count(*)) - count(*)) AS ignored, count(*) AS proposed_changes, count(*) * 9 AS estimated_calls,
+   CAST(20000 AS BIGINT) AS scanned, 'items,queue' AS resources, (SELECT string_agg(substr(sha256(record_key), 1, 16) || ' UPDATE ' || version || '>' || (version + 1), ',' ORDER BY record_key) FROM s) AS samples FROM p"""))
 def dry_run_summary(spark, sf):
-    return planning.dry_run_summary(access.select_pending(fx.items(spark, sf)), 20000, "repair")
+    out = planning.dry_run_summary(access.select_pending(fx.items(spark, sf)), 20000, "repair", sample=4, resources=("items", "queue"))
+    of = lambda x, side: F.get_json_object(x[side], "$.version")
+    shown = F.transform("samples", lambda x: F.concat(x["record"], F.lit(" "), x["action"], F.lit(" "), of(x, "before"), F.lit(">"), of(x, "after")))
+    return out.select("located", "candidates", "ignored", "proposed_changes", "estimated_calls", "usage.scanned", F.array_join("resources", ",").alias("resources"), F.array_join(shown, ",").alias("samples"))
 
 
 @query(with_views("tasks", body="SELECT seq, substr(sha256(record_key), 1, 16) AS record_key FROM tasks WHERE seq > 500 ORDER BY seq LIMIT 40"))
@@ -301,6 +350,13 @@ def contiguity(spark, sf):
     return planning.contiguity(chunks, 15000, 1000)
 
 
+@query("SELECT o_custkey AS job, CAST(1000 * row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS cursor FROM orders")
+def contiguous_chunks(spark, sf):
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    chunks = fx.table(spark, sf, "orders").select(F.col("o_custkey").alias("job"), (1000 * place).cast("bigint").alias("cursor"))
+    return planning.check_contiguity(chunks, 1 << 40, 1000)
+
+
 # Changing ----------------------------------------------------------------------------------------
 
 _CHG = "chg AS (SELECT 'payment-' || lpad(CAST(o_orderkey + CASE WHEN o_orderkey % 50 = 0 THEN 90000000 ELSE 0 END AS VARCHAR), 8, '0') AS record_key, 1 + o_orderkey % 2 AS expected_version, 'PENDING' AS expected_status, 'SETTLED' AS new_status FROM orders WHERE o_orderkey % 5 = 0)"
@@ -338,13 +394,13 @@ def conditional_delete(spark, sf):
 
 
 _ACT = """act AS (SELECT 'txn-' || (o_orderkey // 4) AS txn, 'payment-' || lpad(CAST(o_orderkey + CASE WHEN o_orderkey % 4 = 3 THEN 90000000 ELSE 0 END AS VARCHAR), 8, '0') AS record_key,
-  CASE o_orderkey % 4 WHEN 0 THEN 'update' WHEN 1 THEN 'delete' WHEN 2 THEN 'check' ELSE 'put' END AS kind, CASE WHEN o_orderkey % 7 = 0 THEN 9 ELSE 1 + o_orderkey % 3 END AS expected_version, 'MATCH' AS new_status FROM orders WHERE o_orderkey < 12000)"""
+  CASE o_orderkey % 4 WHEN 0 THEN 'update' WHEN 1 THEN 'delete' WHEN 2 THEN 'check' ELSE 'put' END AS kind, CASE WHEN o_orderkey % 7 = 0 THEN 9 ELSE 1 + o_orderkey % 3 END AS expected_version, 'MATCH' AS new_status FROM orders)"""
 
 
 def _actions(spark, sf):
     k = F.col("o_orderkey")
     kinds = F.array(*[F.lit(x) for x in ("update", "delete", "check", "put")])
-    return fx.table(spark, sf, "orders").where(k < 12000).select(
+    return fx.table(spark, sf, "orders").select(
         F.concat(F.lit("txn-"), F.floor(k / 4).cast("string")).alias("txn"), fx._key(k + F.when(k % 4 == 3, 90000000).otherwise(0)).alias("record_key"), F.element_at(kinds, (k % 4 + 1).cast("int")).alias("kind"), F.when(k % 7 == 0, 9).otherwise(1 + k % 3).alias("expected_version"), F.lit("MATCH").alias("new_status")
     )
 
@@ -393,12 +449,42 @@ def repair_items(spark, sf):
     return _repaired(spark, sf)[0].select("record_key", "status", "version", "opsMarker")
 
 
-@query(with_views("items", "confirmations", more=_REP, body="SELECT record_key, CASE WHEN CAST(substr(record_key, 9) AS BIGINT) % 6 = 0 THEN 'CONFLICT' ELSE 'COMPENSATED' END AS outcome FROM rep WHERE outcome = 'REPAIRED'"))
-def compensate_outcomes(spark, sf):
+@query(with_views("items", "confirmations", more=_REP + ", x AS (SELECT *, CAST(substr(record_key, 9) AS BIGINT) % 5 AS v FROM rep)", body="SELECT record_key, CASE WHEN outcome = 'REPAIRED' AND v = 0 THEN 'FUNCTION_ERROR' WHEN outcome = 'REPAIRED' AND v = 1 THEN 'BUSINESS_REJECTED' ELSE outcome END AS outcome FROM x"))
+def repair_validated(spark, sf):
+    i = fx.items(spark, sf)
+    now = i.withColumn("version", F.when(F.col("sk") % 11 == 0, F.col("version") + 1).otherwise(F.col("version")))
+    said = F.element_at(F.array(*map(F.lit, ("FUNCTION_ERROR", "BUSINESS_REJECTED", "ACCEPTED"))), (F.col("sk") % 5 + 1).cast("int"))
+    validations = i.where("sk % 5 < 3").select("record_key", said.alias("verdict"))
+    return mutate.repair(i, fx.confirmations(spark, sf), "job-9", now, validations=validations)[1].select("record_key", "outcome")
+
+
+def _compensated(spark, sf):
+    """Of the repaired items, some have changed since and some are gone."""
     new, outcomes = _repaired(spark, sf)
-    planned = outcomes.where("outcome = 'REPAIRED'").select("record_key", F.col("new_version").alias("version"))
-    touched = new.withColumn("version", F.when(F.col("sk") % 6 == 0, F.col("version") + 1).otherwise(F.col("version")))
-    return mutate.compensate(touched, planned, "job-9", "job-10")[1]
+    planned = new.join(outcomes.where("outcome = 'REPAIRED'").select("record_key"), "record_key", "left_semi").select("record_key", "version", "opsMarker", "opsPreviousStatus")
+    touched = new.where("sk % 35 <> 0").withColumn("version", F.when(F.col("sk") % 6 == 0, F.col("version") + 1).otherwise(F.col("version")))
+    return mutate.compensate(touched, planned, "job-9", "job-10")
+
+
+@query(with_views("items", "confirmations", more=_REP + ", x AS (SELECT *, CAST(substr(record_key, 9) AS BIGINT) AS k FROM rep)", body="SELECT record_key, CASE WHEN k % 6 = 0 OR k % 35 = 0 THEN 'CONFLICT' ELSE 'COMPENSATED_DATA_ONLY' END AS outcome FROM x WHERE outcome = 'REPAIRED'"))
+def compensate_outcomes(spark, sf):
+    return _compensated(spark, sf)[1]
+
+
+@query(with_views("items", "confirmations", more=_REP, body="""SELECT n.record_key, CASE WHEN n.sk % 6 <> 0 THEN 'PENDING' ELSE 'SETTLED' END AS status, CASE WHEN n.sk % 6 <> 0 THEN 'job-10:' ELSE 'job-9:' END || n.record_key AS "opsMarker", CASE WHEN n.sk % 6 = 0 THEN 'PENDING' END AS "opsPreviousStatus", n.version + 2 AS version
+   FROM now n JOIN rep r USING (record_key) WHERE r.outcome = 'REPAIRED' AND n.sk % 35 <> 0"""))
+def compensate_items(spark, sf):
+    return _compensated(spark, sf)[0].where("opsMarker is not null").select("record_key", "status", "opsMarker", "opsPreviousStatus", "version")
+
+
+@query(with_views("items", "confirmations", more=_REP, body="SELECT record_key FROM rep WHERE outcome = 'REPAIRED'"))
+def marked_items(spark, sf):
+    return access.select_marked(_repaired(spark, sf)[0], "job-9").select("record_key")
+
+
+@query(with_views("items", body="SELECT record_key, version FROM items"))
+def guarded_versions(spark, sf):
+    return mutate.version_guard(fx.items(spark, sf)).select("record_key", "version")
 
 
 @query(with_views("items", "confirmations", more=_REP, body="""SELECT 'job-9:' || record_key AS "eventId", record_key AS "paymentId", 'PENDING' AS "deliveryState", new_version AS version,
@@ -442,6 +528,14 @@ def classify_http(spark, sf):
     return mutate.classify_http(log, 3).select("event_id", "outcome")
 
 
+@query("""WITH l AS (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS attempt, list_extract([200,429,503,404], event_id % 4 + 1) AS code, event_id % 90 AS wait FROM events)
+   SELECT event_id, attempt, CASE code WHEN 200 THEN 'OK' WHEN 404 THEN 'REJECT' ELSE CASE WHEN attempt >= 3 OR wait > 60 THEN 'PAUSED' ELSE 'RETRY' END END AS outcome FROM l""")
+def classify_calls(spark, sf):
+    k = F.col("event_id")
+    log = fx.table(spark, sf, "events").select("event_id", F.concat_ws("/", "user_id", "event_type").alias("call"), F.element_at(F.array(*[F.lit(x) for x in (200, 429, 503, 404)]), (k % 4 + 1).cast("int")).alias("status_code"), (k % 90).alias("retry_after"))
+    return mutate.classify_calls(log, "call", ["event_id"], 3, 60).select("event_id", "attempt", "outcome")
+
+
 # Ledger ------------------------------------------------------------------------------------------
 
 _HIST = """hist AS (SELECT job, task, step, state, count(*) OVER (PARTITION BY job, task, step) AS changes FROM effect_events QUALIFY row_number() OVER (PARTITION BY job, task, step ORDER BY seen DESC, part DESC, state DESC) = 1)"""
@@ -547,12 +641,12 @@ def masked_report(spark, sf):
     return select_columns(ledger.report_rows(fx.tasks(spark, sf)), "sequence,record,state,outcome")
 
 
-@query(with_views("tasks", body=f"SELECT seq, record_key, outcome, true AS has_more FROM tasks WHERE outcome IN {_ERR} AND seq > 700 OR outcome = 'CONFLICT' AND seq > 700 ORDER BY seq LIMIT 60"))
+@query(with_views("tasks", body=f"SELECT seq, record_key, outcome, (SELECT count(*) FROM tasks WHERE (outcome IN {_ERR} OR outcome = 'CONFLICT') AND seq > 700) > 60 AS has_more FROM tasks WHERE outcome IN {_ERR} AND seq > 700 OR outcome = 'CONFLICT' AND seq > 700 ORDER BY seq LIMIT 60"))
 def error_page(spark, sf):
     return ledger.error_page(fx.tasks(spark, sf), 700, 60).select("seq", "record_key", "outcome", "has_more")
 
 
-@query("SELECT event_id AS seq, event_type, true AS has_more FROM events WHERE event_id > 250 ORDER BY 1 LIMIT 25")
+@query("SELECT event_id AS seq, event_type, (SELECT count(*) FROM events WHERE event_id > 250) > 25 AS has_more FROM events WHERE event_id > 250 ORDER BY 1 LIMIT 25")
 def audit_page(spark, sf):
     a = fx.table(spark, sf, "events").select(F.col("event_id").alias("seq"), "event_type")
     return ledger.audit_page(a, 250, 25).select("seq", "event_type", "has_more")
@@ -580,9 +674,15 @@ def expire_payloads(spark, sf):
 # Functions ---------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '^[ ]*[=+@-]|^[\\t\\r\\n]') THEN '''' || text ELSE text END AS text FROM documents")
+_LED = "list_extract(['', ' ', chr(9), chr(11), ' ' || chr(9), chr(8195), chr(160), chr(28)], doc_id % 8 + 1) || CASE WHEN doc_id % 3 = 0 THEN '=' ELSE '' END || text"
+_FORMULA = r"'^[\t\n\x0B\f\r\x1C-\x1F \x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}]*[=+@-]|^[\t\r\n]'"
+
+
+@query(f"WITH t AS (SELECT doc_id, {_LED} AS text FROM documents) SELECT doc_id, CASE WHEN regexp_matches(text, {_FORMULA}) THEN '''' || text ELSE text END AS text FROM t")
 def csv_safe_text(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", S.csv_safe("text").alias("text"))
+    led = F.element_at(F.array(*map(F.lit, ("", " ", "\t", "\x0b", " \t", " ", "\xa0", "\x1c"))), (F.col("doc_id") % 8 + 1).cast("int"))
+    text = F.concat(led, F.when(F.col("doc_id") % 3 == 0, "=").otherwise(""), F.col("text"))
+    return fx.table(spark, sf, "documents").select("doc_id", S.csv_safe(text).alias("text"))
 
 
 @query("""WITH m AS (SELECT o_orderkey, md5('job:' || o_orderkey) AS m FROM orders) SELECT o_orderkey, substr(m,1,8) || '-' || substr(m,9,4) || '-3' || substr(m,14,3) || '-' || printf('%02x', (CAST('0x' || substr(m,17,2) AS INT) & 63) | 128) || substr(m,19,2) || '-' || substr(m,21,12) AS uuid FROM m""")
@@ -608,9 +708,34 @@ def names_and_times(spark, sf):
     return fx.table(spark, sf, "orders").select("o_orderkey", S.tenant(k, True, 100).alias("tenant"), S.normalize_principal(arn).alias("principal"), S.epoch_to_ts(k).cast("timestamp_ntz").alias("at"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN d = 0 THEN 1 ELSE (length(rtrim(CAST(d AS VARCHAR), '0')) + 1) // 2 + 1 END AS n FROM (SELECT o_orderkey, o_orderkey * 10 AS d FROM orders)""")
+_TEXTS = "list_extract([(k * 10) || '', '-' || (k * 100), k || '.50', '0.00' || k, k || 'E3', '-0.0' || k || '0'], k % 6 + 1)"
+_DIGITS = f"""t AS (SELECT k, {_TEXTS} AS t FROM (SELECT o_orderkey AS k FROM orders)), m AS (SELECT k, t[1:1] = '-' AS neg, split_part(t, 'E', 1) AS m, CASE WHEN contains(t, 'E') THEN CAST(split_part(t, 'E', 2) AS BIGINT) ELSE 0 END AS e FROM t),
+  d AS (SELECT k, neg, e - CASE WHEN contains(m, '.') THEN length(split_part(m, '.', 2)) ELSE 0 END AS e, ltrim(replace(replace(m, '-', ''), '.', ''), '0') AS d FROM m),
+  n AS (SELECT k, neg, e + length(d) - length(rtrim(d, '0')) AS e, rtrim(d, '0') AS d FROM d), p AS (SELECT k, neg, d, (length(d) + abs(length(d) + e) % 2 + 1) // 2 AS pairs FROM n)"""
+
+
+@query(f"WITH {_DIGITS} SELECT k AS o_orderkey, CASE WHEN d = '' THEN 1 ELSE pairs + 1 + CASE WHEN neg AND pairs < 20 THEN 1 ELSE 0 END END AS n FROM p")
 def number_lengths(spark, sf):
-    return fx.table(spark, sf, "orders").select("o_orderkey", S.number_len((F.col("o_orderkey") * 10).cast("string")).alias("n"))
+    k, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    texts = ((k * 10).cast("string"), F.concat(F.lit("-"), (k * 100).cast("string")), F.concat(text, F.lit(".50")), F.concat(F.lit("0.00"), text), F.concat(text, F.lit("E3")), F.concat(F.lit("-0.0"), text, F.lit("0")))
+    return fx.table(spark, sf, "orders").select("o_orderkey", S.number_len(F.element_at(F.array(*texts), (k % 6 + 1).cast("int"))).alias("n"))
+
+
+@query("""WITH n AS (SELECT *, CASE WHEN c_custkey = 0 THEN 1 ELSE (length(rtrim(c_custkey || '', '0')) + length(c_custkey || '') % 2 + 1) // 2 + 1 END AS num FROM customer)
+  SELECT c_custkey, 9 + num + 6 + strlen(c_name) + 4 + strlen(c_mktsegment) + 2 + 5 + 3 + 2 + 2 + strlen(c_name) + 1 + 3 + 1 + num + 1 + 3 + strlen(c_mktsegment) + 1 AS bytes FROM n""")
+def item_sizes(spark, sf):
+    """Names and values: a number, a text, a set, a list of two texts, a structure of a number and a text."""
+    c = fx.table(spark, sf, "customer").select(
+        "c_custkey", "c_name", F.array("c_mktsegment", F.lit("xy")).alias("tags"), F.array("c_name", F.lit("ab")).alias("flags"), F.struct(F.col("c_custkey").alias("n"), F.col("c_mktsegment").alias("seg")).alias("m")
+    )
+    return c.select("c_custkey", S.item_size(c.schema, sets=("tags",)).alias("bytes"))
+
+
+@query("SELECT event_id, base64(CAST(props AS BLOB)) AS coded, props AS decoded FROM events")
+def attribute_codes(spark, sf):
+    value = F.struct(F.lit("Binary").alias("type"), F.lit(None).cast("string").alias("string"), F.col("props").cast("binary").alias("binary"))
+    coded = fx.table(spark, sf, "events").select("event_id", S.encode_attributes(F.create_map(F.lit("k"), value)).alias("m"))
+    return coded.select("event_id", F.col("m")["k"]["binary"].alias("coded"), S.decode_attributes("m")["k"]["binary"].cast("string").alias("decoded"))
 
 
 @query("SELECT c_custkey, 9 + length(CAST(c_custkey AS VARCHAR)) + 6 + strlen(c_name) + 12 + strlen(c_mktsegment) AS bytes FROM customer")
@@ -742,21 +867,168 @@ def semantic_diff(spark, sf):
     return quality.semantic_diff(o, other, ("tags",)).agg(F.count("*").alias("n_different"), F.sum("n_a").alias("n_rows"))
 
 
-@query()
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS note, 'a,b' AS tags, o_custkey AS of_customer, 0 AS n_bad FROM orders")
 def typed_items_round_trip(spark, sf):
-    from ledgerline.sources.items import parse_typed_items, to_typed_items
+    """Rows as typed documents and back: a number, texts, an absent one, a set, a structure."""
+    note = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("note")
+    o = fx.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", note, F.array(F.lit("b"), F.lit("a"), F.lit("b")).alias("tags"), F.struct("o_custkey", "o_orderpriority").alias("incident"))
+    back = items_source.parse_typed_items(items_source.to_typed_items(o), "document", o.schema)
+    return back.select("o_orderkey", "o_orderstatus", "note", F.array_join("tags", ",").alias("tags"), F.col("incident.o_custkey").alias("of_customer"), F.size("bad_numbers").alias("n_bad"))
 
-    o = fx.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.array(F.lit("b"), F.lit("a")).alias("tags"), F.struct("o_custkey", "o_orderpriority").alias("incident"))
-    return parse_typed_items(to_typed_items(o), "document", o.schema).select(*o.columns, "bad_numbers")
 
+_N = "n AS (SELECT o_orderkey AS n, CASE WHEN o_orderkey % 100 = 0 THEN 'MATCH' WHEN o_orderkey % 2 = 0 THEN 'PENDING' ELSE 'SETTLED' END AS status, printf('%016x', o_orderkey) AS x, printf('2026-09-%02dT%02d', o_orderkey % 28 + 1, o_orderkey % 24) AS hour FROM orders)"
 
-@query()
+
+@query(f"""WITH {_N} SELECT printf('tenant-%05d', CASE WHEN n % 10 < 8 THEN 0 ELSE n % 1000 END) AS pk, printf('record-%012d', n) AS sk, status, 'category-' || (n % 50) AS category, CAST(1 AS BIGINT) AS version, 'txn-' || x AS "transactionId",
+  printf('pay-%014d', n) AS "paymentId", printf('customer-%07d', n % 10000000) AS "customerId", printf('acct-%08d', n % 100000000) AS "accountId", printf('%011d', n % 99999999999) AS document, n % 5000000 + 100 AS amount, 'BRL' AS currency,
+  list_extract(['API', 'BATCH', 'MOBILE', 'BRANCH'], n % 4 + 1) AS channel, printf('product-%02d', n % 24) AS "productCode", hour || ':00:00Z' AS "createdAt", hour || ':30:00Z' AS "updatedAt", n % 7 <> 0 AS active, n % 4 AS "retryCount",
+  'flow-' || (n % 5) || ',tag-' || (n % 8) AS tags, CASE WHEN n % 10000 = 0 THEN 'incident-needle' ELSE 'corr-' || x END AS "correlationId", 'trace-' || x AS "traceId", printf('system-%02d', n % 12) AS "sourceSystem",
+  list_extract(['PAYMENT', 'REVERSAL', 'RECONCILIATION'], n % 3 + 1) AS operation, n % 5 + 1 AS priority, printf('%03d', n % 999) AS "bankCode", printf('%04d', n % 10000) AS branch, printf('%08d', n % 100000000) AS account, list_extract(['SP', 'RJ', 'MG', 'PR'], n % 4 + 1) AS region,
+  printf('counterparty-%05d', n % 100000) AS name, printf('%011d', n * 17 % 99999999999) AS other_document, CASE WHEN n % 3 = 0 THEN 'LEGAL' ELSE 'PERSON' END AS type, CAST(3 AS BIGINT) AS "schemaVersion", 'performance-lab' AS origin, 'audited,replayable' AS flags, 512 AS payload FROM n""")
 def generated_items(spark, sf):
-    """As many items as there are orders, checked against themselves made anew."""
-    from ledgerline.sources.items import item_columns
+    """The item of every order's number, its structures laid flat."""
+    i = fx.table(spark, sf, "orders").select(*items_source.item_columns(F.col("o_orderkey"), "rich-skewed"))
+    flat = [c for c in i.columns if c not in ("tags", "incident", "routing", "counterparty", "history", "metadata", "payload")]
+    return i.select(
+        *flat, F.array_join("tags", ",").alias("tags"), "incident.*", "routing.*", "counterparty.name", F.col("counterparty.document").alias("other_document"), "counterparty.type", "metadata.schemaVersion", "metadata.origin", F.array_join("metadata.flags", ",").alias("flags"), F.length("payload").alias("payload")
+    )
+
 
-    stored = fx.table(spark, sf, "orders").select(*item_columns(F.col("o_orderkey"), "rich-skewed"))
-    return quality.check_generated(stored, "rich-skewed", fx.table(spark, sf, "orders").count())
+@query(f"WITH {_N} SELECT printf('record-%012d', n) AS sk, 0 AS place, 'CREATED' AS state, make_timestamp((1700000000 + n) * 1000000) AS at FROM n UNION ALL SELECT printf('record-%012d', n), 1, status, make_timestamp((1700000060 + n) * 1000000) FROM n")
+def item_histories(spark, sf):
+    i = fx.table(spark, sf, "orders").select(*items_source.item_columns(F.col("o_orderkey"), "rich-uniform"))
+    return items_source.history_rows(i, ["sk"]).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("SELECT CAST(2 * count(*) FILTER (o_orderkey % 9 = 0) AS BIGINT) AS different, CAST(sum(CASE WHEN o_orderkey % 9 = 0 THEN 3 ELSE 0 END) AS BIGINT) AS more_bytes FROM orders")
+def generated_check(spark, sf):
+    """As many items as there are orders against themselves made anew; every ninth has a longer currency."""
+    stored = fx.table(spark, sf, "orders").select("o_orderkey", *items_source.item_columns(F.col("o_orderkey"), "hot-key"))
+    stored = stored.withColumn("currency", F.when(F.col("o_orderkey") % 9 == 0, "BRL/01").otherwise(F.col("currency"))).drop("o_orderkey")
+    out = quality.check_generated(stored, "hot-key", fx.table(spark, sf, "orders").count())
+    return out.select("different", (F.col("stored_bytes") - F.col("made_bytes")).alias("more_bytes"))
+
+
+@query("SELECT o_orderkey AS n FROM orders WHERE o_orderkey % 700 = 0")
+def missing_needles(spark, sf):
+    """Needles that are due at every hundredth number, of which every seventh isn't stored."""
+    n = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("n"))
+    return quality.check_needles(n.where("n % 700 <> 0"), n.where("n % 100 = 0"), "n")
+
+
+@query("SELECT count(*) AS n_rows FROM orders")
+def cardinality(spark, sf):
+    o = fx.table(spark, sf, "orders")
+    return quality.check_cardinality(o, o.count())
+
+
+@query(with_views("items", body="SELECT record_key, priority FROM items"))
+def limits_kept(spark, sf):
+    return access.enforce_limits(fx.items(spark, sf), payload="priority").select("record_key", "priority")
+
+
+@query(with_views("items", "confirmations", body="SELECT record_key, c.reference IS NOT NULL AS there, c.reference IS NULL AS missing FROM items i LEFT JOIN confirmations c ON c.reference = i.record_key"))
+def attribute_presence(spark, sf):
+    joined = fx.items(spark, sf).join(fx.confirmations(spark, sf).select("reference"), F.col("record_key") == F.col("reference"), "left")
+    return joined.select("record_key", access.attribute_exists("reference").alias("there"), access.attribute_not_exists("reference").alias("missing"))
+
+
+# Files -------------------------------------------------------------------------------------------
+
+
+@query(with_views("items", body="SELECT record_key, status FROM items WHERE status <> 'MATCH'"))
+def stored_items(spark, sf):
+    """Two versions of an item table; its newest is read, two columns of it."""
+    path = new_path(spark, "items")
+    items_source.write_items(fx.items(spark, sf), path, 1)
+    items_source.write_items(fx.items(spark, sf).where("status <> 'MATCH'"), path, 2)
+    return items_source.read_items(spark, items_source.latest_path(spark, path), ["record_key", "status"])
+
+
+@query(with_views("tasks", body="SELECT seq, CASE WHEN (seq - 1) // 500 % 2 = 0 THEN 'again' ELSE state END AS state FROM tasks WHERE (seq - 1) // 500 < 20"))
+def stored_chunks(spark, sf):
+    """Chunks of a sequence, every other of which is written again."""
+    path, tasks = new_path(spark, "chunks"), fx.tasks(spark, sf).select("seq", "state")
+    sinks.write_chunks(tasks, path, 500)
+    sinks.write_chunks(tasks.where(F.floor((F.col("seq") - 1) / 500) % 2 == 0).withColumn("state", F.lit("again")), path, 500)
+    return sinks.read_chunks(spark, path, 20).select("seq", "state")
+
+
+@query(with_views("tasks", body="SELECT job, seq, job || ':' || record_key AS \"eventId\" FROM tasks WHERE outcome = 'REPAIRED'"))
+def stored_evidence(spark, sf):
+    path, done = new_path(spark, "evidence"), fx.tasks(spark, sf).where("outcome = 'REPAIRED'")
+    sinks.write_evidence(done.select("job", "seq", S.event_id("job", "record_key").alias("eventId")), path)
+    return spark.read.schema("seq bigint, eventId string, job string").json(path).select("job", "seq", "eventId")
+
+
+@query(with_views("effect_events", body="SELECT job, state, count(*) AS n FROM effect_events GROUP BY 1, 2"))
+def stored_ledger(spark, sf):
+    """A ledger that is appended to twice."""
+    path, e = new_path(spark, "ledger"), fx.effect_events(spark, sf)
+    for half in ("task % 2 = 0", "task % 2 = 1"):
+        sinks.append_ledger(e.where(half), path)
+    return ledger.effect_counts(spark.read.parquet(path))
+
+
+@query(with_views("tasks", body="""SELECT '"' || seq || '","' || substr(sha256(record_key), 1, 16) || '","' || state || '","' || outcome || '"' AS line FROM tasks"""))
+def stored_report(spark, sf):
+    path = new_path(spark, "report")
+    sinks.write_report_csv(ledger.report_rows(fx.tasks(spark, sf)), path, "sequence,record,state,outcome", header=False)
+    return spark.read.option("lineSep", "\r\n").text(path).select(F.col("value").alias("line"))
+
+
+@query(with_views("tasks", body="SELECT count(*) FILTER (state = 'PLANNED') AS planned_files, count(*) AS files FROM (SELECT DISTINCT state, payload FROM tasks)"))
+def stored_objects(spark, sf):
+    """One file for each state and payload, listed with their sizes."""
+    path = new_path(spark, "objects")
+    fx.tasks(spark, sf).select("seq", "state", "payload").repartition("state", "payload").write.partitionBy("state", "payload").parquet(path)
+    listed = items_source.object_inventory(spark, path, "*.parquet", 1).where("over_budget")
+    return listed.agg(F.count_if(F.col("path").contains("state=PLANNED")).alias("planned_files"), F.count("*").alias("files"))
+
+
+# Jobs --------------------------------------------------------------------------------------------
+
+
+class _Settle:
+    """Settles open items; those of every seventh customer fail."""
+
+    type, version = "settle", "v1"
+
+    def validate(self, request):
+        assert request["max_records"] > 0
+
+    def plan(self, items):
+        return access.select_pending(items).withColumn("payload", F.col("pk").cast("string"))
+
+    def proposal(self, candidates):
+        return planning.propose(candidates, "repair")
+
+    def execute(self, tasks):
+        return tasks.withColumn("outcome", F.when(F.col("payload").cast("bigint") % 7 == 0, "FAILED").otherwise("REPAIRED"))
+
+    def risks(self):
+        return list(planning.RISKS["repair"])
+
+    def calls(self):
+        return planning.CALLS["repair"]
+
+
+_RUN = """p AS (SELECT record_key, pk, row_number() OVER (ORDER BY record_key) AS seq FROM items WHERE status = 'PENDING'), b AS (SELECT *, (seq - 1) // 1000 AS page_no FROM p), f AS (SELECT page_no FROM (SELECT page_no, sum(count(*)) OVER (ORDER BY page_no) AS s FROM b GROUP BY 1) WHERE s <= 5000),
+  t AS (SELECT *, CASE WHEN pk % 7 = 0 THEN 'FAILED' ELSE 'REPAIRED' END AS outcome FROM b WHERE page_no IN (SELECT page_no FROM f) AND seq <= 2500), r AS (SELECT *, sum((outcome = 'FAILED')::INT) OVER (ORDER BY seq) AS e FROM t), k AS (SELECT min(seq) AS cut FROM r WHERE e > 300)"""
+
+
+@query(with_views("items", more=_RUN, body="SELECT record_key, seq, outcome, CASE WHEN cut IS NULL OR seq <= cut THEN 'DONE' ELSE 'PLANNED' END AS state FROM r, k"))
+def job_run(spark, sf):
+    """A whole run: its canary's outcomes, cut by the error budget."""
+    request = Request(max_records=5000, canary=2500, max_conflicts=10, max_errors=300, max_rate=1.0)
+    return run_job(_Settle(), fx.items(spark, sf), request, "team")["outcomes"].select("record_key", "seq", "outcome", "state")
+
+
+@query("SELECT count(*) AS items, CAST(0 AS BIGINT) + count(*) FILTER (o_orderkey < 0) AS failed_items FROM orders")
+def batched_items(spark, sf):
+    """Every order goes through a user's function in some batch."""
+    out = process_batches(fx.table(spark, sf, "orders").select("o_orderkey"), len, 500)
+    return metrics.batch_counters(out).select("items", "failed_items")
 
 
 # Streams -----------------------------------------------------------------------------------------
@@ -776,17 +1048,66 @@ def consume_idempotent(spark, sf):
     return streams.consume_batch(fx.messages(spark, sf))
 
 
+def _drained(spark, stream_of, name: str) -> DataFrame:
+    """What a stream gives by the time that it has read what is there; its state is kept in RocksDB."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    had = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        path = new_path(spark, name)
+        return streams.drain(stream_of(), path.rsplit("/", 1)[1], f"{path}/checkpoint", f"{path}/out")
+    finally:
+        spark.conf.set(setting, had)
+
+
+@query(with_views("messages", more=_FIRST, body="SELECT business_id, id, hash, CASE WHEN rn = 1 THEN 'NEW' WHEN hash = fh THEN 'DUPLICATE' ELSE 'CONFLICT' END AS delivery FROM f"))
+def consume_stream(spark, sf):
+    return _drained(spark, lambda: streams.consume_idempotent(fx.messages(spark, sf, stream=True)), "consumed")
+
+
 @query(with_views("messages", body="SELECT DISTINCT business_id AS id, 'replay' AS group_id, business_id AS dedup_id FROM messages"))
 def replay_dedup(spark, sf):
     return streams.replay(fx.messages(spark, sf).select(F.col("business_id").alias("id")), fifo=True)
 
 
-@query(with_views("messages", more="l AS (SELECT user_id AS id, arg_max(receipt, (receivedAt, receipt)) AS receipt, arg_max(leaseUntil, (receivedAt, receipt)) AS leaseUntil, max(receivedAt) + 60 AS now FROM messages GROUP BY 1)", body="SELECT CAST(id AS VARCHAR) AS id, receipt, leaseUntil AS \"leaseUntil\", CASE WHEN leaseUntil > now + 15 THEN 'VALID' ELSE 'NEEDS_RECEIVE' END AS lease FROM l"))
+@query(with_views("messages", body="SELECT id, 'replay' AS group_id, id AS dedup_id FROM messages"))
+def replay_stream(spark, sf):
+    """Every message is in the stream twice and sent once."""
+
+    def sent():
+        m = fx.messages(spark, sf, stream=True).select("id", "event_time", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+        return streams.replay(m, fifo=True).select("id", "group_id", "dedup_id")
+
+    return _drained(spark, sent, "replayed")
+
+
+_LEASES = """l AS (SELECT user_id AS id, arg_max(receipt, (receivedAt, receipt)) AS receipt, arg_max(leaseUntil, (receivedAt, receipt)) AS leaseUntil, max(receivedAt) + 60 AS now FROM messages GROUP BY 1)"""
+
+
+@query(with_views("messages", more=_LEASES, body="SELECT CAST(id AS VARCHAR) AS id, receipt, leaseUntil AS \"leaseUntil\", CASE WHEN leaseUntil > now + 15 THEN 'VALID' ELSE 'NEEDS_RECEIVE' END AS lease FROM l"))
 def lease_state(spark, sf):
     m = fx.messages(spark, sf).select(F.col("user_id").cast("string").alias("id"), "receipt", "receivedAt", "leaseUntil", (F.col("receivedAt") + 60).alias("now"))
     return streams.lease_batch(m, 15)
 
 
+@query(with_views("messages", more="d AS (SELECT id FROM messages WHERE CAST(id AS BIGINT) % 5 < 3)", body="SELECT id, false AS twice FROM d"))
+def acknowledged_stream(spark, sf):
+    """Outcomes are written before acknowledgements; conflicts aren't acknowledged."""
+    path, n = new_path(spark, "acks"), F.col("id").cast("bigint")
+    judged = fx.messages(spark, sf, stream=True).select("id", F.when(n % 5 < 3, "NEW").otherwise("CONFLICT").alias("delivery"))
+    streams.ack_after_durable(judged, f"{path}/outcomes", f"{path}/acks", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/acks").groupBy("id").agg((F.count("*") > 1).alias("twice"))
+
+
+@query(with_views("messages", body="SELECT business_id AS \"eventId\", count(DISTINCT business_id) AS sent FROM messages WHERE CAST(id AS BIGINT) % 4 <> 0 GROUP BY 1"))
+def published_stream(spark, sf):
+    """Pending events, which come several times, are delivered once."""
+    path = new_path(spark, "outbox")
+    box = fx.messages(spark, sf, stream=True).select(F.col("business_id").alias("eventId"), F.when(F.col("id").cast("bigint") % 4 == 0, "DELIVERED").otherwise("PENDING").alias("deliveryState"))
+    streams.publish_outbox(box, f"{path}/sent", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/sent").groupBy("eventId").agg(F.count("*").alias("sent"))
+
+
 @query(with_views("messages", body="SELECT id, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'NEW' WHEN CAST(id AS BIGINT) % 3 = 1 THEN 'DUPLICATE' ELSE 'CONFLICT' END AS delivery FROM messages"))
 def known_deliveries(spark, sf):
     m = fx.messages(spark, sf)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.functions.scalar import tenant
+from ledgerline.functions.scalar import epoch_to_ts, tenant
 
 #: Payload bytes, whether one tenant is hot, and number of tenants of each profile (fixed values).
 PROFILES = {
@@ -96,30 +96,74 @@ def to_typed_items(df: DataFrame, to: str = "document") -> DataFrame:
     return df.select(F.to_json(F.struct(*[_typed(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])).alias(to))
 
 
+#: Values that an item's sequence number picks in turn, and its fixed ones (fixed values).
+CHANNELS = ("API", "BATCH", "MOBILE", "BRANCH")
+OPERATIONS = ("PAYMENT", "REVERSAL", "RECONCILIATION")
+REGIONS = ("SP", "RJ", "MG", "PR")
+FLAGS = ("audited", "replayable")
+CURRENCY, ORIGIN, SCHEMA_VERSION, NEEDLE = "BRL", "performance-lab", 3, "incident-needle"
+#: Attributes that are sets of texts.
+ITEM_SETS = ("tags",)
+
+
 def item_columns(seq: Column, profile: str) -> list[Column]:
-    """The columns of the item with a sequence number; the same number always gives the same item."""
+    """The 25 attributes of the item with a sequence number; the same number always gives the same item."""
     payload, skewed, tenants = PROFILES[profile]
     n = seq.cast("bigint")
-    text = n.cast("string")
+    numbered = lambda prefix, value, width: F.format_string(f"{prefix}%0{width}d", value)
+    hexed = lambda prefix: F.format_string(f"{prefix}%016x", n)
+    turn = lambda values: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
     status = F.when(n % 100 == 0, "MATCH").when(n % 2 == 0, "PENDING").otherwise("SETTLED")
-    correlation = F.when(n % 10000 == 0, "needle").otherwise(F.concat(F.lit("corr-"), F.lpad(text, 10, "0")))
+    account = numbered("", n % 100_000_000, 8)
+    document = 99_999_999_999
+    hour = F.concat(numbered("2026-09-", n % 28 + 1, 2), numbered("T", n % 24, 2))
     return [
         tenant(n, skewed, tenants).alias("pk"),
-        F.concat(F.lit("item-"), F.lpad(text, 12, "0")).alias("sk"),
+        numbered("record-", n, 12).alias("sk"),
         status.alias("status"),
-        F.concat(F.lit("category-"), (n % 20).cast("string")).alias("category"),
-        (n % 5 + 1).alias("version"),
-        (n % 1000000).alias("amount"),
-        F.when(n % 3 == 0, "EUR").otherwise("USD").alias("currency"),
+        F.concat(F.lit("category-"), (n % 50).cast("string")).alias("category"),
+        F.lit(1).cast("bigint").alias("version"),
+        hexed("txn-").alias("transactionId"),
+        numbered("pay-", n, 14).alias("paymentId"),
+        numbered("customer-", n % 10_000_000, 7).alias("customerId"),
+        F.concat(F.lit("acct-"), account).alias("accountId"),
+        numbered("", n % document, 11).alias("document"),
+        (n % 5_000_000 + 100).alias("amount"),
+        F.lit(CURRENCY).alias("currency"),
+        turn(CHANNELS).alias("channel"),
+        numbered("product-", n % 24, 2).alias("productCode"),
+        F.concat(hour, F.lit(":00:00Z")).alias("createdAt"),
+        F.concat(hour, F.lit(":30:00Z")).alias("updatedAt"),
         (n % 7 != 0).alias("active"),
         (n % 4).alias("retryCount"),
-        F.array_sort(F.array(F.concat(F.lit("tag-"), (n % 3).cast("string")), F.lit("tag-all"))).alias("tags"),
-        F.struct(correlation.alias("correlationId"), F.concat(F.lit("trace-"), text).alias("traceId"), (n % 5).alias("priority")).alias("incident"),
-        F.array(F.struct(F.lit("CREATED").alias("state"), (F.lit(1700000000) + n).alias("at")), F.struct(status.alias("state"), (F.lit(1700000060) + n).alias("at"))).alias("history"),
+        F.array_sort(F.array(F.concat(F.lit("tag-"), (n % 8).cast("string")), F.concat(F.lit("flow-"), (n % 5).cast("string")))).alias("tags"),
+        F.struct(
+            F.when(n % 10_000 == 0, NEEDLE).otherwise(hexed("corr-")).alias("correlationId"),
+            hexed("trace-").alias("traceId"),
+            numbered("system-", n % 12, 2).alias("sourceSystem"),
+            turn(OPERATIONS).alias("operation"),
+            (n % 5 + 1).alias("priority"),
+        ).alias("incident"),
+        F.struct(
+            numbered("", n % 999, 3).alias("bankCode"), numbered("", n % 10_000, 4).alias("branch"), account.alias("account"), turn(REGIONS).alias("region")
+        ).alias("routing"),
+        F.struct(
+            numbered("counterparty-", n % 100_000, 5).alias("name"), numbered("", n * 17 % document, 11).alias("document"), F.when(n % 3 == 0, "LEGAL").otherwise("PERSON").alias("type")
+        ).alias("counterparty"),
+        F.array(
+            F.struct(F.lit("CREATED").alias("state"), (F.lit(1_700_000_000) + n).alias("at")), F.struct(status.alias("state"), (F.lit(1_700_000_060) + n).alias("at"))
+        ).alias("history"),
+        F.struct(F.lit(SCHEMA_VERSION).cast("bigint").alias("schemaVersion"), F.lit(ORIGIN).alias("origin"), F.array(*map(F.lit, FLAGS)).alias("flags")).alias("metadata"),
         F.repeat(F.lit("x"), payload).alias("payload"),
     ]
 
 
+def history_rows(items: DataFrame, key: list[str], history: str = "history") -> DataFrame:
+    """(key, place from 0, state, at as a time) of every entry of the items' histories; items without one have no rows."""
+    entries = items.select(*key, F.posexplode(history).alias("place", "__entry"))
+    return entries.select(*key, "place", F.col("__entry.state").alias("state"), epoch_to_ts("__entry.at").alias("at"))
+
+
 def generate_items(spark: SparkSession, n: int, profile: str = "rich-uniform") -> DataFrame:
     return spark.range(n).select(*item_columns(F.col("id"), profile))
 
@@ -137,9 +181,13 @@ def write_items(df: DataFrame, path: str, version: int) -> str:
     return target
 
 
-def latest_items(spark: SparkSession, path: str) -> DataFrame:
+def latest_path(spark: SparkSession, path: str) -> str:
     """The newest version of an item table; Spark's own success mark tells which are whole."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     done = [s.getPath() for s in fs.listStatus(hadoop) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(max(p.toString() for p in done))
+    return max(p.toString() for p in done)
+
+
+def latest_items(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(latest_path(spark, path))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -44,44 +45,65 @@ def inspect(df: DataFrame) -> DataFrame:
     return df.withColumn("outcome", F.lit("INSPECTED_NO_ACK"))
 
 
+#: How long a stream remembers a business id: longer than a queue keeps messages.
+REMEMBERED = timedelta(days=14)
+
+
 class _FirstHash(StatefulProcessor):
-    """Keeps the first payload hash of a key and judges what follows by it."""
+    """Keeps the first payload hash of a key, as long as its timer says, and judges what follows by it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "hash string")
+        self.handle = handle
+        self.first = handle.getValueState("first", "hash string, last bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        had = self.first.get()[0] if self.first.exists() else None
-        for frame in rows:
-            frame = frame.sort_values(["receivedAt", "id"], kind="stable")
-            out = []
-            for h in frame["hash"]:
-                if had is None:
-                    had = h
-                    self.first.update((h,))
-                    out.append("NEW")
-                else:
-                    out.append("DUPLICATE" if h == had else "CONFLICT")
-            yield pd.DataFrame({"business_id": key[0], "id": frame["id"], "hash": frame["hash"], "delivery": out})
+        # A key's rows of one trigger, which bounds them, are put in order together.
+        frame = pd.concat(list(rows)).sort_values(["receivedAt", "id"], kind="stable")
+        known = frame["known"].dropna()
+        had = tuple(self.first.get()) if self.first.exists() else (known.iloc[0] if len(known) else None, None)
+        first, judged = had[0], []
+        for h in frame["hash"]:
+            judged.append("NEW" if first is None else "DUPLICATE" if h == first else "CONFLICT")
+            first = h if first is None else first
+        last = max(int(frame["receivedAt"].iloc[-1]), had[1] or 0)
+        if last != had[1]:
+            if had[1] is not None:
+                self.handle.deleteTimer(had[1] * 1000)
+            self.handle.registerTimer(last * 1000)
+            self.first.update((first, last))
+        yield pd.DataFrame({"business_id": key[0], "id": frame["id"], "hash": frame["hash"], "delivery": judged})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.first.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def consume_idempotent(stream: DataFrame) -> DataFrame:
+def consume_idempotent(stream: DataFrame, processed: DataFrame | None = None, remembered: timedelta = REMEMBERED) -> DataFrame:
     """(business_id, id, hash, delivery) of a stream (business_id, id, body, receivedAt): NEW, DUPLICATE or CONFLICT.
 
-    State is one hash a business id. Needs the RocksDB state store.
+    Within a trigger the first by receive time, then id, sets the hash; a null body counts as an empty one, a missing receive
+    time as the trigger's. State is one hash a business id, and ends when the watermark, ``remembered`` behind the newest receive time, passes
+    its last message; a message older than that is dropped, as a queue would have. After that, messages are judged by ``processed`` (id,
+    payloadHash), the table of what has been consumed, if it is given. Needs the RocksDB state store.
     """
-    rows = stream.select("business_id", "id", "receivedAt", sha256_hex("body").alias("hash"))
+    at = F.coalesce(F.col("receivedAt"), F.unix_timestamp(F.current_timestamp()))
+    rows = stream.select("business_id", "id", at.alias("receivedAt"), sha256_hex(F.coalesce("body", F.lit(""))).alias("hash"))
+    rows = rows.withColumn("received", F.timestamp_seconds("receivedAt")).withWatermark("received", f"{int(remembered.total_seconds())} seconds")
+    if processed is None:
+        rows = rows.withColumn("known", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(processed.select(F.col("id").alias("business_id"), F.col("payloadHash").alias("known")), "business_id", "left")
     return rows.groupBy("business_id").transformWithStateInPandas(
-        statefulProcessor=_FirstHash(), outputStructType="business_id string, id string, hash string, delivery string", outputMode="Append", timeMode="None"
+        statefulProcessor=_FirstHash(), outputStructType="business_id string, id string, hash string, delivery string", outputMode="Append", timeMode="EventTime"
     )
 
 
 def consume_batch(messages: DataFrame) -> DataFrame:
     """The same judgement over a whole table: the first by receive time, then id, sets the hash."""
-    rows = messages.select("business_id", "id", "receivedAt", sha256_hex("body").alias("hash"))
+    rows = messages.select("business_id", "id", "receivedAt", sha256_hex(F.coalesce("body", F.lit(""))).alias("hash"))
     first = rows.groupBy("business_id").agg(F.min(F.struct("receivedAt", "id", "hash")).alias("f"))
     kind = F.when((F.col("receivedAt") == F.col("f.receivedAt")) & (F.col("id") == F.col("f.id")), "NEW").when(F.col("hash") == F.col("f.hash"), "DUPLICATE").otherwise("CONFLICT")
     return rows.join(first, "business_id").select("business_id", "id", "hash", kind.alias("delivery"))
@@ -99,39 +121,62 @@ def replay(stream: DataFrame, fifo: bool = False, time_col: str = "event_time",
 
 
 class _Lease(StatefulProcessor):
-    """Keeps the newest receipt of a message and its lease's end."""
+    """Keeps the newest receipt of a message until its lease ends."""
 
     def __init__(self, reserve: int):
         self.reserve = reserve
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.newest = handle.getValueState("newest", "receivedAt bigint, receipt string, leaseUntil bigint")
 
+    def _row(self, key, newest: tuple, lease: str) -> pd.DataFrame:
+        return pd.DataFrame({"id": [key[0]], "receipt": [newest[1]], "leaseUntil": [newest[2]], "lease": [lease]})
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = tuple(self.newest.get()) if self.newest.exists() else (-1, "", 0)
-        now = 0
+        had = tuple(self.newest.get()) if self.newest.exists() else None
+        best, now = had or (-1, "", 0), 0
         for frame in rows:
+            frame = frame.fillna({"receipt": "", "leaseUntil": 0, "now": 0})
             for at, receipt, until, clock in zip(frame["receivedAt"], frame["receipt"], frame["leaseUntil"], frame["now"]):
                 now = max(now, int(clock))
                 best = max(best, (int(at), receipt, int(until)))
-        self.newest.update(best)
-        state = "VALID" if best[2] > now + self.reserve else "NEEDS_RECEIVE"
-        yield pd.DataFrame({"id": [key[0]], "receipt": [best[1]], "leaseUntil": [best[2]], "lease": [state]})
+        if best != had:
+            if had:
+                self.handle.deleteTimer(had[2] * 1000)
+            self.newest.update(best)
+            self.handle.registerTimer(best[2] * 1000)
+        held = bool(best[1].strip()) and best[2] > now + self.reserve
+        yield self._row(key, best, "VALID" if held else "NEEDS_RECEIVE")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.newest.exists():
+            newest = tuple(self.newest.get())
+            self.newest.clear()
+            yield self._row(key, newest, "NEEDS_RECEIVE")
 
     def close(self) -> None:
         pass
 
 
-def lease_state(stream: DataFrame, reserve: int = 0) -> DataFrame:
-    """Newest receipt of each message of a stream (id, receipt, receivedAt, leaseUntil, now), and whether its lease holds."""
-    return stream.select("id", "receipt", "receivedAt", "leaseUntil", "now").groupBy("id").transformWithStateInPandas(
-        statefulProcessor=_Lease(reserve), outputStructType="id string, receipt string, leaseUntil bigint, lease string", outputMode="Update", timeMode="None"
+def lease_state(stream: DataFrame, reserve: int = 0, delay: str = "120 seconds") -> DataFrame:
+    """Newest receipt of each message of a stream (id, receipt, receivedAt, leaseUntil, now), and whether its lease holds.
+
+    The watermark of ``receivedAt`` drives expiry: once it passes a lease's end, the message comes out
+    as NEEDS_RECEIVE and its state goes, so state is what is leased. Rows without a receive time are left out; a blank receipt
+    holds nothing. Needs the RocksDB state store.
+    """
+    received = stream.where(F.col("receivedAt").isNotNull()).withColumn("received", F.timestamp_seconds("receivedAt")).withWatermark("received", delay)
+    return received.select("id", "receipt", "receivedAt", "leaseUntil", "now", "received").groupBy("id").transformWithStateInPandas(
+        statefulProcessor=_Lease(reserve), outputStructType="id string, receipt string, leaseUntil bigint, lease string", outputMode="Update", timeMode="EventTime"
     )
 
 
 def lease_batch(receives: DataFrame, reserve: int = 0) -> DataFrame:
-    newest = receives.groupBy("id").agg(F.max(F.struct("receivedAt", "receipt", "leaseUntil")).alias("x"), F.max("now").alias("now"))
-    held = F.col("x.leaseUntil") > F.col("now") + reserve
+    """The same judgement over a whole table."""
+    row = F.struct("receivedAt", F.coalesce("receipt", F.lit("")).alias("receipt"), F.coalesce("leaseUntil", F.lit(0)).alias("leaseUntil"))
+    newest = receives.where(F.col("receivedAt").isNotNull()).groupBy("id").agg(F.max(row).alias("x"), F.coalesce(F.max("now"), F.lit(0)).alias("now"))
+    held = (F.length(F.trim("x.receipt")) > 0) & (F.col("x.leaseUntil") > F.col("now") + reserve)
     return newest.select("id", "x.receipt", "x.leaseUntil", F.when(held, "VALID").otherwise("NEEDS_RECEIVE").alias("lease"))
 
 
@@ -146,19 +191,32 @@ def ack_after_durable(stream: DataFrame, outcomes_path: str, acks_path: str, che
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Columns of what publish_outbox() keeps of delivered events, by the first digits of their ids' hashes.
+_SENT = "eventId string, batch bigint, part string"
+
+
 def publish_outbox(stream: DataFrame, path: str, checkpoint: str):
-    """Deliver pending events once each; what an earlier batch delivered is left out."""
+    """Deliver pending events once each; what an earlier batch delivered is left out.
+
+    Events go to ``path`` by batch. Their ids go to ``path``-ids, by batch and by part, so a batch looks only
+    into the parts that its own ids are in; a batch that runs again replaces its own.
+    """
+    ids = f"{path.rstrip('/')}-ids"
+    part = F.substring(sha256_hex("eventId"), 1, 2)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        pending = batch.where("deliveryState = 'PENDING'").dropDuplicates(["eventId"])
         spark = batch.sparkSession
-        try:
-            sent = spark.read.parquet(path).where(F.col("batch") < batch_id)
+        pending = batch.where("deliveryState = 'PENDING'").dropDuplicates(["eventId"])
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ids)
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            # At most 256 parts.
+            parts = [r[0] for r in pending.select(part).distinct().collect()]
+            sent = spark.read.schema(_SENT).parquet(ids).where(F.col("part").isin(parts) & (F.col("batch") < batch_id))
             pending = pending.join(sent.select("eventId"), "eventId", "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        pending.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        target = f"{path}/batch={batch_id}"
+        pending.write.mode("overwrite").parquet(target)
+        delivered = spark.read.schema(batch.schema).parquet(target).select("eventId", F.lit(batch_id).cast("bigint").alias("batch"), part.alias("part"))
+        delivered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "part").parquet(ids)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -33,10 +33,10 @@ def test_numbering_and_sums_equal_a_global_window(spark):
 
 
 def test_masking_and_formulas(spark):
-    df = spark.createDataFrame([("x",), (None,), (" ",), ("=1+1",), ("  @a",), ("\tq",), ("-1",), ('a,"b"\n',)], "t string")
+    df = spark.createDataFrame([("x",), (None,), (" ",), ("=1+1",), ("  @a",), ("\tq",), ("-1",), ('a,"b"\n',), (" \t=1",), ("\x0b+1",), ("\xa0=1",)], "t string")
     got = [tuple(r) for r in df.select(scalar.stable_id("t"), scalar.csv_safe("t")).collect()]
     assert got[0] == ("2d711642b726b044", "x") and got[1] == ("", "") and got[2][0] == ""
-    assert [g[1] for g in got[3:]] == ["'=1+1", "'  @a", "'\tq", "'-1", 'a,"b"\n']
+    assert [g[1] for g in got[3:]] == ["'=1+1", "'  @a", "'\tq", "'-1", 'a,"b"\n', "' \t=1", "'\x0b+1", "\xa0=1"]
 
 
 def test_message_functions(spark):
@@ -56,7 +56,9 @@ def test_item_sizes(spark):
     df = spark.createDataFrame([("é", 120, True, ["a", "bb"], ("x", None))], "s string, n bigint, b boolean, l array<string>, m struct<p:string,q:string>")
     size = df.select(scalar.estimated_bytes(df.schema)).first()[0]
     assert size == (1 + 2) + (1 + 3) + (1 + 1) + (1 + 3 + 2 + 3) + (1 + 1 + 1 + 1 + 3)
-    assert [r[0] for r in spark.createDataFrame([("0",), ("120",), ("-120",), ("0.00123",), ("1E+10",)], "n string").select(scalar.number_len("n")).collect()] == [1, 2, 3, 3, 2]
+    assert df.select(scalar.estimated_bytes(df.schema, sets=("l",))).first()[0] == size - 5
+    numbers = ["0", "120", "-120", "0.00123", "1E+10", "-" + "7" * 38, "-" + "7" * 37, "100", "99"]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in numbers], "n string").select(scalar.number_len("n")).collect()] == [1, 3, 4, 3, 2, 21, 21, 2, 2]
 
 
 def test_attribute_states_and_types(spark):
@@ -90,10 +92,10 @@ def test_generated_items_and_needles(spark):
     df = src.generate_items(spark, 500, "hot-key")
     assert df.where("pk = 'tenant-00000'").count() >= 400
     assert rows(quality.check_generated(df, "hot-key", 500).select("different")) == [(0,)]
-    changed = df.withColumn("amount", F.when(F.col("sk") == "item-000000000007", -1).otherwise(F.col("amount")))
+    changed = df.withColumn("amount", F.when(F.col("sk") == "record-000000000007", -1).otherwise(F.col("amount")))
     assert quality.check_generated(changed, "hot-key", 500).first()["different"] == 2
-    needle = F.col("incident.correlationId") == "needle"
-    counts = quality.needle_counts(df.withColumn("n", F.substring("sk", 6, 12).cast("bigint")), "n", needle)
+    needle = F.col("incident.correlationId") == src.NEEDLE
+    counts = quality.needle_counts(df.withColumn("n", F.substring("sk", 8, 12).cast("bigint")), "n", needle)
     assert tuple(counts.first()) == (1, 1, 0)
     with pytest.raises(Exception, match="not 3 rows"):
         quality.check_cardinality(df, 3).collect()
@@ -176,13 +178,123 @@ def test_repair_then_compensate_restores_the_status(spark, items):
     conf = spark.createDataFrame([("a", "SETTLED", 1), ("b", "PENDING", 1), ("d", "SETTLED", -1)], "reference string, status string, version bigint")
     new, out = mutate.repair(items, conf, "j1")
     assert rows(out.select("record_key", "outcome")) == [("a", "REPAIRED"), ("b", "SKIPPED"), ("d", "REJECTED")]
-    planned = out.where("outcome = 'REPAIRED'").select("record_key", F.col("new_version").alias("version"))
+    planned = new.where("opsMarker is not null").select("record_key", "version", "opsMarker", "opsPreviousStatus")
     back, done = mutate.compensate(new, planned, "j1", "j2")
-    assert rows(done) == [("a", "COMPENSATED")] and rows(back.select(*items.columns)) == [("a", "PENDING", 3), ("b", "PENDING", 2), ("c", "SETTLED", 1), ("d", "PENDING", 5)]
+    assert rows(done) == [("a", "COMPENSATED_DATA_ONLY")] and rows(back.select(*items.columns)) == [("a", "PENDING", 3), ("b", "PENDING", 2), ("c", "SETTLED", 1), ("d", "PENDING", 5)]
     events = mutate.build_outbox(out, "j1")
     assert events.count() == 1 and mutate.build_outbox(out, "j1", events).count() == 0
 
 
+def test_compensation_guards(spark):
+    kind = "record_key string, status string, version bigint, opsMarker string, opsPreviousStatus string"
+    items = spark.createDataFrame([("a", "SETTLED", 2, "j1:a", "PENDING"), ("b", "SETTLED", 3, "j1:b", "PENDING")], kind)
+    gone = spark.createDataFrame([("z", "SETTLED", 2, "j1:z", "PENDING")], kind)
+    # Changed since, gone, and another job's: no candidate.
+    planned = items.withColumn("version", F.lit(2)).union(gone).union(spark.createDataFrame([("q", "SETTLED", 2, "j3:q", "MATCH")], kind))
+    new, out = mutate.compensate(items, planned, "j1", "j2")
+    assert rows(out) == [("a", "COMPENSATED_DATA_ONLY"), ("b", "CONFLICT"), ("z", "CONFLICT")]
+    assert rows(new) == [("a", "PENDING", 3, "j2:a", None), ("b", "SETTLED", 3, "j1:b", "PENDING")]
+    for bad in ({"opsPreviousStatus": F.lit(None).cast("string")}, {"opsPreviousStatus": F.lit("MATCH")}, {"version": F.lit(0)}, {"version": F.lit(None).cast("bigint")}):
+        with pytest.raises(Exception, match="pre-image"):
+            mutate.compensate(items, items.withColumns(bad), "j1", "j2")[0].collect()
+
+
+def test_validation_verdicts_and_planned_versions(spark, items):
+    conf = spark.createDataFrame([(k, "SETTLED", 1) for k in "abd"], "reference string, status string, version bigint")
+    said = spark.createDataFrame([("a", "FUNCTION_ERROR"), ("b", "BUSINESS_REJECTED"), ("d", "ACCEPTED")], "record_key string, verdict string")
+    new, out = mutate.repair(items, conf, "j1", validations=said)
+    assert rows(out.select("record_key", "outcome")) == [("a", "FUNCTION_ERROR"), ("b", "BUSINESS_REJECTED"), ("d", "REPAIRED")]
+    assert new.where("status = 'SETTLED'").count() == 4
+    with pytest.raises(Exception, match="missing or negative"):
+        mutate.repair(items.withColumn("version", F.lit(None).cast("bigint")), conf, "j1")[1].collect()
+
+
+def test_run_states(spark):
+    kind = "run string, attempts int, elapsed double, valid boolean"
+    primary = spark.createDataFrame([("tie", 2, 5.0, True), ("behind", 1, 9.0, True), ("corrupt", 9, 9.0, False), ("both", 1, 1.0, False), ("alone", 3, 1.0, True)], kind)
+    backup = spark.createDataFrame([("tie", 2, 5.0, True), ("behind", 2, 0.0, True), ("corrupt", 1, 2.0, True), ("both", 1, 1.0, False)], kind)
+    runs = spark.createDataFrame([(x,) for x in ("tie", "behind", "corrupt", "both", "alone", "new")], "run string")
+    got = {r["run"]: tuple(r)[1:] for r in segments.merge_run_state(primary, backup, runs).collect()}
+    assert got == {"tie": ("PRIMARY", 2, 5.0, True), "behind": ("BACKUP", 2, 0.0, False), "corrupt": ("BACKUP", 1, 2.0, False), "both": ("LOST", 0, 0.0, False), "alone": ("PRIMARY", 3, 1.0, True), "new": ("NONE", 0, 0.0, True)}
+
+
+def test_resources(spark):
+    names = ["arn:aws:sqs:eu-1:111111111111:q", "arn:aws:sqs:us-1:111111111111:q", "arn:aws:sqs:eu-1:222222222222:q", "arn:aws:s3:::bucket", "arn:aws:s3", "https://sqs.example/111111111111/q", "https://sqs.example/222222222222/q", "table", "unknown"]
+    df = spark.createDataFrame([(x,) for x in names], "resource string")
+    got = access.resource_guard(df, df.where("resource <> 'unknown'"), account="111111111111", region="eu-1")
+    assert sorted(r[0] for r in got.collect()) == sorted([names[1], names[2], names[4], names[6], "unknown"])
+    principals = ["arn:aws:sts::1:assumed-role/ops/s", "arn:aws:sts::1:assumed-role/path/ops/s", "arn:aws:iam::1:role/x", "arn:aws:sts::1:assumed-role/s", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in principals], "p string").select(scalar.normalize_principal("p")).collect()]
+    assert got == ["arn:aws:iam::1:role/ops", "arn:aws:iam::1:role/path/ops", principals[2], principals[3], ""]
+
+
+def test_call_attempts(spark):
+    log = spark.createDataFrame([("a", i, c, w) for i, (c, w) in enumerate([(503, 0), (429, 5), (503, None)])] + [("b", 1, 429, 99), ("b", 2, 200, None)], "call string, at int, status_code int, retry_after int")
+    got = mutate.classify_calls(log, "call", ["at"], 3, 60)
+    assert sorted((r["call"], r["attempt"], r["outcome"]) for r in got.collect()) == [("a", 1, "RETRY"), ("a", 2, "RETRY"), ("a", 3, "PAUSED"), ("b", 1, "PAUSED"), ("b", 2, "OK")]
+
+
+def test_places_of_sorted_groups(spark):
+    values = [("a", x % 7, x) for x in range(53)] + [("b", 3, 1), ("b", None, 2), (None, 2, 5), (None, 1, 6)]
+    df = spark.createDataFrame(values, "g string, v int, w int")
+    got = {r["g"]: r for r in metrics.nearest_ranks(df, ["g"], "v", {"p0": 0.0, "p50": 0.5, "p99": 0.99}).collect()}
+    for g in ("a", "b", None):
+        s = sorted(v for h, v, _ in values if h == g and v is not None)
+        want = [s[max(0, -int(-q * len(s) // 1) - 1)] for q in (0.0, 0.5, 0.99)]
+        assert [got[g][c] for c in ("p0", "p50", "p99")] == want and got[g]["n"] == len(s)
+    plan = metrics.repeat_summary(df, ["g"], "v", "w")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    assert metrics.nearest_ranks(df.limit(0), ["g"], "v", {"p": 0.5}).collect() == []
+
+
+def test_numbering_shuffles_rows_once(spark):
+    made = []
+    stable, ordered_stable = ordered.stable, lambda df: (made.append(df._jdf.queryExecution().executedPlan().toString()), stable(df))[1]
+    ordered.stable = ordered_stable
+    try:
+        df = spark.range(100).select(F.col("id").alias("k"), F.lit(2).alias("v"))
+        last = ordered.prefix_sums(df, ["k"], s=F.col("v"), x=F.col("v") / 4).orderBy(F.desc("k")).first()
+        assert (last["s"], last["x"]) == (200, 50.0)
+        out = ordered.dense_sequence(df, ["k"])
+        assert out.agg(F.max("seq"), F.count_distinct("seq")).first() == (100, 100)
+    finally:
+        ordered.stable = stable
+    assert [p.count("Exchange") for p in made] == [1, 1]
+    after = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in after and "LogicalRDD" in after
+
+
+def test_chunks_and_probes_that_are_wrong(spark):
+    chunks = spark.createDataFrame([("j", 10), ("j", 20), ("j", 25)], "job string, cursor bigint")
+    assert planning.check_contiguity(chunks, 25, 10).count() == 3
+    with pytest.raises(Exception, match="doesn't follow"):
+        planning.check_contiguity(chunks.where("cursor <> 20"), 25, 10).collect()
+    with pytest.raises(Exception, match="isn't there just once"):
+        quality.probe_first_last(chunks, "cursor", 10, 99).collect()
+
+
+def test_dry_run_shows_samples_and_risks(spark, items):
+    row = planning.dry_run_summary(access.select_pending(items), 10, "repair", sample=2, resources=("t",)).first()
+    assert (row["located"], row["candidates"], row["ignored"], row["estimated_calls"]) == (10, 3, 7, 27)
+    assert [x["action"] for x in row["samples"]] == ["UPDATE"] * 2 and "a" not in {x["record"] for x in row["samples"]}
+    assert list(row["risks"]) == list(planning.RISKS["repair"]) and list(row["resources"]) == ["t"]
+    none = planning.dry_run_summary(access.select_pending(items).limit(0), 0, "inventory").first()
+    assert (none["located"], none["candidates"], list(none["samples"]), list(none["risks"])) == (0, 0, [], [])
+
+
+def test_batches_of_batches(spark, items):
+    ch = spark.createDataFrame([("a", "put", 2, 1, "X", 7), ("a", "put", 1, 9, "Y", 8), ("b", "put", 1, 26, "Z", 1)], "record_key string, kind string, batch int, position int, status string, version bigint")
+    new, rest = mutate.batch_put_delete(items, ch)
+    assert ("a", "X", 7) in rows(new) and [r["record_key"] for r in rest.collect()] == ["b"]
+
+
+def test_histories(spark):
+    df = src.generate_items(spark, 3).where("sk <> 'record-000000000001'")
+    assert rows(src.history_rows(df, ["sk"]).select("sk", "place", "state")) == [("record-000000000000", 0, "CREATED"), ("record-000000000000", 1, "MATCH"), ("record-000000000002", 0, "CREATED"), ("record-000000000002", 1, "PENDING")]
+    assert rows(df.select(scalar.last_state("history"))) == [("MATCH",), ("PENDING",)]
+    assert spark.sql("select array() as h").select(F.col("h").cast("array<struct<state:string,at:bigint>>").alias("h")).select(scalar.last_state("h")).first()[0] is None
+
+
 def test_reconciliation(spark):
     e = spark.createDataFrame([("j", 1, "s", "INTENT"), ("j", 2, "s", "UNKNOWN"), ("j", 3, "s", "INTENT"), ("j", 4, "s", "SUCCEEDED")], "job string, task int, step string, state string")
     seen = spark.createDataFrame([("j", 1, "s", True), ("j", 2, "s", False)], "job string, task int, step string, found boolean")

@@ -46,6 +46,29 @@ def test_leases(rocks, tmp_path):
     assert sorted((r["id"], r["receipt"], r["lease"]) for r in seen) == [("a", "r90", "VALID"), ("b", "r10", "NEEDS_RECEIVE")]
 
 
+def test_leases_end_with_the_watermark(rocks, tmp_path):
+    def go(name, rows):
+        put(tmp_path / "in", name, rows)
+        stream = streams.read_messages(rocks, str(tmp_path / "in")).withColumn("now", F.col("receivedAt"))
+        seen = []
+        streams.lease_state(stream).writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["id"], r["lease"]) for r in seen)
+
+    lease = lambda i, at, until, receipt="r": {"id": i, "receipt": receipt, "receivedAt": at, "leaseUntil": until}
+    assert go("1.json", [lease("a", 1000, 1100), lease("b", 1000, 9000), lease("n", None, 5000), lease("z", 1000, 1200, " ")]) == [("a", "VALID"), ("b", "VALID"), ("z", "NEEDS_RECEIVE")]
+    # Long after: a's lease has ended and is reported once, b's lasts.
+    assert ("a", "NEEDS_RECEIVE") in go("2.json", [lease("c", 5000, 6000)])
+    assert go("3.json", [lease("d", 5001, 6000)]) == [("d", "VALID")]
+
+
+def test_consumed_before_the_state_is_known_by_the_table(rocks, tmp_path):
+    put(tmp_path / "in", "1.json", [message("a1", "x", 1), message("a2", "z", 2), message("b1", "y", 1), message("c2", "q", 2), message("c1", "p", 1)])
+    stream = streams.read_messages(rocks, str(tmp_path / "in")).withColumn("business_id", F.substring("id", 1, 1))
+    processed = rocks.createDataFrame([("a",)], "id string").withColumn("payloadHash", F.sha2(F.lit("x"), 256))
+    out = streams.drain(streams.consume_idempotent(stream, processed), "p", str(tmp_path / "c"), str(tmp_path / "o"))
+    assert sorted((r["id"], r["delivery"]) for r in out.collect()) == [("a1", "DUPLICATE"), ("a2", "CONFLICT"), ("b1", "NEW"), ("c1", "NEW"), ("c2", "CONFLICT")]
+
+
 def test_poison_and_checksums(spark, tmp_path):
     put(tmp_path / "in", "1.json", [message("a", "b", receives="5"), message("c", "b", md5="00"), message("d", "b", receives="")])
     healthy, poison = streams.split_poison(streams.decode_envelopes(streams.read_messages(spark, str(tmp_path / "in"), stream=False)))
