@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime
 import hmac
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ledgerline.llm.storage import small_batches
+from ledgerline.llm.workers import frugal
 
 ROUNDS = 8
 #: Years of the dates that are permuted, and the first of them as a day number.
@@ -81,17 +83,22 @@ def luhn_digit(body: str) -> str:
 
 #: What looks like a value; each alternative is validated afterwards. No digit, letter or joined number stands beside one.
 _VALUES = re.compile(
-    r"(?<![\w.+-])(?:"
+    r"(?<![\w+])(?<!\d[.-])(?:"
     r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
     r"|(?P<ymd>\d{4}-\d{2}-\d{2})"
     r"|(?P<dmy>\d{2}(?P<sep>[./])\d{2}(?P=sep)\d{4})"
     r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})"
-    r"|(?P<phone>(?P<country>\+\d{1,3})[ -]?(?:\(\d{2,4}\)|\d{2,4})[ -]?\d{3,4}[ -]?\d{3,4})"
+    r"|(?P<phone>(?:(?P<country>\+\d{1,3})[ -]?(?:\(\d{2,4}\)|\d{2,4})[ -]?\d{3,4}[ -]?\d{3,4}|(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}))"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
     r"|(?P<number>\d(?:[ -]?\d){12,18})"
     r")(?![\w]|[.-]\d)",
     re.ASCII,
 )
+#: Words that are a value as a whole: the part of a mail address before its @, and long hexadecimal numbers.
+_MAIL = re.compile(r"(?<![\w.%+-])(?P<local>[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?)@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-])", re.ASCII)
+_HEX = re.compile(r"(?<![\w.-])(?:[0-9a-f]{24,128}|[0-9A-F]{24,128})(?![\w-])", re.ASCII)
+#: Characters that are permuted as one number, so that a round's input fits a digest.
+_RUN = 48
 #: Groups of digits that go on from a number's beginning, however many they are.
 _GROUPS = re.compile(r"\d+(?:[ -]\d+)*", re.ASCII)
 _DIGITS, _JOINED = re.compile(r"\d+", re.ASCII), re.compile(r"\w|\.\d", re.ASCII)
@@ -99,7 +106,7 @@ _DIGITS, _JOINED = re.compile(r"\d+", re.ASCII), re.compile(r"\w|\.\d", re.ASCII
 LEAST_DIGITS, MOST_DIGITS = 13, 19
 #: Digits of the groups in which cards are written, besides one group.
 CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
-KINDS = ("iban", "date", "ip", "phone", "ssn", "card", "number")
+KINDS = ("iban", "date", "ip", "phone", "ssn", "card", "number", "mail", "hex")
 
 
 def _fill(shape: str, digits: str) -> str:
@@ -108,18 +115,40 @@ def _fill(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
+#: Places of year, month and day in the formats of dates; of two readings of dd/dd/yyyy the first that is a day counts.
+_ORDERS = {"ymd": ((0, 5, 8),), "dmy": ((6, 3, 0), (6, 0, 3))}
+
+
 def _date(p: Permutation, found: str, order: str) -> str | None:
-    year, month, day = (found[:4], found[5:7], found[8:]) if order == "ymd" else (found[6:], found[3:5], found[:2])
-    if not FIRST_YEAR <= int(year) <= LAST_YEAR:
-        return None
-    try:
-        ordinal = datetime.date(int(year), int(month), int(day)).toordinal()
-    except ValueError:
-        return None
-    new = datetime.date.fromordinal(_DAY0 + p.apply("date", ordinal - _DAY0, _DAYS))
-    if order == "ymd":
-        return f"{new.year:04}-{new.month:02}-{new.day:02}"
-    return f"{new.day:02}{found[2]}{new.month:02}{found[2]}{new.year:04}"
+    for year, month, day in _ORDERS[order]:
+        try:
+            at = datetime.date(int(found[year : year + 4]), int(found[month : month + 2]), int(found[day : day + 2]))
+        except ValueError:
+            continue
+        if not FIRST_YEAR <= at.year <= LAST_YEAR:
+            return None
+        new = datetime.date.fromordinal(_DAY0 + p.apply("date", at.toordinal() - _DAY0, _DAYS))
+        out = list(found)
+        for place, digits in ((year, f"{new.year:04}"), (month, f"{new.month:02}"), (day, f"{new.day:02}")):
+            out[place : place + len(digits)] = digits
+        return "".join(out)
+    return None
+
+
+def _classes(p: Permutation, kind: str, found: str, alphabets: tuple[str, ...]) -> str:
+    """``found`` with each character of an alphabet replaced by one of the same; other characters stay."""
+    out = list(found)
+    places = [(i, a) for i, c in enumerate(found) for a in alphabets if c in a]
+    for start in range(0, len(places), _RUN):
+        part = places[start : start + _RUN]
+        value, size = 0, 1
+        for i, a in part:
+            value, size = value * len(a) + a.index(found[i]), size * len(a)
+        value = p.apply(f"{kind}{start}" if start else kind, value, size)
+        for i, a in reversed(part):
+            value, at = divmod(value, len(a))
+            out[i] = a[at]
+    return "".join(out)
 
 
 def _pseudonym(p: Permutation, m: re.Match) -> tuple[str, str] | None:
@@ -136,7 +165,7 @@ def _pseudonym(p: Permutation, m: re.Match) -> tuple[str, str] | None:
         new = p.apply("ip", int.from_bytes(bytes(parts), "big"), 1 << 32)
         return "ip", ".".join(map(str, new.to_bytes(4, "big")))
     if kind == "phone":
-        prefix = m.group("country")
+        prefix = m.group("country") or ""
         body = re.sub(r"\D", "", found[len(prefix) :])
         if not 7 <= len(body) <= 12:
             return None
@@ -153,16 +182,9 @@ def _iban(p: Permutation, found: str) -> str | None:
     country, digits, body = found[:2], found[2:4], re.sub(" ", "", found[4:])
     if _mod97(body + country + digits) != 1:
         return None
-    value, size = 0, 1
-    for c in body:
-        base = 10 if c.isdigit() else 26
-        value, size = value * base + (int(c) if base == 10 else ord(c) - 65), size * base
-    value, new = p.apply("iban" + country, value, size), []
-    for c in reversed(body):
-        value, at = divmod(value, 10 if c.isdigit() else 26)
-        new.append(str(at) if c.isdigit() else chr(65 + at))
-    check = 98 - _mod97("".join(reversed(new)) + country + "00")
-    it = iter(reversed(new))
+    new = _classes(p, "iban" + country, body, (string.digits, string.ascii_uppercase))
+    check = 98 - _mod97(new + country + "00")
+    it = iter(new)
     return f"{country}{check:02}" + "".join(c if c == " " else next(it) for c in found[4:])
 
 
@@ -226,9 +248,40 @@ def _numbers(p: Permutation, text: str, m: re.Match) -> list[tuple[int, int, str
     return [(first, last, "number", _plain(p, m.group()))]
 
 
+def _whole_words(p: Permutation, text: str) -> list[tuple[int, int, str, str]]:
+    """Mail addresses and long hexadecimal numbers, as (start, end, kind, pseudonym).
+
+    Of an address the part before the @ is permuted, in lower case, letters as letters and digits as digits; the domain stays. A hexadecimal number
+    has digits and letters both.
+    """
+    found = []
+    if "@" in text:
+        for m in _MAIL.finditer(text):
+            local = m.group("local")
+            new = _classes(p, "mail", local.lower(), (string.digits, string.ascii_lowercase))
+            new = "".join(n.upper() if c.isupper() else n for c, n in zip(local, new))
+            found.append((m.start(), m.end(), "mail", new + m.group()[len(local) :]))
+    for m in _HEX.finditer(text):
+        word = m.group().lower()
+        if not word.isdigit() and not word.isalpha():
+            new = _classes(p, "hex", word, ("0123456789abcdef",))
+            found.append((m.start(), m.end(), "hex", new.upper() if m.group().isupper() else new))
+    return sorted(found)
+
+
 def replaced(p: Permutation, text: str) -> tuple[str, dict[str, int]]:
     """A text with all its valid values replaced, and how many of each kind there were."""
     counts = dict.fromkeys(KINDS, 0)
+    out, done = [], 0
+    for start, end, kind, new in [*_whole_words(p, text), (len(text), len(text), None, "")]:
+        out += [_numbers_replaced(p, text[done:start], counts), new]
+        done = end
+        if kind:
+            counts[kind] += 1
+    return "".join(out), counts
+
+
+def _numbers_replaced(p: Permutation, text: str, counts: dict[str, int]) -> str:
     out, done, at = [], 0, 0
     while m := _VALUES.search(text, at):
         if m.lastgroup == "iban":
@@ -244,16 +297,18 @@ def replaced(p: Permutation, text: str) -> tuple[str, dict[str, int]]:
             counts[kind] += 1
         # What isn't an IBAN may hold another value after its first group; other values that aren't valid hold none.
         at = done if got else m.start() + 4 if m.lastgroup == "iban" else m.end()
-    return "".join([*out, text[done:]]), counts
+    return "".join([*out, text[done:]])
 
 
 def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """``docs`` with the values in ``text_col`` replaced, and n_<kind> counts of them.
 
-    Kinds: iban (mod 97; digits and letters), date (a day of FIRST_YEAR..LAST_YEAR, as yyyy-mm-dd, dd/mm/yyyy or dd.mm.yyyy), ip (four
-    octets), phone (with country code), ssn (3-2-4 digits), card (13 to 19 digits that pass the
+    Kinds: iban (mod 97; digits and letters), date (a day of FIRST_YEAR..LAST_YEAR, as yyyy-mm-dd, dd/mm/yyyy or dd.mm.yyyy; what is no day
+    so but is one as mm/dd/yyyy is read and written so; of 03/04/1999, the third of April is meant), ip (four
+    octets), phone (with country code, or 3-3-4 digits with - or . between), ssn (3-2-4 digits), card (13 to 19 digits that pass the
     Luhn check, as their pseudonyms do; of a longer run of groups, the part that passes) and number
-    (13 to 19 other digits, also in what looks like an IBAN but isn't). What looks like another
+    (13 to 19 other digits, also in what looks like an IBAN but isn't); and, as they are as personal, mail (the part
+    of an address before the @) and hex (24 to 128 hexadecimal digits and letters, as keys and tokens are). What looks like another
     value but isn't valid stays. A null text stays null with no values. Rows may repeat; other
     columns pass through; n_<kind> replace columns of those names.
     """
@@ -275,4 +330,4 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
             columns = [pa.array(texts, pa.string()) if f.name == text_col else batch.column(f.name) for f in batch.schema]
             yield pa.record_batch([*columns, *[pa.array(counts[k], pa.int64()) for k in KINDS]], names=[*batch.schema.names, *new])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)

@@ -1,4 +1,5 @@
 import datetime
+import random
 import re
 
 import pytest
@@ -84,3 +85,75 @@ def test_ibans_with_letters():
             assert n["iban"] == 1 and out[: len(spaced)].replace(" ", "") == new and out[len(spaced) :] == text[2:], text
     # What looks like an IBAN hides no value that follows.
     assert replaced(P, "ID12 ABCD 4111 1111 1111 1111")[1]["card"] == 1
+
+
+def test_values_behind_marks_and_other_formats():
+    card = "4111111111111111"
+    for before in ("card-", "no.", "x: ", "(", "-"):
+        assert replaced(P, f"{before}{card}")[0] == before + replaced(P, card)[0]
+    out, n = replaced(P, "born 12/31/1999, call 555-123-4567 or (555) 123-4567")
+    assert n["date"] == 1 and n["phone"] == 2
+    assert re.fullmatch(r"born (0\d|1[0-2])/\d\d/\d{4}, call \d{3}-\d{3}-\d{4} or \(\d{3}\) \d{3}-\d{4}", out)
+    iso = datetime.date.fromisoformat(replaced(P, "1999-12-31")[0])
+    assert iso.strftime("%m/%d/%Y") in out
+    assert "".join(re.findall(r"\d", out.split(" or ")[0][-12:])) == "".join(re.findall(r"\d", out.split(" or ")[1]))
+    assert replaced(P, "1.2.3.4.5 and 7-555-123-4567")[1]["phone"] == 0
+
+
+def test_mail_and_hexadecimal():
+    out, n = replaced(P, 'Und.34@mail7.example.com, "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" or UND.34@x.org; deadbeefdeadbeefdeadbeefdead 123@ a@b')
+    assert (n["mail"], n["hex"]) == (2, 1) and out.endswith("; deadbeefdeadbeefdeadbeefdead 123@ a@b")
+    a, b = re.findall(r"([A-Za-z]{3}\.\d\d)@", out)
+    assert a != "Und.34" and a.lower() == b.lower() and b.isupper() and a[0].isupper()
+    hexed = re.search(r'"([0-9a-f]{40})"', out).group(1)
+    assert hexed in replaced(P, "x b44e15e09fd311c3cf3163b66d5a9875b883d8ce")[0] and "b44e" not in out
+    long = "0a" * 64
+    assert re.fullmatch(r"[0-9a-f]{128}", replaced(P, long)[0]) and replaced(P, long)[0] != long
+
+
+def plain(kind, value):
+    """The pseudonym of one value, told from the permutation alone."""
+    if kind == "date":
+        first = datetime.date(FIRST_YEAR, 1, 1).toordinal()
+        days = datetime.date(LAST_YEAR, 12, 31).toordinal() - first + 1
+        return datetime.date.fromordinal(first + P.apply("date", datetime.date.fromisoformat(value).toordinal() - first, days)).isoformat()
+    if kind == "ip":
+        new = P.apply("ip", sum(int(x) << 8 * (3 - i) for i, x in enumerate(value.split("."))), 1 << 32)
+        return ".".join(str(new >> s & 255) for s in (24, 16, 8, 0))
+    digits = value.replace("-", "")
+    if kind == "ssn":
+        new = f"{P.apply('ssn', int(digits), 10**9):09}"
+        return f"{new[:3]}-{new[3:5]}-{new[5:]}"
+    if kind == "card":
+        new = f"{P.apply('card', int(digits[:-1]), 10 ** (len(digits) - 1)):0{len(digits) - 1}}"
+        return new + luhn_digit(new)
+    return f"{P.apply('number', int(digits), 10 ** len(digits)):0{len(digits)}}"
+
+
+def test_table_against_plain_values(spark, docs):
+    r = random.Random(6)
+    rows, want = [], []
+    for i in range(300):
+        words, new, counts = [], [], {}
+        for _ in range(r.randint(0, 40)):
+            kind = r.choice(["word"] * 8 + ["date", "ip", "ssn", "card", "number"])
+            if kind == "word":
+                x = y = r.choice(["a", "la", "über", "3.", "v2", "12", "50%", "é,"])
+            else:
+                body = "".join(r.choice("0123456789") for _ in range(r.randint(12, 18)))
+                x = {
+                    "date": f"{r.randint(1900, 2099)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}",
+                    "ip": ".".join(str(r.randint(0, 255)) for _ in range(4)),
+                    "ssn": f"{r.randint(0, 999):03}-{r.randint(0, 99):02}-{r.randint(0, 9999):04}",
+                    "card": body + luhn_digit(body),
+                    "number": body + str((int(luhn_digit(body)) + 1) % 10),
+                }[kind]
+                y = plain(kind, x)
+                counts[kind] = counts.get(kind, 0) + 1
+            words.append(x)
+            new.append(y)
+        # Values stand apart, as neighbours of digits would be read together.
+        rows.append((i, " | ".join(words)))
+        want.append((i, " | ".join(new), *[counts.get(k, 0) for k in ("date", "ip", "ssn", "card", "number")]))
+    got = pseudonymize(docs(rows), b"key").select("doc_id", "text", "n_date", "n_ip", "n_ssn", "n_card", "n_number")
+    assert sorted(map(tuple, got.collect())) == want
