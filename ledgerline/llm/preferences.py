@@ -1,13 +1,13 @@
 """Preference pairs from two versions of conversations: one prompt, two masked completions.
 
-DataFrame functions only. Turns of both versions meet by (pair, turn, role, text); the first turn
-that isn't the same in both ends the common prefix, found by aggregation. A conversation
-is gathered only to be rendered, since its text is one value of the result.
+DataFrame functions only. Turns of both versions meet by their pair in one aggregation; the first turn
+that isn't the same in both ends the common prefix, which array functions find. A conversation
+is gathered because it is rendered: its text is one value of the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: How a turn is rendered, and which role's words are learned.
@@ -43,18 +43,15 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, pair_col: str = "co
     or text is empty, and rows with a null pair are left out.
     """
     a, b = (_turns(df, pair_col, turn_col, role_col, text_col) for df in (chosen, rejected))
-    both = a.withColumn("in_c", F.lit(1)).withColumn("in_r", F.lit(0)).union(b.withColumn("in_c", F.lit(0)).withColumn("in_r", F.lit(1)))
-    turns = both.groupBy("pair", "turn", "role", "text").agg(F.max("in_c").alias("in_c"), F.max("in_r").alias("in_r"))
-    split = F.min(F.when(F.col("in_c") != F.col("in_r"), F.col("turn")))
-    row = F.struct("turn", "role", "text", "in_c", "in_r")
-    grouped = turns.groupBy("pair").agg(split.alias("split"), F.sort_array(F.collect_list(row)).alias("turns"))
+    turn = F.struct("turn", "role", "text")
+    both = a.select("pair", turn.alias("c"), F.lit(None).cast(a.select(turn.alias("t")).schema["t"].dataType).alias("r"))
+    both = both.unionByName(b.select("pair", F.lit(None).cast(both.schema["c"].dataType).alias("c"), turn.alias("r")))
+    # Repeated rows are one, and nulls of the other side are left out.
+    grouped = both.groupBy("pair").agg(F.sort_array(F.collect_set("c")).alias("c"), F.sort_array(F.collect_set("r")).alias("r"))
+    differs = F.concat(F.array_except("c", "r"), F.array_except("r", "c"))
+    grouped = grouped.withColumn("split", F.array_min(F.transform(differs, lambda t: t["turn"])))
     common = lambda t: F.col("split").isNull() | (t["turn"] < F.col("split"))
-    parts = grouped.select(
-        "pair",
-        F.filter("turns", common).alias("p"),
-        F.filter("turns", lambda t: ~common(t) & (t["in_c"] == 1)).alias("c"),
-        F.filter("turns", lambda t: ~common(t) & (t["in_r"] == 1)).alias("r"),
-    )
+    parts = grouped.select("pair", F.filter("c", common).alias("p"), *[F.filter(x, lambda t: ~common(t)).alias(x) for x in ("c", "r")])
     text = lambda c: F.array_join(F.transform(c, _rendered), "")
     return parts.select(
         F.col("pair").alias(pair_col),
@@ -68,9 +65,9 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, pair_col: str = "co
 
 
 def shortened_answers(turns: DataFrame, pair_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """A worse version of each conversation: it ends with its last assistant turn, cut to half of its characters."""
-    last = turns.where(F.col(role_col) == LEARNED).groupBy(pair_col).agg(F.max(turn_col).alias("__last"))
+    """A worse version of each conversation: it ends with its last assistant turn, cut to half of its characters. One without such a turn stays."""
+    answer = F.col(role_col) == LEARNED
+    last = F.max(F.when(answer, F.col(turn_col))).over(Window.partitionBy(pair_col))
     half = F.substring(F.col(text_col), F.lit(1), F.floor(F.length(text_col) / 2).cast("int"))
-    cut = (F.col(turn_col) == F.col("__last")) & (F.col(role_col) == LEARNED)
-    joined = turns.join(last, pair_col, "left").where(F.col("__last").isNull() | (F.col(turn_col) <= F.col("__last")))
-    return joined.withColumn(text_col, F.when(cut, half).otherwise(F.col(text_col))).drop("__last")
+    found = turns.withColumn("__last", last).where(F.col("__last").isNull() | (F.col(turn_col) <= F.col("__last")))
+    return found.withColumn(text_col, F.when((F.col(turn_col) == F.col("__last")) & answer, half).otherwise(F.col(text_col))).drop("__last")
