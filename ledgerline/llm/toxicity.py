@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ledgerline.llm import wordhash as wh
-from ledgerline.llm.storage import small_batches, written
+from ledgerline.llm.storage import discard, small_batches, written
+from ledgerline.llm.workers import frugal
 
 #: Words of a window and between the starts of two.
 WINDOW, STRIDE = 24, 16
@@ -30,9 +31,9 @@ WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 8, 8, 10, 8
 GRAMS = (3, 6)
 #: Words with a vector of their own: those of so many training documents, so many at most; others share one.
 LEAST_DOCS, MOST_WORDS = 8, 1 << 13
-#: Labelled documents that training reads at most (of each label), and their words.
-SAMPLE_EACH, SAMPLE_WORDS = 1500, 800_000
-#: Texts of more than this part of their label's words are sampled last.
+#: Labelled documents that training reads at most (of each label), and the characters of all.
+SAMPLE_EACH, SAMPLE_CHARS = 1500, 4_800_000
+#: Texts of more than this part of their label's characters are sampled last.
 LONG = 20
 EPOCHS, SEED = 6, 7
 #: Weight decay by parameter, 0.01 for the others; and the part of words whose characters a step leaves out.
@@ -344,38 +345,42 @@ def _fit_document(x: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """Up to SAMPLE_EACH texts of each label, by the ids' hashes, SAMPLE_WORDS words in all.
+    """Up to SAMPLE_EACH texts of each label, by the ids' hashes, of SAMPLE_CHARS characters in all.
 
-    Each label has half of the words, and what the other leaves of its half. A text that doesn't fit is passed over;
-    those of more than a LONG-th of the label's words come after the others. If no text of a
-    label fits, a run of words of its shortest stands for it.
+    Each label has half of the characters, and what the other leaves of its half. A text that doesn't fit is passed over;
+    those of more than a LONG-th of the label's share come after the others. If no text of a label fits, a run of
+    characters of its shortest stands for it. Texts are chosen by their sizes, so only what is chosen reaches the driver.
     """
     keyed = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("int").alias("label")).distinct()
     order = F.xxhash64(id_col)
     chosen = keyed.where("label = 1").orderBy(order, id_col).limit(SAMPLE_EACH).union(keyed.where("label = 0").orderBy(order, id_col).limit(SAMPLE_EACH))
-    text = F.col(text_col).cast("string")
-    size = F.greatest(F.lit(1), F.floor(F.length(F.coalesce(text, F.lit(""))) / 6)).cast("long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # 2 * SAMPLE_EACH rows of two numbers: small enough to send to every task.
-    rows = written(docs.join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("id"), text.alias("text"), "label", size.alias("size")), "sample")
-    words = {r["label"]: r["words"] for r in rows.groupBy("label").agg(F.sum("size").alias("words")).collect()}
+    joined = docs.join(F.broadcast(chosen), id_col)
+    rows = written(joined.select(F.col(id_col).alias("id"), text.alias("text"), "label", F.greatest(F.lit(1), F.length(text)).cast("long").alias("size"), F.xxhash64(id_col, text).alias("key")), "sample")
+    total = {r["label"]: r["size"] for r in rows.groupBy("label").agg(F.sum("size").alias("size")).collect()}
     texts, found = [], []
-    for label in sorted(words):
-        share = max(SAMPLE_WORDS // 2, SAMPLE_WORDS - words.get(1 - label, 0))
-        of_label, left, any_fit = rows.where(F.col("label") == label), share, False
-        fitting = of_label.where(F.col("size") <= share).orderBy(F.col("size") > share // LONG, F.xxhash64("id"), "id", "text")
-        for row in fitting.toLocalIterator():
+    for label in sorted(total):
+        share = max(SAMPLE_CHARS // 2, SAMPLE_CHARS - total.get(1 - label, 0))
+        of_label = rows.where(F.col("label") == label)
+        # A row of three numbers for each text, SAMPLE_EACH at most, though an id may have repeated rows.
+        sizes = of_label.where(F.col("size") <= share).orderBy(F.col("size") > share // LONG, F.xxhash64("id"), "id", "key").select("size", "key").limit(SAMPLE_EACH).collect()
+        left, picked = share, []
+        for row in sizes:
             if row["size"] <= left:
-                left, any_fit = left - row["size"], True
-                texts.append(row["text"])
-                found.append(label)
-            if not left:
-                break
-        if not any_fit:
+                left -= row["size"]
+                picked.append(row["key"])
+        if picked:
+            got = {r["key"]: r["text"] for r in of_label.where(F.col("key").isin(picked)).select("key", "text").dropDuplicates(["key"]).collect()}
+            some = [got[key] for key in dict.fromkeys(picked)]
+        else:
             # A run at a place that its id tells, so that a long text isn't always known by its beginning.
-            at = F.pmod(F.xxhash64("id"), F.length("text") - 6 * share + 1) + 1
-            shortest = of_label.orderBy("size", F.xxhash64("id"), "id", "text").limit(1)
-            texts.append(shortest.select(F.col("text").substr(at.cast("int"), F.lit(6 * share))).first()[0])
-            found.append(label)
+            at = F.pmod(F.xxhash64("id"), F.length("text") - share + 1) + 1
+            shortest = of_label.orderBy("size", F.xxhash64("id"), "id", "key").limit(1)
+            some = [shortest.select(F.col("text").substr(at.cast("int"), F.lit(share))).first()[0]]
+        texts += some
+        found += [label] * len(some)
+    discard(rows)
     return texts, found
 
 
@@ -400,7 +405,7 @@ def add_scores(docs: DataFrame, network: Network, text_col: str = "text", to: st
             score = np.concatenate(out) if out else np.zeros(0)
             yield pa.record_batch([*batch.columns, pa.array(score.astype(np.float64))], names=[*batch.schema.names, to])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def is_held_out(id_col: str = "doc_id"):

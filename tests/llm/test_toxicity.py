@@ -49,6 +49,50 @@ def test_gradient_matches_differences():
         assert abs((up - down) / (2 * eps) - gradient) < 2e-3 * max(1, abs(gradient)), name
 
 
+def plain_window(net, texts):
+    """Logit of a window of words, told word by word."""
+    p, sig = net.p, lambda x: 1 / (1 + np.exp(-x))
+    words = tx.wh.Words([" ".join(texts).encode()], tx._TOKEN)
+    vectors = []
+    for i, h in enumerate(words.hashes()):
+        body = b"^" + words.data[words.starts[i] : words.ends[i]].tobytes() + b"^"
+        grams = []
+        for n in tx.GRAMS:
+            for a in range(len(body) - n + 1):
+                total = (n + sum(int(c) * int(s) for c, s in zip(body[a : a + n], tx._SPREAD))) % 2**64
+                grams.append(int(tx.wh.mix(np.array([total], dtype=np.uint64))[0]) % tx.GRAM_BUCKETS)
+        known = np.flatnonzero(p["known"] == h)
+        vectors.append(np.concatenate([p["word"][known[0] if len(known) else -1], p["gram"][grams].mean(axis=0)]))
+    states = {}
+    for d in "fb":
+        h, seen = np.zeros(tx.HIDDEN), []
+        for x in vectors if d == "f" else vectors[::-1]:
+            g, u = x @ p[f"x{d}"] + p[f"c{d}"], h @ p[f"u{d}"]
+            (gz, gr, gc), (uz, ur, uc) = np.split(g, 3), np.split(u, 3)
+            z, r = sig(gz + uz), sig(gr + ur)
+            h = z * h + (1 - z) * np.tanh(gc + r * uc)
+            seen.append(h)
+        states[d] = seen if d == "f" else seen[::-1]
+    both = np.array([np.concatenate(x) for x in zip(states["f"], states["b"])])
+    energy = np.tanh(both @ p["av"]) @ p["a"]
+    weight = np.exp(energy - energy.max())
+    return (weight / weight.sum()) @ both @ p["w"] + p["b"][0]
+
+
+def test_scores_against_a_plain_network():
+    rows = sample(120)
+    net = tx.train([t for _, t, _ in rows], [y for *_, y in rows], epochs=2)
+    for text in (rows[0][1], "venom", " ".join(["a", "bb", "spite", "ccc"] * 20)):
+        words = text.split()
+        starts = [*range(0, max(1, len(words) - tx.WINDOW + 1), tx.STRIDE)]
+        if starts[-1] + tx.WINDOW < len(words):
+            starts.append(starts[-1] + tx.STRIDE)
+        logits = np.array([plain_window(net, words[a : a + tx.WINDOW]) for a in starts])
+        said = tx._summary(logits, np.zeros(len(logits), dtype=np.int64), 1)
+        want = tx._sigmoid(said @ net.p["doc"].astype(np.float64))[0]
+        assert abs(net.text_scores([text.encode()])[0] - want) < 1e-4
+
+
 def test_held_out_accuracy():
     rows = sample()
     net = tx.train([t for _, t, _ in rows[:300]], [y for *_, y in rows[:300]])
@@ -90,9 +134,9 @@ def test_held_out_rows_and_sample(spark, docs, monkeypatch):
 
 
 def test_rare_label_keeps_its_share(spark, docs, monkeypatch):
-    # Joint hash order would spend the words on the clean texts of the lowest hashes.
+    # Joint hash order would spend the characters on the clean texts of the lowest hashes.
     monkeypatch.setattr(tx, "SAMPLE_EACH", 20)
-    monkeypatch.setattr(tx, "SAMPLE_WORDS", 400)
+    monkeypatch.setattr(tx, "SAMPLE_CHARS", 2400)
     rows = [(i, "abcde " * 20, int(i % 100 == 0)) for i in range(2000)]
     _, found = tx.training_sample(docs([(i, t) for i, t, _ in rows]), docs([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
     assert found.count(0) == found.count(1) == 10
@@ -102,7 +146,7 @@ def test_rare_label_keeps_its_share(spark, docs, monkeypatch):
 
 
 def test_long_document_does_not_end_the_sample(spark, docs, monkeypatch):
-    monkeypatch.setattr(tx, "SAMPLE_WORDS", 1000)
+    monkeypatch.setattr(tx, "SAMPLE_CHARS", 6000)
     rows = [(i, "abcde " * 10, i % 2) for i in range(20)]
     labels = docs([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     for long in (3, 8):
