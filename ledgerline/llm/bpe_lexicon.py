@@ -24,14 +24,16 @@ from tokenizers import Tokenizer
 
 from ledgerline.llm.bpe_merge import PairMerger, byte_chars
 from ledgerline.llm.pieces import PLAIN, PieceCache, batches_by_size
-from ledgerline.llm.shared_files import as_array, mapped, write_bytes
-from ledgerline.llm.storage import new_path, small_batches, written
+from ledgerline.llm.shared_files import packed, unpacked, write_bytes
+from ledgerline.llm.storage import discard, new_path, small_batches, written
+from ledgerline.llm.workers import frugal, kept
 
 #: Frequent words that are compiled.
 LEXICON_WORDS = 1 << 16
 #: Pieces of one generation of a worker's cache, whose values here are four bytes an id.
 CACHED_PIECES = 150_000
 
+
 class WordBpe:
     """A word-level BPE vocabulary file: word splitting, merging and decoding."""
 
@@ -125,25 +127,16 @@ def compile_lexicon(words: list[bytes], ids: list[np.ndarray]) -> list[bytes]:
         "ids": (np.concatenate(ids) if ids else np.zeros(0)).astype("<i4"),
         "final": np.array(final, dtype="u1"),
     }
-    at, index = 0, {}
-    for name, x in arrays.items():
-        index[name] = (x.dtype.str, at, len(x))
-        at += -(-x.nbytes // 8) * 8
-    head = json.dumps({"root": root, "index": index}).encode()
-    head += b" " * (-len(head) % 8)
-    return [len(head).to_bytes(8, "little"), head, *[x.tobytes() + bytes(-x.nbytes % 8) for x in arrays.values()]]
+    return packed({"root": root}, arrays)
 
 
 class Lexicon:
     """A compiled lexicon, mapped from its file."""
 
     def __init__(self, uri: str):
-        buffer = mapped(uri)
-        size = int.from_bytes(buffer[:8].to_pybytes(), "little")
-        head = json.loads(buffer[8 : 8 + size].to_pybytes())
+        head, arrays = unpacked(uri)
         self.root = head["root"]
-        for name, (dtype, at, n) in head["index"].items():
-            setattr(self, name, as_array(buffer, dtype, 8 + size + at, n))
+        vars(self).update(arrays)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Each word's number, -1 for one that isn't held; all words walk together."""
@@ -178,19 +171,40 @@ def _pieces(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
-_LOADED: dict[str, object] = {}
+class Encoder:
+    """What a worker keeps: a vocabulary, and the pieces that it has met under one lexicon."""
+
+    def __init__(self, tokenizer_file: str):
+        self.bpe = WordBpe(tokenizer_file)
+        self.uri, self.lexicon, self.cache = "", None, None
+
+    def under(self, uri: str) -> PieceCache:
+        """Cached ids of pieces; a new lexicon drops the earlier one's."""
+        if uri != self.uri:
+            self.lexicon, self.cache, self.uri = Lexicon(uri), PieceCache(self._ids, CACHED_PIECES), uri
+        return self.cache
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        split = [self.bpe.words(p) for p in pieces]
+        words = list({w for ws in split for w in ws if isinstance(w, bytes)})
+        number = self.lexicon.numbers(words).tolist()
+        value = {w: self.lexicon.ids_of(n).tobytes() for w, n in zip(words, number) if n >= 0}
+        rest = [w for w, n in zip(words, number) if n < 0]
+        value.update(zip(rest, self.bpe.merge_bytes(rest, "<i4")))
+        return [b"".join([value[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in ws]) for ws in split]
+
+
+def _encoder(tokenizer_file: str) -> Encoder:
+    return kept(("words", tokenizer_file), lambda: Encoder(tokenizer_file))
 
 
-def _loaded(kind, name: str):
-    """One instance a worker of what is read from a file."""
-    if name not in _LOADED:
-        _LOADED[name] = kind(name)
-    return _LOADED[name]
+#: Distinct pieces that a task counts before it tells their words.
+COUNTED_PIECES = 200_000
 
 
 def _word_counts(tokenizer_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(WordBpe, tokenizer_file)
+        bpe = _encoder(tokenizer_file).bpe
         pieces: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
@@ -206,11 +220,11 @@ def _word_counts(tokenizer_file: str):
             for text in batch.column("text").to_pylist():
                 if text:
                     pieces.update(_pieces(text))
-            if len(pieces) > 500_000:
-                yield flush()
+                    if len(pieces) > COUNTED_PIECES:
+                        yield flush()
         yield flush()
 
-    return run
+    return frugal(run)
 
 
 def frequent_words(docs: DataFrame, text_col: str, tokenizer_file: str, n_words: int = LEXICON_WORDS) -> list[bytes]:
@@ -227,27 +241,15 @@ def frequent_words(docs: DataFrame, text_col: str, tokenizer_file: str, n_words:
         if total > n_words:
             break
         least = at
-    if least is None:
-        return []
-    return sorted(bytes(r["word"]) for r in counts.where(F.col("n") >= least).select("word").collect())
+    found = [] if least is None else counts.where(F.col("n") >= least).select("word").collect()
+    discard(counts)
+    return sorted(bytes(r["word"]) for r in found)
 
 
 def _encode(tokenizer_file: str, lexicon_uri: str, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, lexicon = _loaded(WordBpe, tokenizer_file), _loaded(Lexicon, lexicon_uri)
-
-        def compute(pieces: list[str]) -> list[bytes]:
-            split = [bpe.words(p) for p in pieces]
-            words = list({w for ws in split for w in ws if isinstance(w, bytes)})
-            number = lexicon.numbers(words)
-            value = {w: lexicon.ids_of(n).tobytes() for w, n in zip(words, number.tolist()) if n >= 0}
-            rest = [w for w, n in zip(words, number.tolist()) if n < 0]
-            value.update(zip(rest, bpe.merge_bytes(rest, "<i4")))
-            return [b"".join([value[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in ws]) for ws in split]
-
-        key = ("pieces", lexicon_uri)
-        cache = _LOADED.setdefault(key, PieceCache(compute, CACHED_PIECES))
-        cache.compute = compute
+        encoder = _encoder(tokenizer_file)
+        tokens, cache = encoder.bpe.tokens, encoder.under(lexicon_uri)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in batches_by_size(texts, 1 << 20):
@@ -257,13 +259,12 @@ def _encode(tokenizer_file: str, lexicon_uri: str, with_text: bool):
                 offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 columns = [batch.column("id")[a:b], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))]
                 if with_text:
-                    tokens = bpe.tokens
                     names = [tokens[i] for i in flat.tolist()]
                     cut = offsets.tolist()
                     columns.append(pa.array([" ".join(names[x:y]) for x, y in zip(cut, cut[1:])], pa.string()))
                 yield pa.record_batch(columns, names=["id", "ids", "decoded"][: len(columns)])
 
-    return run
+    return frugal(run)
 
 
 def encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", n_words: int = LEXICON_WORDS, with_text: bool = True) -> DataFrame:
@@ -291,7 +292,7 @@ def decode(encoded: DataFrame, tokenizer_file: str, ids_col: str = "ids", to: st
     """``encoded`` with the text of its ids; null ids give a null text. A column ``to`` is replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(WordBpe, tokenizer_file)
+        bpe = _encoder(tokenizer_file).bpe
         for batch in batches:
             texts = [None if x is None else bpe.decode(x) for x in batch.column(ids_col).to_pylist()]
             keep = [f.name for f in batch.schema if f.name != to]
@@ -300,4 +301,4 @@ def decode(encoded: DataFrame, tokenizer_file: str, ids_col: str = "ids", to: st
     from pyspark.sql.types import StringType, StructField, StructType
 
     schema = StructType([f for f in encoded.schema.fields if f.name != to] + [StructField(to, StringType())])
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(frugal(run), schema)

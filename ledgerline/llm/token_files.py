@@ -26,10 +26,10 @@ from ledgerline.llm.bpe_merge import PairMerger
 from ledgerline.llm.pieces import CACHE_SIZE, PLAIN, PieceCache, batches_by_size, spaced_pieces
 from ledgerline.llm.shared_files import filesystem, mapped
 from ledgerline.llm.storage import new_path, small_batches, written
+from ledgerline.llm.workers import frugal, kept
 
 SEQUENCE = 2048
 ROWS = 256
-_ENCODERS: dict[tuple[str, str], LibraryIds] = {}
 #: The usual split of byte-level vocabularies, as their pre-tokenizer documents it.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -89,9 +89,7 @@ class LibraryIds:
 
 def library_ids(tokenizer_file: str, dtype: str) -> LibraryIds:
     """One encoder a worker."""
-    if (tokenizer_file, dtype) not in _ENCODERS:
-        _ENCODERS[tokenizer_file, dtype] = LibraryIds(tokenizer_file, dtype)
-    return _ENCODERS[tokenizer_file, dtype]
+    return kept(("ids", tokenizer_file, dtype), lambda: LibraryIds(tokenizer_file, dtype))
 
 
 def id_type(tokenizer_file: str, end_id: int) -> str:
@@ -198,7 +196,7 @@ def _write(folder: str, tokenizer_file: str, dtype: str, end_id: int, sequence:
         if writer:
             writer.close()
 
-    return run
+    return frugal(run)
 
 
 def write_token_files(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, sequence: int = SEQUENCE, rows: int = ROWS) -> DataFrame:

@@ -149,3 +149,24 @@ def test_digest_of_ids(spark):
     for r in op1_bpe_lexicon(spark, "/root/testdata/sf0.001").collect():
         ids = library.encode(docs[r["doc_id"]] or "", add_special_tokens=False).ids
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_empty_tables_null_ids_and_clashing_names(spark, docs):
+    kind = "doc_id long, text string, ids string, decoded string, length int, id long"
+    some = docs([(1, "a bc", "x", "y", 3, 9), (None, "a bc", "x", "y", 3, 9), (None, None, None, None, None, None)], kind)
+    library = Tokenizer.from_file(WORD)
+    ids = library.encode("a bc", add_special_tokens=False).ids
+    assert sorted(((r["doc_id"], r["ids"]) for r in encode(some, WORD).collect()), key=str) == sorted([(1, ids), (None, ids), (None, [])], key=str)
+    assert encode(docs([], kind), WORD).collect() == []
+    lengths = encoded_lengths(some, RANKS, public_tokenizers.PATTERN)
+    assert sorted((r["n_docs"], r["length"]) for r in length_histogram(lengths).collect())[0] == (1, 0)
+    assert suffix_sums(length_histogram(encoded_lengths(docs([], kind), RANKS, public_tokenizers.PATTERN))).collect() == []
+
+
+def test_workers_keep_one_operators_tables(spark):
+    from ledgerline.llm import workers
+
+    made = []
+    make = lambda x: lambda: made.append(x) or x
+    assert [workers.kept("a", make(1)), workers.kept("a", make(2)), workers.kept("b", make(3)), workers.kept("a", make(4))] == [1, 1, 3, 4]
+    assert made == [1, 3, 4] and list(workers._KEPT) == ["a"]
