@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.storage import written
+from ledgerline.llm.storage import discard, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,8 +27,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hook = written(low.select("node", F.least("node", "to").alias("to"), F.lit(True).alias("moved")), "hook")
         while not hook.where("moved").isEmpty():
             over = hook.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            hook = written(hook.join(over, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "hook")
+            last, hook = hook, written(hook.join(over, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "hook")
+            discard(last)
         label = hook.select("node", "to")
+        before = (out, live, hook)
         out = written(out.join(label.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "nodes")
         live = written(
             live.join(label.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")
@@ -38,4 +40,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .distinct(),
             "edges",
         )
+        discard(*before)
+    discard(live)
     return out

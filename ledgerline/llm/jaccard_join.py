@@ -1,7 +1,7 @@
 """Exact Jaccard join of texts on word shingles, with token-combination prefixes.
 
-Tokens (shingles) are ordered by corpus frequency, rare first, and fall into classes:
-a rare token is a signature by itself; tokens of a frequent class are signatures
+Tokens (shingles) are ordered by how many sets they occur in, rare first, and fall into classes:
+a rare token is a signature by itself; tokens of the frequent class are signatures
 only in combinations of two from the same sub-class. A set's prefix is the
 shortest run of its ordered tokens in which destroying every signature takes more
 deletions than the threshold allows: sum over sub-classes of max(0, n - k + 1) >
@@ -9,13 +9,15 @@ size - least overlap. Two sets that link then share a signature of their prefixe
 so the groups made by shared signatures lose no link, and every pair
 of different sets within a group is verified exactly.
 
-Frequencies come from a fixed-size table of counters over all documents; they
-only order tokens, so their collisions cost speed and never a link.
+A token's class is told by an exact count over all documents, in two rounds: each set offers its tokens of
+least hash, somewhat more than a prefix, and offers are counted by token; then sets that have too few
+tokens that nobody else offers, as near copies do, offer all of theirs. Tokens that more than one set offers, and
+those that more than RARE do, are listed in bitmaps, which grow with their number up to a bound.
+Classes only order tokens, so a bitmap's collisions cost speed and never a link.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import wordhash as wh
+from ledgerline.llm.bitmaps import MOST_BITS, bitmap, bits_for, listed
 from ledgerline.llm.graph import connected_components
-from ledgerline.llm.storage import small_batches, written
+from ledgerline.llm.storage import discard, small_batches, written
+from ledgerline.llm.workers import frugal
 
-#: Counters of the frequency table (2**bits) and the pieces it is shipped in.
-SKETCH_BITS = 20
-CHUNKS = 16
-#: A token that its counter has seen so often at most is rare, and a signature by itself.
-RARE = 2
+#: Sets that offer a token, at most, if it is rare and so a signature by itself.
+RARE = 4
 #: From which set size frequent tokens pair up, at least, and in how many sub-classes; pairs stay inside one.
 SUBCLASSES = ((48, 4), (100, 8), (200, 16), (400, 32), (800, 64), (1600, 128), (3200, 256), (6400, 512))
-#: Slots (2**bits) of the filter that keeps texts without candidates out of the last shuffle.
-BITMAP_BITS = 23
+#: Digests that a task remembers, to pass over repeated sets.
+REMEMBERED = 200_000
 #: Shingles and sets that one block of a group holds, about; and rows of a block's product held at a time.
 BLOCK_TOKENS, BLOCK_SETS = 1 << 17, 1000
 STRIP = 1024
@@ -58,69 +59,116 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def _scan(k: int):
-    """Each document's set size and digest, and the task's counters of all its tokens."""
-    schema = pa.schema([("kind", pa.int8()), ("row", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("payload", pa.binary())])
+class _Seen:
+    """The sets that a task has met lately."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        pending: list[np.ndarray] = []
-        waiting = 0
-
-        def add() -> None:
-            nonlocal waiting
-            if pending:
-                bins = (np.concatenate(pending) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                counts[:] += np.bincount(bins, minlength=1 << SKETCH_BITS).astype(np.uint32)
-                pending.clear()
-                waiting = 0
+    def __init__(self):
+        self.digests: set[tuple[int, int]] = set()
+
+    def again(self, digest: tuple[int, int]) -> bool:
+        if digest in self.digests:
+            return True
+        if len(self.digests) >= REMEMBERED:
+            self.digests.clear()
+        self.digests.add(digest)
+        return False
+
+
+def offered(size: int, percent: int) -> int:
+    """How many tokens of least hash a set offers for counting."""
+    need = size - least_overlap(size, percent) + 1
+    return min(size, need + 3 * need // 4 + 4)
 
+
+def _scan(k: int, percent: int, least_size: int):
+    """Each document's set size and digest, and the tokens that it offers unless its set has been met."""
+    schema = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("offer", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in batches:
-            ids, texts = batch.column("id").to_pylist(), _texts(batch, "text")
+            ids, texts = batch.column("id"), _texts(batch, "text")
             for a, b in wh.in_batches(texts):
                 sets = wh.shingles(wh.Words(texts[a:b], wh.SPACED), k)
-                for s in sets:
-                    pending.append(s)
-                    waiting += len(s)
-                if waiting > 1_000_000:
-                    add()
                 digests = [_digest(s) for s in sets]
+                offers = [s[: offered(len(s), percent)] if len(s) >= least_size and not seen.again(d) else s[:0] for s, d in zip(sets, digests)]
+                ends = np.cumsum([0, *map(len, offers)]).astype(np.int32)
                 yield pa.record_batch(
                     [
-                        pa.array(np.zeros(b - a, dtype=np.int8)),
-                        pa.array(ids[a:b], pa.int64()),
+                        ids[a:b].cast(pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([d[0] for d in digests], pa.int64()),
                         pa.array([d[1] for d in digests], pa.int64()),
-                        pa.nulls(b - a, pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(offers).view(np.int64))),
                     ],
                     schema=schema,
                 )
-        add()
-        if counts.any():
-            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, CHUNKS)]
-            n = len(parts)
-            yield pa.record_batch(
-                [pa.array(np.ones(n, dtype=np.int8)), pa.array(range(n), pa.int64()), *[pa.nulls(n, pa.int64())] * 3, pa.array(parts, pa.binary())],
-                schema=schema,
-            )
 
-    return run, "kind byte, row long, n long, h1 long, h2 long, payload binary"
+    return frugal(run), "row long, n long, h1 long, h2 long, offer array<long>"
 
 
-def _add_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the counters of one piece, whatever tasks they come from; sums are as long as one."""
-    totals: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for row, payload in zip(batch.column("row").to_pylist(), batch.column("payload")):
-            x = np.frombuffer(zlib.decompress(payload.as_py()), dtype=np.uint32)
-            totals[row] = totals[row] + x if row in totals else x.astype(np.uint64)
-    if totals:
-        rows = sorted(totals)
-        # A logarithmic byte is enough to order by, and a sixteenth of the size.
-        level = [np.minimum(255, np.round(8 * np.log2(1 + totals[r].astype(np.float64)))).astype(np.uint8).tobytes() for r in rows]
-        total = [int(totals[r].sum()) for r in rows]
-        yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(total, pa.int64()), pa.array(level, pa.binary())], names=["row", "total", "level"])
+def _short(percent: int, tables):
+    """Ids of the sets whose offer holds fewer tokens of class 0 than a prefix needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offer = batch.column("offer")
+            size = np.diff(offer.offsets.to_numpy())
+            rare = ranks(offer.flatten().to_numpy(), tables.value) == 0
+            ends = np.cumsum(size)
+            rare = np.concatenate([[0], np.cumsum(rare)])
+            n = batch.column("n").to_numpy()
+            need = n + (-percent * n) // 100 + 1
+            short = (size > 0) & (rare[ends] - rare[ends - size] < need)
+            yield batch.filter(pa.array(short)).select(["rep"])
+
+    return frugal(run)
+
+
+def _all_tokens(k: int, least_size: int, flags):
+    """Every token of every different set of a task, of rows (h, text) whose hash is listed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, table = _Seen(), np.frombuffer(flags.value, dtype=np.uint8)
+        for batch in batches:
+            texts = _texts(batch.filter(pa.array(listed(table, batch.column("h").to_numpy()))), "text")
+            for a, b in wh.in_batches(texts):
+                sets = [(d[0], s) for s in wh.shingles(wh.Words(texts[a:b], wh.SPACED), k) if len(s) >= least_size and not seen.again(d := _digest(s))]
+                if sets:
+                    nodes = np.repeat(np.array([node >> 32 for node, _ in sets], dtype=np.int32), [len(s) for _, s in sets])
+                    yield pa.record_batch([pa.array(np.concatenate([s for _, s in sets]).view(np.int64)), pa.array(nodes)], names=["token", "node"])
+
+    return frugal(run), "token long, node int"
+
+
+def ranks(tokens: np.ndarray, tables: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """Class of each token: 0 if no table lists it, 2 if one lists it as frequent, else 1."""
+    out = np.zeros(len(tokens), dtype=np.int8)
+    for often, frequent in tables:
+        found = [listed(np.frombuffer(x, dtype=np.uint8), tokens) for x in (often, frequent)]
+        np.maximum(out, found[0].astype(np.int8) + (found[0] & found[1]), out=out)
+    return out
+
+
+def token_classes(offers: DataFrame) -> tuple[tuple[bytes, bytes], int]:
+    """((listed, frequent), singles) of offers (token, node): bitmaps of the tokens that sets offer often and of those they offer
+    more than RARE times; and the last class whose tokens are signatures by themselves.
+
+    Often means by two sets; a node stands for a set, which several tasks may offer. Where tokens of two sets are more than the
+    largest bitmap can tell apart, it means the least power of two that leaves few enough.
+    """
+    counts = offers.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
+    counts = written(counts.where("low < high").select("token", "n"), "token-counts")
+    # One row for each power of two.
+    levels = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("tokens")).collect()
+    least = 1
+    while sum(r["tokens"] for r in levels if r["level"] >= least) > 1 << (MOST_BITS - 1):
+        least += 1
+    tables = []
+    for often in (counts.where(F.col("n") >= 1 << least), counts.where(F.col("n") > max(RARE, (1 << least) - 1))):
+        tables.append(bitmap(often, "token", bits_for(often.count())))
+    discard(counts)
+    return (tables[0], tables[1]), 1 if (1 << least) <= RARE + 1 else -1
 
 
 def _schemes(percent: int) -> list[tuple[int, int]]:
@@ -145,27 +193,32 @@ def _pairs_of(tokens: np.ndarray, sub: np.ndarray) -> list[np.ndarray]:
     return keys
 
 
-def _signatures_of(s: np.ndarray, level: np.ndarray, frequent: int, percent: int, schemes: list[tuple[int, int]]) -> np.ndarray:
-    """Keys of one sorted set: single rare tokens, and pairs of frequent ones, in its prefix.
+def _signatures_of(s: np.ndarray, rank: np.ndarray, singles: int, percent: int, schemes: list[tuple[int, int]]) -> np.ndarray:
+    """Keys of one sorted set, given its tokens' classes: single rare tokens, and pairs of frequent ones, in its prefix.
 
-    A set uses the scheme of its size's band, and the next band's too where a partner can be there.
+    A set uses the scheme of its size's band, and the next band's too where a partner can be there. Tokens up
+    to class ``singles`` are rare.
     """
     n = len(s)
     need = n - least_overlap(n, percent) + 1
-    rank = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    order = np.lexsort((s, rank))
+    order = np.argsort(rank, kind="stable")
     s, rank = s[order], rank[order]
-    rare = int(np.searchsorted(rank, frequent, "right"))
-    keys = []
-    for number, (low, parts) in enumerate(schemes):
-        high = schemes[number + 1][0] if number + 1 < len(schemes) else n + 1
-        if n >= high or 100 * n < percent * low:
+    rare = int(np.searchsorted(rank, singles, "right"))
+    if rare >= need:
+        return s[:need]
+    bands = [
+        (number, parts)
+        for number, (low, parts) in enumerate(schemes)
+        if 100 * n >= percent * low and n < (schemes[number + 1][0] if number + 1 < len(schemes) else n + 1)
+    ]
+    if not all(parts for _, parts in bands):
+        keys = [s[:need]]
+    else:
+        keys = [s[:rare]]
+    for number, parts in bands:
+        if not parts:
             continue
         salt = wh.mix(np.full(1, number + 1, dtype=np.uint64))
-        if not parts or rare >= need:
-            keys.append(s[:need] ^ salt)
-            continue
-        keys.append(s[:rare] ^ salt)
         tail = s[rare:]
         sub = ((wh.mix(tail) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         # A frequent token costs one more deletion unless it is the first of its sub-class.
@@ -178,28 +231,25 @@ def _signatures_of(s: np.ndarray, level: np.ndarray, frequent: int, percent: int
     return np.concatenate(keys)
 
 
-def _postings(k: int, percent: int, level, frequent: int, least_size: int):
+def _postings(k: int, percent: int, tables, singles: int, least_size: int):
     schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes = _schemes(percent)
-        levels = np.frombuffer(level.value, dtype=np.uint8)
-        seen: set[tuple[int, int]] = set()
+        seen = _Seen()
         for batch in batches:
             texts = _texts(batch, "text")
             for a, b in wh.in_batches(texts):
-                keys, nodes = [], []
-                for s in wh.shingles(wh.Words(texts[a:b], wh.SPACED), k):
-                    if len(s) < least_size or (d := _digest(s)) in seen:
-                        continue
-                    seen.add(d)
-                    got = _signatures_of(s, levels, frequent, percent, schemes)
-                    keys.append(got)
-                    nodes.append(np.full(len(got), d[0], dtype=np.int64))
-                if keys:
-                    yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], schema=schema)
+                sets = [(d[0], s) for s in wh.shingles(wh.Words(texts[a:b], wh.SPACED), k) if len(s) >= least_size and not seen.again(d := _digest(s))]
+                if not sets:
+                    continue
+                tokens = np.concatenate([s for _, s in sets])
+                classes = np.split(ranks(tokens, tables.value), np.cumsum([len(s) for _, s in sets])[:-1])
+                keys = [_signatures_of(s, rank, singles, percent, schemes) for (_, s), rank in zip(sets, classes)]
+                nodes = np.repeat(np.array([node for node, _ in sets], dtype=np.int64), [len(x) for x in keys])
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes)], schema=schema)
 
-    return run, "key long, node long"
+    return frugal(run), "key long, node long"
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,48 +272,26 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
 
-def _needed(bitmap):
-    """Drop rows whose id is in no slot of the bitmap; it may keep others, which a join drops."""
+def _needed(flags):
+    """Drop rows whose hash isn't listed; the bitmap may keep others, which a join drops."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(bitmap.value, dtype=np.uint8)).astype(bool)
+        table = np.frombuffer(flags.value, dtype=np.uint8)
         for batch in batches:
-            keep = bits[batch.column("slot").to_numpy()]
-            yield batch.filter(pa.array(keep)).select(["id", "text"])
+            yield batch.filter(pa.array(listed(table, batch.column("h").to_numpy()))).select(["id", "text"])
 
-    return run
+    return frugal(run)
 
 
-def _bitmap_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slots of one task as (piece, bits) rows."""
-    bits = np.zeros(1 << BITMAP_BITS, dtype=bool)
-    for batch in batches:
-        bits[batch.column("slot").to_numpy()] = True
-    if bits.any():
-        parts = np.split(np.packbits(bits), CHUNKS)
-        yield pa.record_batch([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["piece", "bits"])
+def _flags_of(ids: DataFrame):
+    """A bitmap of bounded size, shared with the tasks, of the hashes of ``ids`` (rep)."""
+    return ids.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("rep").alias("h")), "h", bits_for(ids.count())))
 
 
 def _rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of (id, text) whose id may be among ``ids`` (rep), by a fixed-size bitmap, so that few texts are shuffled."""
-    spark = rows.sparkSession
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS)).cast("int").alias("slot")
-    parts = ids.select(slot("rep")).mapInArrow(_bitmap_part, "piece int, bits binary")
-    # CHUNKS pieces, 2**BITMAP_BITS bits together, whatever the corpus holds.
-    merged = parts.repartition("piece").mapInArrow(_or_bits, "piece int, bits binary")
-    found = sorted((r["piece"], bytes(r["bits"])) for r in merged.collect())
-    bitmap = b"".join(x for _, x in found) or bytes((1 << BITMAP_BITS) // 8)
-    return rows.select("id", "text", slot("id")).mapInArrow(_needed(spark.sparkContext.broadcast(bitmap)), "id long, text string")
-
-
-def _or_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for piece, bits in zip(batch.column("piece").to_pylist(), batch.column("bits").to_pylist()):
-            x = np.frombuffer(bits, dtype=np.uint8)
-            totals[piece] = totals[piece] | x if piece in totals else x
-    if totals:
-        yield pa.record_batch([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names=["piece", "bits"])
+    """Rows of (id, text) whose id may be among ``ids``, so that few texts are shuffled."""
+    hashed = rows.where("id is not null").select("id", "text", F.xxhash64("id").alias("h"))
+    return hashed.mapInArrow(_needed(_flags_of(ids)), "id long, text string")
 
 
 def _sets(k: int):
@@ -281,7 +309,7 @@ def _sets(k: int):
                     names=["rep", "cluster", "i", "blocks", "tokens"],
                 )
 
-    return run, "rep long, cluster long, i int, blocks int, tokens binary"
+    return frugal(run), "rep long, cluster long, i int, blocks int, tokens binary"
 
 
 def linked_rows(sets: list[np.ndarray], percent: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -382,7 +410,7 @@ def _verify(percent: int):
         if len(rows) > 1:
             yield done(rows)
 
-    return run, "a long, b long, n_links long"
+    return frugal(run), "a long, b long, n_links long"
 
 
 def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -400,21 +428,22 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    run, schema = _scan(k)
-    scanned = written(rows.mapInArrow(run, schema), "scan")
-    sizes = scanned.where("kind = 0").select(F.col("row").alias("id"), "n", "h1", "h2")
-    pieces = scanned.where("kind = 1").select("row", "payload").repartition(CHUNKS, "row")
-    # CHUNKS rows of 2**SKETCH_BITS / CHUNKS bytes, whatever the corpus holds.
-    counters = sorted(pieces.mapInArrow(_add_counters, "row long, total long, level binary").collect())
-    level = b"".join(r["level"] for r in counters) or bytes(1 << SKETCH_BITS)
-    frequent = int(round(8 * np.log2(1 + RARE)))
-    shared_level = spark.sparkContext.broadcast(level)
     # The smallest set that can link to a different set: one token more or less.
     least_size = next(n for n in range(1, 200) if 100 * n >= percent * (n + 1))
-    run, schema = _postings(k, percent, shared_level, frequent, least_size)
+    run, schema = _scan(k, percent, least_size)
+    scanned = written(rows.mapInArrow(run, schema), "scan")
+    sizes = scanned.select(F.col("row").alias("id"), "n", "h1", "h2")
+    offers = scanned.where("row is not null and size(offer) > 0").select(F.col("row").alias("rep"), "n", F.shiftright("h1", 32).cast("int").alias("node"), "offer")
+    first, singles = token_classes(offers.select(F.explode("offer").alias("token"), "node"))
+    short = written(offers.select("rep", "n", "offer").mapInArrow(_short(percent, spark.sparkContext.broadcast([first])), "rep long"), "short")
+    run, schema = _all_tokens(k, least_size, _flags_of(short))
+    second, also = token_classes(rows.where("id is not null").select("text", F.xxhash64("id").alias("h")).mapInArrow(run, schema))
+    discard(short)
+    run, schema = _postings(k, percent, spark.sparkContext.broadcast([first, second]), min(singles, also), least_size)
     postings = rows.where("id is not null").mapInArrow(run, schema).repartition("key").sortWithinPartitions("key")
     stars = written(postings.mapInArrow(_stars, "a long, b long").distinct(), "stars")
-    groups = written(connected_components(stars), "groups")
+    groups = connected_components(stars)
+    discard(stars)
 
     classes = sizes.where("id is not null and n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     classes = written(classes, "classes")
@@ -429,6 +458,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         n_blocks.cast("int").alias("blocks"),
         F.pmod(F.xxhash64("h1", "h2"), n_blocks).cast("int").alias("i"),
     ), "blocks")
+    discard(groups)
     run, schema = _sets(k)
     near = _rows_of(rows, blocks)
     texts = near.join(blocks, near.id == blocks.rep).select("rep", "cluster", "i", "blocks", "h1", "h2", "text")
@@ -443,6 +473,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     run, schema = _verify(percent)
     found = written(units.mapInArrow(run, schema), "links")
+    discard(blocks)
     parts = connected_components(found.where("a <> b").select("a", "b"))
     degree = found.where("n_links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("n_links"))
     labels = (

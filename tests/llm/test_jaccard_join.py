@@ -6,6 +6,8 @@ import pyarrow as pa
 import pytest
 
 from ledgerline.llm import jaccard_join as jj
+from ledgerline.llm import wordhash as wh
+from ledgerline.llm.bitmaps import bitmap, bits_for, listed
 from ledgerline.llm.graph import connected_components
 from ledgerline.llm.jaccard_join import shingle_components
 from tests.llm.brute import components
@@ -44,7 +46,7 @@ def test_against_brute_force(spark, docs):
 
 def test_frequent_tokens_pair_up(spark, docs, monkeypatch):
     # Every token counts as frequent, so only pairs inside sub-classes can find the links.
-    monkeypatch.setattr(jj, "_postings", lambda k, percent, level, frequent, least, f=jj._postings: f(k, percent, level, -1, least))
+    monkeypatch.setattr(jj, "_postings", lambda k, percent, tables, singles, least, f=jj._postings: f(k, percent, tables, -1, least))
     rows = mixed(seed=9)
     assert answer(shingle_components(docs(rows))) == expect(rows)
 
@@ -122,10 +124,11 @@ def test_stage_parameters(spark, docs):
                 assert got[i] == got[j]
 
 
-def test_signatures_cover_every_link():
+@pytest.mark.parametrize("shares", [(0.9, 0.08, 0.02), (0.1, 0.1, 0.8), (0.0, 0.0, 1.0), (0.05, 0.3, 0.65)])
+def test_signatures_cover_every_link(shares):
     r = np.random.default_rng(1)
-    level = r.integers(0, 200, 1 << jj.SKETCH_BITS).astype(np.uint8)
-    schemes = jj._schemes(85)
+    rank = lambda s: np.searchsorted(np.cumsum(shares), wh.mix(s).astype(np.float64) / 2**64, "right").clip(0, 2)
+    schemes, linked = jj._schemes(85), 0
     for size in (6, 7, 20, 45, 50, 60, 300, 1500, 1700):
         for _ in range(6):
             base = np.unique(r.integers(0, 2**63, size, dtype=np.uint64))
@@ -133,8 +136,35 @@ def test_signatures_cover_every_link():
             other = np.unique(np.concatenate([base[lost:], r.integers(0, 2**63, lost // 2, dtype=np.uint64)]))
             both = len(np.intersect1d(base, other))
             if 100 * both >= 85 * (len(base) + len(other) - both):
-                keys = [set(jj._signatures_of(x, level, 60, 85, schemes).tolist()) for x in (base, other)]
+                linked += 1
+                keys = [set(jj._signatures_of(x, rank(x), 1, 85, schemes).tolist()) for x in (base, other)]
                 assert keys[0] & keys[1]
+    assert linked > 20
+
+
+def test_rare_tokens_are_single_signatures(spark, docs):
+    # Unrelated texts share nothing that is rare, so none of their tokens pair up; of a token in many sets nothing is single.
+    r = random.Random(3)
+    rows = [(i, " ".join(f"v{r.randrange(10**6)}" for _ in range(80))) for i in range(60)]
+    offers = [(t, 0) for t in range(1000)] + [(7, n) for n in range(9)] + [(8, 1), (8, 2)] + [(9, 0)] * 50
+    table, singles = jj.token_classes(spark.createDataFrame(offers, "token long, node int"))
+    got = jj.ranks(np.arange(1000), [table])
+    assert singles == 1 and got.nonzero()[0].tolist() == [7, 8] and got[7] == 2 and got[8] == 1
+    seen = []
+    for text in [t for _, t in rows]:
+        s = wh.shingles(wh.Words([text.encode()], wh.SPACED), 4)[0]
+        keys = jj._signatures_of(s, np.zeros(len(s), dtype=np.int8), 1, 85, jj._schemes(85))
+        seen.append(set(keys.tolist()) <= set(s.tolist()) and len(keys) == len(s) - jj.least_overlap(len(s), 85) + 1)
+    assert all(seen)
+    assert answer(shingle_components(docs(rows))) == expect(rows)
+
+
+def test_bitmaps(spark):
+    values = [3, -5, 1 << 60, 12345]
+    flags = np.frombuffer(bitmap(spark.createDataFrame([(v,) for v in values], "h long"), "h", 12), dtype=np.uint8)
+    assert len(flags) == 512 and listed(flags, np.array(values)).all() and not listed(flags, np.arange(100, 200)).any()
+    assert not np.frombuffer(bitmap(spark.createDataFrame([], "h long"), "h", 10), dtype=np.uint8).any()
+    assert bits_for(0) == 10 and bits_for(1 << 40) == 28
 
 
 @pytest.mark.parametrize("edges", [[(3, 1), (1, 3), (5, 5), (2, 7), (7, 9)], [(i, i + 1) for i in range(40)], [(i + 1, i) for i in range(40, 0, -1)], []])
