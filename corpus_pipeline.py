@@ -20,18 +20,29 @@ SHINGLE, SIMILAR = 5, 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the network finds toxic; it learns from the labelled ones of these documents."""
+    """Drop documents that the network finds toxic; it learns from the labelled ones of these documents.
+
+    A null or empty text scores as a quiet one and stays; rows without a label are scored alike, rows may repeat, and without
+    labels nothing goes.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     network = learned(docs.select("doc_id", "text"), labels)
-    return add_scores(docs, network, to="__score").where(F.col("__score") < TOXIC).drop("__score")
+    score = next(name for name in map("score{}".format, range(len(docs.columns) + 1)) if name not in docs.columns)
+    return add_scores(docs, network, to=score).where(F.col(score) < TOXIC).drop(score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take boilerplate lines out; a document of which nothing is left by that goes."""
-    out = remove_boilerplate(docs)
-    emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x09-\x0D ]")
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.where(~emptied).withColumn("n_chars", n_chars).select(*docs.columns)
+    """Take boilerplate lines out; a document of which nothing is left by that goes.
+
+    n_chars, where there is such a column, follows the text. Documents that were empty before stay, null texts too. A row's other columns
+    pass through, whatever their names.
+    """
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
+    out = remove_boilerplate(rows)
+    text, changed = F.col("text"), F.col("n_removed") > 0
+    emptied = changed & ~text.rlike(r"[^\x09-\x0D ]")
+    new = {"text": text} | ({"n_chars": F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {})
+    return out.where(~emptied).select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +53,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold benchmark passages."""
+    """Drop documents that hold benchmark passages; null and empty texts hold none, and repeated rows share their fate."""
     found = add_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(~F.col("contaminated")).select("row.*")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+    """(doc_id, n_tokens, ids) of every document that is left; a null or empty text has no ids, and rows may repeat."""
     return encode(docs, public_tokenizers.path("word_bpe_49k.json"), with_text=False).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
