@@ -1,5 +1,8 @@
 from collections import defaultdict
 
+import pytest
+
+from ledgerline.llm import line_spread as ls
 from ledgerline.llm.line_spread import remove_boilerplate
 
 WHITE = "\t\n\x0b\x0c\r "
@@ -34,12 +37,17 @@ def answer(df):
     return sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in df.collect()), key=str)
 
 
-def test_against_brute_force(spark, docs):
+@pytest.mark.parametrize("listed", [ls.LISTED, 0])
+def test_against_brute_force(spark, docs, monkeypatch, listed):
+    monkeypatch.setattr(ls, "LISTED", listed)  # with none listed, lines meet documents by a join
     rows = []
     for i in range(60):
         text = f"own line of number {i} here\nshared by all the sites {i % 3}\n  spread over few sites {i % 20}  \nshort one\n"
         rows.append((i, text, f"s{i % 9}"))
     rows += [(5, "shared by all the sites 0", None), (None, "shared by all the sites 0\nx", "s1"), (70, None, "s1"), (71, "", "s2"), (72, "a\n\n b", None), (3, rows[3][1], "s3")]
+    ends = ["", " ", "\t", "\r", " \x0b ", "\x0c\t"]
+    rows += [(200 + i, f"{ends[i % 6]}odd  ends\tof every line{ends[(i + 2) % 6]}\nonly\r\nfour short word s", f"s{i}") for i in range(8)]
+    rows += [(None, "of rows without an id only", f"s{i}") for i in range(5)] + [(300, "x" * 100_000, "s1"), (301, " " * 50_000 + "\n" + "a b c d " * 9000, "s1")]
     out = remove_boilerplate(docs([(*r, 7, "row") for r in rows], "doc_id long, text string, source string, n_lines int, key string"), least_sites=4, least_words=4)
     assert set(out.columns) == {"doc_id", "text", "source", "key", "n_lines", "n_removed"}
     assert answer(out) == sorted(brute(rows, 4, 4), key=str)
