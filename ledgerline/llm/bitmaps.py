@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Pieces that a bitmap is built in, and its least and largest size in bits (powers of two).
 PIECE_BITS, LEAST_BITS, MOST_BITS = 4, 10, 28
 #: Bits for each listed value (a power of two), where the largest size allows it.
-ROOM = 5
+ROOM = 3
 
 
 def bits_for(n: int) -> int:

@@ -252,7 +252,7 @@ def _encode(tokenizer_file: str, lexicon_uri: str, with_text: bool):
         tokens, cache = encoder.bpe.tokens, encoder.under(lexicon_uri)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in batches_by_size(texts, 1 << 20):
+            for a, b in batches_by_size(texts, 1 << 19):
                 ids = [b"".join(v) for v in cache.values([_pieces(t) for t in texts[a:b]])]
                 size = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
                 flat = np.frombuffer(b"".join(ids), dtype="<i4")

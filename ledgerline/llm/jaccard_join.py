@@ -272,44 +272,28 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
 
-def _needed(flags):
-    """Drop rows whose hash isn't listed; the bitmap may keep others, which a join drops."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(flags.value, dtype=np.uint8)
-        for batch in batches:
-            yield batch.filter(pa.array(listed(table, batch.column("h").to_numpy()))).select(["id", "text"])
-
-    return frugal(run)
-
-
 def _flags_of(ids: DataFrame):
     """A bitmap of bounded size, shared with the tasks, of the hashes of ``ids`` (rep)."""
     return ids.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("rep").alias("h")), "h", bits_for(ids.count())))
 
 
-def _rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of (id, text) whose id may be among ``ids``, so that few texts are shuffled."""
-    hashed = rows.where("id is not null").select("id", "text", F.xxhash64("id").alias("h"))
-    return hashed.mapInArrow(_needed(_flags_of(ids)), "id long, text string")
-
+def _sets(k: int, flags):
+    """The set and its digest of each row (id, text, h) whose hash is listed; a join drops those that the bitmap lets through by chance."""
 
-def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(flags.value, dtype=np.uint8)
         for batch in batches:
-            texts = _texts(batch, "text")
+            batch = batch.filter(pa.array(listed(table, batch.column("h").to_numpy())))
+            ids, texts = batch.column("id"), _texts(batch, "text")
             for a, b in wh.in_batches(texts):
                 sets = wh.shingles(wh.Words(texts[a:b], wh.SPACED), k)
-                want = zip(batch.column("h1")[a:b].to_pylist(), batch.column("h2")[a:b].to_pylist())
-                # A repeated id brings its other texts; only the class's own set stays.
-                own = [x for x, (s, d) in enumerate(zip(sets, want)) if _digest(s) == d]
-                take = pa.array([a + x for x in own], pa.int64())
+                digests = [_digest(s) for s in sets]
                 yield pa.record_batch(
-                    [batch.column(c).take(take) for c in ("rep", "cluster", "i", "blocks")] + [pa.array([sets[x].tobytes() for x in own], pa.binary())],
-                    names=["rep", "cluster", "i", "blocks", "tokens"],
+                    [ids[a:b], pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["id", "h1", "h2", "tokens"],
                 )
 
-    return frugal(run), "rep long, cluster long, i int, blocks int, tokens binary"
+    return frugal(run), "id long, h1 long, h2 long, tokens binary"
 
 
 def linked_rows(sets: list[np.ndarray], percent: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -459,10 +443,11 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.pmod(F.xxhash64("h1", "h2"), n_blocks).cast("int").alias("i"),
     ), "blocks")
     discard(groups)
-    run, schema = _sets(k)
-    near = _rows_of(rows, blocks)
-    texts = near.join(blocks, near.id == blocks.rep).select("rep", "cluster", "i", "blocks", "h1", "h2", "text")
-    sets = texts.mapInArrow(run, schema)
+    run, schema = _sets(k, _flags_of(blocks))
+    # A repeated id brings its other texts' sets; only the class's own set stays.
+    hashed = rows.where("id is not null").select("id", "text", F.xxhash64("id").alias("h"))
+    near = hashed.mapInArrow(run, schema).withColumnRenamed("id", "rep")
+    sets = near.join(blocks, ["rep", "h1", "h2"]).select("rep", "cluster", "i", "blocks", "tokens")
     units = (
         sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("u", F.least("i", "other"))

@@ -1,32 +1,10 @@
-"""The shared folder of a session, and tables written there to cut lineage."""
+"""Tables written in the session's shared folder to cut lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where the session names none, a local master (tests on one machine) gets a local
-    folder, which is set as its checkpoint folder; on a cluster it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+from ledgerline.sources.shared import new_path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -47,7 +25,7 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024, size: int = 16 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 1024, size: int = 4 << 20) -> None:
     """Bound the Arrow batches that tasks get, in rows and bytes, so that a batch of long texts fits a worker's memory.
 
     Spark reads these two settings of the session when a query runs, so they stay; a tighter one is kept as it is.

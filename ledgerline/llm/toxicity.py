@@ -401,7 +401,7 @@ def add_scores(docs: DataFrame, network: Network, text_col: str = "text", to: st
         net.p = model.value
         for batch in batches:
             texts = [b"" if t is None else t for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
-            out = [net.text_scores(texts[a:b]) for a, b in wh.in_batches(texts, 1 << 20)]
+            out = [net.text_scores(texts[a:b]) for a, b in wh.in_batches(texts)]
             score = np.concatenate(out) if out else np.zeros(0)
             yield pa.record_batch([*batch.columns, pa.array(score.astype(np.float64))], names=[*batch.schema.names, to])
 

@@ -33,7 +33,7 @@ SPACED = byte_class([0x20, *range(0x09, 0x0E)])
 ALNUM = byte_class([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
 #: Bytes whose words are hashed at a time, so memory doesn't grow with a text.
-SPAN = 1 << 20
+SPAN = 1 << 18
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -41,7 +41,7 @@ def _powers(name: str, base: int, n: int) -> np.ndarray:
     """base**i modulo 2**64 for i < n, grown by doubling; kept up to SPAN."""
     have = _POWERS.get(name)
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = max(SPAN, 1 << (n - 1).bit_length())
         have = np.empty(size, dtype=np.uint64)
         have[0] = 1
         filled = 1
@@ -128,7 +128,7 @@ def shingles(words: Words, k: int) -> list[np.ndarray]:
     return out
 
 
-def in_batches(texts, limit: int = 1 << 20):
+def in_batches(texts, limit: int = 1 << 19):
     """Cut a list of byte texts where a batch passes ``limit`` bytes; yields index ranges."""
     start = size = 0
     for i, t in enumerate(texts):

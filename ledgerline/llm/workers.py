@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
+#: Seconds between two times that a busy worker gives memory back.
+EVERY = 0.25
 _KEPT: dict[object, object] = {}
 
 try:
@@ -36,11 +39,17 @@ def give_back() -> None:
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run`` for mapInArrow, which gives freed memory back when a task's batches end."""
+    """``run`` for mapInArrow, which gives freed memory back now and then, and when a task's batches end."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = time.monotonic()
         try:
-            yield from run(batches)
+            for batch in run(batches):
+                yield batch
+                del batch
+                if time.monotonic() - at > EVERY:
+                    give_back()
+                    at = time.monotonic()
         finally:
             give_back()
 
