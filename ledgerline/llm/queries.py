@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from ledgerline.llm.bpe_lexicon import encode
 from ledgerline.llm.chroma import align, best_match, fingerprints, melodies
 from ledgerline.llm.decontaminate import contamination
+from ledgerline.llm.fill_in_middle import fill_in_middle, restored
 from ledgerline.llm.jaccard_join import shingle_components
 from ledgerline.llm.length_histogram import encoded_lengths, length_histogram, suffix_sums
 from ledgerline.llm.line_spread import remove_boilerplate
+from ledgerline.llm.orchard import ROUNDS, books_digest, label_errors, vector_codes
+from ledgerline.llm.pareto_mix import pareto_mix
 from ledgerline.llm.preferences import preference_pairs, shortened_answers
 from ledgerline.llm.pseudonyms import KINDS, pseudonymize
 from ledgerline.llm.storage import written
@@ -102,6 +105,25 @@ def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(length_histogram(lengths))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored("output", "form"), 256).alias("restored_sha256")
+    )
+
+
+def op12_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return pareto_mix(docs).select("row.doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    codes, books = vector_codes(vectors, keep=("vec_id", "label"))
+    coded = label_errors(codes.select("row.vec_id", "row.label", "code", "error"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_bpe_lexicon,
@@ -114,6 +136,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_files,
         op9_length_histogram,
         op10_line_spread,
+        op11_fill_in_middle,
+        op12_pareto_mix,
+        op13_vector_codes,
     )
     return {f.__name__: f for f in found}
 
@@ -163,6 +188,53 @@ SELECT conv_id, n_prompt_turns, sha256(coalesce(prompt, '')) AS prompt_sha256, s
   CAST(coalesce(n.learned, 0) AS BIGINT) AS chosen_learned, CAST(coalesce(m.learned, 0) AS BIGINT) AS rejected_learned FROM n LEFT JOIN m USING (conv_id)"""
 
 
+_MIDDLE = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT *, len(l) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM h),
+p AS (SELECT *, array_to_string(l[1:a], '') AS pre, array_to_string(l[a + 1:b], '') AS mid, array_to_string(l[b + 1:n], '') AS suf,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p"""
+
+# Sources of up to 4,096 sampled documents are one range, whose documents are taken in order while they fit, which this says.
+_MIX = r"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  CAST('0x' || md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, ''))[1:13] AS BIGINT) AS draw FROM documents),
+s AS MATERIALIZED (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)]::DOUBLE AS w FROM d GROUP BY source),
+m AS (SELECT 1.5::DOUBLE * CAST(sum(source_size) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS level, 0 AS turn FROM s
+  UNION ALL SELECT (SELECT (1.5::DOUBLE * CAST(sum(source_size) AS DOUBLE) - CAST(sum(CASE WHEN 2.0 * source_size <= m.level * w THEN 2.0 * source_size ELSE 0.0 END) AS DOUBLE))
+    / CAST(sum(CASE WHEN 2.0 * source_size <= m.level * w THEN 0.0 ELSE w END) AS DOUBLE) FROM s), turn + 1 FROM m WHERE turn < 40),
+t AS MATERIALIZED (SELECT source, source_size, least(2.0::DOUBLE * source_size, (SELECT level FROM m ORDER BY turn DESC LIMIT 1) * w) AS target FROM s),
+r AS (SELECT doc_id, d.source, size, source_size, target, draw, CASE WHEN size > 0 THEN target / source_size ELSE 0.0 END AS expected FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CAST(floor(expected) AS BIGINT) AS certain, expected - floor(expected) AS part, (draw + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM r),
+q AS (SELECT *, CASE WHEN part > 0 THEN CAST(floor(odds / (1 + odds) * 1125899906842624.0::DOUBLE) AS BIGINT) END AS rank
+  FROM (SELECT *, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS odds FROM c)),
+o AS MATERIALIZED (SELECT source, rank, size, row_number() OVER (PARTITION BY source ORDER BY rank) AS place FROM (SELECT source, rank, CAST(sum(size) AS BIGINT) AS size FROM q WHERE rank IS NOT NULL GROUP BY 1, 2)),
+z AS (SELECT source, least(CAST(round(max(target) - sum(certain * size)) AS BIGINT), CAST(sum(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END) AS BIGINT)) AS rest FROM q GROUP BY 1),
+f AS (SELECT source, CAST(0 AS BIGINT) AS place, rest AS words_left, CAST(NULL AS BIGINT) AS rank, false AS drawn FROM z
+  UNION ALL SELECT f.source, o.place, words_left - CASE WHEN o.size <= words_left THEN o.size ELSE 0 END, o.rank, o.size <= words_left FROM f JOIN o ON f.source IS NOT DISTINCT FROM o.source AND o.place = f.place + 1)
+SELECT doc_id, size, source_size, target, CAST(certain + coalesce(drawn, false)::INT AS BIGINT) * size AS taken, CAST(certain + coalesce(drawn, false)::INT AS BIGINT) AS copies
+FROM q LEFT JOIN f ON q.source IS NOT DISTINCT FROM f.source AND q.rank = f.rank"""
+
+
+def _codes_sql(rounds: int) -> str:
+    """The codebooks' rounds one after the other; distances are of whole numbers, so sums of doubles are exact."""
+    nearest = """a{r} AS MATERIALIZED (SELECT p.vec_id, p.n, p.part, p.v, min([b.v2 - 2 * list_inner_product(p.v, b.v) + p.v2, b.entry]) AS best FROM p JOIN b{r} b USING (part) GROUP BY ALL)"""
+    update = """m{r} AS MATERIALIZED (SELECT part, entry, list(x ORDER BY i) AS v FROM (SELECT part, entry, i, floor(CAST(sum(x) AS DOUBLE) / count(*)) AS x
+  FROM (SELECT part, best[2] AS entry, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{s} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v, list_inner_product(coalesce(m.v, b.v), coalesce(m.v, b.v)) AS v2 FROM b{r} b LEFT JOIN m{r} m ON m.part = b.part AND m.entry = b.entry)"""
+    steps = ",\n".join(f"{nearest.format(r=r)},\n{update.format(r=r, s=r + 1)}" for r in range(rounds))
+    return f"""WITH k AS MATERIALIZED (SELECT vec_id, label, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, n, part, v, list_inner_product(v, v) AS v2 FROM (SELECT vec_id, n, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS v FROM k, range(4) x(part))),
+b0 AS MATERIALIZED (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS DOUBLE) AS entry, v, v2 FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256)),
+{steps},
+{nearest.format(r=rounds)},
+c AS (SELECT k.vec_id, any_value(k.label) AS label, string_agg(lpad(lower(hex(CAST(best[2] AS BIGINT))), 2, '0'), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a{rounds} a JOIN k USING (n) GROUP BY k.n, k.vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256 FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the others are tested against plain versions."""
     return {
@@ -170,4 +242,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_preference_pairs": _PAIRS,
         "op6_benchmark_contamination": _CONTAMINATION,
         "op10_line_spread": _LINES,
+        "op11_fill_in_middle": _MIDDLE,
+        "op12_pareto_mix": _MIX,
+        "op13_vector_codes": _codes_sql(ROUNDS),
     }
