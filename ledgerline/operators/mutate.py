@@ -113,13 +113,11 @@ def enrich(df: DataFrame, confirmations: DataFrame, key: str = KEY) -> DataFrame
     return df.join(c, key, "left").withColumn("verdict", verdict)
 
 
-def repair(items: DataFrame, confirmations: DataFrame, job_id: str, current: DataFrame | None = None, key: str = KEY, validations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Settle pending items that are confirmed, if they are still as they were read.
+def repair_decisions(items: DataFrame, confirmations: DataFrame, job_id: str, current: DataFrame | None = None, key: str = KEY, validations: DataFrame | None = None, outbox: DataFrame | None = None) -> DataFrame:
+    """Every item as it is after a repair, with __outcome (null for those that weren't planned) and __event, the id of what is published.
 
-    ``current`` is the table as it is when changes apply; a planned version that is missing or negative is an error. Outcomes: REPAIRED,
-    SKIPPED, REJECTED, CONFLICT. A repaired item carries a marker job:key and its status before. ``validations`` (key, verdict) are what
-    a check of repaired items said: FUNCTION_ERROR and BUSINESS_REJECTED are the outcome then, though the item stays changed;
-    ACCEPTED, null and no row leave it REPAIRED.
+    See repair(). With an ``outbox`` (eventId), an item whose event is there already is a CONFLICT and isn't changed, so that item and event change
+    together or not at all.
     """
     planned = version_guard(items.where("status = 'PENDING'").select(key, F.col("version").alias("__version")), "__version")
     planned = enrich(planned, confirmations, key)
@@ -127,23 +125,44 @@ def repair(items: DataFrame, confirmations: DataFrame, job_id: str, current: Dat
         planned = planned.join(validations.select(key, F.col("verdict").alias("__checked")), key, "left")
     else:
         planned = planned.withColumn("__checked", F.lit(None).cast("string"))
+    planned = planned.withColumn("__event", event_id(F.lit(job_id), F.col(key)))
+    if outbox is not None:
+        planned = planned.join(outbox.select(F.col("eventId").alias("__event")).distinct().withColumn("__sent", F.lit(True)), "__event", "left")
+    else:
+        planned = planned.withColumn("__sent", F.lit(None).cast("boolean"))
     now = items if current is None else current
-    joined = now.join(planned.select(key, "__version", "verdict", "__checked"), key, "left")
-    holds = (F.col("verdict") == "CONTINUE") & (F.col("version") == F.col("__version")) & (F.col("status") == "PENDING")
+    joined = now.join(planned.select(key, "__version", "verdict", "__checked", "__event", "__sent"), key, "left")
+    holds = (F.col("verdict") == "CONTINUE") & (F.col("version") == F.col("__version")) & (F.col("status") == "PENDING") & F.col("__sent").isNull()
     decided = joined.withColumn("__met", F.coalesce(holds, F.lit(False)))
     applied = F.when(F.col("__checked").isin("FUNCTION_ERROR", "BUSINESS_REJECTED"), F.col("__checked")).otherwise("REPAIRED")
     outcome = F.when(F.col("__met"), applied).when(F.col("verdict") == "CONTINUE", "CONFLICT").otherwise(F.col("verdict"))
-    outcomes = decided.where("verdict is not null").select(key, outcome.alias("outcome"), (F.col("version") + 1).alias("new_version"))
-    marker = F.when(F.col("__met"), event_id(F.lit(job_id), F.col(key)))
     had = {c: F.col(c) if c in now.columns else F.lit(None).cast("string") for c in ("opsMarker", "opsPreviousStatus")}
-    new = decided.select(
+    return decided.select(
         *[F.col(c) for c in now.columns if c not in ("status", "version", "opsMarker", "opsPreviousStatus")],
         F.when(F.col("__met"), "SETTLED").otherwise(F.col("status")).alias("status"),
         (F.col("version") + F.when(F.col("__met"), 1).otherwise(0)).alias("version"),
-        F.coalesce(marker, had["opsMarker"]).alias("opsMarker"),
+        F.coalesce(F.when(F.col("__met"), F.col("__event")), had["opsMarker"]).alias("opsMarker"),
         F.when(F.col("__met"), F.lit("PENDING")).otherwise(had["opsPreviousStatus"]).alias("opsPreviousStatus"),
+        outcome.alias("__outcome"),
+        (F.col("version") + 1).alias("__new_version"),
+        F.when(F.col("__met"), F.col("__event")).alias("__event"),
     )
-    return new, outcomes
+
+
+def repair(items: DataFrame, confirmations: DataFrame, job_id: str, current: DataFrame | None = None, key: str = KEY, validations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Settle pending items that are confirmed, if they are still as they were read.
+
+    ``current`` is the table as it is when changes apply; a planned version that is missing or negative is an error. Outcomes: REPAIRED,
+    SKIPPED, REJECTED, CONFLICT. A repaired item carries a marker job:key and its status before. ``validations`` (key, verdict) are what
+    a check of repaired items said: FUNCTION_ERROR and BUSINESS_REJECTED are the outcome then, though the item stays changed;
+    ACCEPTED, null and no row leave it REPAIRED.
+    """
+    decided = repair_decisions(items, confirmations, job_id, current, key, validations)
+    return decided.drop("__outcome", "__new_version", "__event"), decided_outcomes(decided, key)
+
+
+def decided_outcomes(decided: DataFrame, key: str = KEY) -> DataFrame:
+    return decided.where("__outcome is not null").select(key, F.col("__outcome").alias("outcome"), F.col("__new_version").alias("new_version"))
 
 
 def compensate(items: DataFrame, planned: DataFrame, source_job: str, job_id: str, key: str = KEY) -> tuple[DataFrame, DataFrame]:

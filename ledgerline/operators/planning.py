@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.ordered import dense_sequence, prefix_sums, stable
+from ledgerline.functions.ordered import dense_sequence, prefix_sums
 from ledgerline.functions.scalar import sha256_hex, stable_id
 
 #: Calls that a dispatch reserves.
@@ -45,9 +45,9 @@ def read_budget(pages: DataFrame, max_scanned: int, max_capacity: float, order:
 
 
 def call_budget(tasks: DataFrame, max_calls: int, order: str = "seq") -> DataFrame:
-    """Tasks that may be dispatched when each reserves its calls."""
-    running = prefix_sums(tasks, [order], calls=F.lit(RESERVED_CALLS).cast("bigint"))
-    return running.where(F.col("calls") <= max_calls)
+    """The first tasks, which may be dispatched when each reserves its calls, with the calls reserved by then."""
+    first = dense_sequence(tasks.orderBy(order).limit(max(0, max_calls) // RESERVED_CALLS), [order], "__n")
+    return first.withColumn("calls", F.col("__n") * RESERVED_CALLS).drop("__n")
 
 
 def _framed(c: Column | str) -> Column:
@@ -159,20 +159,30 @@ def canary_state(tasks: DataFrame) -> DataFrame:
 ERRORS = ("FAILED", "FUNCTION_ERROR", "BUSINESS_REJECTED", "ERROR")
 
 
-def apply_error_budget(outcomes: DataFrame, max_conflicts: int, max_errors: int, max_rate: float, min_sample: int, order: str = "seq") -> DataFrame:
-    """Tasks with their state after the budgets: the one that trips a budget is still DONE, later ones stay PLANNED."""
-    running = prefix_sums(
+def budget_use(outcomes: DataFrame, order: str = "seq") -> DataFrame:
+    """``outcomes`` with running counts of done tasks, conflicts and errors, the task itself included."""
+    return prefix_sums(
         outcomes,
         [order],
         done=F.lit(1).cast("bigint"),
         conflicts=F.when(F.col("outcome") == "CONFLICT", 1).otherwise(0).cast("bigint"),
         errors=F.when(F.col("outcome").isin(*ERRORS), 1).otherwise(0).cast("bigint"),
     )
-    trips = (F.col("conflicts") > max_conflicts) | (F.col("errors") > max_errors) | ((F.col("done") >= min_sample) & (F.col("errors") / F.col("done") > max_rate))
-    running = stable(running.withColumn("__trips", trips))
-    cut = running.where("__trips").agg(F.min(order).alias("__cut"))
+
+
+def trips(max_conflicts: int, max_errors: int, max_rate: float, min_sample: int, done: int = 0, conflicts: int = 0, errors: int = 0) -> Column:
+    """Whether running counts pass a budget, when so many tasks went before."""
+    d, c, e = F.col("done") + done, F.col("conflicts") + conflicts, F.col("errors") + errors
+    return (c > max_conflicts) | (e > max_errors) | ((d >= min_sample) & (e / d > max_rate))
+
+
+def apply_error_budget(outcomes: DataFrame, max_conflicts: int, max_errors: int, max_rate: float, min_sample: int, order: str = "seq") -> DataFrame:
+    """Tasks with their state after the budgets: the one that trips a budget is still DONE, later ones stay PLANNED."""
+    running = budget_use(outcomes, order)
+    cut = running.where(trips(max_conflicts, max_errors, max_rate, min_sample)).agg(F.min(order).alias("__cut"))
     ok = F.col("__cut").isNull() | (F.col(order) <= F.col("__cut"))
-    return running.join(F.broadcast(cut), F.lit(True)).withColumn("state", F.when(ok, "DONE").otherwise("PLANNED")).drop("__cut", "__trips")
+    # One row.
+    return running.join(F.broadcast(cut), F.lit(True)).withColumn("state", F.when(ok, "DONE").otherwise("PLANNED")).drop("__cut")
 
 
 def idempotent_request(requests: DataFrame, key: str = "idempotency_key", fields: tuple[str, ...] = ("type", "payload"), order: tuple[str, ...] = ("created", "request_id")) -> DataFrame:

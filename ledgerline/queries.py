@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,9 +13,11 @@ from ledgerline.functions.ordered import prefix_sums
 from ledgerline.operators import access, ledger, metrics, mutate, planning, quality, segments
 from ledgerline.plans import fixtures as fx
 from ledgerline.plans.fixtures import with_views
-from ledgerline.plans.rules import Request, process_batches, run_job
+from ledgerline.plans.rules import Request, plan_job, process_batches, run_job, run_waves
+from ledgerline.plans.transactions import commit_repair
 from ledgerline.sources import items as items_source
 from ledgerline.sources import sinks
+from ledgerline.sources.commits import Tables
 from ledgerline.sources.shared import new_path
 from ledgerline.sources.sinks import report_lines, select_columns
 from ledgerline.streaming import streams
@@ -947,27 +950,43 @@ def stored_items(spark, sf):
 
 @query(with_views("tasks", body="SELECT seq, CASE WHEN (seq - 1) // 500 % 2 = 0 THEN 'again' ELSE state END AS state FROM tasks WHERE (seq - 1) // 500 < 20"))
 def stored_chunks(spark, sf):
-    """Chunks of a sequence, every other of which is written again."""
+    """Chunks of a sequence, every other of which is written again; the first 20 are committed, the others aren't seen."""
     path, tasks = new_path(spark, "chunks"), fx.tasks(spark, sf).select("seq", "state")
     sinks.write_chunks(tasks, path, 500)
+    total = tasks.agg(F.max("seq")).first()[0]
+    sinks.commit_chunks(spark, path, min(5000, total), total, 500)
     sinks.write_chunks(tasks.where(F.floor((F.col("seq") - 1) / 500) % 2 == 0).withColumn("state", F.lit("again")), path, 500)
-    return sinks.read_chunks(spark, path, 20).select("seq", "state")
+    sinks.commit_chunks(spark, path, min(10_000, total), total, 500)
+    return sinks.read_chunks(spark, path).select("seq", "state")
 
 
 @query(with_views("tasks", body="SELECT job, seq, job || ':' || record_key AS \"eventId\" FROM tasks WHERE outcome = 'REPAIRED'"))
 def stored_evidence(spark, sf):
     path, done = new_path(spark, "evidence"), fx.tasks(spark, sf).where("outcome = 'REPAIRED'")
-    sinks.write_evidence(done.select("job", "seq", S.event_id("job", "record_key").alias("eventId")), path)
-    return spark.read.schema("seq bigint, eventId string, job string").json(path).select("job", "seq", "eventId")
+    rows = done.select("job", "seq", S.event_id("job", "record_key").alias("eventId"))
+    for batch in ("seq % 2 = 0", "seq % 2 = 1", "seq % 2 = 0"):  # the first one again
+        sinks.write_evidence(rows.where(batch), path, batch[-1])
+    return spark.read.schema("seq bigint, eventId string, batch string, job string").json(path).select("job", "seq", "eventId")
 
 
 @query(with_views("effect_events", body="SELECT job, state, count(*) AS n FROM effect_events GROUP BY 1, 2"))
 def stored_ledger(spark, sf):
-    """A ledger that is appended to twice."""
-    path, e = new_path(spark, "ledger"), fx.effect_events(spark, sf)
-    for half in ("task % 2 = 0", "task % 2 = 1"):
-        sinks.append_ledger(e.where(half), path)
-    return ledger.effect_counts(spark.read.parquet(path))
+    """A ledger of two batches, each of which comes twice."""
+    tables, e = Tables(spark, new_path(spark, "ledger")), fx.effect_events(spark, sf)
+    for half in (0, 0, 1, 1):
+        sinks.append_ledger(tables, e.where(f"task % 2 = {half}"), f"half-{half}")
+    return ledger.effect_counts(tables.read("effects"))
+
+
+@query(with_views("effect_events", body="SELECT job, task, step, arg_max(state, (part % 2, seen, part, state)) AS state, count(*) AS changes FROM effect_events GROUP BY 1, 2, 3"))
+def ledger_snapshot(spark, sf):
+    """Effects by key, from a snapshot of the first batch and the second one behind it, which is retried."""
+    tables, e = Tables(spark, new_path(spark, "ledger")), fx.effect_events(spark, sf)
+    sinks.append_ledger(tables, e.where("part % 2 = 0"), "even")
+    sinks.compact_ledger(tables, ("seen", "part"))
+    for _ in range(2):
+        sinks.append_ledger(tables, e.where("part % 2 = 1"), "odd")
+    return sinks.current_effects(tables, ("seen", "part")).select("job", "task", "step", "state", "changes")
 
 
 @query(with_views("tasks", body="""SELECT '"' || seq || '","' || substr(sha256(record_key), 1, 16) || '","' || state || '","' || outcome || '"' AS line FROM tasks"""))
@@ -1014,14 +1033,46 @@ class _Settle:
 
 
 _RUN = """p AS (SELECT record_key, pk, row_number() OVER (ORDER BY record_key) AS seq FROM items WHERE status = 'PENDING'), b AS (SELECT *, (seq - 1) // 1000 AS page_no FROM p), f AS (SELECT page_no FROM (SELECT page_no, sum(count(*)) OVER (ORDER BY page_no) AS s FROM b GROUP BY 1) WHERE s <= 5000),
-  t AS (SELECT *, CASE WHEN pk % 7 = 0 THEN 'FAILED' ELSE 'REPAIRED' END AS outcome FROM b WHERE page_no IN (SELECT page_no FROM f) AND seq <= 2500), r AS (SELECT *, sum((outcome = 'FAILED')::INT) OVER (ORDER BY seq) AS e FROM t), k AS (SELECT min(seq) AS cut FROM r WHERE e > 300)"""
+  t AS (SELECT *, CASE WHEN pk % 7 = 0 THEN 'FAILED' ELSE 'REPAIRED' END AS outcome FROM b WHERE page_no IN (SELECT page_no FROM f) AND seq <= 2500), r AS (SELECT *, sum((outcome = 'FAILED')::INT) OVER (ORDER BY seq) AS e FROM t), k AS (SELECT min(seq) AS cut FROM r WHERE e > 150),
+  w AS (SELECT wave, 100 * (2 ** wave - 1) AS last FROM range(1, 6) x(wave)), z AS (SELECT min(last) AS last FROM w, k WHERE last >= cut)"""
 
 
-@query(with_views("items", more=_RUN, body="SELECT record_key, seq, outcome, CASE WHEN cut IS NULL OR seq <= cut THEN 'DONE' ELSE 'PLANNED' END AS state FROM r, k"))
+@query(with_views("items", more=_RUN, body="SELECT record_key, seq, outcome, 'DONE' AS state, (SELECT min(wave) FROM w WHERE last >= seq) AS wave, coalesce(seq > cut, false) AS after_cut FROM r, k, z WHERE z.last IS NULL OR seq <= z.last"))
 def job_run(spark, sf):
-    """A whole run: its canary's outcomes, cut by the error budget."""
-    request = Request(max_records=5000, canary=2500, max_conflicts=10, max_errors=300, max_rate=1.0)
-    return run_job(_Settle(), fx.items(spark, sf), request, "team")["outcomes"].select("record_key", "seq", "outcome", "state")
+    """A whole run in growing waves, which ends with the wave in which a task trips the error budget."""
+    request = Request(max_records=5000, canary=2500, max_conflicts=10, max_errors=150, max_rate=1.0)
+    return run_job(_Settle(), fx.items(spark, sf), request, "team")["outcomes"].select("record_key", "seq", "outcome", "state", F.col("wave").cast("bigint").alias("wave"), "after_cut")
+
+
+@query(with_views("items", more=_RUN.replace("seq <= 2500", "seq <= 5000").replace("e > 150", "e > 100000"), body="SELECT outcome, count(*) AS n, CAST(ceil(log2(max(seq) / 100 + 1)) AS BIGINT) AS last_wave FROM t GROUP BY 1"))
+def job_resumed(spark, sf):
+    """A run that stops after two waves, goes on to the end of its canary, and then, promoted, to the end of its plan."""
+    tables, request = Tables(spark, new_path(spark, "job")), Request(max_records=5000, canary=1000, max_errors=100_000, max_rate=1.0)
+    plan_job(_Settle(), fx.items(spark, sf), request, tables)
+    run_waves(_Settle(), request, tables, most_waves=2)
+    run_waves(_Settle(), request, tables)
+    run_waves(_Settle(), replace(request, promoted=True), tables)
+    return tables.read("outcomes").groupBy("outcome").agg(F.count("*").alias("n")).join(F.broadcast(tables.read("outcomes").agg(F.max("wave").cast("bigint").alias("last_wave"))), F.lit(True))
+
+
+_SENT = """c AS (SELECT i.record_key, i.sk, i.status AS old, i.version AS v, f.status AS said, i.sk % 13 = 0 AS sent FROM items i LEFT JOIN confirmations f ON f.reference = i.record_key),
+  d AS (SELECT *, CASE WHEN old <> 'PENDING' THEN NULL WHEN said IS NULL THEN 'REJECTED' WHEN said <> 'SETTLED' THEN 'SKIPPED' WHEN sent OR sk % 11 = 0 THEN 'CONFLICT' ELSE 'REPAIRED' END AS outcome, v + (sk % 11 = 0)::INT AS v1 FROM c)"""
+
+
+@query(with_views("items", "confirmations", more=_SENT, body="""SELECT record_key, CASE WHEN outcome = 'REPAIRED' THEN 'SETTLED' ELSE old END AS status, v1 + coalesce((outcome = 'REPAIRED')::INT, 0) AS version, outcome,
+  outcome = 'REPAIRED' IS TRUE OR sent AS published FROM d"""))
+def repair_commit(spark, sf):
+    """Items and their events change in one version: some items were touched after planning, some events were there already."""
+    tables, i = Tables(spark, new_path(spark, "payments")), fx.items(spark, sf)
+    event = S.event_id(F.lit("job-9"), F.col("record_key"))
+    sent = i.where("sk % 13 = 0").select(event.alias("eventId"), F.lit("job-9").alias("operationId"), F.col("record_key").alias("paymentId"), F.lit("{}").alias("payload"), F.lit("DELIVERED").alias("deliveryState"), F.col("version"))
+    planned = tables.commit(0, replace={"items": i}, append={"outbox": sent})
+    touched = i.withColumn("version", F.when(F.col("sk") % 11 == 0, F.col("version") + 1).otherwise(F.col("version")))
+    tables.commit(planned, replace={"items": touched})
+    version, outcomes = commit_repair(tables, fx.confirmations(spark, sf), "job-9", planned)
+    published = tables.read("outbox", version).groupBy(F.col("paymentId").alias("record_key")).agg(F.count("*").alias("events"))
+    out = tables.read("items", version).join(outcomes, "record_key", "left").join(published, "record_key", "left")
+    return out.select("record_key", "status", "version", "outcome", F.coalesce(F.col("events") == 1, F.lit(False)).alias("published"))
 
 
 @query("SELECT count(*) AS items, CAST(0 AS BIGINT) + count(*) FILTER (o_orderkey < 0) AS failed_items FROM orders")

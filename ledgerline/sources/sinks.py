@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalar import csv_safe
+from ledgerline.sources.commits import VERSION, Files, Tables
 
 REPORT_COLUMNS = ("sequence", "record", "state", "outcome")
 
@@ -33,20 +36,65 @@ def write_report_csv(df: DataFrame, path: str, columns: str | None = None, delim
 
 
 def write_chunks(df: DataFrame, path: str, page_size: int, seq: str = "seq") -> None:
-    """A folder for each page of the sequence; writing a page again replaces it."""
+    """A folder for each page of the sequence; writing a page again replaces it. Readers see it once commit_chunks() says so."""
     chunk = F.floor((F.col(seq) - 1) / page_size).cast("long")
     df.withColumn("chunk", chunk).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
 
 
-def read_chunks(spark: SparkSession, path: str, committed: int) -> DataFrame:
-    """Rows of the pages below the committed cursor."""
+def committed_cursor(spark: SparkSession, path: str) -> dict:
+    """The newest commit record of a folder of chunks; its cursor is 0 before the first."""
+    files = Files(spark)
+    names = [n for n in files.names(f"{path}/_commits") if n.endswith(".json")]
+    return json.loads(files.read(f"{path}/_commits/{max(names)}")) if names else {"cursor": 0, "total": None, "page_size": None}
+
+
+def commit_chunks(spark: SparkSession, path: str, cursor: int, total: int, page_size: int) -> bool:
+    """Make the rows up to ``cursor`` of ``total`` visible, after their chunks were written; False if that was so already.
+
+    The cursor ends a page or the whole, only goes forward, and belongs to the total and page size of the records before; another one is
+    an error. Of two that commit the same cursor one writes the record.
+    """
+    old = committed_cursor(spark, path)
+    whole = 0 <= cursor <= total and total >= 1 and page_size >= 1 and (cursor == total or cursor % page_size == 0)
+    same = old["total"] in (None, total) and old["page_size"] in (None, page_size)
+    if not whole or not same or cursor < old["cursor"]:
+        raise ValueError(f"cursor {cursor} of {total} by {page_size} doesn't follow {old}")
+    if cursor == old["cursor"]:
+        return False
+    return Files(spark).create(f"{path}/_commits/{cursor:020d}.json", json.dumps({"cursor": cursor, "total": total, "page_size": page_size}))
+
+
+def read_chunks(spark: SparkSession, path: str, committed: int | None = None) -> DataFrame:
+    """Rows of the pages that are committed, or of the first ``committed`` pages; what was written beyond isn't seen."""
+    if committed is None:
+        record = committed_cursor(spark, path)
+        committed = -(-record["cursor"] // record["page_size"]) if record["page_size"] else 0
     return spark.read.parquet(path).where(F.col("chunk") < committed)
 
 
-def write_evidence(df: DataFrame, path: str, job: str = "job") -> None:
-    """One JSON event for each applied task, by job."""
-    df.write.mode("append").partitionBy(job).json(path)
+def write_evidence(df: DataFrame, path: str, batch: str, job: str = "job") -> None:
+    """One JSON event for each applied task, by job; a batch that is written again replaces what it wrote."""
+    df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", job).json(path)
+
+
+def append_ledger(tables: Tables, effects: DataFrame, batch: str) -> int:
+    """Add effects (job, task, step, state, ...) to a ledger, in a version of their own; a batch that is there already changes nothing."""
+    return tables.commit(tables.version(), append={"effects": effects.withColumn("changes", F.lit(1).cast("bigint"))}, batch=batch)
+
+
+def current_effects(tables: Tables, order: tuple[str, ...] = ()) -> DataFrame:
+    """The last state of each (job, task, step), and how often it changed. Within a batch the last by ``order`` counts.
+
+    After compact_ledger() that reads the snapshot and what was appended since.
+    """
+    rows = tables.read("effects")
+    keys = ["job", "task", "step"]
+    rest = [c for c in rows.columns if c not in (*keys, "changes", VERSION, *order)]
+    last = F.max(F.struct(VERSION, *order, *rest)).alias("x")
+    return rows.groupBy(*keys).agg(last, F.sum("changes").alias("changes")).select(*keys, "x.*", "changes")
 
 
-def append_ledger(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def compact_ledger(tables: Tables, order: tuple[str, ...] = ()) -> int:
+    """Put the current state in place of all that was appended so far."""
+    newest = tables.version()
+    return tables.commit(newest, replace={"effects": current_effects(tables, order)})
