@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +22,7 @@ from ledgerline.sources.commits import Tables
 from ledgerline.sources.shared import new_path
 from ledgerline.sources.sinks import report_lines, select_columns
 from ledgerline.streaming import streams
+from ledgerline.streaming.message_log import append_log, log_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1099,21 +1101,74 @@ def consume_idempotent(spark, sf):
     return streams.consume_batch(fx.messages(spark, sf))
 
 
-def _drained(spark, stream_of, name: str) -> DataFrame:
-    """What a stream gives by the time that it has read what is there; its state is kept in RocksDB."""
+@contextmanager
+def _rocks(spark):
+    """State of streams is kept in RocksDB."""
     setting = "spark.sql.streaming.stateStore.providerClass"
     had = spark.conf.get(setting)
     spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        path = new_path(spark, name)
-        return streams.drain(stream_of(), path.rsplit("/", 1)[1], f"{path}/checkpoint", f"{path}/out")
+        yield
     finally:
         spark.conf.set(setting, had)
 
 
+def _message_log(spark, sf, name: str) -> tuple[str, int]:
+    """All messages as a log in two segments by time, and how many there are."""
+    path, m = new_path(spark, name), fx.messages(spark, sf)
+    half = m.agg(F.percentile_approx("receivedAt", 0.5)).first()[0]
+    append_log(m.where(F.col("receivedAt") <= half), path)
+    return path, append_log(m.where(F.col("receivedAt") > half), path)
+
+
+def _drained(spark, sf, work, name: str) -> DataFrame:
+    """What ``work`` makes of the messages in order, a third of them a trigger."""
+    path, n = _message_log(spark, sf, name)
+    with _rocks(spark):
+        return streams.drain(work(log_stream(spark, path, most=-(-n // 3))), path.rsplit("/", 1)[1], f"{path}/checkpoint", f"{path}/out", continuous=True)
+
+
 @query(with_views("messages", more=_FIRST, body="SELECT business_id, id, hash, CASE WHEN rn = 1 THEN 'NEW' WHEN hash = fh THEN 'DUPLICATE' ELSE 'CONFLICT' END AS delivery FROM f"))
 def consume_stream(spark, sf):
-    return _drained(spark, lambda: streams.consume_idempotent(fx.messages(spark, sf, stream=True)), "consumed")
+    return _drained(spark, sf, streams.consume_idempotent, "consumed")
+
+
+@query(with_views("messages", more="o AS (SELECT id, row_number() OVER (ORDER BY receivedAt, id) AS n FROM messages)", body="SELECT id, CASE WHEN n <= 1500 THEN 1 ELSE 2 END AS run FROM o WHERE n <= 2345"))
+def drained_messages(spark, sf):
+    """Two runs that take 1,500 and then 845 messages, wherever files end."""
+    path, _ = _message_log(spark, sf, "drained")
+    for run, n in ((1, 1500), (2, 845)):
+        out = streams.drain_messages(spark, path, f"{path}/checkpoint", f"{path}/out", n, lambda df, run=run: df.select("id", F.lit(run).alias("run")))
+    return out
+
+
+_WAITS = """t AS (SELECT id AS task, user_id AS queue, business_id AS id, receipt, receivedAt AS at, leaseUntil FROM messages WHERE CAST(id AS BIGINT) % 4 = 0),
+  r AS (SELECT user_id AS queue, business_id AS id, receipt, receivedAt, leaseUntil FROM messages WHERE CAST(id AS BIGINT) % 4 <> 0),
+  v AS (SELECT task, coalesce(r.id, t.id) AS id, r.receivedAt AS received_at, CASE WHEN r.id IS NULL THEN t.receipt ELSE r.receipt END AS receipt,
+    CASE WHEN r.receivedAt IS NULL THEN CASE WHEN t.leaseUntil > t.at + 60 THEN 'VALID' ELSE 'NEEDS_RECEIVE' END WHEN r.id = t.id THEN CASE WHEN r.leaseUntil > r.receivedAt + 60 THEN 'VALID' ELSE 'NEEDS_RECEIVE' END
+      WHEN r.leaseUntil > r.receivedAt THEN 'RELEASED' ELSE 'LEASE_EXPIRED' END AS verdict
+    FROM t LEFT JOIN r ON r.queue = t.queue AND r.receivedAt BETWEEN t.at AND t.at + 43200),
+  n AS (SELECT *, row_number() OVER w AS n FROM v WINDOW w AS (PARTITION BY task ORDER BY received_at NULLS FIRST, id, receipt)),
+  m AS (SELECT *, coalesce(max((verdict = 'VALID')::INT) OVER (PARTITION BY task ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n WHERE n <= 3)"""
+
+
+@query(with_views("messages", more=_WAITS, body="""SELECT task, CASE WHEN bool_or(verdict = 'VALID') THEN 'VALID' WHEN count(received_at) >= 3 THEN 'RECONCILIATION_REQUIRED' ELSE 'NEEDS_RECEIVE' END AS outcome,
+   max(receipt) FILTER (verdict = 'VALID') AS receipt, count(received_at) AS receives, count(*) FILTER (verdict = 'RELEASED') AS released FROM m WHERE before = 0 GROUP BY 1"""))
+def receipts_stream(spark, sf):
+    """Messages that wait for receipts against what is received from their queues in half a day, as two streams over several triggers.
+
+    A last message, long after the others, moves the watermarks past every window.
+    """
+    path, n = _message_log(spark, sf, "receipts")
+    last = fx.messages(spark, sf).orderBy(F.desc("receivedAt")).limit(1)
+    for k in (3, 4):
+        append_log(last.withColumn("id", F.lit(str(-k))).withColumn("user_id", F.lit(-1).cast("bigint")).withColumn("receivedAt", F.col("receivedAt") + 100 * 86400), path)
+    stream, number = lambda: log_stream(spark, path, most=-(-n // 3)), F.col("id").cast("bigint")
+    tasks = stream().where(number % 4 == 0).select(F.col("id").alias("task"), F.col("user_id").alias("queue"), F.col("business_id").alias("id"), "receipt", F.col("receivedAt").alias("at"), "leaseUntil")
+    receives = stream().where(number % 4 != 0).select(F.col("user_id").alias("queue"), F.col("business_id").alias("id"), "receipt", "receivedAt", "leaseUntil")
+    with _rocks(spark):
+        out = streams.drain(streams.receives_of_tasks(tasks, receives, 43_200, 60), "receipts", f"{path}/checkpoint", f"{path}/out", continuous=True)
+    return streams.receipt_outcomes(out.where("task <> '-4'"), 3)
 
 
 @query(with_views("messages", body="SELECT DISTINCT business_id AS id, 'replay' AS group_id, business_id AS dedup_id FROM messages"))
@@ -1125,11 +1180,8 @@ def replay_dedup(spark, sf):
 def replay_stream(spark, sf):
     """Every message is in the stream twice and sent once."""
 
-    def sent():
-        m = fx.messages(spark, sf, stream=True).select("id", "event_time", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
-        return streams.replay(m, fifo=True).select("id", "group_id", "dedup_id")
-
-    return _drained(spark, sent, "replayed")
+    twice = lambda m: m.select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    return _drained(spark, sf, lambda m: streams.replay(twice(m), fifo=True).select("id", "group_id", "dedup_id"), "replayed")
 
 
 _LEASES = """l AS (SELECT user_id AS id, arg_max(receipt, (receivedAt, receipt)) AS receipt, arg_max(leaseUntil, (receivedAt, receipt)) AS leaseUntil, max(receivedAt) + 60 AS now FROM messages GROUP BY 1)"""

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerline.functions.scalar import md5_ok, receive_count, sha256_hex
+from ledgerline.streaming.message_log import consumed, log_stream
 
 ENVELOPE = (
     "id string, receipt string, body string, md5OfBody string, attributes map<string, struct<type:string, string:string, binary:string>>, "
@@ -57,21 +58,26 @@ class _FirstHash(StatefulProcessor):
         self.first = handle.getValueState("first", "hash string, last bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A key's rows of one trigger, which bounds them, are put in order together.
-        frame = pd.concat(list(rows)).sort_values(["receivedAt", "id"], kind="stable")
-        known = frame["known"].dropna()
-        had = tuple(self.first.get()) if self.first.exists() else (known.iloc[0] if len(known) else None, None)
-        first, judged = had[0], []
-        for h in frame["hash"]:
-            judged.append("NEW" if first is None else "DUPLICATE" if h == first else "CONFLICT")
-            first = h if first is None else first
-        last = max(int(frame["receivedAt"].iloc[-1]), had[1] or 0)
-        if last != had[1]:
-            if had[1] is not None:
-                self.handle.deleteTimer(had[1] * 1000)
-            self.handle.registerTimer(last * 1000)
+        had = tuple(self.first.get()) if self.first.exists() else None
+        first, last = had or (None, 0)
+        if first is None:
+            # A key's first trigger: its rows, which the trigger bounds, are put in order together.
+            whole = pd.concat(list(rows)).sort_values(["receivedAt", "id"], kind="stable")
+            known = whole["known"].dropna()
+            first, rows = known.iloc[0] if len(known) else None, iter([whole])
+        for frame in rows:
+            delivery = (frame["hash"] == first).map({True: "DUPLICATE", False: "CONFLICT"})
+            if first is None:
+                first = frame["hash"].iloc[0]
+                delivery = (frame["hash"] == first).map({True: "DUPLICATE", False: "CONFLICT"})
+                delivery.iloc[0] = "NEW"
+            last = max(last, int(frame["arrived"].max().timestamp() * 1000))
+            yield pd.DataFrame({"business_id": key[0], "id": frame["id"], "hash": frame["hash"], "delivery": delivery})
+        if had is None or last != had[1]:
+            if had is not None:
+                self.handle.deleteTimer(had[1])
+            self.handle.registerTimer(last)
             self.first.update((first, last))
-        yield pd.DataFrame({"business_id": key[0], "id": frame["id"], "hash": frame["hash"], "delivery": judged})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.first.clear()
@@ -81,17 +87,25 @@ class _FirstHash(StatefulProcessor):
         pass
 
 
+def by_arrival(stream: DataFrame, remembered: timedelta) -> DataFrame:
+    """A stream with the time at which its rows arrive, ``arrived``, and a watermark that far behind it.
+
+    State that is kept by it ends so long after a key's last arrival. No row is ever late, whatever its own times say.
+    """
+    return stream.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", f"{int(remembered.total_seconds())} seconds")
+
+
 def consume_idempotent(stream: DataFrame, processed: DataFrame | None = None, remembered: timedelta = REMEMBERED) -> DataFrame:
     """(business_id, id, hash, delivery) of a stream (business_id, id, body, receivedAt): NEW, DUPLICATE or CONFLICT.
 
-    Within a trigger the first by receive time, then id, sets the hash; a null body counts as an empty one, a missing receive
-    time as the trigger's. State is one hash a business id, and ends when the watermark, ``remembered`` behind the newest receive time, passes
-    its last message; a message older than that is dropped, as a queue would have. After that, messages are judged by ``processed`` (id,
-    payloadHash), the table of what has been consumed, if it is given. Needs the RocksDB state store.
+    Messages are judged as they arrive, and none is dropped: of those that come in one trigger the first by receive time, then id, sets the
+    hash; later triggers are judged by it. From a log in order (see message_log) that is the judgement of consume_batch(), however
+    many messages a trigger takes. A null body counts as an empty one, a missing receive time as the trigger's. State is one hash a
+    business id, and ends ``remembered`` after its last arrival, longer than a queue keeps messages; after that, messages are judged by
+    ``processed`` (id, payloadHash), the table of what has been consumed, if it is given. Needs the RocksDB state store.
     """
     at = F.coalesce(F.col("receivedAt"), F.unix_timestamp(F.current_timestamp()))
-    rows = stream.select("business_id", "id", at.alias("receivedAt"), sha256_hex(F.coalesce("body", F.lit(""))).alias("hash"))
-    rows = rows.withColumn("received", F.timestamp_seconds("receivedAt")).withWatermark("received", f"{int(remembered.total_seconds())} seconds")
+    rows = by_arrival(stream, remembered).select("business_id", "id", at.alias("receivedAt"), sha256_hex(F.coalesce("body", F.lit(""))).alias("hash"), "arrived")
     if processed is None:
         rows = rows.withColumn("known", F.lit(None).cast("string"))
     else:
@@ -109,10 +123,13 @@ def consume_batch(messages: DataFrame) -> DataFrame:
     return rows.join(first, "business_id").select("business_id", "id", "hash", kind.alias("delivery"))
 
 
-def replay(stream: DataFrame, fifo: bool = False, time_col: str = "event_time", delay: str = "120 seconds") -> DataFrame:
-    """One send for each message id, with its attributes; FIFO adds group and dedup ids. Dedup state ends with the watermark."""
+def replay(stream: DataFrame, fifo: bool = False, remembered: timedelta = REMEMBERED) -> DataFrame:
+    """One send for each message id, with its attributes; FIFO adds group and dedup ids.
+
+    A stream remembers an id for ``remembered`` after its arrival; no message is dropped for being late.
+    """
     if stream.isStreaming:
-        out = stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["id"])
+        out = by_arrival(stream, remembered).dropDuplicatesWithinWatermark(["id"]).drop("arrived")
     else:
         out = stream.dropDuplicates(["id"])
     if fifo:
@@ -180,6 +197,52 @@ def lease_batch(receives: DataFrame, reserve: int = 0) -> DataFrame:
     return newest.select("id", "x.receipt", "x.leaseUntil", F.when(held, "VALID").otherwise("NEEDS_RECEIVE").alias("lease"))
 
 
+def receives_of_tasks(tasks: DataFrame, receives: DataFrame, window: int = 3600, reserve: int = 0, delay: str = "600 seconds") -> DataFrame:
+    """What was received for each task while it waited for a valid receipt: (task, id, received_at, receipt, verdict), of streams or tables.
+
+    tasks: (task, queue, id, receipt, at, leaseUntil), a message whose receipt is needed at second ``at``. receives: (queue, id, receipt,
+    receivedAt, leaseUntil), what came from the queue. Those up to ``window`` seconds from ``at`` count:
+
+    VALID: the task's own message, whose lease lasts beyond the receive and ``reserve``; its receipt may be used.
+    NEEDS_RECEIVE: the task's own message, but its receipt is blank or its lease too short.
+    RELEASED: another message, which is given back while its lease lasts; LEASE_EXPIRED: another one, whose lease has ended.
+
+    A task for which nothing was received comes once, with null received_at: VALID if its own receipt holds at ``at``, else NEEDS_RECEIVE. In a
+    stream that is known when the watermarks, ``delay`` behind both times, have passed the task's window; until then
+    state holds what can still meet. Rows without a time or queue meet nothing; such tasks come out alone from a table, and are late in a stream.
+    """
+    t = tasks.select(F.col("task"), F.col("queue").alias("t_queue"), F.col("id").alias("t_id"), F.col("receipt").alias("t_receipt"), F.col("leaseUntil").alias("t_lease"), F.timestamp_seconds("at").alias("t_at"))
+    r = receives.select(F.col("queue").alias("r_queue"), F.col("id").alias("r_id"), F.col("receipt").alias("r_receipt"), F.col("leaseUntil").alias("r_lease"), F.timestamp_seconds("receivedAt").alias("r_at"))
+    if tasks.isStreaming:
+        t, r = t.withWatermark("t_at", delay), r.withWatermark("r_at", delay)
+    near = (F.col("r_at") >= F.col("t_at")) & (F.col("r_at") <= F.col("t_at") + F.expr(f"INTERVAL {int(window)} SECONDS"))
+    met = t.join(r, (F.col("t_queue") == F.col("r_queue")) & near, "left")
+    holds = lambda receipt, lease, at, more: (F.length(F.trim(F.coalesce(receipt, F.lit("")))) > 0) & (F.coalesce(lease, F.lit(0)) > F.unix_timestamp(at) + more)
+    own = F.when(holds(F.col("r_receipt"), F.col("r_lease"), F.col("r_at"), reserve), "VALID").otherwise("NEEDS_RECEIVE")
+    other = F.when(holds(F.lit("-"), F.col("r_lease"), F.col("r_at"), 0), "RELEASED").otherwise("LEASE_EXPIRED")
+    alone = F.when(holds(F.col("t_receipt"), F.col("t_lease"), F.col("t_at"), reserve), "VALID").otherwise("NEEDS_RECEIVE")
+    verdict = F.when(F.col("r_at").isNull(), alone).when(F.col("r_id") == F.col("t_id"), own).otherwise(other)
+    return met.select("task", F.coalesce("r_id", "t_id").alias("id"), F.unix_timestamp("r_at").alias("received_at"), F.when(F.col("r_at").isNull(), F.col("t_receipt")).otherwise(F.col("r_receipt")).alias("receipt"), verdict.alias("verdict"))
+
+
+def receipt_outcomes(verdicts: DataFrame, attempts: int = 10) -> DataFrame:
+    """(task, outcome, receipt, receives, released) of a table of receives_of_tasks(): the first ``attempts`` receives of a task count.
+
+    VALID with the first receipt that holds; RECONCILIATION_REQUIRED if all attempts are used up; NEEDS_RECEIVE otherwise. Receives
+    after the one that holds aren't made and don't count.
+    """
+    w = Window.partitionBy("task").orderBy(F.col("received_at"), "id", "receipt")
+    numbered = verdicts.withColumn("n", F.row_number().over(w)).where(F.col("n") <= attempts)
+    held = numbered.withColumn("before", F.coalesce(F.max((F.col("verdict") == "VALID").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    made = held.where("before = 0")
+    out = made.groupBy("task").agg(
+        F.max(F.when(F.col("verdict") == "VALID", F.col("receipt"))).alias("receipt"), F.bool_or(F.col("verdict") == "VALID").alias("ok"),
+        F.count("received_at").alias("receives"), F.count_if(F.col("verdict") == "RELEASED").alias("released"),
+    )
+    outcome = F.when(F.col("ok"), "VALID").when(F.col("receives") >= attempts, "RECONCILIATION_REQUIRED").otherwise("NEEDS_RECEIVE")
+    return out.select("task", outcome.alias("outcome"), "receipt", "receives", "released")
+
+
 def ack_after_durable(stream: DataFrame, outcomes_path: str, acks_path: str, checkpoint: str):
     """Write each batch's outcomes, then its acknowledgements; both folders are named by batch, so a repeat replaces them."""
 
@@ -221,8 +284,27 @@ def publish_outbox(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, path: str) -> DataFrame:
-    """Process what is there now, then stop; returns what was written."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
+def drain(stream: DataFrame, name: str, checkpoint: str, path: str, continuous: bool = False) -> DataFrame:
+    """Process what is there now, then stop; returns what was written.
+
+    ``continuous`` lets a source's own bound of a trigger hold, as message_log's ``most``; otherwise the source decides how many triggers it takes.
+    """
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).queryName(name)
+    if continuous:
+        query = writer.start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    else:
+        writer.trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.parquet(path)
+
+
+def drain_messages(spark: SparkSession, log: str, checkpoint: str, path: str, n: int, work: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Take the next ``n`` messages of a log (fewer if there are no more), wherever its files end, and write what ``work`` makes of them.
+
+    The next call with this checkpoint goes on behind them. Returns all that was written so far.
+    """
+    until = consumed(spark, checkpoint) + n
+    return drain(work(log_stream(spark, log, until=until)), path.rstrip("/").rsplit("/", 1)[-1], checkpoint, path)

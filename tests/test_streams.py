@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.streaming import streams
+from ledgerline.sources.commits import CommitConflict
+from ledgerline.streaming import message_log, streams
+from ledgerline.streaming.message_log import append_log, consumed, log_files, log_length, log_stream
 
 
 @pytest.fixture
@@ -93,3 +95,116 @@ def test_acks_follow_outcomes_and_the_outbox_sends_once(spark, tmp_path):
         box = spark.readStream.schema("eventId string, deliveryState string").json(str(tmp_path / "box"))
         streams.publish_outbox(box, str(tmp_path / "sent"), str(tmp_path / "c2")).awaitTermination()
     assert sorted(r["eventId"] for r in spark.read.parquet(str(tmp_path / "sent")).collect()) == ["e1", "x1", "x2"]
+
+
+def shuffled_events(spark, folder, n=6):
+    """events in files of shuffled rows."""
+    e = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    e.orderBy(F.rand(7)).repartition(n).write.parquet(str(folder))
+    return e
+
+
+def one_file_a_trigger(spark, folder):
+    e = spark.readStream.schema(spark.read.parquet(str(folder)).schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    key = F.concat_ws("-", F.col("user_id").cast("string"), F.get_json_object("props", "$.k"))
+    return e.select(F.col("event_id").cast("string").alias("id"), key.alias("business_id"), F.col("props").alias("body"), F.unix_timestamp("ts").alias("receivedAt"))
+
+
+def test_no_message_is_lost_over_triggers_out_of_order(rocks, tmp_path):
+    events = shuffled_events(rocks, tmp_path / "in")
+    out = streams.drain(streams.consume_idempotent(one_file_a_trigger(rocks, tmp_path / "in")), "c", str(tmp_path / "c"), str(tmp_path / "o"))
+    rows = out.collect()
+    assert len(rows) == events.count() == len({r["id"] for r in rows})
+    first, by = {r["business_id"]: r["hash"] for r in rows if r["delivery"] == "NEW"}, {}
+    for r in rows:
+        by.setdefault(r["business_id"], []).append(r)
+    assert len(first) == len(by) and all(sum(r["delivery"] == "NEW" for r in x) == 1 for x in by.values())
+    assert all(r["delivery"] == "NEW" or (r["delivery"] == "DUPLICATE") == (r["hash"] == first[r["business_id"]]) for r in rows)
+
+
+def test_replay_is_complete_over_triggers_out_of_order(rocks, tmp_path):
+    events = shuffled_events(rocks, tmp_path / "in")
+    twice = one_file_a_trigger(rocks, tmp_path / "in").select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    out = streams.drain(streams.replay(twice), "r", str(tmp_path / "c"), str(tmp_path / "o"))
+    assert out.count() == events.count() == out.select("id").distinct().count()
+
+
+def log_of(spark, path, *parts):
+    for part in parts:
+        length = append_log(spark.createDataFrame(part, "id string, receivedAt long, body string"), path, files_of=3)
+    return length
+
+
+def test_intake_stops_at_any_message(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    parts = [[(f"m{i:03d}", i, "x") for i in range(100)], [(f"n{i:03d}", i, None) for i in range(17)]]
+    assert log_of(spark, path, *parts) == 117 and len(log_files(spark, path)) > 2
+    want = [r[0] for p in parts for r in p]
+    seen = []
+    for n in (1, 50, 0, 49, 9, 500, 5):
+        before = len(seen)
+        out = streams.drain_messages(spark, path, f"{path}/c", f"{path}/o", n) if n or seen else None
+        seen = sorted(r["id"] for r in out.collect())
+        assert seen == sorted(want[: min(117, before + n)]) and consumed(spark, f"{path}/c") == len(seen)
+    # Messages that come later are taken by the next run.
+    log_of(spark, path, [("later", 0, "y")])
+    assert streams.drain_messages(spark, path, f"{path}/c", f"{path}/o", 5).count() == 118
+
+
+def test_triggers_of_a_bounded_number(spark, tmp_path):
+    path, sizes = f"file://{tmp_path}/log", []
+    log_of(spark, path, [(f"m{i:03d}", i, "x") for i in range(25)])
+    for _ in range(2):  # the second run finds nothing new
+        q = log_stream(spark, path, most=10).writeStream.foreachBatch(lambda df, _: sizes.append([r["id"] for r in df.orderBy("id").collect()])).option("checkpointLocation", f"{path}/c").start()
+        q.processAllAvailable()
+        q.stop()
+    assert [len(x) for x in sizes] == [10, 10, 5] and sizes[0][0] == "m000" and sizes[2][-1] == "m024"
+
+
+def test_two_writers_of_a_segment(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/log"
+    log_of(spark, path, [("a", 1, "x")])
+    monkeypatch.setattr(message_log, "segments", lambda *_: [])
+    with pytest.raises(CommitConflict):
+        log_of(spark, path, [("b", 1, "x")])
+    monkeypatch.undo()
+    assert log_length(spark, path) == 1
+
+
+def receives(spark):
+    tasks = [("t1", "q", "m1", "r", 1000, 1010), ("t2", "q", "m2", "r", 1000, 5000), ("t3", "p", "m3", " ", 1000, 5000), ("t4", "x", "m4", "r", 1000, 5000), ("t5", "x", "m5", "r", 1000, 1030), ("t6", None, "m6", "r", 1000, 9000)]
+    got = [("q", "m1", "n1", 1005, 2000), ("q", "m9", "n2", 1020, 2000), ("q", "m8", "n3", 1030, 1030), ("p", "m3", "n4", 1001, 1050), ("p", "m3", "n5", 1002, 9000), ("p", "m3", "n6", 1003, 9000), ("x", "m4", "late", 9999, 20000), ("x", "m4", "early", 999, 20000)]
+    return spark.createDataFrame(tasks, "task string, queue string, id string, receipt string, at long, leaseUntil long"), spark.createDataFrame(got, "queue string, id string, receipt string, receivedAt long, leaseUntil long")
+
+
+def test_receives_meet_their_tasks(spark):
+    out = streams.receives_of_tasks(*receives(spark), 600, 60)
+    got = sorted((r["task"], r["receipt"], r["verdict"]) for r in out.collect())
+    assert got == [
+        ("t1", "n1", "VALID"), ("t1", "n2", "RELEASED"), ("t1", "n3", "LEASE_EXPIRED"), ("t2", "n1", "RELEASED"), ("t2", "n2", "RELEASED"), ("t2", "n3", "LEASE_EXPIRED"),
+        ("t3", "n4", "NEEDS_RECEIVE"), ("t3", "n5", "VALID"), ("t3", "n6", "VALID"), ("t4", "r", "VALID"), ("t5", "r", "NEEDS_RECEIVE"), ("t6", "r", "VALID"),
+    ]
+    ends = {r["task"]: tuple(r)[1:] for r in streams.receipt_outcomes(out, 3).collect()}
+    assert ends == {
+        "t1": ("VALID", "n1", 1, 0), "t2": ("RECONCILIATION_REQUIRED", None, 3, 2), "t3": ("VALID", "n5", 2, 0), "t4": ("VALID", "r", 0, 0), "t5": ("NEEDS_RECEIVE", None, 0, 0), "t6": ("VALID", "r", 0, 0),
+    }
+    assert streams.receipt_outcomes(out.where("task = 't2'"), 9).first()["outcome"] == "NEEDS_RECEIVE"
+
+
+def test_receives_of_streams_in_triggers(rocks, tmp_path):
+    tasks, got = receives(rocks)
+    tasks = tasks.where("queue is not null")
+    end = 50_000
+    for name, df, time in (("t", tasks, "at"), ("r", got, "receivedAt")):
+        rows = sorted(df.collect(), key=lambda r: r[time])
+        for i, part in enumerate((rows[:2], rows[2:], rows[:1])):
+            made = rocks.createDataFrame(part, df.schema)
+            if i == 2:  # moves the watermark
+                made = made.withColumn("queue", F.lit("end")).withColumn(time, F.lit(end).cast("long"))
+                made = made.withColumn("task", F.lit("end")) if name == "t" else made
+            made.coalesce(1).write.mode("append").json(str(tmp_path / name))
+    read = lambda name, df: rocks.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / name))
+    out = streams.drain(streams.receives_of_tasks(read("t", tasks), read("r", got), 600, 60, "20000 seconds"), "x", str(tmp_path / "c"), str(tmp_path / "o"))
+    want = streams.receives_of_tasks(tasks, got, 600, 60)
+    key = lambda df: sorted(map(str, df.where("task <> 'end'").select("task", "id", "received_at", "receipt", "verdict").collect()))
+    assert key(out) == key(want)
