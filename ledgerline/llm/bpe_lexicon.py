@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerline.llm.bpe_merge import PairMerger, byte_chars
-from ledgerline.llm.pieces import PLAIN, PieceCache, batches_by_size
+from ledgerline.llm.pieces import LONGEST, PLAIN, PieceCache, batches_by_size
 from ledgerline.llm.shared_files import packed, unpacked, write_bytes
 from ledgerline.llm.storage import discard, new_path, small_batches, written
 from ledgerline.llm.workers import frugal, kept
 
 #: Frequent words that are compiled.
 LEXICON_WORDS = 1 << 16
-#: Pieces of one generation of a worker's cache, whose values here are four bytes an id.
-CACHED_PIECES = 150_000
+#: Bytes of one generation of a worker's cache of pieces.
+CACHED = 20 << 20
 
 
 class WordBpe:
@@ -181,7 +181,7 @@ class Encoder:
     def under(self, uri: str) -> PieceCache:
         """Cached ids of pieces; a new lexicon drops the earlier one's."""
         if uri != self.uri:
-            self.lexicon, self.cache, self.uri = Lexicon(uri), PieceCache(self._ids, CACHED_PIECES), uri
+            self.lexicon, self.cache, self.uri = Lexicon(uri), PieceCache(self._ids, CACHED), uri
         return self.cache
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
@@ -206,21 +206,28 @@ def _word_counts(tokenizer_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(tokenizer_file).bpe
         pieces: Counter = Counter()
+        words: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            words: Counter = Counter()
             for piece, n in pieces.items():
                 for w in bpe.words(piece):
                     if isinstance(w, bytes):
                         words[w] += n
+            out = pa.record_batch([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
             pieces.clear()
-            return pa.record_batch([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+            words.clear()
+            return out
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 if text:
-                    pieces.update(_pieces(text))
-                    if len(pieces) > COUNTED_PIECES:
+                    found = _pieces(text)
+                    if len(text) > LONGEST and max(map(len, found)) > LONGEST:
+                        # Of long pieces, as scripts without spaces make them, the short words count at once; long words are always merged where they are met.
+                        words.update(w for p in found if len(p) > LONGEST for w in bpe.words(p) if isinstance(w, bytes) and len(w) <= LONGEST)
+                        found = [p for p in found if len(p) <= LONGEST]
+                    pieces.update(found)
+                    if len(pieces) + len(words) > COUNTED_PIECES:
                         yield flush()
         yield flush()
 

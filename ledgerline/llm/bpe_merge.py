@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 _NONE = np.iinfo(np.int32).max
+#: Bytes from which a word is merged by a heap: rounds over all words would each pass over it.
+LONG = 2048
 
 
 def byte_chars() -> list[str]:
@@ -29,18 +33,62 @@ class PairMerger:
         pair = (left << 32) | right
         by = np.argsort(pair, kind="stable")
         self.pairs, self.ranks, self.made = pair[by], by.astype(np.int32), made[by]
+        self.by_pair = None
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Exact token ids of each word."""
-        flat, ends = self._merged(words)
-        return np.split(flat.astype(np.int32), ends[:-1]) if words else []
+        return [np.frombuffer(x, dtype=np.int32) for x in self.merge_bytes(words, np.dtype(np.int32).str)]
 
     def merge_bytes(self, words: list[bytes], dtype: str) -> list[bytes]:
         """merge() as each word's ids in bytes."""
+        if any(len(w) >= LONG for w in words):
+            short = iter(self.merge_bytes([w for w in words if len(w) < LONG], dtype))
+            return [self._merged_long(w).astype(dtype).tobytes() if len(w) >= LONG else next(short) for w in words]
         flat, ends = self._merged(words)
         data, cut = flat.astype(dtype).tobytes(), (ends * np.dtype(dtype).itemsize).tolist()
         return [data[a:b] for a, b in zip([0, *cut], cut)]
 
+    def _lookup(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, what it makes) of pairs; _NONE is the rank of a pair that doesn't merge."""
+        place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[place] == pair, self.ranks[place], _NONE), self.made[place]
+
+    def _merged_long(self, word: bytes) -> np.ndarray:
+        """One long word's ids: pairs wait in a heap by rank, then place, so time grows little faster than the word."""
+        data = np.frombuffer(word, dtype=np.uint8)
+        first = self.inner[data]
+        first[-1] = self.last[data[-1]]
+        rank, made = self._lookup((first[:-1] << 32) | first[1:])
+        at = np.flatnonzero(rank != _NONE)
+        symbol = first.tolist()
+        heap = list(zip(rank[at].tolist(), at.tolist(), first[at].tolist(), first[at + 1].tolist(), made[at].tolist()))
+        heapq.heapify(heap)
+        n = len(symbol)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        merges = self._merges()
+        while heap:
+            _, i, a, b, to = heapq.heappop(heap)
+            j = after[i]
+            if symbol[i] != a or j >= n or symbol[j] != b:
+                continue  # one of the two has gone
+            symbol[i], symbol[j] = to, -1
+            k = after[j]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if (m := merges.get((to << 32) | symbol[k])) is not None:
+                    heapq.heappush(heap, (m[0], i, to, symbol[k], m[1]))
+            h = before[i]
+            if h >= 0 and (m := merges.get((symbol[h] << 32) | to)) is not None:
+                heapq.heappush(heap, (m[0], h, symbol[h], to, m[1]))
+        return np.array([x for x in symbol if x >= 0], dtype=np.int64)
+
+    def _merges(self) -> dict[int, tuple[int, int]]:
+        """{pair: (rank, what it makes)}, made when a long word is first met."""
+        if self.by_pair is None:
+            self.by_pair = dict(zip(self.pairs.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+        return self.by_pair
+
     def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All words' ids in order and where each word's end: at every step all occurrences of a word's lowest-ranked pair merge."""
         if not words:
@@ -62,10 +110,7 @@ class PairMerger:
             rank[look[~inside]] = _NONE
             look = look[inside]
             pair = (symbol[look] << 32) | symbol[look + 1]
-            place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            known = self.pairs[place] == pair
-            rank[look] = np.where(known, self.ranks[place], _NONE)
-            made[look] = self.made[place]
+            rank[look], made[look] = self._lookup(pair)
             rank[-1] = _NONE
             starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(symbol))))

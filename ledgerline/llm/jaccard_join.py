@@ -6,8 +6,9 @@ only in combinations of two from the same sub-class. A set's prefix is the
 shortest run of its ordered tokens in which destroying every signature takes more
 deletions than the threshold allows: sum over sub-classes of max(0, n - k + 1) >
 size - least overlap. Two sets that link then share a signature of their prefixes,
-so the groups made by shared signatures lose no link, and every pair
-of different sets within a group is verified exactly.
+so no link is lost where only pairs that share a signature are compared. Documents that signatures
+connect fall into groups, and groups into blocks of bounded size; two blocks meet in a task only if they share a signature, and there
+every pair that shares one, of sizes that allow a link, is verified exactly.
 
 A token's class is told by an exact count over all documents, in two rounds: each set offers its tokens of
 least hash, somewhat more than a prefix, and offers are counted by token; then sets that have too few
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import wordhash as wh
@@ -37,9 +38,12 @@ RARE = 4
 SUBCLASSES = ((48, 4), (100, 8), (200, 16), (400, 32), (800, 64), (1600, 128), (3200, 256), (6400, 512))
 #: Digests that a task remembers, to pass over repeated sets.
 REMEMBERED = 200_000
-#: Shingles and sets that one block of a group holds, about; and rows of a block's product held at a time.
+#: Shingles and sets that one block of a group holds, about.
 BLOCK_TOKENS, BLOCK_SETS = 1 << 17, 1000
-STRIP = 1024
+#: Rows of a block whose candidates are held at a time.
+STRIP = 256
+#: Pairs up to which tokens are compared pair by pair.
+FEW = 32
 
 
 def least_overlap(size: int, percent: int) -> int:
@@ -82,7 +86,7 @@ def offered(size: int, percent: int) -> int:
 
 def _scan(k: int, percent: int, least_size: int):
     """Each document's set size and digest, and the tokens that it offers unless its set has been met."""
-    schema = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("offer", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("offer", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
@@ -96,6 +100,7 @@ def _scan(k: int, percent: int, least_size: int):
                 yield pa.record_batch(
                     [
                         ids[a:b].cast(pa.int64()),
+                        batch.column("text_hash")[a:b],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([d[0] for d in digests], pa.int64()),
                         pa.array([d[1] for d in digests], pa.int64()),
@@ -104,7 +109,7 @@ def _scan(k: int, percent: int, least_size: int):
                     schema=schema,
                 )
 
-    return frugal(run), "row long, n long, h1 long, h2 long, offer array<long>"
+    return frugal(run), "row long, text_hash long, n long, h1 long, h2 long, offer array<long>"
 
 
 def _short(percent: int, tables):
@@ -252,24 +257,33 @@ def _postings(k: int, percent: int, tables, singles: int, least_size: int):
     return frugal(run), "key long, node long"
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by key: every further node of a key is tied to the key's first one."""
-    last_key, pivot = None, None
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive sorted by key and node: those of keys that several nodes hold leave once, each with its key's first node."""
+    last = (None, None, None, False)  # the row before: key, node, the key's first node, whether it has left
     for batch in batches:
         key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        if len(key):
+            new[0] = (last[0], last[1]) != (key[0], node[0])
+        key, node = key[new], node[new]
         if not len(key):
             continue
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = key[1:] != key[:-1]
-        new[0] = last_key is None or key[0] != last_key
-        first = np.where(new, np.arange(len(key)), -1)
-        at = np.maximum.accumulate(first)
-        of = np.where(at >= 0, node[np.maximum(at, 0)], pivot if pivot is not None else 0)
-        last_key, pivot = key[-1], of[-1]
-        tied = of != node
-        if tied.any():
-            pairs = np.unique(np.stack([of[tied], node[tied]], axis=1), axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+        head = np.ones(len(key), dtype=bool)
+        head[1:] = key[1:] != key[:-1]
+        head[0] = last[0] is None or key[0] != last[0]
+        place = np.where(head, np.arange(len(key)), -1)
+        at = np.maximum.accumulate(place)
+        first = np.where(at >= 0, node[np.maximum(at, 0)], last[2] if last[2] is not None else 0)
+        # A first row leaves when a second one has come, which may be in the next batch.
+        leaves = ~head
+        leaves[:-1] |= ~head[1:]
+        columns = [key[leaves], node[leaves], first[leaves]]
+        if not head[0] and not last[3]:
+            columns = [np.concatenate([[x], c]) for x, c in zip(last[:3], columns)]
+        last = (key[-1], node[-1], first[-1], bool(leaves[-1]))
+        if len(columns[0]):
+            yield pa.record_batch([pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], names=["key", "node", "pivot"])
 
 
 def _flags_of(ids: DataFrame):
@@ -296,127 +310,168 @@ def _sets(k: int, flags):
     return frugal(run), "id long, h1 long, h2 long, tokens binary"
 
 
-def linked_rows(sets: list[np.ndarray], percent: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Strips (some of ``left``, which of ``right`` each of them links to), found by counting shared tokens column by column.
+def candidates(keys: list[np.ndarray], size: np.ndarray, percent: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (one of ``left``, one of ``right``) that share a key and whose sizes allow a link, for a strip of ``left`` at a time.
 
-    left and right are indices of ``sets``; a set doesn't link to itself. Only a strip of the product is held at a time.
+    A pair inside one block comes once.
     """
-    n = len(sets)
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    if n <= 6:
-        hit = np.zeros((len(left), len(right)), dtype=bool)
-        for a, i in enumerate(left):
-            for b, j in enumerate(right):
-                if i == j or 100 * min(size[i], size[j]) < percent * max(size[i], size[j]):
-                    continue
-                if left is right and j < i:
-                    hit[a, b] = hit[b, a]
-                    continue
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                hit[a, b] = 100 * shared >= percent * (size[i] + size[j] - shared)
-        yield left, hit
-        return
-    tokens = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), size)
+    own = np.unique(np.concatenate([left, right]))
+    flat = np.concatenate([keys[i] for i in own])
+    owner = np.repeat(own, [len(keys[i]) for i in own])
+    by = np.lexsort((owner, flat))
+    flat, owner = flat[by], owner[by]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, dtype=np.int64)
+    count = np.diff(np.append(starts, len(flat)))
+    # Keys that the same sets hold say the same; sums of their owners' hashes tell them apart.
+    hashes = wh.mix(owner.astype(np.uint64) + np.uint64(0x51ED270B))
+    of = np.add.reduceat(hashes, starts) if len(starts) else hashes[:0]
+    _, once = np.unique(of, return_index=True)
+    groups = [owner[starts[i] : starts[i] + count[i]] for i in once[count[once] > 1].tolist()]
+    place = np.full((2, len(keys)), -1)
+    place[1, right] = np.arange(len(right))
+    for first in range(0, len(left), STRIP):
+        strip = left[first : first + STRIP]
+        place[0] = -1
+        place[0, strip] = np.arange(len(strip))
+        mask = np.zeros((len(strip), len(right)), dtype=bool)
+        for these in groups:
+            a, b = place[0, these], place[1, these]
+            mask[np.ix_(a[a >= 0], b[b >= 0])] = True
+        low, high = np.minimum.outer(size[strip], size[right]), np.maximum.outer(size[strip], size[right])
+        mask &= 100 * low >= percent * high
+        mask &= strip[:, None] < right[None, :] if left is right else strip[:, None] != right[None, :]
+        i, j = np.nonzero(mask)
+        yield strip[i], right[j]
+
+
+def shared_tokens(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Shared tokens of each pair (i, j) of sorted ``sets``, by bits of a strip of tokens at a time."""
+    if len(i) <= FEW:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], dtype=np.int64)
+    own = np.unique(np.concatenate([i, j]))
+    row = np.full(len(sets), -1)
+    row[own] = np.arange(len(own))
+    tokens = np.concatenate([sets[x] for x in own])
+    owner = np.repeat(np.arange(len(own)), [len(sets[x]) for x in own])
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     new = np.ones(len(tokens), dtype=bool)
     new[1:] = tokens[1:] != tokens[:-1]
     column = np.cumsum(new) - 1
-    width = np.bincount(column)
-    keep = width[column] > 1
+    keep = np.bincount(column)[column] > 1
     column, owner = column[keep], owner[keep]
     _, column = np.unique(column, return_inverse=True)
     top = int(column[-1]) + 1 if len(column) else 0
-    step = max(1, (4 << 20) // n)
-    for first in range(0, len(left), STRIP):
-        these = left[first : first + STRIP]
-        shared = np.zeros((len(these), len(right)), dtype=np.float32)
-        for lo in range(0, top, step):
-            a, b = np.searchsorted(column, [lo, lo + step])
-            part = np.zeros((n, min(step, top - lo)), dtype=np.float32)
-            part[owner[a:b], column[a:b] - lo] = 1
-            shared += part[these] @ part[right].T
-        both = np.round(shared).astype(np.int64)
-        hit = 100 * both >= percent * (size[these][:, None] + size[right][None, :] - both)
-        hit &= these[:, None] != right[None, :]
-        yield these, hit
-
-
-def degrees_and_roots(sets: list[np.ndarray], percent: int, rep: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each set, its links between ``left`` and ``right`` and the smallest representative it reaches by them."""
-    degree, root = np.zeros(len(sets), dtype=np.int64), np.array(rep, dtype=np.int64)
-    same = left is right
-    for these, hit in linked_rows(sets, percent, left, right):
-        degree[these] += hit.sum(axis=1)
-        if not same:
-            degree[right] += hit.sum(axis=0)
-        for x, row in zip(these, hit):
-            reached = np.append(root[right[row]], root[x])
-            low = reached.min()
-            if (reached != low).any():
-                root[np.isin(root, reached)] = low
-    return degree, root
+    step = max(64, (16 << 20) // len(own) // 64 * 64)
+    both, a, b = np.zeros(len(i), dtype=np.int64), row[i], row[j]
+    for low in range(0, top, step):
+        x, y = np.searchsorted(column, [low, low + step])
+        flags = np.zeros((len(own), min(step, -(-(top - low) // 64) * 64)), dtype=bool)
+        flags[owner[x:y], column[x:y] - low] = True
+        bits = np.packbits(flags, axis=1).view(np.uint64)
+        del flags
+        part = max(1, (8 << 20) // bits.shape[1] // 8)
+        for at in range(0, len(i), part):
+            both[at : at + part] += np.bitwise_count(bits[a[at : at + part]] & bits[b[at : at + part]]).sum(axis=1, dtype=np.int64)
+    return both
+
+
+def joined_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after links (i, j): sets that they tie together share the smallest of their labels."""
+    a, b = label[i], label[j]
+    apart = a != b
+    if not apart.any():
+        return label
+    names, of = np.unique(label, return_inverse=True)
+    x, y = (np.searchsorted(names, c[apart]) for c in (a, b))
+    low = names.copy()
+    while True:
+        least = np.minimum(low[x], low[y])
+        if (least == low[x]).all() and (least == low[y]).all():
+            return low[of]
+        np.minimum.at(low, x, least)
+        np.minimum.at(low, y, least)
+
+
+def degrees_and_roots(sets: list[np.ndarray], keys: list[np.ndarray], percent: int, vertex: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of each set, its links between ``left`` and ``right`` and the smallest vertex it reaches by them; and how many pairs were compared."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    degree, root, compared = np.zeros(len(sets), dtype=np.int64), np.array(vertex, dtype=np.int64), 0
+    for i, j in candidates(keys, size, percent, left, right):
+        both = shared_tokens(sets, i, j)
+        hit = 100 * both >= percent * (size[i] + size[j] - both)
+        compared += len(i)
+        i, j = i[hit], j[hit]
+        degree += np.bincount(i, minlength=len(sets)) + np.bincount(j, minlength=len(sets))
+        root = joined_labels(root, i, j)
+    return degree, root, compared
 
 
 def _verify(percent: int):
-    """Rows arrive sorted by unit; each unit's links leave as a forest, with each set's links counted there."""
-    names = ("cluster", "u", "v", "rep", "i", "tokens")
-
-    def unit(rows: list[tuple]) -> tuple[list, list]:
-        u, v = rows[0][1], rows[0][2]
-        rows = list({r[3:]: r for r in rows}.values())
-        sets = [np.frombuffer(r[5], dtype=np.uint64) for r in rows]
-        rep, block = np.array([r[3] for r in rows], dtype=np.int64), np.array([r[4] for r in rows])
+    """Rows arrive sorted by unit; each unit's links leave as a forest, with each set's links counted there, and the pairs compared."""
+    names = ("u", "v", "vertex", "block", "tokens", "keys")
+
+    def unit(rows: list[tuple]) -> pa.RecordBatch:
+        u, v = rows[0][:2]
+        sets, keys = ([np.frombuffer(r[c], dtype=np.uint64) for r in rows] for c in (4, 5))
+        vertex, block = np.array([r[2] for r in rows], dtype=np.int64), np.array([r[3] for r in rows])
         # A pair inside one block belongs to that block's own unit.
         left = np.flatnonzero(block == u)
         right = left if u == v else np.flatnonzero(block == v)
-        degree, root = degrees_and_roots(sets, percent, rep, left, right)
-        return [(int(root[x]), int(rep[x])) for x in np.flatnonzero(root != rep)], [(int(rep[x]), int(degree[x])) for x in np.flatnonzero(degree)]
+        degree, root, compared = degrees_and_roots(sets, keys, percent, vertex, left, right)
+        tied, linked = np.flatnonzero(root != vertex), np.flatnonzero(degree)
+        a = np.concatenate([root[tied], vertex[linked], vertex[:1]])
+        b = np.concatenate([vertex[tied], vertex[linked], vertex[:1]])
+        n = np.concatenate([np.zeros(len(tied), dtype=np.int64), degree[linked], [0]])
+        c = np.zeros(len(a), dtype=np.int64)
+        c[-1] = compared
+        return pa.record_batch([pa.array(x, pa.int64()) for x in (a, b, n, c)], names=["a", "b", "n_links", "compared"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-
-        def done(rows):
-            forest, degrees = unit(rows)
-            a = [x for x, _ in forest] + [x for x, _ in degrees]
-            b = [y for _, y in forest] + [x for x, _ in degrees]
-            n = [0] * len(forest) + [d for _, d in degrees]
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n_links"])
-
+        met: set[int] = set()
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in names)):
-                if rows and rows[0][:3] != row[:3]:
+                if rows and rows[0][:2] != row[:2]:
                     if len(rows) > 1:
-                        yield done(rows)
-                    rows = []
-                rows.append(row)
+                        yield unit(rows)
+                    rows, met = [], set()
+                if row[2] not in met:  # rows that repeat bring a set again
+                    rows.append(row)
+                    met.add(row[2])
         if len(rows) > 1:
-            yield done(rows)
+            yield unit(rows)
 
-    return frugal(run), "a long, b long, n_links long"
+    return frugal(run), "a long, b long, n_links long, compared long"
 
 
-def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """Every row's shingle count and component of links: (id, n_shingles, component_id, n_links).
+class Links:
+    """The sets of a table and their links, as written tables: see near_copies()."""
 
-    Two texts link when 100 * shared >= percent * union of their distinct k-word shingle
-    sets. Words are runs of bytes other than space and \\x09-\\x0D, A-Z lower-cased; a
-    text with fewer than k words has its whole sequence as its one shingle. Empty texts and
-    null texts have no shingle, component themselves and link to nothing. Rows with a
-    null id come back with a null component and link nothing. Equal sets are one class
-    however many rows hold them; n_links counts the different sets that a row's set links
-    to. A repeated id with different texts is one vertex with the links of each.
-    Other columns are ignored.
-    """
+    def __init__(self, rows: DataFrame, classes: DataFrame, found: DataFrame):
+        #: (id, text_hash, n, h1, h2) of every row; (vertex, h1, h2, rep, n) of every different set; (a, b, n_links, compared).
+        self.rows, self.classes, self.found = rows, classes, found
+
+    def labels(self) -> DataFrame:
+        """(h1, h2, component, low, n_links) of every different set; component is its smallest vertex, low the smallest id of its rows."""
+        parts = connected_components(self.found.where("a <> b").select("a", "b"))
+        degree = self.found.where("n_links > 0").groupBy(F.col("a").alias("vertex")).agg(F.sum("n_links").alias("n_links"))
+        of = self.classes.join(parts, F.col("vertex") == F.col("node"), "left").withColumn("component", F.coalesce("component", "vertex")).drop("node")
+        low = of.groupBy("component").agg(F.min("rep").alias("low"))
+        return of.join(low, "component").join(degree, "vertex", "left").select("h1", "h2", "component", "low", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def link_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> Links:
+    """Find the links of the different shingle sets of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     # The smallest set that can link to a different set: one token more or less.
     least_size = next(n for n in range(1, 200) if 100 * n >= percent * (n + 1))
     run, schema = _scan(k, percent, least_size)
     scanned = written(rows.mapInArrow(run, schema), "scan")
-    sizes = scanned.select(F.col("row").alias("id"), "n", "h1", "h2")
+    sizes = scanned.select(F.col("row").alias("id"), "text_hash", "n", "h1", "h2")
     offers = scanned.where("row is not null and size(offer) > 0").select(F.col("row").alias("rep"), "n", F.shiftright("h1", 32).cast("int").alias("node"), "offer")
     first, singles = token_classes(offers.select(F.explode("offer").alias("token"), "node"))
     short = written(offers.select("rep", "n", "offer").mapInArrow(_short(percent, spark.sparkContext.broadcast([first])), "rep long"), "short")
@@ -424,53 +479,90 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     second, also = token_classes(rows.where("id is not null").select("text", F.xxhash64("id").alias("h")).mapInArrow(run, schema))
     discard(short)
     run, schema = _postings(k, percent, spark.sparkContext.broadcast([first, second]), min(singles, also), least_size)
-    postings = rows.where("id is not null").mapInArrow(run, schema).repartition("key").sortWithinPartitions("key")
-    stars = written(postings.mapInArrow(_stars, "a long, b long").distinct(), "stars")
-    groups = connected_components(stars)
-    discard(stars)
+    postings = rows.where("id is not null").select("text").mapInArrow(run, schema).repartition("key").sortWithinPartitions("key", "node")
+    shared = written(postings.mapInArrow(frugal(_shared), "key long, node long, pivot long"), "shared")
+    groups = connected_components(shared.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    # A row's keys, and the smallest node that it shares one with.
+    keys_of = written(shared.groupBy("node").agg(F.collect_list("key").alias("keys"), F.min("pivot").alias("near")), "keys")
 
     classes = sizes.where("id is not null and n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
-    classes = written(classes, "classes")
-    members = classes.join(groups, classes.h1 == groups.node).select("rep", F.col("component").alias("cluster"), "n", "h1", "h2")
-    totals = members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count("*").alias("m")).where("m > 1")
-    n_blocks = F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("m") / BLOCK_SETS))
-    blocks = written(members.join(totals, "cluster").select(
-        "rep",
-        "cluster",
-        "h1",
-        "h2",
-        n_blocks.cast("int").alias("blocks"),
-        F.pmod(F.xxhash64("h1", "h2"), n_blocks).cast("int").alias("i"),
-    ), "blocks")
+    classes = written(classes.withColumn("vertex", F.monotonically_increasing_id()), "classes")
+    members = classes.join(groups, classes.h1 == groups.node).select("vertex", "rep", F.col("component").alias("cluster"), "n", "h1", "h2")
+    members = members.join(keys_of.select("node", "near"), F.col("h1") == F.col("node")).drop("node")
+    pieces = lambda: F.greatest(F.lit(1), F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("*") / BLOCK_SETS))).cast("int")
+    totals = members.groupBy("cluster").agg(pieces().alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
+    # A group that is larger than a block falls apart by the smallest node that its sets share a signature with, so sets that share some lie together.
+    parts = members.groupBy("cluster", "near").agg(pieces().alias("pieces"))
+    piece = F.pmod(F.xxhash64("h1", "h2"), F.col("pieces"))
+    block = F.when(F.col("blocks") == 1, F.xxhash64("cluster")).otherwise(F.xxhash64("cluster", "near", piece))
+    blocks = members.join(totals, "cluster").join(parts, ["cluster", "near"]).select("vertex", "rep", "h1", "h2", block.alias("block"), (F.col("blocks") > 1).alias("parted"))
+    blocks = written(blocks, "blocks")
     discard(groups)
+    # Blocks meet where a signature is in both.
+    spread = shared.join(blocks.where("parted").select(F.col("h1").alias("node"), "block"), "node").groupBy("key").agg(F.sort_array(F.collect_set("block")).alias("met"))
+    met = spread.where("size(met) > 1").select("met").distinct()
+    across = met.select(F.explode("met").alias("u"), "met").select("u", F.explode("met").alias("v")).where("u < v").distinct()
+    within = blocks.groupBy("block").agg(F.count("*").alias("m")).where("m > 1").select(F.col("block").alias("u"), F.col("block").alias("v"))
+    units = written(across.union(within), "units")
+    discard(shared)
+    of_block = units.select(F.col("u").alias("block"), "u", "v").union(units.where("u <> v").select(F.col("v").alias("block"), "u", "v"))
     run, schema = _sets(k, _flags_of(blocks))
     # A repeated id brings its other texts' sets; only the class's own set stays.
     hashed = rows.where("id is not null").select("id", "text", F.xxhash64("id").alias("h"))
     near = hashed.mapInArrow(run, schema).withColumnRenamed("id", "rep")
-    sets = near.join(blocks, ["rep", "h1", "h2"]).select("rep", "cluster", "i", "blocks", "tokens")
-    units = (
-        sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("u", F.least("i", "other"))
-        .withColumn("v", F.greatest("i", "other"))
-        .select("cluster", "u", "v", "rep", "i", "tokens")
-        .repartition("cluster", "u", "v")
-        .sortWithinPartitions("cluster", "u", "v")
-    )
+    sets = near.join(blocks, ["rep", "h1", "h2"]).join(keys_of.select(F.col("node").alias("h1"), _packed("keys").alias("keys")), "h1")
+    sent = sets.join(of_block, "block").select("u", "v", "vertex", "block", "tokens", "keys").repartition("u", "v").sortWithinPartitions("u", "v")
     run, schema = _verify(percent)
-    found = written(units.mapInArrow(run, schema), "links")
-    discard(blocks)
-    parts = connected_components(found.where("a <> b").select("a", "b"))
-    degree = found.where("n_links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("n_links"))
-    labels = (
-        classes.join(parts, classes.rep == parts.node, "left")
-        .join(degree, "rep", "left")
-        .select("h1", "h2", F.coalesce("component", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    )
-    out = sizes.join(labels, ["h1", "h2"], "left")
+    found = written(sent.mapInArrow(run, schema), "links")
+    discard(blocks, keys_of, units)
+    return Links(sizes, classes, found)
+
+
+def _packed(keys: str) -> Column:
+    """An array of longs as the bytes that numpy reads."""
+    return F.unhex(F.array_join(F.transform(keys, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+
+
+def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """Every row's shingle count and component of links: (id, n_shingles, component_id, n_links).
+
+    Two texts link when 100 * shared >= percent * union of their distinct k-word shingle
+    sets. Words are runs of bytes other than space and \\x09-\\x0D, A-Z lower-cased; a
+    text with fewer than k words has its whole sequence as its one shingle. Empty texts and
+    null texts have no shingle, component themselves and link to nothing. Rows with a
+    null id come back with a null component and link nothing. Equal sets are one class
+    however many rows hold them; n_links counts the different sets that a row's set links
+    to. Rows of one id with different texts are rows of their own, each with its own text's links and component; a component_id is
+    the smallest id among the rows of the component. Other columns are ignored.
+    """
+    links = link_sets(docs, id_col, text_col, k, percent)
+    out = links.rows.join(links.labels(), ["h1", "h2"], "left")
     alone = F.col("id").isNull() | (F.col("n") == 0)
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(alone, F.col("id")).otherwise(F.col("label")).alias("component_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("low")).alias("component_id"),
         F.when(alone, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links"),
     )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row left of each component of links: the one of the smallest id, then of the smallest hash of its text.
+
+    Rows are judged one by one, by id and text, so an id that several texts have doesn't tie them together: of rows (1, A), (5, A),
+    (5, B), (9, nearly B) the first and the third stay. Of rows that repeat both id and text one stays. Rows without an id, a text or words all stay.
+    Columns pass through as they are, whatever their names.
+    """
+    links = link_sets(docs, id_col, text_col, k, percent)
+    judged = links.rows.where("id is not null and n > 0").join(links.labels().select("h1", "h2", "component"), ["h1", "h2"])
+    counts = judged.groupBy("component", "id", "text_hash").agg(F.count("*").alias("n_rows"))
+    first = counts.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("first"))
+    stays = F.col("first") == F.struct("id", "text_hash")
+    counts = written(counts.join(first, "component").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "n_rows", stays.alias("stays")), "judged")
+    of_row = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
+    out = docs.join(counts.where("not stays").select("__id", "__hash"), of_row, "left_anti")
+    again = counts.where("stays and n_rows > 1").select("__id", "__hash")
+    if again.isEmpty():
+        return out
+    several = out.join(again, of_row, "left_semi").dropDuplicates([id_col, text_col])
+    return out.join(again, of_row, "left_anti").union(several)

@@ -10,8 +10,10 @@ import regex
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 ᠎           ​    　﻿"
 _WHITE_SPACE = re.compile(f"[{WHITE}] ")
 _ENDS_WHITE = re.compile(f"[{WHITE}]$")
-#: Entries of one generation of a worker's cache.
-CACHE_SIZE = 500_000
+#: Bytes of one generation of a worker's cache, about, and what an entry takes besides its text and value.
+CACHE_SIZE, ENTRY = 64 << 20, 120
+#: Characters of the longest piece that is kept; longer ones, such as lines of scripts without spaces, are rarely met again.
+LONGEST = 256
 
 
 #: Texts of characters that have had one meaning in every Unicode version in use.
@@ -38,17 +40,20 @@ def spaced_pieces(text: str) -> list[str]:
 
 
 class PieceCache:
-    """Values of texts' pieces. Two generations: what is used stays, the rest goes when the older one is dropped."""
+    """Values of texts' pieces. Two generations, bounded in bytes: what is used stays, the rest goes when the older one is dropped.
 
-    def __init__(self, compute, size: int = CACHE_SIZE):
-        self.compute, self.size = compute, size
+    Pieces of more than LONGEST characters are computed each time.
+    """
+
+    def __init__(self, compute, most: int = CACHE_SIZE):
+        self.compute, self.most, self.size = compute, most, 0
         self.now: dict[str, object] = {}
         self.before: dict[str, object] = {}
 
     def values(self, texts: list[list[str]]) -> list[list]:
         """Each text's values; ``compute`` gets all unknown pieces at once."""
-        if len(self.now) > self.size:
-            self.before, self.now = self.now, {}
+        if self.size > self.most:
+            self.before, self.now, self.size = self.now, {}, 0
         get = self.now.get
         found = [list(map(get, p)) for p in texts]
         holes = [[i for i, y in enumerate(v) if y is None] if None in v else [] for v in found]
@@ -56,14 +61,16 @@ class PieceCache:
         if not lacking:
             return found
         old = self.before
-        new = [x for x in lacking if x not in old]
-        self.now.update({x: old[x] for x in lacking if x in old})
+        values = {x: old[x] for x in lacking if x in old}
+        new = [x for x in lacking if x not in values]
         if new:
-            self.now.update(zip(new, self.compute(new)))
-        now = self.now
+            values.update(zip(new, self.compute(new)))
+        keep = {x: y for x, y in values.items() if len(x) <= LONGEST} if max(map(len, lacking)) > LONGEST else values
+        self.now.update(keep)
+        self.size += sum(ENTRY + (len(x) if x.isascii() else 4 * len(x)) + (len(y) if isinstance(y, bytes) else 0) for x, y in keep.items())
         for p, v, at in zip(texts, found, holes):
             for i in at:
-                v[i] = now[p[i]]
+                v[i] = values[p[i]]
         return found
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerline.llm.bpe_merge import PairMerger
-from ledgerline.llm.pieces import CACHE_SIZE, PLAIN, PieceCache, batches_by_size, spaced_pieces
+from ledgerline.llm.pieces import CACHE_SIZE, ENTRY, LONGEST, PLAIN, PieceCache, batches_by_size, spaced_pieces
 from ledgerline.llm.shared_files import filesystem, mapped
 from ledgerline.llm.storage import new_path, small_batches, written
 from ledgerline.llm.workers import frugal, kept
@@ -53,10 +53,12 @@ class LibraryIds:
         self.spaced = PieceCache(lambda pieces: self._compute([" " + p for p in pieces]))
         self.first = PieceCache(self._compute)
         self.tokens: dict[str, bytes] = {}
+        self.held = 0
 
     def _compute(self, pieces: list[str]) -> list[bytes]:
-        if len(self.tokens) > CACHE_SIZE:
+        if self.held > CACHE_SIZE:
             self.tokens.clear()
+            self.held = 0
         plain, findall, tokens = PLAIN.fullmatch, _SPLIT.findall, self.tokens
         out: list[bytes] = [b""] * len(pieces)
         words: list[int] = []  # pieces that are one token
@@ -76,8 +78,12 @@ class LibraryIds:
         for i, ids in zip(words, merged):
             out[i] = ids
         tokens.update(zip(new, merged[len(words) :]))
+        self.held += sum(ENTRY + 2 * len(t) for t in new)
         for i, found in split.items():
             out[i] = b"".join([tokens[t] for t in found])
+        for t in new:
+            if len(t) > LONGEST:
+                del tokens[t]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:

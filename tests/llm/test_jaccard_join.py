@@ -62,33 +62,107 @@ def short_copies(n):
     return [np.sort(np.append(np.arange(12, dtype=np.uint64), np.uint64(1000 + i))) for i in range(n)]
 
 
+def unit_of(sets, vertex, block, keys=None):
+    keys = keys or [np.array([5], dtype=np.uint64)] * len(sets)
+    rows = {"u": [0] * len(sets), "v": [max(block)] * len(sets), "vertex": vertex, "block": block, "tokens": [s.tobytes() for s in sets], "keys": [k.tobytes() for k in keys]}
+    batch = pa.record_batch([pa.array(x) for x in rows.values()], names=list(rows))
+    return [r for b in jj._verify(85)[0](iter([batch])) for r in b.to_pylist()]
+
+
 def test_many_short_copies_need_no_list_of_pairs():
     n = 2500
-    rows = {"cluster": [7] * n, "u": [0] * n, "v": [0] * n, "rep": list(range(n, 0, -1)), "i": [0] * n, "tokens": [s.tobytes() for s in short_copies(n)]}
-    batch = pa.record_batch([pa.array(x) for x in rows.values()], names=list(rows))
     tracemalloc.start()
-    out = [r for b in jj._verify(85)[0](iter([batch])) for r in b.to_pylist()]
+    out = unit_of(short_copies(n), list(range(n, 0, -1)), [0] * n)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert {(r["a"], r["b"]) for r in out if not r["n_links"]} == {(1, x) for x in range(2, n + 1)}
+    assert {(r["a"], r["b"]) for r in out if not r["n_links"] and not r["compared"]} == {(1, x) for x in range(2, n + 1)}
     assert sorted(r["a"] for r in out if r["n_links"] == n - 1) == list(range(1, n + 1))
+    assert sum(r["compared"] for r in out) == n * (n - 1) // 2
     assert peak < 150 << 20
 
 
 def test_links_between_two_blocks_only():
     n = 30
-    sets = short_copies(n)
-    rows = {"cluster": [7] * n, "u": [0] * n, "v": [1] * n, "rep": list(range(1, n + 1)), "i": [int(x >= 20) for x in range(n)], "tokens": [s.tobytes() for s in sets]}
-    batch = pa.record_batch([pa.array(x) for x in rows.values()], names=list(rows))
-    out = [r for b in jj._verify(85)[0](iter([batch])) for r in b.to_pylist()]
-    assert {(r["a"], r["b"]) for r in out if not r["n_links"]} == {(1, x) for x in range(2, n + 1)}
+    out = unit_of(short_copies(n), list(range(1, n + 1)), [int(x >= 20) for x in range(n)])
+    assert {(r["a"], r["b"]) for r in out if not r["n_links"] and not r["compared"]} == {(1, x) for x in range(2, n + 1)}
     assert {r["a"]: r["n_links"] for r in out if r["n_links"]} == {x: 10 if x <= 20 else 20 for x in range(1, n + 1)}
+    assert sum(r["compared"] for r in out) == 200
+
+
+def test_only_pairs_with_a_key_in_common_are_compared():
+    r = np.random.default_rng(6)
+    n = 90
+    sets = [np.unique(r.integers(0, 60, 40).astype(np.uint64)) for _ in range(n)]
+    keys = [np.unique(r.integers(0, 25, 2).astype(np.uint64)) for _ in range(n)]
+    size = np.array([len(s) for s in sets])
+    for left, right in ((np.arange(n), None), (np.arange(40), np.arange(40, n))):
+        right = left if right is None else right
+        want = {(i, j) for i in left for j in right if (i < j if left is right else True) and set(keys[i].tolist()) & set(keys[j].tolist()) and 100 * min(size[i], size[j]) >= 80 * max(size[i], size[j])}
+        got = [(i, j) for a, b in jj.candidates(keys, size, 80, left, right) for i, j in zip(a.tolist(), b.tolist())]
+        assert len(got) == len(set(got)) and set(got) == want
+        a, b = np.array(got).T
+        assert jj.shared_tokens(sets, a, b).tolist() == [len(set(sets[i].tolist()) & set(sets[j].tolist())) for i, j in got]
+
+
+def test_shared_signatures_over_batches():
+    """Rows of keys with several nodes leave once, wherever batches end; lonely and repeated rows don't."""
+    r = np.random.default_rng(2)
+    rows = sorted({(int(k), int(n)) for k, n in zip(r.integers(0, 60, 150), r.integers(-4, 4, 150))}) + [(99, 1)]
+    rows = sorted(rows + rows[::3])
+    by = {}
+    for k, n in rows:
+        by.setdefault(k, set()).add(n)
+    want = sorted((k, n, min(s)) for k, s in by.items() if len(s) > 1 for n in s)
+    for size in (1, 2, 3, 7, 1000):
+        batches = [pa.record_batch([pa.array([x[i] for x in rows[a : a + size]], pa.int64()) for i in (0, 1)], names=["key", "node"]) for a in range(0, len(rows), size)]
+        got = [tuple(x.values()) for b in jj._shared(iter(batches)) for x in b.to_pylist()]
+        assert sorted(got) == want
+
+
+def paragraphs(pool, name):
+    return [" ".join(f"{name}{p}word{w}" for w in range(30)) for p in range(pool)]
+
+
+def compared_of(spark, docs, rows):
+    """Pairs that are compared, and the distinct pairs that share a signature."""
+    kept = []
+    whole = jj.written
+    try:
+        jj.written = lambda df, name: (out := whole(df, name), kept.append(out.toPandas()) if name == "shared" else None)[0]
+        links = jj.link_sets(docs(rows), "doc_id", "text", 4, 85)
+    finally:
+        jj.written = whole
+    nodes, of = np.unique(kept[0]["node"], return_inverse=True)
+    both = np.zeros((len(nodes), len(nodes)), dtype=bool)
+    for these in kept[0].assign(at=of).groupby("key")["at"]:
+        at = these[1].to_numpy()
+        both[np.ix_(at, at)] = True
+    return links.found.agg({"compared": "sum"}).first()[0], (int(both.sum()) - len(nodes)) // 2
+
+
+def test_stock_paragraphs_compare_what_shares_a_signature(spark, docs):
+    r, stock = random.Random(4), paragraphs(60, "p")
+    rows = [(i, "\n".join([stock[p] for p in r.sample(range(60), 6)] + [" ".join(f"own{i}x{w}" for w in range(8))])) for i in range(1500)]
+    compared, sharing = compared_of(spark, docs, rows)
+    assert compared <= sharing and compared < 0.3 * len(rows) ** 2 / 2
+
+
+def test_chained_templates_compare_few_pairs(spark, docs, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK_SETS", 100)
+    r, pools = random.Random(5), [paragraphs(12, f"g{g}p") for g in range(41)]
+    rows = []
+    for g in range(40):
+        for i in range(30):
+            own = [r.choice(pools[g]) for _ in range(3)] + [r.choice(pools[g + 1]) for _ in range(3)]
+            rows.append((len(rows), "\n".join(own + [" ".join(f"own{g}x{i}x{w}" for w in range(8))])))
+    compared, sharing = compared_of(spark, docs, rows)
+    assert compared <= sharing and compared < 0.1 * len(rows) ** 2 / 2
 
 
 def test_blocks_are_bounded_in_sets(spark, docs, monkeypatch):
     monkeypatch.setattr(jj, "BLOCK_SETS", 10)
     counts = []
-    monkeypatch.setattr(jj, "written", lambda df, name, f=jj.written: (counts.append(df.agg({"blocks": "max"}).first()[0]) if name == "blocks" else None, f(df, name))[1])
+    monkeypatch.setattr(jj, "written", lambda df, name, f=jj.written: (counts.append(df.select("block").distinct().count()) if name == "blocks" else None, f(df, name))[1])
     notice = " ".join(f"word{i}" for i in range(15))
     rows = [(i, f"{notice} {i}") for i in range(60)] + [(100, "other words that are not near")]
     got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in shingle_components(docs(rows)).collect()}
