@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.bpe_lexicon import encode
 from ledgerline.llm.decontaminate import add_contamination
-from ledgerline.llm.jaccard_join import shingle_components
+from ledgerline.llm.jaccard_join import drop_near_copies
 from ledgerline.llm.line_spread import remove_boilerplate
-from ledgerline.llm.storage import written
+from ledgerline.llm.storage import discard, written
 from ledgerline.llm.toxicity import add_scores, learned
 
 #: Documents of this toxicity and more go.
@@ -46,10 +46,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group; rows without an id or words stay."""
-    groups = shingle_components(docs.select("doc_id", "text"), k=SHINGLE, percent=SIMILAR)
-    gone = groups.where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one document of each group: of rows, the one of the smallest id, then of the smallest hash of its text.
+
+    Of rows that repeat both id and text one stays. An id with several texts doesn't tie their groups together. Rows without an id, a text or words stay.
+    """
+    return drop_near_copies(docs, k=SHINGLE, percent=SIMILAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +78,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each one's rows written before the next reads them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last is not None:
+            discard(last)
+        last = docs
     return docs
