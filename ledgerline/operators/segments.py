@@ -41,15 +41,38 @@ def page_budget(df: DataFrame, max_pages: int) -> DataFrame:
     return df.where(F.col("page") < max_pages)
 
 
+def first_rows(df: DataFrame, n: int, key: str, to: str) -> DataFrame:
+    """The first ``n`` rows of each segment by key, numbered from 1. Every task passes on no more than these of its own rows."""
+    return df.withColumn(to, F.row_number().over(Window.partitionBy("segment").orderBy(key))).where(F.col(to) <= n)
+
+
+def first_pages(df: DataFrame, max_pages: int, page_size: int, key: str) -> DataFrame:
+    """Rows of each segment's first pages, with their page: page_budget() of with_page(), without numbering the rest."""
+    if not 1 <= page_size <= MOST_PAGE:
+        raise ValueError(f"pages must hold 1..{MOST_PAGE} rows")
+    rows = first_rows(df, max_pages * page_size, key, "__place")
+    return rows.withColumn("page", F.floor((F.col("__place") - 1) / page_size).cast("bigint")).drop("__place")
+
+
+def cursors_after(df: DataFrame, max_pages: int, page_size: int, key: str) -> DataFrame:
+    """What each segment has done under a page budget: its last key, unless it is complete. segment_cursors() without numbering all rows."""
+    n = max_pages * page_size
+    rows = first_rows(df.select("segment", key), n + 1, key, "__place")
+    done = F.max("__place") <= n
+    read = F.col("__place") <= n
+    return rows.groupBy("segment").agg(F.when(done, F.lit(None)).otherwise(F.max(F.when(read, F.col(key)))).alias("cursor"), done.alias("completed"), F.count_if(read).alias("examined"))
+
+
 def segment_cursors(df: DataFrame, max_pages: int, key: str) -> DataFrame:
-    """What each segment has done under a page budget: its last key, unless it is complete."""
+    """What each segment of paged rows has done under a page budget: its last key, unless it is complete."""
     read = F.col("page") < max_pages
     done = F.max("page") < max_pages
     return df.groupBy("segment").agg(F.when(done, F.lit(None)).otherwise(F.max(F.when(read, F.col(key)))).alias("cursor"), done.alias("completed"), F.count_if(read).alias("examined"))
 
 
 def resume_after(df: DataFrame, cursors: DataFrame, key: str) -> DataFrame:
-    """Rows that are still to be read: none of complete segments, those after the cursor of others."""
+    """Rows that are still to be read: none of complete segments, those after the cursor of others. Stored segments are resumed by
+    sources.stored.resume_segments(), which doesn't read complete ones."""
     # One row a segment, MOST_SEGMENTS at most.
     known = cursors.select("segment", "cursor", "completed")
     joined = df.join(known, "segment", "left")

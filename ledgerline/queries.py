@@ -17,7 +17,7 @@ from ledgerline.plans.fixtures import with_views
 from ledgerline.plans.rules import Request, plan_job, process_batches, run_job, run_waves
 from ledgerline.plans.transactions import commit_repair
 from ledgerline.sources import items as items_source
-from ledgerline.sources import sinks
+from ledgerline.sources import sinks, stored
 from ledgerline.sources.commits import Tables
 from ledgerline.sources.shared import new_path
 from ledgerline.sources.sinks import report_lines, select_columns
@@ -121,6 +121,26 @@ def query_index(spark, sf):
     return access.query_index(index, i, "MATCH", (1000, 2000), ["pk", "sk"]).select("record_key", "amount")
 
 
+def _stored_index(spark, sf, status: str, sk_range: tuple) -> DataFrame:
+    name = new_path(spark, "t").rsplit("-", 1)[1]
+    i = fx.items(spark, sf)
+    stored.write_base(i, f"base_{name}", 16)
+    stored.write_index(i, f"index_{name}", "status")
+    return stored.query_stored_index(spark, f"index_{name}", f"base_{name}", "status", status, sk_range).select("record_key", "amount")
+
+
+@query(with_views("items", body="SELECT record_key, amount FROM items WHERE status = 'MATCH' AND sk BETWEEN 1000 AND 2000"))
+def stored_index(spark, sf):
+    """Few keys: the index's folder of a status, then only the base's buckets that hold them."""
+    return _stored_index(spark, sf, "MATCH", (1000, 2000))
+
+
+@query(with_views("items", body="SELECT record_key, amount FROM items WHERE status = 'PENDING' AND sk >= 50"))
+def stored_index_join(spark, sf):
+    """Many keys: dealt to the base's buckets, which stay where they are."""
+    return _stored_index(spark, sf, "PENDING", (50, 1 << 60))
+
+
 @query(with_views("items", more="a AS (SELECT count(*) AS rows_a, CAST(sum(amount) AS BIGINT) AS bytes_a FROM items WHERE pk = 5), b AS (SELECT count(*) AS rows_b, CAST(sum(amount) AS BIGINT) AS bytes_b FROM items WHERE pk > 4 AND pk < 6)", body="SELECT *, rows_a = rows_b AND bytes_a = bytes_b AS same FROM a, b"))
 def sql_parity(spark, sf):
     i = fx.items(spark, sf)
@@ -147,8 +167,12 @@ _SEG = "seg AS (SELECT *, CAST(('0x' || substr(md5(record_key), 1, 8)) AS BIGINT
 _PAGED = _SEG + ", paged AS (SELECT *, (row_number() OVER (PARTITION BY segment ORDER BY record_key) - 1) // 100 AS page FROM seg)"
 
 
+def _segmented(spark, sf):
+    return segments.with_segment(fx.items(spark, sf), "record_key", 16)
+
+
 def _paged(spark, sf):
-    return segments.with_page(segments.with_segment(fx.items(spark, sf), "record_key", 16), 100, "record_key")
+    return segments.with_page(_segmented(spark, sf), 100, "record_key")
 
 
 @query(with_views("items", more=_SEG, body="SELECT segment, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount FROM seg GROUP BY 1"))
@@ -158,7 +182,12 @@ def segment_summary(spark, sf):
 
 @query(with_views("items", more=_PAGED, body="SELECT record_key, segment, page FROM paged WHERE page < 3"))
 def page_budget(spark, sf):
-    return segments.page_budget(_paged(spark, sf), 3).select("record_key", "segment", "page")
+    return segments.first_pages(_segmented(spark, sf), 3, 100, "record_key").select("record_key", "segment", "page")
+
+
+@query(with_views("items", more=_PAGED, body="SELECT segment, max(page) + 1 AS pages, count(*) AS n FROM paged GROUP BY 1"))
+def segment_pages(spark, sf):
+    return _paged(spark, sf).groupBy("segment").agg((F.max("page") + 1).alias("pages"), F.count("*").alias("n"))
 
 
 _CUR = _PAGED + """, cur AS (SELECT segment, CASE WHEN max(page) < 9 THEN NULL ELSE max(record_key) FILTER (page < 9) END AS cursor, max(page) < 9 AS completed,
@@ -167,13 +196,22 @@ _CUR = _PAGED + """, cur AS (SELECT segment, CASE WHEN max(page) < 9 THEN NULL E
 
 @query(with_views("items", more=_CUR, body="SELECT * FROM cur"))
 def segment_cursors(spark, sf):
-    return segments.segment_cursors(_paged(spark, sf), 9, "record_key")
+    return segments.cursors_after(_segmented(spark, sf), 9, 100, "record_key")
 
 
 @query(with_views("items", more=_CUR, body="SELECT p.record_key, p.segment FROM paged p JOIN cur c USING (segment) WHERE NOT c.completed AND p.record_key > c.cursor"))
 def resume_after(spark, sf):
-    p = _paged(spark, sf)
-    return segments.resume_after(p, segments.segment_cursors(p, 9, "record_key"), "record_key").select("record_key", "segment")
+    rows = _segmented(spark, sf)
+    return segments.resume_after(rows, segments.cursors_after(rows, 9, 100, "record_key"), "record_key").select("record_key", "segment")
+
+
+@query(with_views("items", more=_CUR, body="SELECT p.record_key, p.segment, p.status FROM paged p JOIN cur c USING (segment) WHERE segment % 4 <> 1 AND p.record_key > c.cursor"))
+def stored_segments(spark, sf):
+    """A scan of segments in files of their own, which goes on after its cursors; every fourth segment is complete, and isn't read."""
+    path, rows = new_path(spark, "segments"), _segmented(spark, sf)
+    stored.write_segments(fx.items(spark, sf), path, "record_key", 16)
+    cursors = segments.cursors_after(rows, 9, 100, "record_key").withColumn("completed", F.col("completed") | (F.col("segment") % 4 == 1))
+    return stored.resume_segments(spark, path, cursors, "record_key").select("record_key", F.col("segment").cast("bigint").alias("segment"), "status")
 
 
 @query("SELECT CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(examined) AS BIGINT) AS examined, CAST(sum(returned) AS BIGINT) AS returned, CAST(sum(capacity) AS BIGINT) AS capacity, count(*) AS completed FROM (SELECT l_suppkey % 9 AS s, count(DISTINCT l_orderkey) AS pages, count(*) AS examined, count(*) FILTER (l_returnflag = 'A') AS returned, sum(l_linenumber) AS capacity FROM lineitem GROUP BY 1)")
