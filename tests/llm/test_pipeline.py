@@ -73,3 +73,17 @@ def test_run_and_empty_corpus(spark, corpus, tmp_path_factory):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
     assert cp.run(spark, empty).collect() == []
     assert tx.EMPTY < 0
+
+
+def test_near_copies_go_by_row(spark, docs):
+    """An id of several texts doesn't tie their families together; of rows that repeat one stays."""
+    r = random.Random(3)
+    a, b = (" ".join(f"{x}{r.randrange(10**6)}" for _ in range(60)) for x in "ab")
+    rows = [(1, a, "n", 1), (5, a, "n", 2), (5, b, "n", 3), (9, b + " x", "n", 4), (9, b + " x", "m", 5), (20, "c d e f g h", "n", 6), (20, "c d e f g h", "n", 6), (20, "C d e f g h", "n", 7)]
+    rows += [(None, a, "n", 8), (None, None, "n", 9), (30, None, "n", 10), (30, None, "n", 11), (31, "", "n", 12), (None, b, "n", 13)]
+    df = docs(rows, "doc_id long, text string, n string, component long")
+    out = cp.near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    kept = [(x["doc_id"], x["text"].lower()) for x in out.collect() if x["doc_id"] is not None and x["text"] is not None]
+    assert sorted(kept) == [(1, a), (5, b), (20, "c d e f g h"), (31, "")]
+    assert sorted((x["component"] for x in out.collect() if x["component"] >= 8)) == [8, 9, 10, 11, 12, 13]

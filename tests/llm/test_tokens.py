@@ -1,12 +1,14 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from ledgerline.llm import bpe_merge
 from ledgerline.llm import pieces as pc
 from ledgerline.llm.bpe_lexicon import Lexicon, WordBpe, compile_lexicon, decode, encode
 from ledgerline.llm.length_histogram import at_limits, encoded_lengths, length_histogram, length_quantiles, suffix_sums
@@ -170,3 +172,46 @@ def test_workers_keep_one_operators_tables(spark):
     make = lambda x: lambda: made.append(x) or x
     assert [workers.kept("a", make(1)), workers.kept("a", make(2)), workers.kept("b", make(3)), workers.kept("a", make(4))] == [1, 1, 3, 4]
     assert made == [1, 3, 4] and list(workers._KEPT) == ["a"]
+
+
+def unspaced(n, length, seed=1):
+    """Texts without spaces, of a script that has none."""
+    r = random.Random(seed)
+    return ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(length)) for _ in range(n)]
+
+
+def test_texts_without_spaces_equal_the_libraries(spark, docs):
+    texts = unspaced(6, 700) + ["文" * 400 + "\n" + "字母abc" * 200, "ไทยไม่มีช่องว่าง" * 60, "x" * 5000, "ab" * 3000 + "é" * 2000]
+    df = docs(list(enumerate(texts)))
+    library = Tokenizer.from_file(WORD)
+    library.no_truncation()
+    assert {r["doc_id"]: r["ids"] for r in encode(df, WORD, n_words=20).collect()} == {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    bytes_library = Tokenizer.from_file(BYTE)
+    bytes_library.no_truncation()
+    got = {r["id"]: (r["n_tokens"], r["ids_crc32"]) for r in read_checksums(write_token_files(df, BYTE)).collect()}
+    for i, t in enumerate(texts):
+        ids = [*bytes_library.encode(t, add_special_tokens=False).ids, 0]
+        assert got[i] == (len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)))
+
+
+def test_caches_are_bounded_in_bytes():
+    cache = pc.PieceCache(lambda new: [x.encode() for x in new], most=1 << 20)
+    for i in range(300):
+        texts = [[f"piece {i} {j}" for j in range(50)], unspaced(2, 3000, i), ["漢" * 200 + str(i)]]
+        assert cache.values(texts) == [[x.encode() for x in t] for t in texts]
+        held = sum(len(k.encode()) + len(v) + pc.ENTRY for g in (cache.now, cache.before) for k, v in g.items())
+        assert held < 3 << 20 and max(map(len, cache.now)) <= pc.LONGEST
+
+
+def test_long_words_merge_as_short_ones_do(monkeypatch):
+    merger = WordBpe(WORD).merger
+    r = random.Random(8)
+    words = [bytes(r.choice(b"abetinghors") for _ in range(r.randrange(1, 90))) for _ in range(300)] + [b"a" * n for n in range(1, 40)] + ["é漢字".encode() * 9]
+    short = merger.merge_bytes(words, "<i4")
+    monkeypatch.setattr(bpe_merge, "LONG", 1)
+    assert merger.merge_bytes(words, "<i4") == short
+    monkeypatch.undo()
+    one = bytes(r.choice(b"abetinghors") for _ in range(300_000))
+    began = time.monotonic()
+    merger.merge_bytes([one], "<i4")
+    assert time.monotonic() - began < 20
