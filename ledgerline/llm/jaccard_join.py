@@ -510,8 +510,10 @@ def link_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     # A repeated id brings its other texts' sets; only the class's own set stays.
     hashed = rows.where("id is not null").select("id", "text", F.xxhash64("id").alias("h"))
     near = hashed.mapInArrow(run, schema).withColumnRenamed("id", "rep")
-    sets = near.join(blocks, ["rep", "h1", "h2"]).join(keys_of.select(F.col("node").alias("h1"), _packed("keys").alias("keys")), "h1")
-    sent = sets.join(of_block, "block").select("u", "v", "vertex", "block", "tokens", "keys").repartition("u", "v").sortWithinPartitions("u", "v")
+    # Sets move twice: to where they are to go, and there.
+    placed = blocks.join(keys_of.select(F.col("node").alias("h1"), _packed("keys").alias("keys")), "h1").join(of_block, "block")
+    placed = placed.select("rep", "h1", "h2", "u", "v", "vertex", "block", "keys")
+    sent = near.join(placed, ["rep", "h1", "h2"]).select("u", "v", "vertex", "block", "tokens", "keys").repartition("u", "v").sortWithinPartitions("u", "v")
     run, schema = _verify(percent)
     found = written(sent.mapInArrow(run, schema), "links")
     discard(blocks, keys_of, units)
