@@ -842,6 +842,16 @@ def skew_profile(spark, sf):
     return metrics.table_profile(o, "nation", "o_custkey", F.length("o_orderpriority")).withColumn("hot_share", F.round("hot_share", 6))
 
 
+@query("""WITH s AS (SELECT event_type AS kind, CASE WHEN event_id % 10 < 3 THEN -1 - (event_id % 3) ELSE user_id * 1000 + event_id % 97 END AS key FROM events), k AS (SELECT kind, key, count(*) AS n FROM s GROUP BY 1, 2),
+  t AS (SELECT kind, CAST(sum(n) AS BIGINT) AS n_rows, max(n) AS hottest, arg_min(key, (-n, key)) AS hot_key FROM k GROUP BY 1)
+  SELECT kind, n_rows, CASE WHEN hottest > 0.02 * n_rows THEN hot_key END AS hot_key, CASE WHEN hottest > 0.02 * n_rows THEN hottest END AS hottest, CASE WHEN hottest > 0.02 * n_rows THEN round(hottest / n_rows, 6) END AS hot_share FROM t""")
+def hot_keys(spark, sf):
+    """The hottest key of each type of event, of many keys of which three are frequent, without a group for each."""
+    n = F.col("event_id")
+    e = fx.table(spark, sf, "events").select(F.col("event_type").alias("kind"), F.when(n % 10 < 3, -1 - n % 3).otherwise(F.col("user_id") * 1000 + n % 97).alias("key"))
+    return metrics.hot_keys(e, "kind", "key", 0.02).withColumn("hot_share", F.round("hot_share", 6))
+
+
 @query("""SELECT segment, round(logical_bytes / n_rows, 6) AS mean_bytes, round(logical_bytes / n_rows * 1000000, 2) AS logical_total, round(observed_bytes / logical_bytes, 6) AS physical_ratio FROM (SELECT c_mktsegment AS segment, count(*) AS n_rows, sum(length(c_name)) AS logical_bytes, sum(length(c_name) + 40) AS observed_bytes FROM customer GROUP BY 1)""")
 def capacity_estimate(spark, sf):
     p = fx.table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n_rows"), F.sum(F.length("c_name")).alias("logical_bytes"), F.sum(F.length("c_name") + 40).alias("observed_bytes"))

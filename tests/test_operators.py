@@ -1,6 +1,7 @@
 """Operators on small tables: limits, errors, ties and empty inputs."""
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,3 +377,51 @@ def test_rounded_percentiles_hold_no_group(spark):
 
     plan = QUERIES["rounded_percentiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def places_by_sorting(rows, places):
+    by = {}
+    for k, v, o in rows:
+        if v is not None and o is not None:
+            by.setdefault(k, []).append((v, o))
+    nan_last = lambda x: (x[0] != x[0], x[0] if x[0] == x[0] else 0, x[1])
+    return {k: (len(x), *[sorted(x, key=nan_last)[p(len(x)) - 1] for p in places]) for k, x in by.items()}
+
+
+def test_places_by_sketch_equal_sorting(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    rows = [("hot", round(r.gauss(0, 9), 2), r.randrange(50)) for _ in range(6000)] + [(f"g{i}", float(i * j % 7), j) for i in range(30) for j in range(i)] + [("flat", 1.0, j) for j in range(900)]
+    rows += [(None, 2.0, 1), (None, 1.0, 1), ("none", None, 1), ("none", 1.0, None), ("one", -3.5, 2), ("odd", float("nan"), 1), ("odd", 4.0, 2), ("odd", float("inf"), 3), ("nan", float("nan"), 1), ("nan", float("nan"), 2), ("odd", float("-inf"), 9)]
+    df = spark.createDataFrame(rows, "k string, v double, o int").repartition(5)
+    places = {"low": lambda n: F.lit(1), "mid": lambda n: F.floor(n / 2) + 1, "p99": lambda n: F.ceil(n * F.lit(0.99)), "high": lambda n: n}
+    plain = [lambda n: 1, lambda n: n // 2 + 1, lambda n: -(-n * 99 // 100), lambda n: n]
+    want = places_by_sorting(rows, plain)
+    for margin in (metrics.MARGIN, -0.02):  # brackets that miss: those groups are sorted whole
+        monkeypatch.setattr(metrics, "MARGIN", margin)
+        got = {x["k"]: (x["n"], *[tuple(x[p]) for p in places]) for x in metrics.at_places(df, ["k"], ["v", "o"], places).collect()}
+        assert {k: str(v) for k, v in got.items()} == {k: str(v) for k, v in want.items()}
+
+
+def test_places_put_little_in_order(spark, monkeypatch):
+    """Of a large group only what lies in the brackets is counted by value."""
+    seen = []
+    monkeypatch.setattr(metrics, "_at_sorted", lambda rows, *a, f=metrics._at_sorted: (seen.append(rows.count()), f(rows, *a))[1])
+    df = spark.range(40_000).select(F.lit("a").alias("k"), F.xxhash64("id").alias("v"))
+    n = metrics.nearest_ranks(df, ["k"], "v", {"p50": 0.5, "p95": 0.95}).first()
+    assert n["n"] == 40_000 and len(seen) == 1 and seen[0] < 0.05 * 40_000
+
+
+def test_hot_keys_are_counted_exactly(spark, monkeypatch):
+    rows = [("a", 7)] * 60 + [("a", 9)] * 60 + [("a", 1000 + i) for i in range(900)] + [("b", i) for i in range(500)] + [("c", None)] * 50 + [("c", 3)] + [(None, 5)] * 3
+    df = spark.createDataFrame(rows, "t string, k long").repartition(6)
+    out = {r["t"]: tuple(r)[1:] for r in metrics.hot_keys(df, "t", "k", 0.05, counters=40).collect()}
+    assert out == {"a": (1020, 7, 60, 60 / 1020), "b": (500, None, None, None), "c": (51, None, None, None), None: (3, 5, 3, 1.0)}
+    # A task passes on no more than its counters, whatever it has read.
+    batches = [pa.record_batch([pa.array(["a"] * 500), pa.array([i * 1000 + j if j % 4 else -1 for j in range(500)], pa.int64()), pa.array([1] * 500, pa.int64())], names=["by", "key", "n"]) for i in range(20)]
+    left = [x for b in metrics._frequent(16)(iter(batches)) for x in b.to_pylist()]
+    assert len(left) <= 32 and -1 in {x["key"] for x in left}
+    with pytest.raises(ValueError):
+        metrics.hot_keys(df, "t", "k", 0.001, counters=100)
+    assert metrics.hot_keys(df.limit(0), "t", "k").collect() == []
