@@ -26,8 +26,8 @@ class TokenCounter:
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encode = tiktoken.Encoding("lengths", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.first = PieceCache(lambda pieces: [len(encode(p)) for p in pieces])
-        self.spaced = PieceCache(lambda pieces: [len(encode(" " + p)) for p in pieces])
+        self.first = PieceCache(lambda pieces: [len(encode(p)) for p in pieces], sized=False)
+        self.spaced = PieceCache(lambda pieces: [len(encode(" " + p)) for p in pieces], sized=False)
 
     def count(self, texts: list[str]) -> list[int]:
         pieces = [spaced_pieces(t) for t in texts]

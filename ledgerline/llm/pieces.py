@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import ChainMap
+from itertools import accumulate, chain
 
 import regex
 
@@ -11,7 +13,7 @@ WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 ᠎        
 _WHITE_SPACE = re.compile(f"[{WHITE}] ")
 _ENDS_WHITE = re.compile(f"[{WHITE}]$")
 #: Bytes of one generation of a worker's cache, about, and what an entry takes besides its text and value.
-CACHE_SIZE, ENTRY = 64 << 20, 120
+CACHE_SIZE, ENTRY = 64 << 20, 110
 #: Characters of the longest piece that is kept; longer ones, such as lines of scripts without spaces, are rarely met again.
 LONGEST = 256
 
@@ -45,8 +47,9 @@ class PieceCache:
     Pieces of more than LONGEST characters are computed each time.
     """
 
-    def __init__(self, compute, most: int = CACHE_SIZE):
-        self.compute, self.most, self.size = compute, most, 0
+    def __init__(self, compute, most: int = CACHE_SIZE, sized: bool = True):
+        """sized: values are bytes, which count; numbers don't."""
+        self.compute, self.most, self.sized, self.size = compute, most, sized, 0
         self.now: dict[str, object] = {}
         self.before: dict[str, object] = {}
 
@@ -54,24 +57,27 @@ class PieceCache:
         """Each text's values; ``compute`` gets all unknown pieces at once."""
         if self.size > self.most:
             self.before, self.now, self.size = self.now, {}, 0
-        get = self.now.get
-        found = [list(map(get, p)) for p in texts]
-        holes = [[i for i, y in enumerate(v) if y is None] if None in v else [] for v in found]
-        lacking = {p[i] for p, at in zip(texts, holes) for i in at}
-        if not lacking:
-            return found
-        old = self.before
-        values = {x: old[x] for x in lacking if x in old}
-        new = [x for x in lacking if x not in values]
-        if new:
-            values.update(zip(new, self.compute(new)))
-        keep = {x: y for x, y in values.items() if len(x) <= LONGEST} if max(map(len, lacking)) > LONGEST else values
-        self.now.update(keep)
-        self.size += sum(ENTRY + (len(x) if x.isascii() else 4 * len(x)) + (len(y) if isinstance(y, bytes) else 0) for x, y in keep.items())
-        for p, v, at in zip(texts, found, holes):
-            for i in at:
-                v[i] = values[p[i]]
-        return found
+        flat = list(chain.from_iterable(texts))
+        old, now = self.before, self.now
+        lacking = [x for x in set(flat) if x not in now]
+        if lacking:
+            again = {x: old[x] for x in lacking if x in old}
+            new = [x for x in lacking if x not in again] if again else lacking
+            made = self.compute(new) if new else []
+            now.update(again)
+            long: dict[str, object] = {}
+            if new and max(map(len, new)) > LONGEST:
+                long = {x: y for x, y in zip(new, made) if len(x) > LONGEST}
+                made = [y for x, y in zip(new, made) if len(x) <= LONGEST]
+                new = [x for x in new if len(x) <= LONGEST]
+            now.update(zip(new, made))
+            for x, y in ((again.keys(), again.values()), (new, made)):
+                self.size += ENTRY * len(x) + 2 * sum(map(len, x)) + (sum(map(len, y)) if self.sized else 0)
+            if long:
+                now = ChainMap(now, long)
+        found = list(map(now.__getitem__, flat))
+        ends = list(accumulate(map(len, texts), initial=0))
+        return [found[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def batches_by_size(texts: list[str], limit: int = 1 << 18):

@@ -50,12 +50,13 @@ class LibraryIds:
         with open(tokenizer_file, encoding="utf-8") as f:
             self.merger = PairMerger(json.load(f)["model"])
         # A piece behind its space, and a text's first piece.
-        self.spaced = PieceCache(lambda pieces: self._compute([" " + p for p in pieces]))
+        self.spaced = PieceCache(lambda pieces: self._compute(pieces, " "))
         self.first = PieceCache(self._compute)
         self.tokens: dict[str, bytes] = {}
         self.held = 0
 
-    def _compute(self, pieces: list[str]) -> list[bytes]:
+    def _compute(self, pieces: list[str], space: str = "") -> list[bytes]:
+        """Ids of pieces, each behind a ``space``."""
         if self.held > CACHE_SIZE:
             self.tokens.clear()
             self.held = 0
@@ -65,16 +66,19 @@ class LibraryIds:
         split: dict[int, list[str]] = {}
         new: dict[str, None] = {}
         for i, p in enumerate(pieces):
-            if not (p.isascii() and p.isprintable() or plain(p)) or "<" in p and any(s in p for s in self.special):
-                out[i] = np.array(self.library.encode(p, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-            elif p[1:].isalpha() and p[0] == " ":
+            ascii_ = p.isascii()
+            if ascii_ and p.isalpha():
+                words.append(i)
+            elif not (ascii_ and p.isprintable() or plain(p)) or "<" in p and any(s in p for s in self.special):
+                out[i] = np.array(self.library.encode(space + p, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+            elif space and p.isalpha():
                 words.append(i)
             else:
-                split[i] = found = findall(p)
+                split[i] = found = findall(space + p)
                 for t in found:
                     if t not in tokens:
                         new[t] = None
-        merged = self.merger.merge_bytes([pieces[i].encode() for i in words] + [t.encode() for t in new], self.dtype)
+        merged = self.merger.merge_bytes([(space + pieces[i]).encode() for i in words] + [t.encode() for t in new], self.dtype)
         for i, ids in zip(words, merged):
             out[i] = ids
         tokens.update(zip(new, merged[len(words) :]))
