@@ -17,7 +17,7 @@ from ledgerline.plans.fixtures import with_views
 from ledgerline.plans.rules import Request, plan_job, process_batches, run_job, run_waves
 from ledgerline.plans.transactions import commit_repair
 from ledgerline.sources import items as items_source
-from ledgerline.sources import sinks, stored
+from ledgerline.sources import documents, sinks, stored
 from ledgerline.sources.commits import Tables
 from ledgerline.sources.shared import new_path
 from ledgerline.sources.sinks import report_lines, select_columns
@@ -929,6 +929,38 @@ def typed_items_round_trip(spark, sf):
     return back.select("o_orderkey", "o_orderstatus", "note", F.array_join("tags", ",").alias("tags"), F.col("incident.o_custkey").alias("of_customer"), F.size("bad_numbers").alias("n_bad"))
 
 
+_DOC = """d AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS t, o_orderpriority AS p, o_orderkey % 4 <> 0 AS has, o_orderkey % 5 = 0 AS bad FROM orders)"""
+
+
+@query(f"""WITH {_DOC} SELECT k, CASE WHEN NOT bad THEN '{{' || CASE WHEN has THEN '"a":{{"S":"' || p || '"}},' ELSE '' END || '"big":{{"N":"12345678901234567890123456789012345678901234567890"}},"bin":{{"BS":["YQ==","YmI="]}},"gone":{{"NULL":true}},"list":{{"L":[{{"S":"x"}},{{"NULL":true}},{{"N":"7"}}]}},"map":{{"M":{{"x":{{"N":"0"}},"y":{{"BOOL":true}}}}}},"nums":{{"NS":["2","10"]}},"tags":{{"SS":["a","b"]}},"z":{{"N":"' || t || '.5"}}}}' END AS document,
+  CASE WHEN NOT bad THEN CAST(81 + CASE WHEN has THEN 1 + length(p) ELSE 0 END + CASE WHEN k = 0 THEN 2 ELSE (length(t) + 2 + length(t) % 2) // 2 + 1 END AS BIGINT) END AS bytes, bad AS failed,
+  CASE WHEN has THEN 'S' ELSE 'ABSENT' END AS a, 'NULL' AS gone, 'BOOL' AS inside FROM d""")
+def document_forms(spark, sf):
+    """Documents of every type in one normal form, with sizes; every fifth holds a number that is none."""
+    k = F.col("o_orderkey")
+    doc = F.concat(
+        F.lit('{"z":{"N":"'), F.when(k % 5 == 0, "1.2.3").otherwise(F.concat(F.lit("0"), k.cast("string"), F.lit(".50"))), F.lit('"},'),
+        F.when(k % 4 != 0, F.concat(F.lit('"a":{"S":"'), F.col("o_orderpriority"), F.lit('"},'))).otherwise(""),
+        F.lit('"gone":{"NULL":true},"tags":{"SS":["b","a","b"]},"nums":{"NS":["1e1","2.0","10"]},"bin":{"BS":["YmI=","YQ=="]},"big":{"N":"+12345678901234567890123456789012345678901234567890.000"},'),
+        F.lit('"list":{"L":[{"S":"x"},{"NULL":true},{"N":"07"}]},"map":{"M":{"y":{"BOOL":true},"x":{"N":"-0.0"}}}}'),
+    )
+    out = documents.normal_documents(fx.table(spark, sf, "orders").select(k.alias("k"), doc.alias("document")))
+    kinds = {"a": "a", "gone": "gone", "inside": "map.y"}
+    return out.select("row.k", "document", "bytes", F.col("error").isNotNull().alias("failed"), *[documents.attribute_kind("row.document", p).alias(n) for n, p in kinds.items()])
+
+
+@query("SELECT o_orderkey AS k, o_orderstatus AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'NULL' WHEN o_orderkey % 3 = 1 THEN 'S' ELSE 'ABSENT' END AS note, true AS same FROM orders")
+def document_round_trip(spark, sf):
+    """Documents as attribute rows and back: in normal form they are what they were."""
+    k = F.col("o_orderkey")
+    note = F.when(k % 3 == 0, ',"note":{"NULL":true}').when(k % 3 == 1, F.concat(F.lit(',"note":{"S":"'), F.col("o_orderpriority"), F.lit(' \\"é\\""}'))).otherwise("")
+    doc = F.concat(F.lit('{"status":{"S":"'), F.col("o_orderstatus"), F.lit('"},"n\\"q":{"L":[{"N":"1.50"},{"M":{"x":{"NS":["2","1"]}}}]}'), note, F.lit("}"))
+    was = documents.normal_documents(fx.table(spark, sf, "orders").select(k.alias("k"), doc.alias("document"))).select("row.k", F.col("document").alias("was"))
+    back = documents.assembled(documents.attribute_rows(was, ["k"], "was"), ["k"])
+    again = documents.normal_documents(back).select(F.col("row.k").alias("k"), "document").join(was, "k")
+    return again.select("k", documents.attribute_value("document", "status", "S").alias("status"), documents.attribute_kind("document", "note").alias("note"), (F.col("document") == F.col("was")).alias("same"))
+
+
 _N = "n AS (SELECT o_orderkey AS n, CASE WHEN o_orderkey % 100 = 0 THEN 'MATCH' WHEN o_orderkey % 2 = 0 THEN 'PENDING' ELSE 'SETTLED' END AS status, printf('%016x', o_orderkey) AS x, printf('2026-09-%02dT%02d', o_orderkey % 28 + 1, o_orderkey % 24) AS hour FROM orders)"
 
 
