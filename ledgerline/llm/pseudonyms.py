@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime
 import hmac
+import ipaddress
 import re
 import string
 from collections.abc import Iterator
@@ -85,18 +86,25 @@ def luhn_digit(body: str) -> str:
 _VALUES = re.compile(
     r"(?<![\w+])(?<!\d[.-])(?:"
     r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
-    r"|(?P<ymd>\d{4}-\d{2}-\d{2})"
-    r"|(?P<dmy>\d{2}(?P<sep>[./])\d{2}(?P=sep)\d{4})"
+    r"|(?P<ymd>\d{4}(?P<ysep>[-/.])\d{2}(?P=ysep)\d{2})"
+    r"|(?P<dmy>\d{1,2}(?P<sep>[./-])\d{1,2}(?P=sep)\d{4})"
     r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})"
-    r"|(?P<phone>(?:(?P<country>\+\d{1,3})[ -]?(?:\(\d{2,4}\)|\d{2,4})[ -]?\d{3,4}[ -]?\d{3,4}|(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}))"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
+    r"|(?P<phone>(?:(?P<country>\+\d{1,3})[ -]?(?:\(\d{2,4}\)|\d{2,4})[ -]?\d{3,4}[ -]?\d{3,4}|(?:\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})))"
+    r"|(?P<ssn>\d{3}-\d{2}-\d{4}|(?<=SSN )\d{9}|(?<=SSN: )\d{9}|(?<=ssn )\d{9}|(?<=ssn: )\d{9})"
     r"|(?P<number>\d(?:[ -]?\d){12,18})"
     r")(?![\w]|[.-]\d)",
     re.ASCII,
 )
-#: Words that are a value as a whole: the part of a mail address before its @, and long hexadecimal numbers.
-_MAIL = re.compile(r"(?<![\w.%+-])(?P<local>[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?)@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-])", re.ASCII)
-_HEX = re.compile(r"(?<![\w.-])(?:[0-9a-f]{24,128}|[0-9A-F]{24,128})(?![\w-])", re.ASCII)
+#: Words that are a value as a whole: the part of a mail address before its @, long hexadecimal numbers, and addresses of eight groups.
+_MAIL = re.compile(r"(?<![\w.%+-])(?P<local>\w(?:[\w.%+-]{0,62}\w)?)@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-])")
+_HEX = re.compile(r"(?<![\w.-])[0-9A-Fa-f]{24,}(?![\w-])", re.ASCII)
+_IP6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:]|\.\d)", re.ASCII)
+#: Months in words, as dates have them (fixed values).
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS)
+_WORDED = re.compile(rf"(?<![\w.-])(?:(?P<d1>\d{{1,2}}) (?P<m1>{_MONTH})|(?P<m2>{_MONTH}) (?P<d2>\d{{1,2}}),)\.? (?P<y>\d{{4}})(?![\w]|[.-]\d)", re.ASCII | re.IGNORECASE)
+#: Letters beyond ASCII that mail addresses are written with: those of Latin-1, in lower case.
+_LATIN = "".join(chr(c) for c in range(0xE0, 0x100) if c != 0xF7)
 #: Characters that are permuted as one number, so that a round's input fits a digest.
 _RUN = 48
 #: Groups of digits that go on from a number's beginning, however many they are.
@@ -115,26 +123,61 @@ def _fill(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
-#: Places of year, month and day in the formats of dates; of two readings of dd/dd/yyyy the first that is a day counts.
-_ORDERS = {"ymd": ((0, 5, 8),), "dmy": ((6, 3, 0), (6, 0, 3))}
+#: Places of year, month and day among the numbers of a date; of two readings of dd/dd/yyyy the first that is a day counts.
+_ORDERS = {"ymd": ((0, 1, 2),), "dmy": ((2, 1, 0), (2, 0, 1))}
+
+
+def _new_day(p: Permutation, year: int, month: int, day: int) -> datetime.date | None:
+    """The pseudonym of a day; None if there is no such day among those that are permuted."""
+    try:
+        at = datetime.date(year, month, day)
+    except ValueError:
+        return None
+    if not FIRST_YEAR <= year <= LAST_YEAR:
+        return None
+    return datetime.date.fromordinal(_DAY0 + p.apply("date", at.toordinal() - _DAY0, _DAYS))
 
 
 def _date(p: Permutation, found: str, order: str) -> str | None:
-    for year, month, day in _ORDERS[order]:
-        try:
-            at = datetime.date(int(found[year : year + 4]), int(found[month : month + 2]), int(found[day : day + 2]))
-        except ValueError:
-            continue
-        if not FIRST_YEAR <= at.year <= LAST_YEAR:
-            return None
-        new = datetime.date.fromordinal(_DAY0 + p.apply("date", at.toordinal() - _DAY0, _DAYS))
-        out = list(found)
-        for place, digits in ((year, f"{new.year:04}"), (month, f"{new.month:02}"), (day, f"{new.day:02}")):
-            out[place : place + len(digits)] = digits
-        return "".join(out)
+    parts = re.split(r"(\D)", found)
+    numbers = parts[::2]
+    # Where a number has one digit, none is filled up with zeros.
+    width = 1 if min(map(len, numbers)) == 1 else 2
+    for places in _ORDERS[order]:
+        new = _new_day(p, *(int(numbers[i]) for i in places))
+        if new:
+            for i, x in zip(places, (f"{new.year:04}", f"{new.month:0{width}}", f"{new.day:0{width}}")):
+                parts[2 * i] = x
+            return "".join(parts)
     return None
 
 
+def _worded_date(p: Permutation, m: re.Match) -> str | None:
+    """A date with its month in words, written as it was: the month's whole name or three letters, in its case."""
+    word, day = (m.group("m1"), m.group("d1")) if m.group("m1") else (m.group("m2"), m.group("d2"))
+    new = _new_day(p, int(m.group("y")), [x[:3].lower() for x in MONTHS].index(word[:3].lower()) + 1, int(day))
+    if not new:
+        return None
+    name = MONTHS[new.month - 1] if len(word) > 3 or word.lower() == "may" else MONTHS[new.month - 1][:3]
+    name = name.upper() if word.isupper() else name.lower() if word.islower() else name
+    out, start = m.group(), m.start()
+    spans = sorted(((m.span(g), x) for g, x in (("m1", name), ("m2", name), ("d1", f"{new.day:02}" if len(day) == 2 and day[0] == "0" else str(new.day)), ("d2", f"{new.day:02}" if len(day) == 2 and day[0] == "0" else str(new.day)), ("y", f"{new.year:04}")) if m.group(g)), reverse=True)
+    for (i, j), x in spans:
+        out = out[: i - start] + x + out[j - start :]
+    return out
+
+
+def _ip6(p: Permutation, found: str) -> str | None:
+    """An address of eight groups, or fewer with :: in it; it is written with :: only if that was there."""
+    try:
+        at = ipaddress.IPv6Address(found)
+    except ValueError:
+        return None
+    new = ipaddress.IPv6Address(p.apply("ip6", int(at), 1 << 128))
+    out = str(new) if "::" in found else ":".join(f"{x:x}" for x in (int(g, 16) for g in new.exploded.split(":")))
+    return out.upper() if any(c.isalpha() for c in found) and found.isupper() else out
+
+
 def _classes(p: Permutation, kind: str, found: str, alphabets: tuple[str, ...]) -> str:
     """``found`` with each character of an alphabet replaced by one of the same; other characters stay."""
     out = list(found)
@@ -251,22 +294,32 @@ def _numbers(p: Permutation, text: str, m: re.Match) -> list[tuple[int, int, str
 def _whole_words(p: Permutation, text: str) -> list[tuple[int, int, str, str]]:
     """Mail addresses and long hexadecimal numbers, as (start, end, kind, pseudonym).
 
-    Of an address the part before the @ is permuted, in lower case, letters as letters and digits as digits; the domain stays. A hexadecimal number
-    has digits and letters both.
+    Of an address the part before the @ is permuted, in lower case, letters as letters and digits as digits, those of Latin-1 too; the domain
+    stays. A hexadecimal number has digits and letters both, of any case. Dates with their month in words and addresses of eight groups are words too.
     """
     found = []
     if "@" in text:
         for m in _MAIL.finditer(text):
             local = m.group("local")
-            new = _classes(p, "mail", local.lower(), (string.digits, string.ascii_lowercase))
-            new = "".join(n.upper() if c.isupper() else n for c, n in zip(local, new))
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in local)
+            new = _classes(p, "mail", low, (string.digits, string.ascii_lowercase, _LATIN))
+            new = "".join(n.upper() if c.isupper() and len(n.upper()) == 1 else n for c, n in zip(local, new))
             found.append((m.start(), m.end(), "mail", new + m.group()[len(local) :]))
     for m in _HEX.finditer(text):
         word = m.group().lower()
         if not word.isdigit() and not word.isalpha():
-            new = _classes(p, "hex", word, ("0123456789abcdef",))
-            found.append((m.start(), m.end(), "hex", new.upper() if m.group().isupper() else new))
-    return sorted(found)
+            new, upper = _classes(p, "hex", word, ("0123456789abcdef",)), m.group().isupper()
+            found.append((m.start(), m.end(), "hex", "".join(n.upper() if upper or c.isupper() else n for c, n in zip(m.group(), new))))
+    for pattern, kind, make in ((_WORDED, "date", lambda m: _worded_date(p, m)), (_IP6, "ip", lambda m: _ip6(p, m.group()))):
+        for m in pattern.finditer(text):
+            new = make(m)
+            if new:
+                found.append((m.start(), m.end(), kind, new))
+    out: list[tuple[int, int, str, str]] = []
+    for x in sorted(found):
+        if not out or x[0] >= out[-1][1]:
+            out.append(x)
+    return out
 
 
 def replaced(p: Permutation, text: str) -> tuple[str, dict[str, int]]:
@@ -303,12 +356,13 @@ def _numbers_replaced(p: Permutation, text: str, counts: dict[str, int]) -> str:
 def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """``docs`` with the values in ``text_col`` replaced, and n_<kind> counts of them.
 
-    Kinds: iban (mod 97; digits and letters), date (a day of FIRST_YEAR..LAST_YEAR, as yyyy-mm-dd, dd/mm/yyyy or dd.mm.yyyy; what is no day
-    so but is one as mm/dd/yyyy is read and written so; of 03/04/1999, the third of April is meant), ip (four
-    octets), phone (with country code, or 3-3-4 digits with - or . between), ssn (3-2-4 digits), card (13 to 19 digits that pass the
+    Kinds: iban (mod 97; digits and letters), date (a day of FIRST_YEAR..LAST_YEAR, as yyyy-mm-dd or dd-mm-yyyy, also with / or . between and with
+    one-digit days and months; what is no day so but is one as mm/dd/yyyy is read and written so; of 03/04/1999, the third of April is
+    meant; and as 3 April 1999 or April 3, 1999, with English names), ip (four octets, or eight groups), phone (with country code, or 3-3-4 digits with -
+    or . between, or a space after brackets), ssn (3-2-4 digits, or nine behind "SSN"), card (13 to 19 digits that pass the
     Luhn check, as their pseudonyms do; of a longer run of groups, the part that passes) and number
     (13 to 19 other digits, also in what looks like an IBAN but isn't); and, as they are as personal, mail (the part
-    of an address before the @) and hex (24 to 128 hexadecimal digits and letters, as keys and tokens are). What looks like another
+    of an address before the @) and hex (24 and more hexadecimal digits and letters, as keys and tokens are). What looks like another
     value but isn't valid stays. A null text stays null with no values. Rows may repeat; other
     columns pass through; n_<kind> replace columns of those names.
     """
