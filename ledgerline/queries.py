@@ -1222,6 +1222,16 @@ def drained_messages(spark, sf):
     return out
 
 
+@query(with_views("messages", body="SELECT id, md5OfBody = '' OR lower(md5OfBody) = md5(body) AS md5_ok, CAST(receiveCount AS INT) AS receives, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN leaseUntil ELSE receivedAt + 90 END AS \"leaseUntil\" FROM messages"))
+def message_files(spark, sf):
+    """Envelopes in JSON files, read as a stream of several triggers; half of them say when their lease ends."""
+    path = new_path(spark, "envelopes")
+    m = fx.messages(spark, sf).select("id", "receipt", "body", "md5OfBody", "receiveCount", "receivedAt", F.when(F.col("id").cast("bigint") % 2 == 0, F.col("leaseUntil")).alias("leaseUntil"))
+    m.repartition(5, "id").write.json(f"{path}/in")
+    seen = streams.decode_envelopes(streams.read_messages(spark, f"{path}/in", files_per_trigger=2), 90)
+    return streams.drain(seen.select("id", "md5_ok", "receives", "leaseUntil"), path.rsplit("/", 1)[1], f"{path}/checkpoint", f"{path}/out")
+
+
 _WAITS = """t AS (SELECT id AS task, user_id AS queue, business_id AS id, receipt, receivedAt AS at, leaseUntil FROM messages WHERE CAST(id AS BIGINT) % 4 = 0),
   r AS (SELECT user_id AS queue, business_id AS id, receipt, receivedAt, leaseUntil FROM messages WHERE CAST(id AS BIGINT) % 4 <> 0),
   v AS (SELECT task, coalesce(r.id, t.id) AS id, r.receivedAt AS received_at, CASE WHEN r.id IS NULL THEN t.receipt ELSE r.receipt END AS receipt,
