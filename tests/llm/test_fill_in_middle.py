@@ -61,7 +61,8 @@ def test_chunks_follow_content():
     for a, b in zip(starts.tolist(), ends.tolist()):
         raw[a:b].decode()  # no character is split
     # A passage that stands elsewhere falls into the same chunks, but for its ends.
-    body = bytes(random.Random(1).randrange(97, 123) for _ in range(60_000))
+    r = random.Random(1)
+    body = bytes(r.randrange(97, 123) for _ in range(60_000))
 
     def cut(text):
         ends = chunks.chunk_ends(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)])).tolist()

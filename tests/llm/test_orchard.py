@@ -20,7 +20,6 @@ def plain(vectors, parts=4, entries=256, rounds=4):
             near = away(p).argmin(axis=1)
             for e in set(near.tolist()):
                 books[p][e] = [int(s) // int((near == e).sum()) for s in x[near == e, p].sum(axis=0)]
-    code = ["".join(f"{away(p)[i].argmin():02x}" for p in range(parts)) for i in range(len(good))] if len(good) < 200 else None
     nearest = [away(p) for p in range(parts)]
     code = ["".join(f"{nearest[p][i].argmin():02x}" for p in range(parts)) for i in range(len(good))]
     return [(i, c, int(sum(nearest[p][k].min() for p in range(parts)))) for k, ((i, _), c) in enumerate(zip(good, code))], books

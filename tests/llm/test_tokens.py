@@ -13,7 +13,7 @@ from ledgerline.llm import pieces as pc
 from ledgerline.llm.bpe_lexicon import Lexicon, WordBpe, compile_lexicon, decode, encode
 from ledgerline.llm.length_histogram import at_limits, encoded_lengths, length_histogram, length_quantiles, suffix_sums
 from ledgerline.llm.shared_files import write_bytes
-from ledgerline.llm.token_files import SequenceFile, read_checksums, write_token_files
+from ledgerline.llm.token_files import LibraryIds, SequenceFile, read_checksums, write_token_files
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -204,7 +204,7 @@ def test_caches_are_bounded_in_bytes():
 
 
 def test_long_words_merge_as_short_ones_do(monkeypatch):
-    merger = WordBpe(WORD).merger
+    merger = LibraryIds(BYTE, "<u2").merger
     r = random.Random(8)
     words = [bytes(r.choice(b"abetinghors") for _ in range(r.randrange(1, 90))) for _ in range(300)] + [b"a" * n for n in range(1, 40)] + ["é漢字".encode() * 9]
     short = merger.merge_bytes(words, "<i4")
