@@ -41,7 +41,7 @@ class PairMerger:
 
     def merge_bytes(self, words: list[bytes], dtype: str) -> list[bytes]:
         """merge() as each word's ids in bytes."""
-        if any(len(w) >= LONG for w in words):
+        if words and max(map(len, words)) >= LONG:
             short = iter(self.merge_bytes([w for w in words if len(w) < LONG], dtype))
             return [self._merged_long(w).astype(dtype).tobytes() if len(w) >= LONG else next(short) for w in words]
         flat, ends = self._merged(words)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections import ChainMap
-from itertools import accumulate, chain
 
 import regex
 
@@ -57,27 +56,31 @@ class PieceCache:
         """Each text's values; ``compute`` gets all unknown pieces at once."""
         if self.size > self.most:
             self.before, self.now, self.size = self.now, {}, 0
-        flat = list(chain.from_iterable(texts))
+        get = self.now.get
+        found = [list(map(get, p)) for p in texts]
+        holes = [[i for i, y in enumerate(v) if y is None] if None in v else [] for v in found]
+        lacking = {p[i] for p, at in zip(texts, holes) for i in at}
+        if not lacking:
+            return found
         old, now = self.before, self.now
-        lacking = [x for x in set(flat) if x not in now]
-        if lacking:
-            again = {x: old[x] for x in lacking if x in old}
-            new = [x for x in lacking if x not in again] if again else lacking
-            made = self.compute(new) if new else []
-            now.update(again)
-            long: dict[str, object] = {}
-            if new and max(map(len, new)) > LONGEST:
-                long = {x: y for x, y in zip(new, made) if len(x) > LONGEST}
-                made = [y for x, y in zip(new, made) if len(x) <= LONGEST]
-                new = [x for x in new if len(x) <= LONGEST]
-            now.update(zip(new, made))
-            for x, y in ((again.keys(), again.values()), (new, made)):
-                self.size += ENTRY * len(x) + 2 * sum(map(len, x)) + (sum(map(len, y)) if self.sized else 0)
-            if long:
-                now = ChainMap(now, long)
-        found = list(map(now.__getitem__, flat))
-        ends = list(accumulate(map(len, texts), initial=0))
-        return [found[a:b] for a, b in zip(ends, ends[1:])]
+        again = {x: old[x] for x in lacking if x in old}
+        new = [x for x in lacking if x not in old]
+        now.update(again)
+        made = self.compute(new) if new else []
+        long: dict[str, object] = {}
+        if new and max(map(len, new)) > LONGEST:
+            long = {x: y for x, y in zip(new, made) if len(x) > LONGEST}
+            made = [y for x, y in zip(new, made) if len(x) <= LONGEST]
+            new = [x for x in new if len(x) <= LONGEST]
+        now.update(zip(new, made))
+        for x, y in ((again.keys(), again.values()), (new, made)):
+            self.size += ENTRY * len(x) + 2 * sum(map(len, x)) + (sum(map(len, y)) if self.sized else 0)
+        if long:
+            now = ChainMap(now, long)
+        for p, v, at in zip(texts, found, holes):
+            for i in at:
+                v[i] = now[p[i]]
+        return found
 
 
 def batches_by_size(texts: list[str], limit: int = 1 << 18):
