@@ -44,7 +44,7 @@ def append_log(messages: DataFrame, path: str, order: tuple[str, ...] = ("receiv
     written = spark.read.parquet(folder)
     first = F.min(F.struct(*order)).alias("first")
     rows = written.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"), first).orderBy("first").select("file", "n").collect()
-    record = json.dumps({"files": [[r["file"], r["n"]] for r in rows]})
+    record = json.dumps({"files": [[r["file"], r["n"]] for r in rows], "columns": written.schema.json()})
     if not files.create(f"{path}/segments/{number:012d}.json", record):
         raise CommitConflict(f"segment {number} of {path} is there already")
     return log_length(spark, path)
@@ -131,10 +131,12 @@ class MessageLog(DataSource):
 
 
 def log_stream(spark: SparkSession, path: str, until: int | None = None, most: int | None = None) -> DataFrame:
-    """The log's messages as a stream, in order: up to offset ``until``, at most so many a trigger."""
+    """The log's messages as a stream, in order: up to offset ``until``, at most so many a trigger. Its columns are those of the first segment."""
     spark.dataSource.register(MessageLog)
-    files = log_files(spark, path)
-    columns = spark.read.parquet(files[0][0]).schema
+    files, names = log_files(spark, path), segments(spark, path)
+    if not names:
+        raise ValueError(f"there is no log at {path}")
+    columns = StructType.fromJson(json.loads(json.loads(Files(spark).read(f"{path}/segments/{names[0]}"))["columns"]))
     reader = spark.readStream.format("message_log").schema(columns).option("columns", columns.json()).option("files", json.dumps(files))
     for name, value in (("until", until), ("most", most)):
         reader = reader if value is None else reader.option(name, value)

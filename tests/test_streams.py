@@ -161,6 +161,16 @@ def test_triggers_of_a_bounded_number(spark, tmp_path):
     assert [len(x) for x in sizes] == [10, 10, 5] and sizes[0][0] == "m000" and sizes[2][-1] == "m024"
 
 
+def test_an_empty_log_and_none(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    with pytest.raises(ValueError):
+        log_stream(spark, path)
+    empty = spark.createDataFrame([], "id string, receivedAt long, body string")
+    assert append_log(empty, path) == 0 and log_stream(spark, path).columns == empty.columns
+    assert log_of(spark, path, [("a", 1, "x"), ("b", None, None)]) == 2
+    assert sorted(r["id"] for r in streams.drain_messages(spark, path, f"{path}/c", f"{path}/o", 9).collect()) == ["a", "b"]
+
+
 def test_two_writers_of_a_segment(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/log"
     log_of(spark, path, [("a", 1, "x")])
