@@ -1,5 +1,4 @@
 import datetime
-import ipaddress
 import random
 import re
 
@@ -158,42 +157,3 @@ def test_table_against_plain_values(spark, docs):
         want.append((i, " | ".join(new), *[counts.get(k, 0) for k in ("date", "ip", "ssn", "card", "number")]))
     got = pseudonymize(docs(rows), b"key").select("doc_id", "text", "n_date", "n_ip", "n_ssn", "n_card", "n_number")
     assert sorted(map(tuple, got.collect())) == want
-
-
-@pytest.mark.parametrize(
-    "text, kind, shape",
-    [
-        ("on 1999/12/31 it", "date", r"on \d{4}/\d{2}/\d{2} it"),
-        ("on 1999.12.31 it", "date", r"on \d{4}\.\d{2}\.\d{2} it"),
-        ("on 31-12-1999 it", "date", r"on \d{2}-\d{2}-\d{4} it"),
-        ("on 3/4/1999 it", "date", r"on [1-9]\d?/[1-9]\d?/\d{4} it"),
-        ("on 31 December 1999 it", "date", r"on [1-9]\d? [A-Z][a-z]{2,8} \d{4} it"),
-        ("on Dec 31, 1999 it", "date", r"on [A-Z][a-z]{2} [1-9]\d?, \d{4} it"),
-        ("on 31 DEC 1999 it", "date", r"on [1-9]\d? [A-Z]{3} \d{4} it"),
-        ("SSN 123456789.", "ssn", r"SSN \d{9}\."),
-        ("SSN: 123456789", "ssn", r"SSN: \d{9}"),
-        ("call (555) 123 4567 now", "phone", r"call \(\d{3}\) \d{3} \d{4} now"),
-        ("at 2001:db8:0:0:0:ff00:42:8329 it", "ip", r"at [0-9a-f]{1,4}(:[0-9a-f]{1,4}){7} it"),
-        ("at fe80::1 it", "ip", r"at [0-9a-f:]{2,39} it"),
-        ("to josé.Ñandú7@example.org now", "mail", r"to [a-zß-ÿ]{4}\.[A-Za-zÀ-ÿ]{5}\d@example\.org now"),
-        ("key aB3dE5f7aB3dE5f7aB3dE5f7aB3d", "hex", r"key [0-9a-fA-F]{28}"),
-        ("key " + "0123456789abcdef" * 12, "hex", r"key [0-9a-f]{192}"),
-    ],
-)
-def test_formats_as_people_write_them(text, kind, shape):
-    out, n = replaced(P, text)
-    assert n[kind] == 1 and sum(n.values()) == 1 and out != text and re.fullmatch(shape, out), out
-    assert replaced(P, text)[0] == out
-
-
-def test_a_day_is_linked_however_it_is_written():
-    iso = datetime.date.fromisoformat(replaced(P, "1999-04-03")[0])
-    for text, shown in (("3/4/1999", f"{iso.day}/{iso.month}/{iso.year}"), ("03.04.1999", f"{iso:%d.%m.%Y}"), ("3 April 1999", f"{iso.day} {iso:%B} {iso.year}"), ("Apr 3, 1999", f"{iso:%b} {iso.day}, {iso.year}"), ("1999/04/03", f"{iso:%Y/%m/%d}")):
-        assert replaced(P, text)[0] == shown
-    long, short = replaced(P, "2001:db8:0:0:0:0:0:1")[0], replaced(P, "2001:db8::1")[0]
-    assert ipaddress.ip_address(long) == ipaddress.ip_address(short) and replaced(P, "AB12" * 8)[0].lower() == replaced(P, "ab12" * 8)[0]
-
-
-@pytest.mark.parametrize("text", ["at 12:34:56 or 1:2", "std::vector a::b", "31 Decem 1999", "45 December 1999", "30 February 1999", "12 monkeys 1999", "x 3/45/1999", "build 123456789 of it", "no@ @host a@b", "deadbeefdeadbeefdeadbeefdeadbeef", "ratio 3:4:5:6", "::", "1::2::3"])
-def test_what_only_looks_like_a_value_stays(text):
-    assert replaced(P, text)[0] == text
