@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerline.functions.scalar import md5_ok, receive_count, sha256_hex
 from ledgerline.streaming.message_log import consumed, log_stream
@@ -50,41 +51,33 @@ def inspect(df: DataFrame) -> DataFrame:
 REMEMBERED = timedelta(days=14)
 
 
-class _FirstHash(StatefulProcessor):
-    """Keeps the first payload hash of a key, as long as its timer says, and judges what follows by it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.first = handle.getValueState("first", "hash string, last bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        had = tuple(self.first.get()) if self.first.exists() else None
-        first, last = had or (None, 0)
-        if first is None:
-            # A key's first trigger: its rows, which the trigger bounds, are put in order together.
-            whole = pd.concat(list(rows)).sort_values(["receivedAt", "id"], kind="stable")
-            known = whole["known"].dropna()
-            first, rows = known.iloc[0] if len(known) else None, iter([whole])
-        for frame in rows:
-            delivery = (frame["hash"] == first).map({True: "DUPLICATE", False: "CONFLICT"})
-            if first is None:
-                first = frame["hash"].iloc[0]
-                delivery = (frame["hash"] == first).map({True: "DUPLICATE", False: "CONFLICT"})
-                delivery.iloc[0] = "NEW"
-            last = max(last, int(frame["arrived"].max().timestamp() * 1000))
-            yield pd.DataFrame({"business_id": key[0], "id": frame["id"], "hash": frame["hash"], "delivery": delivery})
-        if had is None or last != had[1]:
-            if had is not None:
-                self.handle.deleteTimer(had[1])
-            self.handle.registerTimer(last)
-            self.first.update((first, last))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.first.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+#: Groups that business ids are dealt to by their hash; a group's ids are judged in one call.
+ID_GROUPS = 1024
+
+
+def _judge(_key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Judges a group's messages by the first payload hash of each business id, which it keeps until the watermark passes the id's last arrival."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    now = state.getCurrentWatermarkMs()
+    first = {i: (h, t) for i, h, t in zip(*state.get) if t > now} if state.exists else {}
+    # What a trigger bounds is put in order together.
+    rows = pd.concat(list(frames)).sort_values(["receivedAt", "id"], kind="stable")
+    arrived = int(rows["arrived"].max().timestamp() * 1000)
+    came, delivery = set(rows["business_id"]), []
+    for i, h, known in zip(rows["business_id"], rows["hash"], rows["known"]):
+        by = first.get(i)
+        if by is None and known is None:
+            first[i], kind = (h, arrived), "NEW"
+        else:
+            first[i] = by = by or (known, arrived)
+            kind = "DUPLICATE" if h == by[0] else "CONFLICT"
+        delivery.append(kind)
+    kept = [(i, h, arrived if i in came else t) for i, (h, t) in first.items()]
+    state.update(tuple(map(list, zip(*kept))))
+    state.setTimeoutTimestamp(max(t for _, _, t in kept))
+    yield pd.DataFrame({"business_id": rows["business_id"], "id": rows["id"], "hash": rows["hash"], "delivery": delivery})
 
 
 def by_arrival(stream: DataFrame, remembered: timedelta) -> DataFrame:
@@ -101,8 +94,8 @@ def consume_idempotent(stream: DataFrame, processed: DataFrame | None = None, re
     Messages are judged as they arrive, and none is dropped: of those that come in one trigger the first by receive time, then id, sets the
     hash; later triggers are judged by it. From a log in order (see message_log) that is the judgement of consume_batch(), however
     many messages a trigger takes. A null body counts as an empty one, a missing receive time as the trigger's. State is one hash a
-    business id, and ends ``remembered`` after its last arrival, longer than a queue keeps messages; after that, messages are judged by
-    ``processed`` (id, payloadHash), the table of what has been consumed, if it is given. Needs the RocksDB state store.
+    business id, kept in ID_GROUPS rows, and ends ``remembered`` after its last arrival, longer than a queue keeps messages; after that,
+    messages are judged by ``processed`` (id, payloadHash), the table of what has been consumed, if it is given.
     """
     at = F.coalesce(F.col("receivedAt"), F.unix_timestamp(F.current_timestamp()))
     rows = by_arrival(stream, remembered).select("business_id", "id", at.alias("receivedAt"), sha256_hex(F.coalesce("body", F.lit(""))).alias("hash"), "arrived")
@@ -110,8 +103,8 @@ def consume_idempotent(stream: DataFrame, processed: DataFrame | None = None, re
         rows = rows.withColumn("known", F.lit(None).cast("string"))
     else:
         rows = rows.join(processed.select(F.col("id").alias("business_id"), F.col("payloadHash").alias("known")), "business_id", "left")
-    return rows.groupBy("business_id").transformWithStateInPandas(
-        statefulProcessor=_FirstHash(), outputStructType="business_id string, id string, hash string, delivery string", outputMode="Append", timeMode="EventTime"
+    return rows.withColumn("group", F.pmod(F.xxhash64("business_id"), F.lit(ID_GROUPS))).groupBy("group").applyInPandasWithState(
+        _judge, "business_id string, id string, hash string, delivery string", "ids array<string>, hashes array<string>, last array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -1,6 +1,7 @@
 """Streams, run to the end of what is there, twice on one checkpoint."""
 
 import json
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,29 @@ def test_consumed_before_the_state_is_known_by_the_table(rocks, tmp_path):
     assert sorted((r["id"], r["delivery"]) for r in out.collect()) == [("a1", "DUPLICATE"), ("a2", "CONFLICT"), ("b1", "NEW"), ("c1", "NEW"), ("c2", "CONFLICT")]
 
 
+def test_business_ids_are_judged_in_groups(rocks, tmp_path, monkeypatch):
+    """State has a row a group, not a row and several calls for every id; ids without a value are one id; an id ends with its time."""
+    monkeypatch.setattr(streams, "ID_GROUPS", 8)
+    ids = [f"m{i:03d}" for i in range(300)] + ["", None]
+    put(tmp_path / "in", "1.json", [{**message(f"a{n}", "x", n), "receipt": i} for n, i in enumerate(ids)])
+
+    def go(remembered, check):
+        stream = streams.read_messages(rocks, str(tmp_path / "in")).withColumn("business_id", F.col("receipt"))
+        writer = streams.consume_idempotent(stream, remembered=remembered).writeStream.format("parquet").option("path", str(tmp_path / f"o{check}")).option("checkpointLocation", str(tmp_path / check))
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query.recentProgress, sorted((r["id"], r["delivery"]) for r in rocks.read.parquet(str(tmp_path / f"o{check}")).collect())
+
+    for check, days in (("c", 14), ("d", 0)):
+        progress, rows = go(timedelta(days=days), check)
+        assert [d for _, d in rows] == ["NEW"] * 302
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 8
+    put(tmp_path / "in", "2.json", [{**message(f"b{n}", "x" if n % 2 else "y", n), "receipt": i} for n, i in enumerate(ids)])
+    later = [d for i, d in go(timedelta(days=14), "c")[1] if i[0] == "b"]
+    assert sorted(later) == ["CONFLICT"] * 151 + ["DUPLICATE"] * 151
+    assert [d for _, d in go(timedelta(0), "d")[1]] == ["NEW"] * 604
+
+
 def test_poison_and_checksums(spark, tmp_path):
     put(tmp_path / "in", "1.json", [message("a", "b", receives="5"), message("c", "b", md5="00"), message("d", "b", receives="")])
     healthy, poison = streams.split_poison(streams.decode_envelopes(streams.read_messages(spark, str(tmp_path / "in"), stream=False)))
