@@ -5,7 +5,8 @@ frames, summed from an integral image, each give two bits; sixteen of them pack
 32-bit integer a position. Recordings align where their integers agree: equal integers vote for
 an offset in a histogram, and the bit errors over the aligned stretch confirm it. Where an integer is in many recordings' positions,
 recordings meet by it only where a run of it begins, and only with the two that follow the run, so sustained tones don't bring everything
-together; the votes of recordings that have met are then counted over all their integers.
+together; the votes of recordings that have met are then counted over all their integers. ``exact`` has the recordings with such integers meet
+in blocks instead, each against each, and misses none.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 LEAST_VOTES, MOST_ERRORS = 3, 0.25
 #: Positions of all recordings that hold an integer, at most, if it votes by itself.
 FREQUENT = 2000
+#: Positions of a block of recordings, about, where all are compared; agreeing positions that are listed, and offsets that are counted, at a time.
+BLOCK, LISTED, COUNTED = 1 << 17, 1 << 20, 1 << 22
 #: Frames whose spectrum is held at a time.
 FRAMES = 4096
 
@@ -189,7 +192,83 @@ def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("q"), batch.column("r"), pa.array([v for v, _ in found], pa.int64()), pa.array([o for _, o in found], pa.int32())], names=["q", "r", "votes", "offset"])
 
 
-def align(queries: DataFrame, recordings: DataFrame, least_votes: int = LEAST_VOTES, most_errors: float = MOST_ERRORS) -> DataFrame:
+def _blocks(prints: DataFrame, frequent: DataFrame, name: str) -> DataFrame:
+    """(block, h1, h2, codes, sounds: arrays of the block's recordings): recordings that hold a frequent integer, dealt by their digest to blocks of about BLOCK positions."""
+    codes = prints.select("digest", F.explode(F.arrays_zip("codes", "sounds")).alias("x")).where("x.sounds").select("digest", F.col("x.codes").alias("code"))
+    held = written(prints.join(codes.join(frequent, "code").select("digest").distinct(), "digest", "left_semi"), f"{name}-frequent")
+    n = -(-(held.agg(F.sum(F.size("codes"))).first()[0] or 0) // BLOCK) or 1
+    lists = [F.collect_list(F.struct("digest.h1", "digest.h2", "codes", "sounds")).alias("x")]
+    return held.groupBy(F.pmod(F.col("digest.h1"), F.lit(n)).alias(f"{name}_block")).agg(*lists).select(f"{name}_block", *[F.col(f"x.{c}").alias(f"{name}_{c}") for c in ("h1", "h2", "codes", "sounds")])
+
+
+def _laid(codes: pa.ListScalar, sounds: pa.ListScalar, silent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of a block's recordings one after another, silent ones as ``silent``, and where each recording begins."""
+    lists, heard = codes.values, sounds.values
+    sizes = np.array([len(x) for x in lists], dtype=np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.where(heard.flatten().to_numpy(zero_copy_only=False), flat, silent), np.concatenate([[0], sizes.cumsum()])
+
+
+def block_votes(q: np.ndarray, q_from: np.ndarray, r: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which of the block's recordings q, votes, offset) that have ``least`` votes at least for their best offset against r; ties: the smallest offset.
+
+    q: (integers in order, their positions in the block); each recording begins at q_from, which has the end too.
+    """
+    codes, place = q
+    sizes = np.diff(q_from)
+    # Each recording's offsets, from -size to the size of r.
+    begins = np.concatenate([[0], (sizes + len(r)).cumsum()])
+    counts = np.zeros(begins[-1], dtype=np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    zero = begins[:-1][of] + sizes[of] - (np.arange(len(of)) - q_from[:-1][of])  # offset of r's position 0 against every position
+    low, high = np.searchsorted(codes, r, "left"), np.searchsorted(codes, r, "right")
+    each = high - low
+    total = np.concatenate([[0], each.cumsum()])
+    done = 0
+    while done < len(r):
+        upto = max(done + 1, int(np.searchsorted(total, total[done] + LISTED, "right")) - 1)
+        n = each[done:upto]
+        at = np.repeat(np.arange(done, upto), n)
+        which = np.arange(len(at)) - np.repeat(total[done:upto] - total[done], n) + np.repeat(low[done:upto], n)
+        np.add.at(counts, zero[place[which]] + at, 1)
+        done = upto
+    most = np.maximum.reduceat(counts, begins[:-1])
+    found = np.flatnonzero(most >= least)
+    offsets = np.array([int(counts[begins[i] : begins[i + 1]].argmax()) - sizes[i] for i in found], dtype=np.int64)
+    return found, most[found], offsets
+
+
+def _compare_blocks(least: int):
+    """Rows (a block of queries, a block of recordings) as (q, r, votes, offset) of those with ``least`` votes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = {n: batch.column(n) for n in batch.schema.names}
+            for row in range(batch.num_rows):
+                flat, q_from = _laid(col["q_codes"][row], col["q_sounds"][row], -(1 << 40))
+                stored, r_from = _laid(col["r_codes"][row], col["r_sounds"][row], 1 << 40)
+                h = {n: col[n][row].values.to_numpy() for n in ("q_h1", "q_h2", "r_h1", "r_h2")}
+                found, which, ordered, longest = [], [], {}, int(np.diff(q_from).max())
+                for at, (a, b) in enumerate(zip(r_from, r_from[1:])):
+                    # So many queries at a time that their offsets are COUNTED, about.
+                    step = 1 << (max(1, min(len(q_from) - 1, COUNTED // int(longest + b - a))).bit_length() - 1)
+                    for first in range(0, len(q_from) - 1, step):
+                        part = q_from[first : first + step + 1]
+                        if (first, step) not in ordered:
+                            order = np.argsort(flat[part[0] : part[-1]], kind="stable")
+                            ordered[first, step] = flat[part[0] : part[-1]][order], order
+                        asks, votes, offset = block_votes(ordered[first, step], part - part[0], stored[a:b], least)
+                        found.append((asks + first, votes, offset))
+                        which.append(np.full(len(asks), at))
+                which = np.concatenate(which)
+                asks, votes, offset = (np.concatenate([f[k] for f in found]) for k in range(3))
+                pair = lambda n, at: pa.StructArray.from_arrays([pa.array(h[f"{n}_h1"][at]), pa.array(h[f"{n}_h2"][at])], ["h1", "h2"])
+                yield pa.record_batch([pair("q", asks), pair("r", which), pa.array(votes), pa.array(offset.astype(np.int32))], names=["q", "r", "votes", "offset"])
+
+    return run
+
+
+def align(queries: DataFrame, recordings: DataFrame, least_votes: int = LEAST_VOTES, most_errors: float = MOST_ERRORS, exact: bool = False) -> DataFrame:
     """(query, match, offset, votes, n_compared, bit_errors, error_rate) of the recordings that queries align with.
 
     Both sides are as fingerprints() gives them; they are read several times, so give written tables. ``offset`` is the match's position less the
@@ -198,7 +277,8 @@ def align(queries: DataFrame, recordings: DataFrame, least_votes: int = LEAST_VO
     of equal codes are compared once and share the answer. Positions without sound don't vote. Null ids are left out.
 
     Every equal integer votes, whatever the table's size. Recordings that have only integers in common that more than FREQUENT positions hold, and
-    no run of them with what follows, don't meet and aren't found.
+    no run of them with what follows, don't meet and aren't found, unless ``exact`` asks for all: then recordings that hold such integers are
+    compared in blocks, each block of queries with each block of recordings in a task, and every pair that meets the thresholds is found.
     """
     key = F.struct(F.xxhash64("codes", "sounds").alias("h1"), F.xxhash64(F.lit(1), "codes", "sounds").alias("h2"))
     some = lambda df: df.where("id is not null and n_positions > 0").withColumn("digest", key)
@@ -207,16 +287,24 @@ def align(queries: DataFrame, recordings: DataFrame, least_votes: int = LEAST_VO
     q_classes, classes = written(one(q), "asked"), written(one(r), "prints")
     counts = classes.select(F.explode(F.arrays_zip("codes", "sounds")).alias("x")).where("x.sounds").groupBy(F.col("x.codes").alias("code")).agg(F.count("*").alias("n"))
     frequent = written(counts.where(F.col("n") > FREQUENT), "frequent-codes")
-    met = _postings(q_classes, "q", frequent).withColumnRenamed("at", "q_at").join(_postings(classes, "r", frequent), ["key", "single"])
     q_side = q_classes.select(F.col("digest").alias("q"), F.col("codes").alias("qc"), F.col("sounds").alias("qs"))
     r_side = classes.select(F.col("digest").alias("r"), F.col("codes").alias("rc"), F.col("sounds").alias("rs"))
-    if frequent.isEmpty():
-        votes = met.groupBy("q", "r", (F.col("at") - F.col("q_at")).alias("offset")).count()
-        best = votes.groupBy("q", "r").agg(F.max(F.struct(F.col("count"), (-F.col("offset")).alias("minus"))).alias("best"))
-        best = best.select("q", "r", F.col("best.count").alias("votes"), (-F.col("best.minus")).alias("offset"))
+    met = _postings(q_classes, "q", frequent).withColumnRenamed("at", "q_at").join(_postings(classes, "r", frequent), ["key", "single"])
+    kind = "struct<h1:bigint,h2:bigint>"
+    none = frequent.isEmpty()
+    if none or exact:
+        votes = met.where("single").groupBy("q", "r", (F.col("at") - F.col("q_at")).alias("offset")).count()
+        counted = votes.select("q", "r", F.col("count").alias("votes"), (-F.col("offset")).alias("minus"))
+        if not none:
+            # Of a pair that comes both ways, the blocks have all votes.
+            both = _blocks(q_classes, frequent, "q").crossJoin(_blocks(classes, frequent, "r"))
+            dealt = both.repartition(F.xxhash64("q_block", "r_block"))
+            compared = dealt.mapInArrow(frugal(_compare_blocks(least_votes)), f"q {kind}, r {kind}, votes long, offset int")
+            counted = counted.unionByName(compared.select("q", "r", "votes", (-F.col("offset")).alias("minus")))
+        best = counted.groupBy("q", "r").agg(F.max(F.struct("votes", "minus")).alias("best"))
+        best = best.select("q", "r", "best.votes", (-F.col("best.minus")).alias("offset"))
     else:
         both = met.select("q", "r").distinct().join(q_side, "q").join(r_side, "r")
-        kind = "struct<h1:bigint,h2:bigint>"
         best = both.mapInArrow(frugal(_recount), f"q {kind}, r {kind}, votes long, offset int")
     best = best.where(F.col("votes") >= least_votes)
     pairs = best.join(q_side.drop("qs"), "q").join(r_side.drop("rs"), "r")

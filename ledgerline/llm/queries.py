@@ -47,7 +47,7 @@ def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     recordings = written(fingerprints(melodies(vectors, "vec_id", "embedding"), "id"), "recordings")
     part = melodies(vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", first=16, last=48, noise=0.05)
-    best = best_match(align(written(fingerprints(part, "id"), "parts"), recordings))
+    best = best_match(align(written(fingerprints(part, "id"), "parts"), recordings, exact=True))
     summary = recordings.select(F.col("id").alias("vec_id"), "n_positions", F.crc32(F.array_join(F.col("codes").cast("array<string>"), " ").cast("binary")).alias("codes_crc32"))
     joined = summary.join(best.withColumnRenamed("query", "vec_id"), "vec_id", "left")
     return joined.select("vec_id", "n_positions", "codes_crc32", "match", "offset", "votes", "bit_errors", "n_matches")

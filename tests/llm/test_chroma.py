@@ -120,6 +120,23 @@ def test_against_brute_force(spark, docs, monkeypatch, frequent):
     assert {k for k, v in everything.items() if v[3] == 0 and k[0] < 120} <= got.keys()
 
 
+@pytest.mark.parametrize("frequent", [0, 3, 40])
+def test_exact_misses_nothing(spark, docs, monkeypatch, frequent):
+    """Whatever counts as frequent, and over several blocks, pairs are those of all positions against all."""
+    monkeypatch.setattr(ch, "FREQUENT", frequent)
+    for name, bound in (("BLOCK", 300), ("COUNTED", 400), ("LISTED", 50)):
+        monkeypatch.setattr(ch, name, bound)
+    r = np.random.default_rng(8)
+    stored = []
+    for i in range(14):
+        codes = np.repeat(r.integers(-3, 6, 30), r.integers(1, 5, 30)).tolist()
+        stored.append((i, codes, [bool(x) for x in r.random(len(codes)) < 0.95]))
+    stored += [(50, *stored[2][1:]), (51, [4] * 40, [True] * 40), (52, [], []), (53, [900, 4, 901, 4, 902], [True] * 5)]
+    asked = [(100 + i, c[5:45], s[5:45]) for i, c, s in stored[:6]] + [(120, [4] * 12, [True] * 12), (121, [1, 2], [True, True]), (122, [900, 5, 901, 5, 902], [True] * 5)]
+    got = {(x["query"], x["match"]): (x["offset"], x["votes"], x["n_compared"], x["bit_errors"]) for x in ch.align(prints_of(spark, asked), prints_of(spark, stored), exact=True).collect()}
+    assert got == plain_alignment(asked, stored, 10**6) and (122, 53) in got
+
+
 def test_recall_where_integers_are_frequent(spark, monkeypatch):
     """Of noisy parts among 500 recordings, with nearly every integer frequent: the same answers, 0.9 of them at least."""
     vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
