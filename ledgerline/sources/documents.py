@@ -9,8 +9,10 @@ from __future__ import annotations
 import base64
 import binascii
 import json
+import re
 from collections.abc import Iterator
 from decimal import Context, Decimal, InvalidOperation
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,10 +22,24 @@ TYPES = ("S", "N", "B", "BOOL", "NULL", "SS", "NS", "BS", "L", "M")
 #: Exponent beyond which a number is written with one; digits aren't bounded.
 PLAIN_EXPONENT = 130
 _EXACT = Context(prec=100_000)
+#: Numbers as most are: no exponent, and not so long that they get one.
+_PLAIN = re.compile(r"([+-]?)0*([0-9]{0,100})(?:\.([0-9]{0,100}))?", re.ASCII)
+_ENCODER = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False)
 
 
 def normal_number(text: str) -> tuple[str, int]:
     """(text without needless zeros, signs or exponent; encoded bytes) of a decimal number of any length."""
+    plain = _PLAIN.fullmatch(text)
+    if plain:
+        sign, whole, fraction = plain.groups("")
+        fraction = fraction.rstrip("0")
+        kept = (whole + fraction).strip("0")
+        if kept:
+            point = len(whole) or len(fraction.lstrip("0")) - len(fraction)
+            pairs = (len(kept) + point % 2 + 1) // 2
+            minus = "-" if sign == "-" else ""
+            shown = f"{whole or '0'}.{fraction}" if fraction else whole
+            return minus + shown, pairs + 1 + (1 if minus and pairs < 20 else 0)
     sign, digits, exponent = _EXACT.create_decimal(text).as_tuple()
     if not isinstance(exponent, int):
         raise ValueError(f"not a number: {text!r}")
@@ -57,7 +73,16 @@ def _bytes(value: object) -> tuple[str, int]:
     return base64.b64encode(raw).decode(), len(raw)
 
 
-_SCALARS = {"S": _text, "B": _bytes, "N": lambda v: normal_number(_text(v)[0])}
+#: Short numbers, which documents share.
+_short_number = lru_cache(1 << 14)(normal_number)
+
+
+def _number(value: object) -> tuple[str, int]:
+    text, size = _text(value)
+    return _short_number(text) if size <= 64 else normal_number(text)
+
+
+_SCALARS = {"S": _text, "B": _bytes, "N": _number}
 
 
 def normal_attribute(attribute: object) -> tuple[dict, int]:
@@ -73,8 +98,8 @@ def normal_attribute(attribute: object) -> tuple[dict, int]:
             raise ValueError(f"not a {kind}: {value!r}")
         return {kind: value}, 1
     if kind in ("SS", "NS", "BS") and isinstance(value, list):
-        members = dict(_SCALARS[kind[0]](x) for x in value)
-        order = (lambda x: _EXACT.create_decimal(x)) if kind == "NS" else base64.b64decode if kind == "BS" else str.encode
+        members = dict(map(_SCALARS[kind[0]], value))
+        order = Decimal if kind == "NS" else base64.b64decode if kind == "BS" else str.encode
         return {kind: sorted(members, key=order)}, sum(members.values())
     if kind == "L" and isinstance(value, list):
         parts = [normal_attribute(x) for x in value]
@@ -108,7 +133,7 @@ def _normalize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text is not None:
                 try:
                     normal, size = normal_item(json.loads(text, object_pairs_hook=_once))
-                    row = (json.dumps(normal, separators=(",", ":"), ensure_ascii=False), size, None)
+                    row = (_ENCODER.encode(normal), size, None)
                 except (ValueError, InvalidOperation, binascii.Error, RecursionError) as e:
                     row = (None, None, f"{type(e).__name__}: {e}"[:300])
             for column, x in zip((shown, sizes, errors), row):
@@ -136,8 +161,10 @@ def _path(path: str) -> str:
 def attribute_kind(document: Column | str, path: str) -> Column:
     """Type letter of an attribute (a dotted path goes into maps), ABSENT where there is none; null for what isn't JSON."""
     doc = F.try_parse_json(F.col(document) if isinstance(document, str) else document)
-    letters = [F.when(F.try_variant_get(doc, f"{_path(path)}.{t}", "variant").isNotNull(), t) for t in TYPES]
-    return F.when(doc.isNotNull(), F.coalesce(*letters, F.lit("ABSENT")))
+    # The document is read once for all of an attribute's letters.
+    letters = F.map_keys(F.try_variant_get(doc, _path(path), "map<string,variant>"))
+    known = F.array_intersect(F.array(*[F.lit(t) for t in TYPES]), letters)
+    return F.coalesce(F.get(known, F.lit(0)), F.when(doc.isNotNull(), "ABSENT"))
 
 
 def attribute_value(document: Column | str, path: str, kind: str, to: str = "string") -> Column:
@@ -157,8 +184,8 @@ def attribute_rows(df: DataFrame, keys: list[str], json_col: str = "document") -
 
 def assembled(attributes: DataFrame, keys: list[str], to: str = "document") -> DataFrame:
     """Documents of attribute rows, names in order; a document's attributes meet in one task, as a document does."""
-    member = F.struct("name", F.concat(F.to_json(F.struct(F.col("name").alias("n"))), F.lit("\u0000"), "kind", F.lit("\u0000"), "value").alias("x"))
-    parts = F.transform(F.array_sort(F.collect_list(member)), lambda m: m["x"])
     # {"n":"name"} becomes "name": that way JSON escapes it.
-    named = F.transform(parts, lambda x: F.concat(F.regexp_extract(F.substring_index(x, "\u0000", 1), r'(?s)^\{"n":(.*)\}$', 1), F.lit(':{"'), F.split_part(x, F.lit("\u0000"), F.lit(2)), F.lit('":'), F.split_part(x, F.lit("\u0000"), F.lit(3)), F.lit("}")))
+    name = F.to_json(F.struct(F.col("name").alias("n")))
+    member = F.struct("name", F.concat(name.substr(F.lit(6), F.length(name) - 6), F.lit(':{"'), "kind", F.lit('":'), "value", F.lit("}")).alias("x"))
+    named = F.array_sort(F.collect_list(member))["x"]
     return attributes.groupBy(*keys).agg(F.concat(F.lit("{"), F.array_join(named, ","), F.lit("}")).alias(to))

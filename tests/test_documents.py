@@ -20,6 +20,31 @@ def test_numbers():
             pass
 
 
+def test_plain_numbers_are_read_as_others(monkeypatch):
+    r = random.Random(5)
+    texts = ["0", "-0", "+", ".", "-.", "5.", "-.50", "00.00100", "100", "0100.0100", "-0099.9900", "1_0", " 7", "\u0663", "1" * 101, "0." + "0" * 99 + "1", "0." + "0" * 140 + "1"]
+    texts += [f"{r.choice(['', '-', '+'])}{'0' * r.randrange(3)}{r.randrange(10 ** r.randrange(1, 45))}{r.choice(['', '.', '.0', f'.{r.randrange(10**9):09d}00'])}" for _ in range(500)]
+
+    def seen(text):
+        try:
+            return dc.normal_number(text)
+        except (ValueError, ArithmeticError):
+            return "error"
+
+    fast = [seen(t) for t in texts]
+    monkeypatch.setattr(dc, "_PLAIN", __import__("re").compile("(?!)"))
+    assert fast == [seen(t) for t in texts]
+
+
+def test_a_kind_takes_one_reading(spark):
+    """An attribute's letter comes from one look into the document, not from one for every letter."""
+    df = spark.createDataFrame([('{"a":{"N":"1","S":"x"},"b":{"Q":1},"c":7,"d":{"NULL":null},"e":{}}',)], "d string")
+    out = df.select(*[dc.attribute_kind("d", n).alias(n) for n in "abcde"])
+    assert out.first().asDict() == {"a": "S", "b": "ABSENT", "c": "ABSENT", "d": "NULL", "e": "ABSENT"}
+    plan = df.select(dc.attribute_kind("d", "a").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get") == 1
+
+
 def test_number_sizes_equal_the_column_function(spark):
     r = random.Random(2)
     texts = ["0", "-1", "10", "100", "1.5", "-0.05", "1e10", "12345678901234567890", "-" + "9" * 45] + [f"{r.choice(['', '-'])}{r.randrange(10**r.randrange(1, 30))}.{r.randrange(10**r.randrange(1, 9))}" for _ in range(60)]
