@@ -956,8 +956,9 @@ def document_round_trip(spark, sf):
     note = F.when(k % 3 == 0, ',"note":{"NULL":true}').when(k % 3 == 1, F.concat(F.lit(',"note":{"S":"'), F.col("o_orderpriority"), F.lit(' \\"é\\""}'))).otherwise("")
     doc = F.concat(F.lit('{"status":{"S":"'), F.col("o_orderstatus"), F.lit('"},"n\\"q":{"L":[{"N":"1.50"},{"M":{"x":{"NS":["2","1"]}}}]}'), note, F.lit("}"))
     was = documents.normal_documents(fx.table(spark, sf, "orders").select(k.alias("k"), doc.alias("document"))).select("row.k", F.col("document").alias("was"))
-    back = documents.assembled(documents.attribute_rows(was, ["k"], "was"), ["k"])
-    again = documents.normal_documents(back).select(F.col("row.k").alias("k"), "document").join(was, "k")
+    # What a document was goes along with its attributes, so it is made once and isn't joined again.
+    back = documents.assembled(documents.attribute_rows(was, ["k", "was"], "was"), ["k", "was"])
+    again = documents.normal_documents(back).select("row.k", "row.was", "document")
     return again.select("k", documents.attribute_value("document", "status", "S").alias("status"), documents.attribute_kind("document", "note").alias("note"), (F.col("document") == F.col("was")).alias("same"))
 
 

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalar import number_len
+from ledgerline import queries
 from ledgerline.sources import documents as dc
 
 
@@ -95,3 +96,8 @@ def test_round_trip(spark):
     assert attributes.where("id = 0").count() == len(ITEM)
     back = dc.normal_documents(dc.assembled(attributes, ["id"])).select(F.col("row.id").alias("id"), F.col("document").alias("again"))
     assert all(r["document"] == r["again"] for r in df.join(back, "id").collect()) and back.count() == 3
+
+
+def test_the_round_trip_makes_a_normal_form_once(spark):
+    plan = queries.document_round_trip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan
