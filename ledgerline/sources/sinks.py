@@ -36,9 +36,17 @@ def write_report_csv(df: DataFrame, path: str, columns: str | None = None, delim
 
 
 def write_chunks(df: DataFrame, path: str, page_size: int, seq: str = "seq") -> None:
-    """A folder for each page of the sequence; writing a page again replaces it. Readers see it once commit_chunks() says so."""
+    """Pages of the sequence, in order in files of many pages; writing a page again replaces it. Readers see it once commit_chunks() says so.
+
+    A write is a folder, which a record names once it is whole; of two writes of a page the one that began later counts. Files grow with the rows, not
+    with the pages. Replaced pages stay in their files and aren't read as rows.
+    """
+    files, number = Files(df.sparkSession), 0
+    while not files.create(f"{path}/_begun/{number:012d}.json", "{}"):
+        number = max(number, *(int(n[:12]) for n in files.names(f"{path}/_begun") if n.endswith(".json"))) + 1
     chunk = F.floor((F.col(seq) - 1) / page_size).cast("long")
-    df.withColumn("chunk", chunk).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
+    df.withColumn("chunk", chunk).repartitionByRange("chunk").sortWithinPartitions("chunk").write.parquet(f"{path}/data/write={number}")
+    files.create(f"{path}/_written/{number:012d}.json", "{}")
 
 
 def committed_cursor(spark: SparkSession, path: str) -> dict:
@@ -69,7 +77,11 @@ def read_chunks(spark: SparkSession, path: str, committed: int | None = None) ->
     if committed is None:
         record = committed_cursor(spark, path)
         committed = -(-record["cursor"] // record["page_size"]) if record["page_size"] else 0
-    return spark.read.parquet(path).where(F.col("chunk") < committed)
+    written = [int(n[:12]) for n in Files(spark).names(f"{path}/_written") if n.endswith(".json")]
+    rows = spark.read.option("basePath", f"{path}/data").parquet(*[f"{path}/data/write={n}" for n in written]).where(F.col("chunk") < committed)
+    # One row a page: its last write.
+    last = rows.groupBy("chunk").agg(F.max("write").alias("write"))
+    return rows.join(last, ["chunk", "write"], "left_semi").drop("write")
 
 
 def write_evidence(df: DataFrame, path: str, batch: str, job: str = "job") -> None:

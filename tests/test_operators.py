@@ -312,6 +312,20 @@ def test_reports(spark, tmp_path):
             sinks.select_columns(df, bad)
 
 
+def test_files_of_chunks_grow_with_rows(spark, tmp_path):
+    """A thousand pages don't make a thousand folders; a write that isn't whole isn't seen."""
+    df = spark.range(1, 10_001).select(F.col("id").alias("seq"), F.lit("x").alias("v"))
+    sinks.write_chunks(df, f"{tmp_path}/c", 10)
+    assert len(list((tmp_path / "c").rglob("*.parquet"))) < 100
+    again = df.where("(seq - 1) div 10 % 2 = 0").withColumn("v", F.lit("y"))
+    again.withColumn("chunk", F.lit(3).cast("long")).write.parquet(f"{tmp_path}/c/data/write=1")  # stopped before its record
+    (tmp_path / "c" / "_begun" / "000000000001.json").write_text("{}")
+    sinks.write_chunks(again, f"{tmp_path}/c", 10)
+    back = sinks.read_chunks(spark, f"{tmp_path}/c", 900)
+    assert back.count() == 9000 == back.select("seq").distinct().count()
+    assert back.where("(v = 'y') <> (chunk % 2 = 0)").isEmpty()
+
+
 def test_chunks_are_replaced(spark, tmp_path):
     df = spark.range(1, 26).select(F.col("id").alias("seq"), F.lit("x").alias("v"))
     sinks.write_chunks(df, str(tmp_path), 10)
