@@ -1182,16 +1182,25 @@ def consume_idempotent(spark, sf):
     return streams.consume_batch(fx.messages(spark, sf))
 
 
+#: State of streams is kept in RocksDB: one store a partition also for a join, of which a trigger saves what has changed.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+}
+
+
 @contextmanager
 def _rocks(spark):
-    """State of streams is kept in RocksDB."""
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    had = spark.conf.get(setting)
-    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Streams that start within keep their state as _STATE says."""
+    had = {name: spark.conf.get(name, None) for name in _STATE}
+    for name, value in _STATE.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(setting, had)
+        for name, value in had.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _message_log(spark, sf, name: str) -> tuple[str, int]:
