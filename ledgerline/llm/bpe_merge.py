@@ -5,8 +5,13 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pyarrow as pa
+
+from ledgerline.llm.plain_tokens import binary_of, bytes_of
 
 _NONE = np.iinfo(np.int32).max
+#: Spreads pairs over the slots of a hash table by the high bits of a product.
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes from which a word is merged by a heap: rounds over all words would each pass over it.
 LONG = 2048
 
@@ -34,6 +39,21 @@ class PairMerger:
         by = np.argsort(pair, kind="stable")
         self.pairs, self.ranks, self.made = pair[by], by.astype(np.int32), made[by]
         self.by_pair = None
+        # Open addressing: a pair lies in the first free slot from its own on; at most half of them are taken.
+        bits = max(1, int(2 * len(self.pairs)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slots = np.full(1 << bits, -1, dtype=np.int64)
+        self.slot_rank, self.slot_made = np.full(1 << bits, _NONE, dtype=np.int32), np.zeros(1 << bits, dtype=np.int64)
+        waiting, slot = np.arange(len(self.pairs)), self._slot(self.pairs)
+        while len(waiting):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = self.pairs[waiting[free]]
+            lies = self.slots[slot] == self.pairs[waiting]
+            self.slot_rank[slot[lies]], self.slot_made[slot[lies]] = self.ranks[waiting[lies]], self.made[waiting[lies]]
+            waiting, slot = waiting[~lies], (slot[~lies] + 1) & (len(self.slots) - 1)
+
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        return ((pair.astype(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Exact token ids of each word."""
@@ -44,14 +64,29 @@ class PairMerger:
         if words and max(map(len, words)) >= LONG:
             short = iter(self.merge_bytes([w for w in words if len(w) < LONG], dtype))
             return [self._merged_long(w).astype(dtype).tobytes() if len(w) >= LONG else next(short) for w in words]
-        flat, ends = self._merged(words)
+        flat, ends = self._merged(np.frombuffer(b"".join(words), dtype=np.uint8), np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
         data, cut = flat.astype(dtype).tobytes(), (ends * np.dtype(dtype).itemsize).tolist()
         return [data[a:b] for a, b in zip([0, *cut], cut)]
 
+    def merge_array(self, words: pa.Array, dtype: str) -> pa.Array:
+        """merge_bytes() of large_binary words."""
+        data, at = bytes_of(words)
+        size = np.diff(at)
+        if len(size) and size.max() >= LONG:
+            return pa.array(self.merge_bytes(words.to_pylist(), dtype), pa.large_binary())
+        flat, ends = self._merged(data, size)
+        return binary_of(flat.astype(dtype).view(np.uint8), np.concatenate([[0], ends]) * np.dtype(dtype).itemsize)
+
     def _lookup(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, what it makes) of pairs; _NONE is the rank of a pair that doesn't merge."""
-        place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        return np.where(self.pairs[place] == pair, self.ranks[place], _NONE), self.made[place]
+        slot = self._slot(pair)
+        held = self.slots[slot]
+        wrong = np.flatnonzero((held != pair) & (held >= 0))
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) & (len(self.slots) - 1)
+            held = self.slots[slot[wrong]]
+            wrong = wrong[(held != pair[wrong]) & (held >= 0)]
+        return self.slot_rank[slot], self.slot_made[slot]
 
     def _merged_long(self, word: bytes) -> np.ndarray:
         """One long word's ids: pairs wait in a heap by rank, then place, so time grows little faster than the word."""
@@ -89,16 +124,17 @@ class PairMerger:
             self.by_pair = dict(zip(self.pairs.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
         return self.by_pair
 
-    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All words' ids in order and where each word's end: at every step all occurrences of a word's lowest-ranked pair merge."""
-        if not words:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+    def _merged(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in order and where each word's end: at every step all occurrences of a word's lowest-ranked pair merge.
+
+        ``data`` is the words' bytes, one word behind the other.
+        """
+        if not len(data):
+            return np.zeros(0, dtype=np.int64), np.zeros(len(size), dtype=np.int64)
         symbol = self.inner[data]
         ends = np.cumsum(size) - 1
         symbol[ends] = self.last[data[ends]]
-        word = np.repeat(np.arange(len(words)), size)
+        word = np.repeat(np.arange(len(size)), size)
         done_symbol, done_word = [], []
         rank = np.full(len(symbol), _NONE, dtype=np.int32)  # of the pair that begins at each symbol
         made = np.zeros(len(symbol), dtype=np.int64)  # what that pair makes
@@ -134,4 +170,4 @@ class PairMerger:
             look = np.flatnonzero(changed)
         symbol, word = np.concatenate(done_symbol), np.concatenate(done_word)
         by = np.argsort(word, kind="stable")
-        return symbol[by], np.cumsum(np.bincount(word, minlength=len(words)))
+        return symbol[by], np.cumsum(np.bincount(word, minlength=len(size)))

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerline.llm.bpe_merge import PairMerger
-from ledgerline.llm.pieces import CACHE_SIZE, ENTRY, LONGEST, PLAIN, PieceCache, batches_by_size, spaced_pieces
+from ledgerline.llm.pieces import CACHE_SIZE, ENTRY, LONGEST, PLAIN, PieceCache, spaced_pieces
+from ledgerline.llm.plain_tokens import TokenTable, bytes_of, encoded, in_two_ways, plain_texts, text_slices
 from ledgerline.llm.shared_files import filesystem, mapped
 from ledgerline.llm.storage import new_path, small_batches, written
 from ledgerline.llm.workers import frugal, kept
@@ -37,8 +38,9 @@ _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 class LibraryIds:
     """Texts' ids as bytes, equal to those of the tokenizers library for the same file.
 
-    Each distinct token of the split is merged once, in bulk, by the file's own merges. Pieces with special
-    tokens or characters whose class could depend on the Unicode version go through the library itself.
+    Each distinct token of the split is merged once, in bulk, by the file's own merges. Texts with special
+    tokens or characters whose class could depend on the Unicode version are cut into pieces, and pieces with these go
+    through the library itself.
     """
 
     def __init__(self, tokenizer_file: str, dtype: str):
@@ -49,6 +51,7 @@ class LibraryIds:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         with open(tokenizer_file, encoding="utf-8") as f:
             self.merger = PairMerger(json.load(f)["model"])
+        self.table = TokenTable(lambda tokens: self.merger.merge_array(tokens, dtype))
         # A piece behind its space, and a text's first piece.
         self.spaced = PieceCache(lambda pieces: self._compute(pieces, " "))
         self.first = PieceCache(self._compute)
@@ -90,7 +93,13 @@ class LibraryIds:
                 del tokens[t]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        return in_two_ways(texts, plain_texts(texts, self.special), lambda x: encoded(self.table, *bytes_of(x), spaced=True), self.by_pieces)
+
+    def by_pieces(self, texts: list[str]) -> list[bytes]:
+        """encode() of texts of any characters."""
         pieces = [spaced_pieces(t) for t in texts]
         heads = self.first.values([p[:1] for p in pieces])
         rest = self.spaced.values([p[1:] for p in pieces])
@@ -192,13 +201,13 @@ def _write(folder: str, tokenizer_file: str, dtype: str, end_id: int, sequence:
         width = len(end)
         uri, writer, at = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow", None, 0
         for batch in batches:
-            ids, texts = batch.column("id"), [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in batches_by_size(texts, 1 << 20):
+            ids = batch.column("id")
+            for a, b, texts in text_slices(batch.column("text")):
                 sizes = []
-                for encoded in encoder.encode(texts[a:b]):
+                for found in encoder.encode(texts):
                     writer = writer or SequenceWriter(uri, dtype, sequence, rows)
-                    writer.add(encoded + end)
-                    sizes.append(len(encoded) // width + 1)
+                    writer.add(found + end)
+                    sizes.append(len(found) // width + 1)
                 n = np.array(sizes, dtype=np.int64)
                 local = at + np.cumsum(n) - n
                 at += int(n.sum())
