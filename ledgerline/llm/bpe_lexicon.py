@@ -17,13 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerline.llm.bpe_merge import PairMerger, byte_chars
-from ledgerline.llm.pieces import LONGEST, PLAIN, PieceCache, batches_by_size
+from ledgerline.llm.pieces import LONGEST, PLAIN, PieceCache
+from ledgerline.llm.plain_tokens import TokenTable, binary_of, bytes_of, distinct_tokens, encoded, in_two_ways, lowered, plain_texts, text_slices, token_starts
 from ledgerline.llm.shared_files import packed, unpacked, write_bytes
 from ledgerline.llm.storage import discard, new_path, small_batches, written
 from ledgerline.llm.workers import frugal, kept
@@ -32,6 +34,8 @@ from ledgerline.llm.workers import frugal, kept
 LEXICON_WORDS = 1 << 16
 #: Bytes of one generation of a worker's cache of pieces.
 CACHED = 20 << 20
+#: The split that plain_tokens knows; files with another one go by pieces.
+_KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordBpe:
@@ -44,7 +48,7 @@ class WordBpe:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         merger = PairMerger(spec["model"], spec["model"]["end_of_word_suffix"] or "")
-        self.merge, self.merge_bytes = merger.merge, merger.merge_bytes
+        self.merge, self.merge_bytes, self.merge_array = merger.merge, merger.merge_bytes, merger.merge_array
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         size = max([*vocab.values(), *self.special.values()]) + 1
@@ -54,6 +58,11 @@ class WordBpe:
         self.byte_of = {c: b for b, c in enumerate(byte_chars())}
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(split, regex.V0)
+        self.known_split = split == _KNOWN_SPLIT
+
+    def plain(self, texts: pa.Array) -> np.ndarray:
+        """Which texts are cut into words as arrays."""
+        return plain_texts(texts, list(self.special), small=True) & self.known_split
 
     def words(self, piece: str) -> list[bytes | int]:
         """A piece's words as UTF-8 bytes, and ids of special tokens inside it."""
@@ -137,15 +146,15 @@ class Lexicon:
         head, arrays = unpacked(uri)
         self.root = head["root"]
         vars(self).update(arrays)
+        self.words_ids = binary_of(self.ids.view(np.uint8), self.offsets * 4)
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def numbers(self, words: list[bytes] | pa.Array) -> np.ndarray:
         """Each word's number, -1 for one that isn't held; all words walk together."""
         n = len(words)
         if not n or not len(self.key):
             return np.full(n, -1, dtype=np.int64)
-        size = np.fromiter(map(len, words), dtype=np.int64, count=n)
-        start = np.cumsum(size) - size
-        data = np.frombuffer(b"".join(words) + b"\0", dtype=np.uint8)
+        data, at = bytes_of(words if isinstance(words, pa.Array) else pa.array(words, pa.large_binary()))
+        start, size = at[:-1], np.diff(at)
         state = np.full(n, self.root, dtype=np.int64)
         number = np.zeros(n, dtype=np.int64)
         live = np.flatnonzero(size > 0)
@@ -172,17 +181,46 @@ def _pieces(text: str) -> list[str]:
 
 
 class Encoder:
-    """What a worker keeps: a vocabulary, and the pieces that it has met under one lexicon."""
+    """What a worker keeps: a vocabulary, and the words and pieces that it has met under one lexicon."""
 
     def __init__(self, tokenizer_file: str):
         self.bpe = WordBpe(tokenizer_file)
-        self.uri, self.lexicon, self.cache = "", None, None
+        self.names = pa.array(self.bpe.tokens, pa.string())
+        self.uri, self.lexicon, self.table, self.cache = "", None, None, None
 
-    def under(self, uri: str) -> PieceCache:
-        """Cached ids of pieces; a new lexicon drops the earlier one's."""
+    def under(self, uri: str) -> Encoder:
+        """This encoder with a lexicon; a new one drops what was met under the earlier one."""
         if uri != self.uri:
-            self.lexicon, self.cache, self.uri = Lexicon(uri), PieceCache(self._ids, CACHED), uri
-        return self.cache
+            self.lexicon, self.uri = Lexicon(uri), uri
+            self.table, self.cache = TokenTable(self._word_ids), PieceCache(self._ids, CACHED)
+        return self
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids: words of plain texts are told apart as arrays, other texts are cut into pieces."""
+
+        def by_arrays(plain: pa.Array) -> list[bytes]:
+            data, ends = bytes_of(plain)
+            return encoded(self.table, lowered(data), ends, spaced=False)
+
+        def by_pieces(others: list[str]) -> list[bytes]:
+            return [b"".join(v) for v in self.cache.values([_pieces(t) for t in others])]
+
+        return in_two_ways(texts, self.bpe.plain(texts), by_arrays, by_pieces)
+
+    def _word_ids(self, words: pa.Array) -> pa.Array:
+        """Ids of words as an array; white space has none."""
+        number = self.lexicon.numbers(words)
+        data, at = bytes_of(words)
+        number[np.isin(data[at[:-1]], np.frombuffer(b" \n", dtype=np.uint8))] = -2
+        held, rest = np.flatnonzero(number >= 0), np.flatnonzero(number == -1)
+        parts = [self.lexicon.words_ids.take(pa.array(number[held])), self.bpe.merge_array(words.take(pa.array(rest)), "<i4"), pa.array([b""], pa.large_binary())]
+        place = np.full(len(words), len(held) + len(rest))
+        place[held], place[rest] = np.arange(len(held)), len(held) + np.arange(len(rest))
+        return pa.concat_arrays(parts).take(pa.array(place))
+
+    def decoded(self, ids: np.ndarray, offsets: pa.Array) -> pa.Array:
+        """The texts of lists of ids, one space between tokens."""
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, self.names.take(pa.array(ids))), " ")
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         split = [self.bpe.words(p) for p in pieces]
@@ -198,15 +236,26 @@ def _encoder(tokenizer_file: str) -> Encoder:
     return kept(("words", tokenizer_file), lambda: Encoder(tokenizer_file))
 
 
-#: Distinct pieces that a task counts before it tells their words.
+#: Distinct pieces or words that a task counts before it tells the words.
 COUNTED_PIECES = 200_000
 
 
+def _plain_word_counts(texts: pa.Array) -> pa.Table:
+    """Numbers of plain texts' words; long words are left out, as they are always merged where they are met."""
+    data, ends = bytes_of(texts)
+    data = lowered(data)
+    codes, words = distinct_tokens(data, token_starts(data, ends, spaced=False)[0])
+    first = pc.binary_slice(words, 0, 1)
+    count = pa.table({"word": words, "n": np.bincount(codes, minlength=len(words))})
+    return count.filter(pc.and_(pc.invert(pc.is_in(first, pa.array([b" ", b"\n"], first.type))), pc.less_equal(pc.binary_length(words), LONGEST)))
+
+
 def _word_counts(tokenizer_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(tokenizer_file).bpe
         pieces: Counter = Counter()
         words: Counter = Counter()
+        tables: list[pa.Table] = []
 
         def flush() -> pa.RecordBatch:
             for piece, n in pieces.items():
@@ -218,17 +267,33 @@ def _word_counts(tokenizer_file: str):
             words.clear()
             return out
 
+        def summed() -> pa.Table:
+            found = pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return pa.table({"word": found["word"], "n": found["n_sum"]})
+
+        def out_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from table.set_column(0, "word", table["word"].cast(pa.binary())).to_batches()
+
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text:
+            for _, _, texts in text_slices(batch.column("text")):
+                plain = bpe.plain(texts)
+                if plain.any():
+                    tables.append(_plain_word_counts(texts.filter(pa.array(plain))))
+                    if sum(map(len, tables)) > 4 * COUNTED_PIECES:
+                        tables[:] = [summed()]
+                        if len(tables[0]) > COUNTED_PIECES:
+                            yield from out_of(tables.pop())
+                for text in texts.filter(pa.array(~plain)).to_pylist():
                     found = _pieces(text)
                     if len(text) > LONGEST and max(map(len, found)) > LONGEST:
-                        # Of long pieces, as scripts without spaces make them, the short words count at once; long words are always merged where they are met.
+                        # Of long pieces, as scripts without spaces make them, the short words count at once.
                         words.update(w for p in found if len(p) > LONGEST for w in bpe.words(p) if isinstance(w, bytes) and len(w) <= LONGEST)
                         found = [p for p in found if len(p) <= LONGEST]
                     pieces.update(found)
                     if len(pieces) + len(words) > COUNTED_PIECES:
                         yield flush()
+        if tables:
+            yield from out_of(summed())
         yield flush()
 
     return frugal(run)
@@ -255,20 +320,16 @@ def frequent_words(docs: DataFrame, text_col: str, tokenizer_file: str, n_words:
 
 def _encode(tokenizer_file: str, lexicon_uri: str, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_file)
-        tokens, cache = encoder.bpe.tokens, encoder.under(lexicon_uri)
+        encoder = _encoder(tokenizer_file).under(lexicon_uri)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in batches_by_size(texts, 1 << 19):
-                ids = [b"".join(v) for v in cache.values([_pieces(t) for t in texts[a:b]])]
+            for a, b, texts in text_slices(batch.column("text")):
+                ids = encoder.encode(texts)
                 size = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
                 flat = np.frombuffer(b"".join(ids), dtype="<i4")
-                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                columns = [batch.column("id")[a:b], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+                columns = [batch.column("id")[a:b], pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))]
                 if with_text:
-                    names = [tokens[i] for i in flat.tolist()]
-                    cut = offsets.tolist()
-                    columns.append(pa.array([" ".join(names[x:y]) for x, y in zip(cut, cut[1:])], pa.string()))
+                    columns.append(encoder.decoded(flat, offsets))
                 yield pa.record_batch(columns, names=["id", "ids", "decoded"][: len(columns)])
 
     return frugal(run)

@@ -17,23 +17,32 @@ from ledgerline.llm.pieces import LONGEST, PLAIN, batches_by_size
 #: Bytes of a worker's table of tokens and their ids.
 TABLE_SIZE = 16 << 20
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
-#: Texts of PLAIN characters, in the dialect of Arrow's patterns.
-_PLAIN = r"^[\x20-\x7E\n\x{A1}-\x{AC}\x{AE}-\x{24F}]*$"
-
-
 def _class(char: str) -> int:
-    if not PLAIN.fullmatch(char):
+    if not PLAIN.fullmatch(char) and char < "\u0250":
         return 0
     return SPACE if char in " \n" else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(char)[0], OTHER)
 
 
-_CLASS = np.array([_class(chr(i)) for i in range(0x250)], dtype=np.uint8)
+#: Of all characters of at most two bytes, as small letters of plain capitals may lie beyond the plain ones.
+_CLASS = np.array([_class(chr(i)) for i in range(0x800)], dtype=np.uint8)
 _BYTE_CLASS = np.concatenate([_CLASS[:0x80], np.zeros(0x80, dtype=np.uint8)])
+#: The small letter of a character where that is one character of as many bytes, else 0.
+_SMALL = np.array([ord(x) if len(x) == 1 and len(x.encode()) == len(chr(i).encode()) else 0 for i in range(0x250) for x in [chr(i).lower()]])
+_BYTE_SMALL = np.concatenate([_SMALL[:0x80], np.arange(0x80, 0x100)]).astype(np.uint8)
+
+
+def _all_of(codes) -> str:
+    """Texts of these characters, in the dialect of Arrow's patterns."""
+    return "^[" + "".join([f"\\x{{{i:x}}}" for i in codes]) + "]*$"
+
+
+_PLAIN = _all_of(np.flatnonzero(_CLASS[:0x250]))
+_PLAIN_SMALL = _all_of(np.flatnonzero((_CLASS[:0x250] > 0) & (_SMALL > 0)))
 
 
-def plain_texts(texts: pa.Array, special: list[str]) -> np.ndarray:
-    """Which texts have plain characters alone and spell out no ``special`` token."""
-    ok = pc.match_substring_regex(texts, _PLAIN).to_numpy(zero_copy_only=False)
+def plain_texts(texts: pa.Array, special: list[str], small: bool = False) -> np.ndarray:
+    """Which texts have plain characters alone, for ``small`` such as lowered() changes in place, and spell out no ``special`` token."""
+    ok = pc.match_substring_regex(texts, _PLAIN_SMALL if small else _PLAIN).to_numpy(zero_copy_only=False)
     for token in special:
         ok = ok & ~pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
     return ok
@@ -54,6 +63,21 @@ def binary_of(data: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64, copy=False)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def _two_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where characters of two bytes begin, and their numbers."""
+    lead = np.flatnonzero(data >= 0xC0)
+    return lead, (data[lead].astype(np.int64) & 0x1F) << 6 | data[lead + 1] & 0x3F
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Plain texts in small letters."""
+    out = _BYTE_SMALL[data]
+    lead, code = _two_bytes(data)
+    code = _SMALL[code]
+    out[lead], out[lead + 1] = 0xC0 | code >> 6, 0x80 | code & 0x3F
+    return out
+
+
 def token_starts(data: np.ndarray, ends: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
     r"""At which bytes the tokens of plain texts begin, and each one's class.
 
@@ -64,8 +88,8 @@ def token_starts(data: np.ndarray, ends: np.ndarray, spaced: bool) -> tuple[np.n
     if not n:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8)
     kind = _BYTE_CLASS[data]
-    lead = np.flatnonzero(data >= 0xC0)
-    kind[lead] = kind[lead + 1] = _CLASS[(data[lead].astype(np.int64) & 0x1F) << 6 | data[lead + 1] & 0x3F]
+    lead, code = _two_bytes(data)
+    kind[lead] = kind[lead + 1] = _CLASS[code]
     edge = np.zeros(n + 1, dtype=bool)  # a text begins, or all have ended
     edge[ends] = True
     start = edge[:n].copy()

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -6,12 +7,14 @@ import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
+from ledgerline.llm import bpe_lexicon as bl
 from ledgerline.llm import plain_tokens as pt
 from ledgerline.llm.bpe_merge import PairMerger
 from ledgerline.llm.pieces import LONGEST, PLAIN
+from ledgerline.llm.shared_files import write_bytes
 from ledgerline.llm.token_files import LibraryIds
 
-BYTE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 APART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\s+")
 
@@ -96,3 +99,57 @@ def _merges():
 
     with open(BYTE, encoding="utf-8") as f:
         return json.load(f)["model"]["merges"]
+
+
+def test_small_letters_in_place():
+    chars = [chr(i) for i in range(0x250) if PLAIN.fullmatch(chr(i))]
+    texts = pa.array(chars, pa.large_string())
+    small = pt.plain_texts(texts, [], small=True)
+    assert [c for c, ok in zip(chars, small) if not ok] == [c for c in chars if len(c.lower().encode()) != len(c.encode())]
+    data, _ = pt.bytes_of(texts.filter(pa.array(small)))
+    assert bytes(pt.lowered(data)).decode() == "".join([c.lower() for c, ok in zip(chars, small) if ok])
+
+
+def _encoded(texts, path):
+    """Ids and decoded texts of one task, under a lexicon of a few words."""
+    words = sorted([b"it", b"stt", "é".encode(), b"ll", b"xx"])
+    write_bytes(path, bl.compile_lexicon(words, bl.WordBpe(WORD).merge(words)))
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["id", "text"])
+    return [(r["ids"], r["decoded"]) for out in bl._encode(WORD, path, True)(iter([batch])) for r in out.to_pylist()]
+
+
+def _want(texts):
+    library = Tokenizer.from_file(WORD)
+    library.no_truncation()
+    found = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    return [(ids, library.decode(ids, skip_special_tokens=False)) for ids in found]
+
+
+def test_plain_words_are_encoded_as_arrays(tmp_path, monkeypatch):
+    """Words of plain texts are never Python objects; other texts among them have their ids in place."""
+
+    def refuse(*_):
+        raise AssertionError("words of plain texts")
+
+    texts = [None, *[t for t in plain(seed=9) if not set(t) & set("İȺ")], "Ab" * 3000 + " It ÉÈ'S"]
+    mixed = ["日本 a", *texts[:20], "<|endoftext|>X", "A\tB", "İstanbul Ⱥ", *texts[20:40], "é\xa0 'S", "e\u0301"]
+    assert _encoded(mixed, str(tmp_path / "a.bin")) == _want(mixed)
+    monkeypatch.setattr(bl.WordBpe, "words", refuse)
+    assert _encoded(texts, str(tmp_path / "b.bin")) == _want(texts)
+
+
+def test_plain_words_are_counted_as_arrays(monkeypatch):
+    texts = [*plain(seed=11), "日本 日本 a", "<|endoftext|>X it", None, "y" * (LONGEST + 1) + " short"]
+    bpe, want = bl.WordBpe(WORD), Counter()
+    for t in texts:
+        for p in bl._pieces(t or ""):
+            want.update(w for w in bpe.words(p) if isinstance(w, bytes) and len(w) <= LONGEST)
+    batches = [pa.record_batch([pa.array(texts[i : i + 50], pa.string())], names=["text"]) for i in range(0, len(texts), 50)]
+    for most in (bl.COUNTED_PIECES, 30):
+        monkeypatch.setattr(bl, "COUNTED_PIECES", most)
+        got = Counter()
+        for out in bl._word_counts(WORD)(iter(batches)):
+            assert out.schema.field("word").type == pa.binary()
+            for r in out.to_pylist():
+                got[r["word"]] += r["n"]
+        assert got == want
